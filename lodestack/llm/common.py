@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.shipping import ship
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 
@@ -37,6 +39,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -99,3 +102,16 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int
 def as_documents(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The columns an operator reads, whatever else the input holds; the text as a string."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in more])
+
+
+#: Up to so many labelled rows (about 16 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_LABELS = 1_000_000
+
+
+def with_label(documents: DataFrame, labels: DataFrame, label: str, *, label_id: str = "doc_id", how: str = "left", where: Column | None = None) -> DataFrame:
+    """``documents`` (doc_id, ...) with the column ``label``; of several labels of an id the largest counts, null ids and labels don't."""
+    own = labels.select(F.col(f"`{label_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias(label)).dropna()
+    own = own.where(where) if where is not None else own
+    own = own.groupBy("__id").agg(F.max(label).alias(label))
+    few = own.limit(MOST_BROADCAST_LABELS + 1).count() <= MOST_BROADCAST_LABELS
+    return documents.join(F.broadcast(own) if few else own, F.col("doc_id") == F.col("__id"), how).drop("__id")

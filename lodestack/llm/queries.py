@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestack.llm.common import table
 from lodestack.llm.line_dedup import drop_boilerplate
 from lodestack.llm.packing import pack_documents
+from lodestack.llm.quality import judge_quality
 from lodestack.llm.sharding import assign_shards
 from lodestack.llm.token_count import count_tokens
+from lodestack.llm.toxicity import score_toxicity
 from lodestack.llm.url_reputation import filter_urls
 
 
@@ -35,7 +37,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op4_token_counts, op5_packing, op7_sharding)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op4_token_counts, op5_packing, op7_sharding, op9_quality_rules, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
