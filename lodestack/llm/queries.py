@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table
+from lodestack.llm.jaccard_join import jaccard_components
 from lodestack.llm.line_dedup import drop_boilerplate
 from lodestack.llm.packing import pack_documents
 from lodestack.llm.quality import judge_quality
@@ -25,6 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_total", "lines_dropped")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -45,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op4_token_counts, op5_packing, op7_sharding, op9_quality_rules, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_jaccard_join, op4_token_counts, op5_packing, op7_sharding, op9_quality_rules, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
