@@ -319,3 +319,10 @@ def jaccard_components(df: DataFrame, *, percent: int = 80, width: int = 5, id_c
     labelled = documents.join(components.labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     smallest = labelled.where("sig is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """``df`` without the documents that link, over any number of others, to one with a smaller id; rows without words stay, repeated rows of an id too."""
+    found = jaccard_components(df, id_col=id_col, **options)
+    gone = written(found.where("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct())
+    return df.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")

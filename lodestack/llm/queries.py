@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table
+from lodestack.llm.decontaminate import find_leaks
 from lodestack.llm.jaccard_join import jaccard_components
 from lodestack.llm.line_dedup import drop_boilerplate
 from lodestack.llm.packing import pack_documents
 from lodestack.llm.quality import judge_quality
+from lodestack.llm.secret_scan import scan_secrets
 from lodestack.llm.sharding import assign_shards
 from lodestack.llm.token_count import count_tokens
 from lodestack.llm.toxicity import score_toxicity
@@ -38,10 +40,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_jaccard_join, op4_token_counts, op5_packing, op7_sharding, op9_quality_rules, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_jaccard_join, op4_token_counts, op5_packing, op6_secret_scan, op7_sharding, op8_decontamination, op9_quality_rules, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
