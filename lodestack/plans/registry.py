@@ -1,10 +1,8 @@
-"""Names of the registered queries and the SQL that each is compared with."""
+"""The registered queries, and the SQL that each is compared with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestack.plans import events, files, pages, tables
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**pages.QUERIES, **files.QUERIES, **events.QUERIES, **tables.QUERIES}
+SQL = {**pages.SQL, **files.SQL, **events.SQL, **tables.SQL}
