@@ -87,11 +87,11 @@ def scan_text_assets(files: DataFrame) -> DataFrame:
     css = matches(files, "text", r"""(?i)url\(\s*["']?([^"')\s]+?)["']?\s*\)""", keep=keep).withColumn("rule", F.lit("css"))
     dynamic = matches(files, "text", r"""(?i)\bimport\(\s*["']([^"']+)["']\s*\)""", keep=keep).withColumn("rule", F.lit("import"))
     static = matches(files, "text", r"""(?i)\bimport\s+(?:[^"';]*?\bfrom\s+)?["']([^"']+)["']""", keep=keep).withColumn("rule", F.lit("import"))
-    found = reduce(DataFrame.unionByName, (quoted, tags, css, dynamic, static)).where(~F.rlike("raw", F.lit(r"(?i)^(data:|#|about:|blob:|javascript:|[a-z]+/[a-z0-9.+-]+$)")) & ~F.contains("raw", F.lit("${")))
+    found = reduce(DataFrame.unionByName, (quoted, tags, css, dynamic, static)).where(~F.rlike("raw", F.lit(r"(?i)^(data:|#|about:|blob:|javascript:|(?:image|audio|video|font|text|application)/[a-z0-9+-]+$)")) & ~F.contains("raw", F.lit("${")))
     script = F.rlike("path", F.lit(r"(?i)\.m?js$"))
     own_base = F.regexp_extract("text", r"""new\s+URL\(\s*["'](\.{1,2}/[^"']*)["']\s*,\s*(?:document\.)?(?:currentScript\.src|import\.meta\.url)""", 1)
     relative = F.rlike("raw", F.lit(r"^\.{0,2}/"))
-    base = F.when(script & (own_base != ""), resolve(F.col("url"), own_base)).when(script & ~relative, F.col("base_url")).when(script & F.startswith("raw", F.lit("./")), F.col("base_url")).otherwise(F.col("url"))
+    base = F.when(F.col("rule") == "import", F.col("url")).when(script & (own_base != ""), resolve(F.col("url"), own_base)).when(script & ~relative, F.col("base_url")).when(script & F.startswith("raw", F.lit("./")), F.col("base_url")).otherwise(F.col("url"))
     url = F.regexp_replace(repaired_assets(resolve(base, F.col("raw"))), "#.*$", "")
     return found.select(F.col("path").alias("owner"), "rule", "raw", url.alias("url")).where(F.rlike("url", F.lit("(?i)^https?://"))).distinct()
 
