@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.shared import shared_folder, written
 from lodestack.shipping import ship
 
+__all__ = ["shared_folder", "written"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 
@@ -22,22 +24,6 @@ WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else one made for a local session."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lodestack-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs nothing that was written."""
-    path = f"{shared_folder(df.sparkSession)}/lodestack-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,10 +34,21 @@ def row_hash(*cols: str | Column) -> Column:
     return F.xxhash64(*[c for col in cols for c in (col, F.isnull(col))])
 
 
+_CACHE: dict[str, Any] = {}
+
+
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, made by ``make``: one thing at a time, so operators that follow each other don't add up."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 class WordHashes(dict):
-    """``words[b"abc"]`` is the word's 64-bit hash; computed once per worker and word, and emptied beyond ``limit`` words."""
+    """``words[b"abc"]`` is the word's 64-bit hash; computed once per task and word, and emptied beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 1_000_000) -> None:
+    def __init__(self, limit: int = 400_000) -> None:
         super().__init__()
         self.limit = limit
 
@@ -84,7 +81,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return value
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Pieces of the batches, each with the Python strings of ``column``; a piece holds ``most_bytes`` of text or one row."""
     for batch in batches:
         texts = batch.column(column)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WordHashes, as_documents, ngram_hashes, text_slices, written
+from lodestack.llm.common import WordHashes, as_documents, ngram_hashes, text_slices, worker_cache, written
 
 #: Shingles of at least this share of all documents come last in the global order. At most mean set size / HEAVY x 2 shingles can be so common.
 HEAVY = 1e-3
@@ -53,7 +53,7 @@ def signed_documents(rows: DataFrame, width: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = worker_cache("word hashes", WordHashes)
         for piece, texts in text_slices(batches, "text"):
             sets = [shingle_set(t, words, width) for t in texts]
             sigs = [_signature(s) if len(s) else None for s in sets]
@@ -75,7 +75,7 @@ def windows(rows: DataFrame, heavy: np.ndarray, width: int, percent: int) -> Dat
     shared = rows.sparkSession.sparkContext.broadcast(np.sort(heavy.astype(np.int64).view(np.uint64)))
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, common, seen = WordHashes(), shared.value, set()
+        words, common, seen = worker_cache("word hashes", WordHashes), shared.value, set()
         for _, texts in text_slices(batches, "text"):
             out: list[tuple[np.ndarray, int, int]] = []
             for text in texts:
@@ -229,7 +229,7 @@ def pairs_across(rows: DataFrame, percent: int, most: int) -> DataFrame:
     return rows.mapInArrow(compared, "a long, b long")
 
 
-def _blocks(members: DataFrame, components: Components, nodes: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, components: Components, sketches: DataFrame) -> DataFrame:
     """The groups to compare: the members of regions of several components, with sketches, by (region, i, j).
 
     All members are dealt into inner blocks i, those outside the region's largest component into outer blocks j too; each inner block
@@ -244,40 +244,52 @@ def _blocks(members: DataFrame, components: Components, nodes: DataFrame) -> Dat
     inner = rows.withColumns({"i": i, "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)), "inner": F.lit(1), "outer": F.lit(0)})
     outer = rows.where("is_outer").withColumns({"j": j, "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)), "inner": F.lit(0), "outer": F.lit(1)})
     both = inner.unionByName(outer).groupBy("region", "i", "j", "sig", "comp").agg(F.max("inner").alias("inner"), F.max("outer").alias("outer"))
-    both = both.join(nodes.select("sig", "n", "sketch"), "sig")
+    both = both.join(sketches.select("sig", "n", F.col("own").alias("sketch")), "sig")
     return both.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
 
-def _with_both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    for k in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"s_{k}")), k)
-    return pairs
+class Sets:
+    """The nodes' sets: sketches of all at hand, shingles made again from the texts for the few that are compared exactly."""
 
+    def __init__(self, rows: DataFrame, names: DataFrame, width: int, percent: int) -> None:
+        """``names`` (sig, doc_id): a document with each set."""
+        self.rows, self.names, self.width, self.percent = rows, names, width, percent
+        self.sketches = written(self._made(names, sketched=True))
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: by their whole intersections, where sizes and sketches don't exclude it."""
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    both = F.col("n_a") + F.col("n_b")
-    least = F.ceil(percent * both / (100 + percent))
-    rows = _with_both(pairs, nodes, "sketch").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= both - 2 * least))
-    rows = _with_both(rows.select("a", "b"), nodes, "shingles")
-    return rows.where((100 + percent) * F.size(F.array_intersect("s_a", "s_b")) >= percent * both).select("a", "b")
+    def _made(self, names: DataFrame, sketched: bool) -> DataFrame:
+        """sig, n, and of each set its sketch (the parity of its shingles in each of 64 x SKETCH_WORDS bits) or its shingles."""
+        width = self.width
 
+        def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = worker_cache("word hashes", WordHashes)
+            for _, texts in text_slices(batches, "text"):
+                sets = [shingle_set(t, words, width) for t in texts]
+                shown = [np.packbits((np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)) for s in sets] if sketched else sets
+                columns = pa.array(map(_signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([x.view(np.int64) for x in shown], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["sig", "n", "own"])
 
-def set_nodes(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The sets of the documents ``ids`` (doc_id): sig, n, shingles, sketch (the parity of its shingles in each of 64 x SKETCH_WORDS bits)."""
+        ids = names.select("doc_id").distinct()
+        few = ids.limit(MOST_SENT_IDS + 1).count() <= MOST_SENT_IDS
+        texts = self.rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        return texts.select("text").mapInArrow(made, "sig long, n long, own array<long>")
 
-    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for _, texts in text_slices(batches, "text"):
-            sets = [shingle_set(t, words, width) for t in texts]
-            sketches = [np.packbits((np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
-            columns = pa.array(map(_signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(list(columns), ["sig", "n", "shingles", "sketch"])
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets link: by their whole intersections, where sizes and sketches don't exclude it."""
+
+        def both(rows: DataFrame, sets: DataFrame) -> DataFrame:
+            for k in ("a", "b"):
+                rows = rows.join(sets.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("own").alias(f"s_{k}")), k)
+            return rows
 
-    few = ids.limit(MOST_SENT_IDS + 1).count() <= MOST_SENT_IDS
-    texts = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(made, "sig long, n long, shingles array<long>, sketch array<long>").dropDuplicates(["sig"])
+        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        sizes = F.col("n_a") + F.col("n_b")
+        least = F.ceil(self.percent * sizes / (100 + self.percent))
+        near = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (apart <= sizes - 2 * least)
+        likely = written(both(pairs, self.sketches).where(near).select("a", "b"))
+        sigs = likely.select(F.col("a").alias("sig")).union(likely.select("b")).distinct()
+        sets = written(self._made(written(self.names.join(sigs, "sig", "left_semi")), sketched=False))
+        rows = both(likely, sets)
+        return written(rows.where((100 + self.percent) * F.size(F.array_intersect("s_a", "s_b")) >= self.percent * sizes).select("a", "b"))
 
 
 def jaccard_components(df: DataFrame, *, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,19 +311,18 @@ def jaccard_components(df: DataFrame, *, percent: int = 80, width: int = 5, id_c
     members = written(regions(written(met_again(windows(rows, common, width, percent))), percent))
 
     sigs = written(members.select("sig").distinct())
-    ids = documents.join(sigs, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    nodes = written(set_nodes(rows, written(ids), width))
+    sets = Sets(rows, written(documents.join(sigs, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))), width, percent)
     components = Components(sigs)
 
     pivots = members.groupBy("region").agg(F.min_by("sig", F.abs(F.col("place") - F.lit(SMALL_REGION // 2))).alias("a"))
     star = members.join(pivots, "region").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
     checked = written(star)
-    components.merge(written(verified(checked, nodes, percent)))
+    components.merge(sets.verified(checked))
     most = 4
     while True:
-        found = written(pairs_across(_blocks(members, components, nodes), percent, most).distinct())
+        found = written(pairs_across(_blocks(members, components, sets.sketches), percent, most).distinct())
         new = written(found.where("a is not null").join(checked, ["a", "b"], "left_anti"))
-        components.merge(written(verified(new, nodes, percent)))
+        components.merge(sets.verified(new))
         if not found.where("a is null").limit(1).count():
             break
         checked = written(checked.unionByName(new))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import written
+
+#: Up to so many boilerplate lines (16 bytes each) are broadcast; more are joined by a shuffle, each site in so many parts.
+MOST_BROADCAST_LINES, PARTS = 1_000_000, 32
+
 #: A line is boilerplate on a site where it is on more than this share of the pages and on at least so many.
 MAX_RATIO, LEAST_PAGES = 0.05, 3
 
@@ -39,14 +44,20 @@ def drop_boilerplate(df: DataFrame, *, max_ratio: float = MAX_RATIO, least_pages
     becomes "". Rows without a site form one site. Repeated rows count once and are all cleaned. A site with fewer than
     ``least_pages`` different texts has no boilerplate. Columns of df named like those added are replaced.
 
-    The counts are pre-aggregated before each shuffle; the join with the short per-site arrays is broadcast by Spark
-    where they are small, else a sort-merge join whose hot sites adaptive execution splits.
+    The counts are pre-aggregated before each shuffle. The short per-site arrays are broadcast up to a bound of their size, so texts stay where
+    they are read; beyond it texts are dealt by site and a part of it, so that a hot site isn't one task.
     """
     sites = boilerplate_lines(df, max_ratio=max_ratio, least_pages=least_pages, text_col=text_col, site_col=site_col)
-    sites = sites.select(F.col("site").alias("__site"), F.col("lines").alias("__lines"))
+    sites = written(sites.select(F.col("site").alias("__site"), F.col("lines").alias("__lines")))
+    few = (sites.agg(F.sum(F.size("__lines"))).first()[0] or 0) <= MOST_BROADCAST_LINES
     kept_cols = [c for c in df.columns if c not in ("lines_total", "lines_dropped")]
     body = F.col(f"`{text_col}`").cast("string")
-    own = df.select(*[F.col(f"`{c}`") for c in kept_cols]).join(sites, F.col(f"`{site_col}`").eqNullSafe(F.col("__site")), "left")
+    own, same = df.select(*[F.col(f"`{c}`") for c in kept_cols]), F.col(f"`{site_col}`").eqNullSafe(F.col("__site"))
+    if few:
+        own = own.join(F.broadcast(sites), same, "left")
+    else:
+        parts = sites.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        own = own.withColumn("__of", F.pmod(F.xxhash64(body), F.lit(PARTS)).cast("int")).join(parts, same & (F.col("__of") == F.col("__part")), "left")
     split = F.split(body, "\n", -1)
     clean = F.filter(split, lambda x: ~F.array_contains(F.col("__lines"), _key(x)))
     own = own.withColumn("__kept", F.when(F.col("__lines").isNull(), split).otherwise(clean))

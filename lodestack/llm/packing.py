@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import string
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from lodestack.llm.common import as_documents, text_slices
+from lodestack.llm.common import as_documents, text_slices, worker_cache
+from lodestack.llm.token_count import byte_letters
 
-#: Chunks remembered per worker before it starts anew.
-MOST_CHUNKS = 1_000_000
+#: Chunks, and parts of chunks, remembered per worker before it starts anew.
+MOST_CHUNKS, MOST_PARTS = 1_000_000, 300_000
+
+_PUNCTUATION = string.punctuation.encode()
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -23,8 +28,9 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id l
 class ChunkIds(dict):
     """Ids of chunks between ASCII white space, as little-endian bytes.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its chunks, one after another;
-    the library is asked once for each chunk that a worker meets.
+    The vocabulary drops white space and never merges across it, so a text's ids are those of its chunks, one after another. Where an ASCII letter ends
+    what punctuation follows, a chunk's ids are those of its word and of that punctuation, and ASCII letters count in lower case. The library is
+    asked once for each such part that a worker meets; its merges alone for words that it neither normalises nor cuts.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,16 +38,42 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.parts: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _split(chunk: bytes) -> tuple[bytes, bytes]:
+        word = chunk.rstrip(_PUNCTUATION)
+        if not word[-1:].isalpha() or b"<|" in chunk:  # a special token's string is one
+            word = chunk
+        return word.lower() if word.isascii() else word, chunk[len(word) :]
+
+    def _learn(self, parts: list[bytes]) -> None:
+        rest = []
+        for p in parts:
+            word = p.decode()
+            if word.isalpha() and (p.isalpha() or (max(word) < "\u0250" and "\u0130" not in word and is_normalized("NFC", word))):
+                own = word if p.isalpha() else word.lower().encode().decode("latin-1").translate(self.letters)  # Latin letters, each with one small one
+                self.parts[p] = array("I", [t.id for t in self.merges.tokenize(own)]).tobytes()
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 10_000):
+            some = rest[at : at + 10_000]
+            got = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
+            self.parts.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, got))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > MOST_CHUNKS:
             self.clear()
+        if len(self.parts) > MOST_PARTS:
+            self.parts.clear()
         chunks = [t.encode().split() if t else [] for t in texts]
         new = list(set().union(*chunks).difference(self))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            got = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, got))
+        split = list(map(self._split, new))
+        self._learn(list({p for pair in split for p in pair if p}.difference(self.parts)))
+        parts = self.parts
+        self.update((c, parts[a] + parts[b] if b else parts[a]) for c, (a, b) in zip(new, split))
         return [b"".join(map(self.__getitem__, own)) for own in chunks]
 
 
@@ -103,11 +135,6 @@ def _poured(windows: list[list], capacity: int) -> Iterator[list]:
         yield window
 
 
-@lru_cache(2)
-def _chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
-
 def pack_documents(df: DataFrame, vocabulary: str, *, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences of at most ``capacity`` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -123,7 +150,7 @@ def pack_documents(df: DataFrame, vocabulary: str, *, capacity: int = 4096, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, levels = _chunk_ids(vocabulary), Levels(capacity)
+        chunks, levels = worker_cache(f"chunks {vocabulary}", lambda: ChunkIds(vocabulary)), Levels(capacity)
         sequence = TaskContext.get().partitionId() << 33
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         out: list[tuple] = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WordHashes, as_documents, ngram_hashes, text_slices, with_label
+from lodestack.llm.common import WordHashes, as_documents, ngram_hashes, text_slices, with_label, worker_cache
 
 #: Buckets of the two multinomials, and what is added to each count.
 BUCKETS, ADDED = 1 << 16, 1.0
@@ -53,7 +53,7 @@ def log_ratios(documents: DataFrame, *, buckets: int = BUCKETS, added: float = A
     """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, raw, target = WordHashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        words, raw, target = worker_cache("word hashes", WordHashes), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for piece, texts in text_slices(batches, "text"):
             for text, trusted in zip(texts, piece.column("is_target").to_pylist()):
                 if text:
@@ -91,7 +91,7 @@ def judge_quality(df: DataFrame, labels: DataFrame, *, threshold: float = THRESH
     buckets = len(ratios)
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ratio = WordHashes(), shared.value
+        words, ratio = worker_cache("word hashes", WordHashes), shared.value
         for piece, texts in text_slices(batches, "text"):
             stats, scores = [], []
             for text in texts:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import as_documents, text_slices
+from lodestack.llm.common import as_documents, text_slices, worker_cache
 
 #: No pre-token begins before a space or line feed that follows another character, so texts can be cut there and pieces be remembered.
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
@@ -22,7 +21,7 @@ _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 MOST_PIECES = 1_000_000
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in such vocabularies: printable Latin-1 stands for itself, the others get 256, 257, ..."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     rest = iter(range(256, 512))
@@ -40,7 +39,7 @@ class RaggedMerges:
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks = pairs[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.first = np.array([vocab[x] for x in _byte_letters()], np.int64)
+        self.first = np.array([vocab[x] for x in byte_letters()], np.int64)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.words = regex.compile(pattern).findall
@@ -93,11 +92,6 @@ class RaggedMerges:
         return [sum(map(get, own)) + max(0, len(split) - 1) for own, split in zip(pieces, parts)]
 
 
-@lru_cache(2)
-def _merges(path: str, pattern: str) -> RaggedMerges:
-    return RaggedMerges(path, pattern)
-
-
 def count_tokens(df: DataFrame, vocabulary: str, pattern: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each row, in one pass without a shuffle.
 
@@ -107,7 +101,7 @@ def count_tokens(df: DataFrame, vocabulary: str, pattern: str, *, limit: int = 5
     """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _merges(vocabulary, pattern)
+        merges = worker_cache(f"merges {vocabulary} {pattern}", lambda: RaggedMerges(vocabulary, pattern))
         for batch, texts in text_slices(batches, "text"):
             n = merges.count(texts)
             n_bytes = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())

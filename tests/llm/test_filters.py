@@ -1,0 +1,144 @@
+"""URL reputation, line dedup, secrets, quality and toxicity on small tables."""
+
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestack.llm import line_dedup
+from lodestack.llm.line_dedup import drop_boilerplate
+from lodestack.llm.common import WordHashes
+from lodestack.llm.quality import judge_quality, statistics
+from lodestack.llm.secret_scan import scan_secrets
+from lodestack.llm.toxicity import drop_toxic, held_out, score_toxicity
+from lodestack.llm.url_reputation import filter_urls
+
+
+def test_url_rules_and_parts(spark, labels):
+    urls = {
+        "https://www.Example.com/en/x?q": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
+        "https://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/", "block"),
+        "http://a.com/b": ("a.com", "/b", "com/", "allow"),
+        "http://a.net/es/b": ("a.net", "/es/b", "net/es/", "block"),
+        "http://notcom/": ("notcom", "/", None, "allow"),
+        "http://a.com": ("a.com", "", None, "allow"),
+        "http://a.com?x=/": ("a.com", "", None, "allow"),
+        "x://y://z/": ("y:", "//z/", None, "allow"),
+        "no scheme": ("", "", None, "allow"),
+        "": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+    }
+    pages = spark.createDataFrame([(k, u, "extra") for k, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages, labels()).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
+def test_reputation_blocks_bad_hosts_and_shrinks(spark, labels):
+    rows = [(k, f"http://bad.example.org/{k}") for k in range(60)] + [(100 + k, f"http://good{k % 9}.example.org/{k}") for k in range(90)] + [(300, "http://few.example.org/"), (301, "http://new.other.org/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    known = [(k, 0, 0) for k in range(50)] + [(100 + k, 1, 0) for k in range(90)] + [(300, 0, 1), (300, 0, 0), (None, 0, 1), (5, None, None)]
+    got = {r.page_id: r for r in filter_urls(pages, labels(*known)).collect()}
+    assert len(got) == len(rows)
+    assert got[0].verdict == "block" and got[55].verdict == "block"  # unlabelled pages of the host too
+    assert got[100].verdict == "allow" and got[300].verdict == "allow"  # one bad page isn't enough
+    assert got[100].bad_rate < got[301].bad_rate < got[300].bad_rate < got[0].bad_rate
+
+
+def test_empty_tables(spark, documents, labels):
+    none = documents().limit(0)
+    assert filter_urls(spark.createDataFrame([], "page_id long, url string"), labels()).count() == 0
+    assert drop_boilerplate(none).count() == 0
+    assert judge_quality(none, labels()).count() == 0
+    assert score_toxicity(none, labels()).count() == 0
+    assert scan_secrets(none).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_line_dedup(documents, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(line_dedup, "MOST_BROADCAST_LINES", -1)
+    texts = [(k, f"own line {k}\n  Menu here \n\nbody {k}", "a") for k in range(20)]
+    texts += [(100 + k, "copied page\nwith two lines", "a") for k in range(50)]  # copies are one page
+    texts += [(200, None, "a"), (201, "", "a"), (202, "Menu here", "b"), (203, "Menu here", None), (204, "Menu here\nx", "a")]
+    df = documents(*texts).withColumn("lines", F.lit("clash"))
+    got = {r.doc_id: r for r in drop_boilerplate(df).collect()}
+    assert len(got) == len(texts) and got[0].text == "own line 0\n\nbody 0" and got[0].lines_dropped == 1 and got[0].lines_total == 4
+    assert got[100].text == "copied page\nwith two lines" and got[200].text is None and got[200].lines_total == 0 and got[201].text == ""
+    assert got[202].text == "Menu here" and got[203].text == "Menu here" and got[204].text == "x" and got[0].lines == "clash"
+
+
+def test_secrets(spark, documents):
+    rnd = random.Random(3)
+    hexed = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for k in range(120):
+        rows.append((k, f'the plain text of number {k} token = "{hexed(40)}" goes on'))
+        rows.append((1000 + k, f"a long word internationalisation{'abcdefghij'[k % 10]} and number {rnd.randrange(10**16, 10**17)} here"))
+    rows += [(5000, None), (5001, ""), (5002, f"api_key = '{hexed(32)}'"), (5003, f"api_key = '{hexed(32)}'"), (5004, "x" * 200_000)]
+    got = {}
+    for r in scan_secrets(documents(*rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.is_secret)
+    assert all(got[k] == [True] for k in range(120)) and all(got[1000 + k] == [False, False] for k in range(120))
+    assert 5000 not in got and 5001 not in got and got[5002] == [True] and got[5003] == [True] and got[5004] == [False]
+
+
+def plain_statistics(text):
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if __import__("re").search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    covered = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(covered)
+
+
+def test_quality_statistics():
+    rnd = random.Random(1)
+    alphabet = ["a", "b", "é", "中", "#", "\n", " ", "\t", " ", "\x0b", "|", "\u00a0", "a b c", "\n\n"]
+    for _ in range(500):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40)))
+        assert statistics(text, WordHashes().of(text.encode().split())) == plain_statistics(text), repr(text)
+
+
+def test_quality_verdicts(documents, labels):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
+    good = [(k, " ".join(word() for _ in range(120))) for k in range(80)]
+    bad = [(100 + k, " ".join(word() + "%%%" for _ in range(120))) for k in range(20)]
+    odd = [(300, None), (301, ""), (302, "too short"), (303, "x y z " * 100), (304, good[0][1]), (304, good[0][1])]
+    known = [(k, 1, 0) for k in range(50)] + [(100 + k, 0, 0) for k in range(10)] + [(None, 1, 0)]
+    rows = judge_quality(documents(*good, *bad, *odd), labels(*known)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 106 and all(got[k].kept for k in range(80)) and not any(got[100 + k].kept for k in range(20))
+    assert all(got[k].base_failed and not got[k].kept for k in (300, 301, 302, 303)) and got[304].kept and got[303].n_repeat_words == 300
+
+
+def test_toxicity(documents, labels):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice(("an", "ti", "lo", "re", "mu")) for _ in range(3))
+    rows, known = [], []
+    for k in range(600):
+        words = [word() for _ in range(rnd.randrange(20, 60))]
+        toxic = k % 4 == 0
+        if toxic:
+            words[3] = "zgrob" + word()
+            words[9] = "zgrob" + word()
+        rows.append((k, " ".join(words).capitalize() + "."))
+        known.append((k, 1, int(toxic)))
+    odd = [(9000, None), (9001, ""), (9002, "... 123 ..."), (9003, "zgrobnew " * 3), (9004, "lore mure anti " * 20_000)]
+    df = documents(*rows, *odd).withColumn("label", F.lit(1))
+    got = {r.doc_id: r for r in score_toxicity(df, labels(*known)).collect()}
+    assert len(got) == 605 and all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k in got)
+    held = [k for k in range(600) if got[k].held_out]
+    right = sum(got[k].predicted == (k % 4 == 0) for k in held) / len(held)
+    assert right > 0.97 and got[9003].predicted == 1 and got[9004].predicted == 0 and got[9000].score == got[9001].score == got[9002].score and got[9000].predicted == 0
+    kept = {r.doc_id for r in drop_toxic(df, labels(*known)).collect()}
+    assert kept == {k for k in got if not got[k].predicted}
+    # labels of held-out rows aren't learnt: turning them changes no score
+    turned = [(k, q, 1 - t if got[k].held_out else t) for k, q, t in known]
+    again = {r.doc_id: r.score for r in score_toxicity(df, labels(*turned)).collect()}
+    assert all(abs(again[k] - got[k].score) < 1e-12 for k in got)
+    assert df.select(held_out(F.lit(None).cast("long"))).first()[0] is False
