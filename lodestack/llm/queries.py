@@ -85,17 +85,17 @@ WITH known AS (
 ), top AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m FROM domains
 ), s1 AS (SELECT suffix, n, k, m FROM suffixes, top
 ), s2 AS (SELECT sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)) AS excess, sum(n * (n - 1) * m * (1 - m)) AS scale FROM s1
-), s3 AS (SELECT CASE WHEN scale > 0 AND excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM s2
+), s3 AS (SELECT CASE WHEN NOT coalesce(scale > 0, false) THEN 1 WHEN excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM s2
 ), s4 AS (SELECT suffix, (k + w * m) / (n + w) AS m FROM s1, s3
 ), d1 AS (SELECT domain, n, k, m FROM domains JOIN s4 USING (suffix)
 ), d2 AS (SELECT sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)) AS excess, sum(n * (n - 1) * m * (1 - m)) AS scale FROM d1
-), d3 AS (SELECT CASE WHEN scale > 0 AND excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM d2
+), d3 AS (SELECT CASE WHEN NOT coalesce(scale > 0, false) THEN 1 WHEN excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM d2
 ), d4 AS (SELECT domain, (k + w * m) / (n + w) AS m FROM d1, d3
 ), h1 AS (SELECT host, n, k, m FROM hosts JOIN d4 USING (domain)
 ), h2 AS (SELECT sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)) AS excess, sum(n * (n - 1) * m * (1 - m)) AS scale FROM h1
-), h3 AS (SELECT CASE WHEN scale > 0 AND excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM h2
+), h3 AS (SELECT CASE WHEN NOT coalesce(scale > 0, false) THEN 1 WHEN excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM h2
 ), h4 AS (SELECT host, (k + w * m) / (n + w) AS rate, n + w AS total FROM h1, h3
-), h5 AS (SELECT host, rate, rate - 1.2816::DOUBLE * sqrt(rate * (1 - rate) / (total + 1)) AS bound FROM h4
+), h5 AS (SELECT host, rate, rate - 1.96::DOUBLE * sqrt(rate * (1 - rate) / (total + 1)) AS bound FROM h4
 ), fits AS (
   SELECT p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
   FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)

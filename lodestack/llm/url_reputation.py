@@ -72,7 +72,7 @@ def _fitted(mean: Column) -> Column:
     excess = F.sum(F.pow(F.col("k") - F.col("n") * mean, 2)) - F.sum(F.col("n") * mean * (1 - mean))
     scale = F.sum(F.col("n") * (F.col("n") - 1) * mean * (1 - mean))
     rho = F.when(scale > 0, F.greatest(excess / scale, F.lit(0.0))).otherwise(F.lit(0.0))
-    weight = F.when(rho > 0, 1 / rho - 1).otherwise(F.lit(MOST_WEIGHT))
+    weight = F.when(~F.coalesce(scale > 0, F.lit(False)), LEAST_WEIGHT).when(rho > 0, 1 / rho - 1).otherwise(MOST_WEIGHT)
     return F.least(F.greatest(weight, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))
 
 
@@ -100,12 +100,12 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "pages", "n", "k", "rate", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1)).alias("spread"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, max_bad_rate: float = 0.25, z: float = 1.2816, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, max_bad_rate: float = 0.25, z: float = 1.96, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None) -> DataFrame:
     """A verdict for each row of ``pages``: page_id, host, path, rule, verdict, bad_rate, bad_bound.
 
     The longest rule that fits decides. Otherwise the host's bad rate does: the page is blocked where
     the posterior's lower bound ``rate - z * spread`` is above ``max_bad_rate``, i.e. where it is
-    credible (90 % one-sided by default) that more of the host's pages are bad than that.
+    credible (97.5 % one-sided by default) that more of the host's pages are bad than that.
     ``labels`` has an outcome for some pages; ``bad`` says which outcomes are bad (default: quality 0 or toxic 1).
 
     Null urls and urls without ``://`` have an empty host and path, and form one host. A null page_id is
