@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import WordHashes, as_documents, ngram_hashes, text_slices, with_label, worker_cache
 
-#: Buckets of the two multinomials, and what is added to each count.
+#: Buckets of the two multinomials, and what is added to the target's counts per bucket on average, dealt out like the raw corpus: so little target
+#: text says little, rather than that everything is rare in it.
 BUCKETS, ADDED = 1 << 16, 1.0
 
 #: Documents whose mean log-likelihood ratio per n-gram is below this go.
@@ -65,11 +66,15 @@ def log_ratios(documents: DataFrame, *, buckets: int = BUCKETS, added: float = A
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(raw[full]), pa.array(target[full])], ["bucket", "raw", "target"])
 
     sums = documents.select("text", "is_target").mapInArrow(counted, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    raw, target = np.full(buckets, added), np.full(buckets, added)
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     for bucket, a, b in sums.collect():
-        raw[bucket] += a
-        target[bucket] += b
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+        raw[bucket], target[bucket] = a, b
+    share = raw / max(1.0, raw.sum())
+    weight = added * buckets
+    full = raw > 0
+    out = np.zeros(buckets)
+    out[full] = np.log((target[full] + weight * share[full]) / (target.sum() + weight)) - np.log(share[full])
+    return out
 
 
 def judge_quality(df: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, min_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", label_id: str = "doc_id") -> DataFrame:
