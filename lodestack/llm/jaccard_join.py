@@ -32,7 +32,7 @@ HEAVY = 1e-3
 #: Regions of up to so many sets are one row of members; larger ones are rows of their own, compared in blocks of BLOCK.
 SMALL_REGION, BLOCK = 64, 512
 
-#: 64-bit words of a parity sketch.
+#: Least 64-bit words of a parity sketch; larger sets have one of as many bits as shingles, to the next power of two, since a full sketch tells nothing apart.
 SKETCH_WORDS = 32
 
 #: Up to so many ids are sent to the tasks that read the texts again (8 bytes each); more are joined by a shuffle.
@@ -164,6 +164,29 @@ class Components:
             edges = written(edges.where("ca <> cb").distinct())
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each of 64 x 2^k bits. Of two sketches the longer one folds to the length of the other."""
+    bits = 64 * SKETCH_WORDS
+    while bits < len(own):
+        bits *= 2
+    return np.packbits((np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _apart(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The number of bits in which each of ``others`` differs from ``x``: never more than the sets' difference has shingles."""
+    out = np.zeros(len(others), np.int64)
+    lengths = np.fromiter(map(len, others), np.int64, len(others))
+    for length in np.unique(lengths):
+        own, rows, at = x, None, np.flatnonzero(lengths == length)
+        rows = np.stack([others[k] for k in at])
+        while len(own) > rows.shape[1]:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        while rows.shape[1] > len(own):
+            rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+        out[at] = np.bitwise_count((rows ^ own).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _could_link(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
     """False where the sets' sizes, or the least size ``apart`` of their difference, exclude a link."""
     both = n_a + n_b
@@ -171,24 +194,28 @@ def _could_link(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray, percent: in
     return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (apart <= both - 2 * least)
 
 
-def _across(pieces: dict[str, np.ndarray], sketches: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _across(pieces: dict[str, np.ndarray], sketches: list[np.ndarray], percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of sets of different components that could link, between the sets outside the largest component and all; and whether some were left
     for later: a set names its ``most`` nearest of each other component."""
-    outside = np.flatnonzero(pieces["outer"] > 0)
     every = np.flatnonzero(pieces["inner"] > 0)
+    comps, sizes, sigs = pieces["comp"][every], pieces["n"][every], pieces["sig"][every]
     a, b, more = [], [], False
-    for x in outside:
-        apart = np.bitwise_count(sketches[every] ^ sketches[x]).sum(axis=1, dtype=np.int64)
-        fit = (pieces["comp"][every] != pieces["comp"][x]) & _could_link(pieces["n"][every], pieces["n"][x], apart, percent)
-        found = every[fit]
-        if len(found) > most:
-            order = np.lexsort((apart[fit], pieces["comp"][found]))
-            comps = pieces["comp"][found][order]
-            nth = np.arange(len(order)) - np.searchsorted(comps, comps)
+    for x in np.flatnonzero(pieces["outer"] > 0):
+        n = pieces["n"][x]
+        near = np.flatnonzero((comps != pieces["comp"][x]) & _could_link(n, sizes, np.zeros(1, np.int64), percent))
+        if not len(near):
+            continue
+        apart = _apart(sketches[x], [sketches[k] for k in every[near]])
+        fit = _could_link(n, sizes[near], apart, percent)
+        near, apart = near[fit], apart[fit]
+        if len(near) > most:
+            order = np.lexsort((apart, comps[near]))
+            own = comps[near][order]
+            nth = np.arange(len(order)) - np.searchsorted(own, own)
             more |= bool((nth >= most).any())
-            found = found[order[nth < most]]
-        a += [pieces["sig"][x]] * len(found)
-        b += pieces["sig"][found].tolist()
+            near = near[order[nth < most]]
+        a += [pieces["sig"][x]] * len(near)
+        b += sigs[near].tolist()
     return np.array(a, np.int64), np.array(b, np.int64), more
 
 
@@ -200,7 +227,10 @@ def pairs_across(rows: DataFrame, percent: int, most: int) -> DataFrame:
 
         def group_pairs(tab: pa.Table) -> pa.RecordBatch:
             cols = {c: tab.column(c).to_numpy() for c in ("region", "i", "j", "sig", "n", "comp", "inner", "outer")}
-            sketches = tab.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+            lists = tab.column("sketch").combine_chunks()
+            lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sketches = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
             starts = np.flatnonzero(np.r_[True, (cols["region"][1:] != cols["region"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])])
             a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
             for s, e in zip(starts, np.append(starts[1:], len(sketches))):
@@ -264,7 +294,7 @@ class Sets:
             words = worker_cache("word hashes", WordHashes)
             for _, texts in text_slices(batches, "text"):
                 sets = [shingle_set(t, words, width) for t in texts]
-                shown = [np.packbits((np.bincount((s % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)) for s in sets] if sketched else sets
+                shown = [sketch(s) for s in sets] if sketched else sets
                 columns = pa.array(map(_signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([x.view(np.int64) for x in shown], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(list(columns), ["sig", "n", "own"])
 
@@ -281,7 +311,11 @@ class Sets:
                 rows = rows.join(sets.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("own").alias(f"s_{k}")), k)
             return rows
 
-        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        half = lambda s: (F.size(s) / 2).cast("int")
+        folded = lambda s: F.zip_with(F.slice(s, F.lit(1), half(s)), F.slice(s, half(s) + 1, half(s)), lambda x, y: x.bitwiseXOR(y))
+        s_a, s_b = F.col("s_a"), F.col("s_b")
+        s_a, s_b = F.when(F.size(s_a) > F.size(s_b), folded(s_a)).otherwise(s_a), F.when(F.size(s_b) > F.size(s_a), folded(s_b)).otherwise(s_b)
+        apart = F.aggregate(F.zip_with(s_a, s_b, lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0))), F.lit(0), lambda x, y: x + y)
         sizes = F.col("n_a") + F.col("n_b")
         least = F.ceil(self.percent * sizes / (100 + self.percent))
         near = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (apart <= sizes - 2 * least)
