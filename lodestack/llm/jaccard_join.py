@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import WordHashes, as_documents, ngram_hashes, text_slices, worker_cache, written
 
 #: Shingles of at least this share of all documents come last in the global order. At most mean set size / HEAVY x 2 shingles can be so common.
-HEAVY = 1e-3
+HEAVY = 2e-4
+
+#: Shingles counted together in a task before those met once are dropped (8 bytes each).
+COUNTED_TOGETHER = 4_000_000
 
 #: Regions of up to so many sets are one row of members; larger ones are rows of their own, compared in blocks of BLOCK.
 SMALL_REGION, BLOCK = 64, 512
@@ -54,18 +57,31 @@ def signed_documents(rows: DataFrame, width: int) -> DataFrame:
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_cache("word hashes", WordHashes)
+        names = ["doc_id", "n", "sig", "shingle", "met"]
+        held: dict[int, np.ndarray] = {}  # different sets
+        documents = 0
+        id_type = pa.int64()
+
+        def common() -> pa.RecordBatch:
+            shingle, met = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            often = met >= max(2, HEAVY / 2 * documents)
+            found = pa.array(shingle[often].view(np.int64)), pa.array(met[often].astype(np.int64))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found[0]), t) for t in (id_type, pa.int64(), pa.int64())), *found], names)
+
         for piece, texts in text_slices(batches, "text"):
+            id_type = piece.schema.field("doc_id").type
             sets = [shingle_set(t, words, width) for t in texts]
             sigs = [_signature(s) if len(s) else None for s in sets]
-            n = len(sets)
-            empty = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(sigs, pa.int64()), empty, empty], ["doc_id", "n", "sig", "shingle", "met"])
-            distinct = list(dict(zip(sigs, sets)).values())
-            shingle, met = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = met >= max(2, HEAVY / 2 * n)
-            found = pa.array(shingle[often].view(np.int64)), pa.array(met[often].astype(np.int64))
-            nulls = [pa.nulls(len(found[0]), t) for t in (piece.schema.field("doc_id").type, pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*nulls, *found], ["doc_id", "n", "sig", "shingle", "met"])
+            empty = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(sigs, pa.int64()), empty, empty], names)
+            held.update((k, s) for k, s in zip(sigs, sets) if k is not None)
+            documents += len(sets)
+            if sum(map(len, held.values())) > COUNTED_TOGETHER:
+                yield common()
+                held.clear()
+                documents = 0
+        if held:
+            yield common()
 
     return rows.mapInArrow(signed, f"doc_id {kind}, n long, sig long, shingle long, met long")
 
