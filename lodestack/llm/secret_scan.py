@@ -13,6 +13,9 @@ from lodestack.llm.common import written
 #: A candidate is a run of at least 16 letters, digits or base-64 signs.
 CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 
+#: Candidates that dots join (a JWT's parts) form a chain and share what stands around it. Possessive, so that long chains don't nest in the matcher.
+CHAIN = rf"{CANDIDATE}(?:\.{CANDIDATE})*+"
+
 #: Names of what holds a secret, in the three words before a candidate or in its own word.
 SECRET_NAMES = r"(?i)token|secret|passw|api_?key|auth|credential|private|bearer"
 
@@ -29,15 +32,38 @@ FEATURES = ("length", "transitions", "digits", "capitals", "only_hex", "coverage
 
 
 def candidates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per word that holds a candidate: doc_id, at (the word's number), candidate, word, before and after (up to three words), path."""
+    """One row per candidate: doc_id, at (its word's number), part (its number in the word), candidate, path; and of what stands around it in its
+    word, back to the chain before, and in three words on each side: named, assigned, quoted, near_length, near (the neighbouring words' hash).
+    No row holds more text than the candidate, however many its word has."""
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), path.alias("path"))
     rows = rows.where(F.rlike("text", F.lit(CANDIDATE))).select("doc_id", "path", F.split("text", r"[\x20\x09-\x0D]+", -1).alias("words"))
     places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.rlike(F.element_at("words", i), F.lit(CANDIDATE)))
     rows = rows.select("doc_id", "path", "words", F.explode(places).alias("at"))
-    before = F.slice("words", F.greatest(F.col("at") - 3, F.lit(1)), F.least(F.col("at") - 1, F.lit(3)))
-    word = F.element_at("words", F.col("at"))
-    return rows.select("doc_id", "path", "at", word.alias("word"), F.regexp_extract(word, CANDIDATE, 0).alias("candidate"), F.array_join(before, " ").alias("before"), F.array_join(F.slice("words", F.col("at") + 1, 3), " ").alias("after"))
+    before = F.array_join(F.slice("words", F.greatest(F.col("at") - 3, F.lit(1)), F.least(F.col("at") - 1, F.lit(3))), " ")
+    rows = rows.select("doc_id", "path", "at", F.element_at("words", F.col("at")).alias("word"), before.alias("before"), F.array_join(F.slice("words", F.col("at") + 1, 3), " ").alias("after"))
+    near = {"near": F.xxhash64("before", "after"), "near_named": F.rlike("before", F.lit(SECRET_NAMES)), "near_assigned": F.rlike("before", F.lit(r"[=:]$")), "near_length": F.length(F.concat("before", "after")) / 6}
+    rows = rows.withColumns(near).withColumns({"chain": F.regexp_extract_all("word", F.lit(CHAIN), F.lit(0)), "gaps": F.split("word", CHAIN, -1)})
+    n = F.size("chain")  # and one gap more
+    sides = {
+        "gap": F.slice("gaps", F.lit(1), n),
+        "tail": F.concat(F.transform(F.slice("gaps", F.lit(2), n - 1), lambda g: F.substr(g, F.lit(1), F.lit(1))), F.slice("gaps", n + 1, F.lit(1))),
+        "last": F.concat(F.array(F.lit("")), F.slice("chain", F.lit(1), n - 1)),
+    }
+    kept = ("doc_id", "path", "at", "near", "near_named", "near_assigned", "near_length")
+    rows = rows.withColumns(sides).select(*kept, F.arrays_zip("last", "gap", "chain", "tail").alias("chains"))
+
+    def own(u: Column, k: Column) -> Column:
+        named = F.rlike(F.concat(u["last"], u["gap"], u["tail"]), F.lit(SECRET_NAMES))
+        assigned, quoted = F.rlike(F.concat(u["gap"], u["chain"], u["tail"]), F.lit(r"^[^=:]+[=:].")), F.rlike(F.concat(u["gap"], u["tail"]), F.lit("[\"'`]"))
+        return F.struct(F.regexp_extract_all(u["chain"], F.lit(CANDIDATE), F.lit(0)).alias("own"), named.alias("named"), assigned.alias("assigned"), quoted.alias("quoted"), (k == 0).alias("first"))
+
+    def each(u: Column) -> Column:
+        return F.transform(u["own"], lambda c: F.struct(c.alias("candidate"), *[u[x].alias(x) for x in ("named", "assigned", "quoted", "first")]))
+
+    rows = rows.select(*kept, F.posexplode(F.flatten(F.transform(F.transform("chains", own), each))).alias("part", "found")).select(*kept, (F.col("part") + 1).alias("part"), "found.*")
+    named = F.col("near_named") | F.col("named") | F.rlike("candidate", F.lit(SECRET_NAMES))
+    return rows.withColumns({"named": named, "assigned": F.col("near_assigned") & F.col("first") | F.col("assigned")}).drop("first", "near_named", "near_assigned")
 
 
 def dictionary(df: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -61,7 +87,7 @@ def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     """``found`` with the forest's features as doubles."""
-    c, around = F.col("candidate"), F.concat_ws(" ", "before", "word")
+    c = F.col("candidate")
     length = F.length(c)
     change = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_=\-])(?=[^+/_=\-])"
     found = found.join(coverage(found, words), F.xxhash64("candidate") == F.col("id"), "left").drop("id")
@@ -72,11 +98,8 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "capitals": F.regexp_count(c, F.lit("[A-Z]")) / length,
         "only_hex": F.rlike(c, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "coverage": F.coalesce("coverage", F.lit(0.0)),
-        "named": F.rlike(around, F.lit(SECRET_NAMES)),
-        "assigned": F.rlike(F.col("before"), F.lit(r"[=:]$")) | F.rlike(F.col("word"), F.lit(r"^[^=:]+[=:].")),
-        "quoted": F.rlike(F.col("word"), F.lit("[\"'`]")),
+        **{k: F.col(k) for k in ("named", "assigned", "quoted", "near_length")},
         "sample_path": F.coalesce(F.rlike("path", F.lit(SAMPLE_PATHS)), F.lit(False)),
-        "near_length": F.length(F.concat("before", "after")) / 6,
     }
     return found.withColumns({k: v.cast("double") for k, v in columns.items()})
 
@@ -91,13 +114,13 @@ def label_findings(found: DataFrame) -> DataFrame:
 
 def _sample(found: DataFrame) -> DataFrame:
     """Up to MOST_FINDINGS rows of each label, those first in the order of a hash, in one order whatever the partitions."""
-    order = F.xxhash64("candidate", "before", "after", "doc_id", "at")
+    order = F.xxhash64("candidate", "near", "doc_id", "at", "part")
     own = [found.where(F.col("label") == label).select("label", order.alias("order"), *FEATURES).orderBy("order", *FEATURES).limit(MOST_FINDINGS) for label in (0.0, 1.0)]
     return own[0].unionByName(own[1])
 
 
 def scan_secrets(df: DataFrame, *, findings: DataFrame | None = None, cut: float = 0.5, trees: int = 20, depth: int = 6, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """One row per candidate: doc_id, at, candidate, probability, is_secret.
+    """One row per candidate: doc_id, at (the word's number), part (the candidate's number in its word), candidate, probability, is_secret.
 
     A random forest on the candidate's length, changes of character class, digits and capitals, coverage by the corpus's frequent words, path,
     and neighbouring words, trained on at most MOST_FINDINGS findings of each label, sets ``is_secret`` where its probability is at least ``cut``.
@@ -115,7 +138,7 @@ def scan_secrets(df: DataFrame, *, findings: DataFrame | None = None, cut: float
         known = findings.select("candidate", F.col("label").cast("double").alias("label")).dropna().groupBy("candidate").agg(F.max("label").alias("label"))
         found = found.join(known, "candidate", "left")
     train = written(_sample(found))
-    keys = ("doc_id", "at", "candidate")
+    keys = ("doc_id", "at", "part", "candidate")
     if train.select("label").distinct().count() < 2:
         return found.select(*keys, F.lit(None).cast("double").alias("probability"), F.coalesce(F.col("label") == 1, F.lit(False)).alias("is_secret"))
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

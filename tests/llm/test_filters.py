@@ -1,6 +1,7 @@
 """URL reputation, line dedup, secrets, quality and toxicity on small tables."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -10,7 +11,7 @@ from lodestack.llm import line_dedup
 from lodestack.llm.line_dedup import drop_boilerplate
 from lodestack.llm.common import WordHashes
 from lodestack.llm.quality import judge_quality, statistics
-from lodestack.llm.secret_scan import scan_secrets
+from lodestack.llm.secret_scan import CANDIDATE, candidates, scan_secrets
 from lodestack.llm.toxicity import drop_toxic, held_out, score_toxicity
 from lodestack.llm.url_reputation import filter_urls
 
@@ -142,3 +143,25 @@ def test_toxicity(documents, labels):
     again = {r.doc_id: r.score for r in score_toxicity(df, labels(*turned)).collect()}
     assert all(abs(again[k] - got[k].score) < 1e-12 for k in got)
     assert df.select(held_out(F.lit(None).cast("long"))).first()[0] is False
+
+
+def test_all_candidates_of_a_word(spark, documents):
+    a, b, c = ("".join(random.Random(k).choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(32)) for k in range(3))
+    texts = {
+        1: f'{{"user":"x","secret":"{a}","id":"{b}","n":[1,2],"apikey":"{c}"}}',
+        2: f"Authorization: Bearer {a}.{b}.{c} end",
+        3: f"https://h/?p={a}&q={b}",
+        4: f"{a},{b},{c}" * 2,
+        5: "no candidates here",
+        6: f"plain {c} text",
+    }
+    found = candidates(documents(*texts.items(), (None, texts[6])))
+    got = {(r.doc_id, r.part): r for r in found.collect()}
+    words = {k: [w for w in t.split() if re.search(CANDIDATE, w)] for k, t in texts.items()}
+    want = {(k, n + 1): x for k, own in words.items() for w in own for n, x in enumerate(re.findall(CANDIDATE, w))}
+    assert {k: r.candidate for k, r in got.items() if k[0]} == want and got[None, 1].candidate == c and found.count() == len(want) + 1
+    assert [got[1, k].named for k in (1, 2, 3)] == [True, False, True] and all(got[1, k].assigned and got[1, k].quoted for k in (1, 2, 3))
+    assert all(got[2, k].named for k in (1, 2, 3)) and not got[4, 2].named and not got[6, 1].assigned
+    scanned = scan_secrets(documents(*texts.items(), (7, f"{b}.{c}," * 20_000)))
+    keys = [tuple(r) for r in scanned.select("doc_id", "at", "part").collect()]
+    assert len(keys) == len(set(keys)) == len(want) + 40_000
