@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as s
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -94,6 +94,14 @@ def test_counts_are_the_librarys(text):
     assert own["merges"].count([text]) == [len(own["library"].encode(text, add_special_tokens=False).ids)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(s.text(alphabet=[*" \n\t\r\v\f\x1c\x1f\x85\xa0\u1680\u2002\u2003\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff", *" \xa0" * 4, *"ab1."], max_size=40))
+@example("Name: \u00a0 \u00a0 \u00a0 \u00a0 value").via("merges across spaces")
+@example("a \u00a0 \u00a0 \u00a0b")
+def test_counts_with_other_white_space(text):
+    test_counts_are_the_librarys.hypothesis.inner_test(text)
+
+
 def test_token_counts(documents):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(100, None), (101, "word " * 30_000), (101, "word " * 30_000)]
     library = Tokenizer.from_file(BYTE)
