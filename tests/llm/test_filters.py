@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.llm import line_dedup
+from lodestack.llm import line_dedup, toxicity
 from lodestack.llm.line_dedup import drop_boilerplate
 from lodestack.llm.common import WordHashes
 from lodestack.llm.quality import judge_quality, statistics
@@ -165,3 +165,23 @@ def test_all_candidates_of_a_word(spark, documents):
     scanned = scan_secrets(documents(*texts.items(), (7, f"{b}.{c}," * 20_000)))
     keys = [tuple(r) for r in scanned.select("doc_id", "at", "part").collect()]
     assert len(keys) == len(set(keys)) == len(want) + 40_000
+
+
+def test_toxicity_model_has_no_cap(documents, labels, monkeypatch):
+    monkeypatch.setattr(toxicity, "RARE", 0.01, raising=False)  # a share of all counts that nothing may depend on
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice(("an", "ti", "lo", "re", "mu")) for _ in range(3))
+    rows = [(k, " ".join([word() for _ in range(30)] + ["zgrobix"] * (k % 50 == 0))) for k in range(600)]
+    df = documents(*rows, (9000, None), (9000, rows[0][1]), (None, rows[0][1]), (None, "..."))
+    known = df.select("text", (F.col("doc_id") % 50 == 0).cast("int").alias("toxic")).where("text is not null and toxic is not null")
+    context, _, letter, _ = toxicity.letters("zgrobix")
+    keys = toxicity._keys(context, letter).tolist()
+    model = {r.key: r.ratio for r in toxicity.train(known, "toxic").collect()}
+    assert all(model[k] > 1 for k in keys[1:6])  # also the letters after a beginning that only toxic texts have
+    found = [(k, 1, int(k % 50 == 0)) for k in range(600)]
+    sent = score_toxicity(df, labels(*found)).collect()
+    monkeypatch.setattr(toxicity, "MOST_SENT_ROWS", 0)
+    joined = score_toxicity(df, labels(*found)).collect()
+    order = lambda rows: sorted((str(r.doc_id), r.score) for r in rows)
+    assert len(sent) == len(joined) == 604 and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(order(sent), order(joined)))
+    assert drop_toxic(df, labels(*found)).count() == sum(not r.predicted for r in sent)
