@@ -201,3 +201,10 @@ def test_slots_must_be_consistent(spark, documents):
     got = {r.doc_id for r in find_leaks(documents((1, good), (2, bad)), items).collect()}
     assert got == {1}
     assert math.isfinite(1.0)
+
+
+def test_leaks_of_items_made_of_slots(spark, documents):
+    sums, titles, short = "Compute 12 + 345 - 67 = ? A 290 B 291 C 292 D 293", "The Great Gatsby Meets Moby Dick In Paris And Rome", "Describe the role of old mills"
+    items = spark.createDataFrame([(1, sums), (2, titles), (3, short)], "item_id long, text string")
+    rows = [(10, f"before. {sums} after"), (11, f"Heading {sums}"), (12, f"see {titles} there"), (13, f"A Heading\n{short} and more"), (14, sums.replace("345", "346").replace("291", "299")), (15, "Compute 12 more things")]
+    assert {(r.doc_id, r.item_id) for r in find_leaks(documents(*rows), items).collect()} == {(10, 1), (11, 1), (12, 2), (13, 3)}
