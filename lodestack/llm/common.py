@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -45,21 +46,34 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     return _CACHE[name]
 
 
-class WordHashes(dict):
-    """``words[b"abc"]`` is the word's 64-bit hash; computed once per task and word, and emptied beyond ``limit`` words."""
+class Memory(dict):
+    """What a worker has computed before, by key (str or bytes), in at most about ``limit`` bytes.
 
-    def __init__(self, limit: int = 400_000) -> None:
-        super().__init__()
-        self.limit = limit
+    A full memory takes nothing more, since what is frequent comes early; when it no longer helps it starts anew.
+    """
+
+    #: What Python adds to the bytes of a key and its value.
+    EACH = 160
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    def __init__(self, limit: int = 32 << 20) -> None:
+        super().__init__()
+        self.limit, self.held = limit, 0
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
+    def keep(self, found: dict, asked: int, value_bytes: int = 0) -> None:
+        """``found``: what a slice had to compute of the ``asked`` different keys that it has."""
+        if self.held >= self.limit and 2 * len(found) > asked:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+            self.held = 0
+        for key, value in found.items():
+            if self.held >= self.limit:
+                break
+            self[key] = value
+            self.held += len(key) + self.EACH + (len(value) if value_bytes else 0)
+
+
+#: A word's hash is the sum of a number for each letter times one for its place; longer words are hashed by xxhash.
+_LONGEST = 64
+_IS_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +83,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIERS[0])
+_PLACES = mix(np.arange(1001, 1001 + _LONGEST, dtype=np.uint64) * _MULTIPLIERS[0]) | np.uint64(1)
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words (runs of anything but ASCII white space), all texts at once."""
+    flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    white = _IS_WHITE[flat]
+    edges = np.flatnonzero(np.diff(white, prepend=True))
+    start, stop = edges[::2], edges[1::2]
+    lengths = stop - start
+    letters = flat[~white]
+    offsets = np.cumsum(lengths) - lengths
+    place = np.minimum(np.arange(len(letters)) - np.repeat(offsets, lengths), _LONGEST - 1)
+    value = np.add.reduceat(_LETTERS[letters] * _PLACES[place], offsets) if len(offsets) else np.zeros(0, np.uint64)
+    value = mix(value ^ (lengths.astype(np.uint64) * _MULTIPLIERS[0]))
+    for k in np.flatnonzero(lengths > _LONGEST):
+        value[k] = xxhash.xxh64_intdigest(flat[start[k] : stop[k]].tobytes())
+    ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    return np.split(value, ends[:-1])
+
+
+def freeing(task: Callable) -> Callable:
+    """``task`` (batches to batches) that gives memory which it no longer needs back to the system when it ends, as its worker may idle next."""
+
+    def run(batches: Iterable) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """The hash of each window of ``n`` word hashes; a sequence shorter than ``n`` counts as one window, an empty one as none."""
     if not len(words):
@@ -81,7 +131,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return value
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Pieces of the batches, each with the Python strings of ``column``; a piece holds ``most_bytes`` of text or one row."""
     for batch in batches:
         texts = batch.column(column)

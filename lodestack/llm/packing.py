@@ -14,18 +14,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from lodestack.llm.common import as_documents, text_slices, worker_cache
+from lodestack.llm.common import Memory, as_documents, freeing, text_slices, worker_cache
 from lodestack.llm.token_count import byte_letters
 
-#: Chunks, and parts of chunks, remembered per worker before it starts anew.
-MOST_CHUNKS, MOST_PARTS = 1_000_000, 300_000
+#: Bytes of chunks, and of parts of chunks, that a worker remembers.
+CHUNK_BYTES, PART_BYTES = 40 << 20, 16 << 20
 
 _PUNCTUATION = string.punctuation.encode()
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkIds(dict):
+class ChunkIds(Memory):
     """Ids of chunks between ASCII white space, as little-endian bytes.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its chunks, one after another. Where an ASCII letter ends
@@ -34,13 +34,13 @@ class ChunkIds(dict):
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        super().__init__(CHUNK_BYTES)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merges = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
-        self.parts: dict[bytes, bytes] = {}
+        self.parts = Memory(PART_BYTES)
 
     @staticmethod
     def _split(chunk: bytes) -> tuple[bytes, bytes]:
@@ -49,32 +49,34 @@ class ChunkIds(dict):
             word = chunk
         return word.lower() if word.isascii() else word, chunk[len(word) :]
 
-    def _learn(self, parts: list[bytes]) -> None:
-        rest = []
+    def _learned(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        out, rest = {}, []
         for p in parts:
             word = p.decode()
             if word.isalpha() and (p.isalpha() or (max(word) < "\u0250" and "\u0130" not in word and is_normalized("NFC", word))):
                 own = word if p.isalpha() else word.lower().encode().decode("latin-1").translate(self.letters)  # Latin letters, each with one small one
-                self.parts[p] = array("I", [t.id for t in self.merges.tokenize(own)]).tobytes()
+                out[p] = array("I", [t.id for t in self.merges.tokenize(own)]).tobytes()
             else:
                 rest.append(p)
         for at in range(0, len(rest), 10_000):
             some = rest[at : at + 10_000]
             got = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            self.parts.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, got))
+            out.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, got))
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > MOST_CHUNKS:
-            self.clear()
-        if len(self.parts) > MOST_PARTS:
-            self.parts.clear()
         chunks = [t.encode().split() if t else [] for t in texts]
-        new = list(set().union(*chunks).difference(self))
+        every = set().union(*chunks)
+        new = list(every.difference(self))
         split = list(map(self._split, new))
-        self._learn(list({p for pair in split for p in pair if p}.difference(self.parts)))
-        parts = self.parts
-        self.update((c, parts[a] + parts[b] if b else parts[a]) for c, (a, b) in zip(new, split))
-        return [b"".join(map(self.__getitem__, own)) for own in chunks]
+        asked = {p for pair in split for p in pair if p}
+        parts = self._learned(list(asked.difference(self.parts)))
+        part = lambda p: parts[p] if p in parts else self.parts[p]
+        found = {c: part(a) + part(b) if b else part(a) for c, (a, b) in zip(new, split)}
+        out = [b"".join([found[c] if c in found else self[c] for c in own]) for own in chunks]
+        self.parts.keep(parts, len(asked), 1)
+        self.keep(found, len(every), 1)
+        return out
 
 
 class Levels:
@@ -185,4 +187,4 @@ def pack_documents(df: DataFrame, vocabulary: str, *, capacity: int = 4096, end_
         if out:
             yield flush()
 
-    return rows.mapInArrow(packed, f"doc_id {kind}, {PIECE}")
+    return rows.mapInArrow(freeing(packed), f"doc_id {kind}, {PIECE}")

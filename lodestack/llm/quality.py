@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WordHashes, as_documents, ngram_hashes, text_slices, with_label, worker_cache
+from lodestack.llm.common import as_documents, freeing, ngram_hashes, text_slices, with_label, word_hashes, worker_cache
 
 #: Buckets of the two multinomials, and what is added to the target's counts per bucket on average, dealt out like the raw corpus: so little target
 #: text says little, rather than that everything is rare in it.
@@ -40,10 +40,11 @@ def statistics(text: str, words: np.ndarray) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def features(words: np.ndarray, buckets: int) -> np.ndarray:
-    """The buckets of a document's words and pairs of words."""
-    pairs = ngram_hashes(words, 2) if len(words) > 1 else words[:0]
-    return (np.concatenate([ngram_hashes(words, 1), pairs]) % np.uint64(buckets)).astype(np.int64)
+def features(words: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words and pairs of words of some documents, and which document each is of; the words first, then the pairs."""
+    flat, owner = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    pairs, same = (ngram_hashes(flat, 2), owner[1:] == owner[:-1]) if len(flat) > 1 else (flat[:0], np.zeros(0, bool))
+    return (np.concatenate([ngram_hashes(flat, 1), pairs[same]]) % np.uint64(buckets)).astype(np.int64), np.concatenate([owner, owner[1:][same]])
 
 
 def log_ratios(documents: DataFrame, *, buckets: int = BUCKETS, added: float = ADDED) -> np.ndarray:
@@ -54,18 +55,17 @@ def log_ratios(documents: DataFrame, *, buckets: int = BUCKETS, added: float = A
     """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, raw, target = worker_cache("word hashes", WordHashes), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        worker_cache("", dict)  # lets go of what other operators have kept
+        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for piece, texts in text_slices(batches, "text"):
-            for text, trusted in zip(texts, piece.column("is_target").to_pylist()):
-                if text:
-                    found = np.bincount(features(words.of(text.encode().split()), buckets), minlength=buckets)
-                    raw += found
-                    if trusted:
-                        target += found
+            found, owner = features(word_hashes([(t or "").encode() for t in texts]), buckets)
+            raw += np.bincount(found, minlength=buckets)
+            trusted = piece.column("is_target").to_numpy(zero_copy_only=False)
+            target += np.bincount(found[trusted[owner]], minlength=buckets)
         full = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(raw[full]), pa.array(target[full])], ["bucket", "raw", "target"])
 
-    sums = documents.select("text", "is_target").mapInArrow(counted, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+    sums = documents.select("text", "is_target").mapInArrow(freeing(counted), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for bucket, a, b in sums.collect():
         raw[bucket], target[bucket] = a, b
@@ -96,18 +96,18 @@ def judge_quality(df: DataFrame, labels: DataFrame, *, threshold: float = THRESH
     buckets = len(ratios)
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ratio = worker_cache("word hashes", WordHashes), shared.value
+        ratio = shared.value
         for piece, texts in text_slices(batches, "text"):
-            stats, scores = [], []
-            for text in texts:
-                own = words.of(text.encode().split()) if text else np.zeros(0, np.uint64)
-                stats.append(statistics(text or "", own))
-                scores.append(float(ratio[features(own, buckets)].mean()) if len(own) else None)
+            words = word_hashes([(t or "").encode() for t in texts])
+            stats = [statistics(text or "", own) for text, own in zip(texts, words)]
+            found, owner = features(words, buckets)
+            n = np.bincount(owner, minlength=len(words))
+            scores = np.bincount(owner, ratio[found], minlength=len(words)) / np.maximum(n, 1)
             columns = [pa.array(c, pa.int64()) for c in zip(*stats)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns, pa.array(scores, pa.float64())], ["doc_id", *STATISTICS, "score"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns, pa.array(scores, pa.float64(), mask=n == 0)], ["doc_id", *STATISTICS, "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(judged, f"doc_id {kind}, {', '.join(f'{c} long' for c in STATISTICS)}, score double")
+    found = rows.mapInArrow(freeing(judged), f"doc_id {kind}, {', '.join(f'{c} long' for c in STATISTICS)}, score double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     kept = F.coalesce(F.col("score") >= threshold, F.lit(False))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & kept).select("doc_id", *STATISTICS, "base_failed", "kept", "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import line_dedup, toxicity
 from lodestack.llm.line_dedup import drop_boilerplate
-from lodestack.llm.common import WordHashes
+from lodestack.llm.common import word_hashes
 from lodestack.llm.quality import judge_quality, statistics
 from lodestack.llm.secret_scan import CANDIDATE, candidates, scan_secrets
 from lodestack.llm.toxicity import drop_toxic, held_out, score_toxicity
@@ -96,12 +96,24 @@ def plain_statistics(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(covered)
 
 
+def test_word_hashes():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["a", "b", "é", "\n", " ", "\t", "\x0b", "ab", "\u00a0", "x" * 70]) for _ in range(rnd.randrange(30))).encode() for _ in range(300)]
+    texts += [b"", b" ", b"y" * 200_000, b"y" * 200_001]
+    names = {}
+    for text, found in zip(texts, word_hashes(texts)):
+        words = text.split()
+        assert len(words) == len(found)
+        assert all(names.setdefault(w, h) == h for w, h in zip(words, found.tolist()))
+    assert len(set(names.values())) == len(names) > 200
+
+
 def test_quality_statistics():
     rnd = random.Random(1)
     alphabet = ["a", "b", "é", "中", "#", "\n", " ", "\t", " ", "\x0b", "|", "\u00a0", "a b c", "\n\n"]
     for _ in range(500):
         text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40)))
-        assert statistics(text, WordHashes().of(text.encode().split())) == plain_statistics(text), repr(text)
+        assert statistics(text, word_hashes([text.encode()])[0]) == plain_statistics(text), repr(text)
 
 
 def test_quality_verdicts(documents, labels):
