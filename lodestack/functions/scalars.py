@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestack.functions import fixed
+
 #: What is withheld from logs, in this order.
 BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}"
 SECRET = r"""(?i)\b(api[_-]?key|token|password|passwd|secret|cookie|authorization|credential|bearer)\b(\s*[:=]\s*|['"]?\s*:\s*['"]?)([^,\s'"}]{6,}|['"][^'"]{6,}['"])"""
 
-#: Fields that hold pictures in a project, and fields that make it one.
-IMAGE_FIELDS = ("image", "backgroundImage", "objectBackgroundImage", "rowBackgroundImage")
-PROJECT_FIELDS = ("rows", "backpack", "pointTypes", "groups", "words", "variables", "styling", "cssStyles", "globalRequirements", "title", "name")
-
 DAY = 86_400
 
 
@@ -58,24 +56,34 @@ def redaction_hits(c: Column) -> Column:
 
 
 def project_score(payload: Column) -> Column:
-    """How much a JSON variant looks like a project: the better of the object and its ``app``; 4 and more is one."""
+    """How much a JSON variant looks like a project: the better of the object and its ``app`` object; 4 and more is one, what is no object scores 0."""
 
     def score(base: str) -> Column:
-        kind = lambda name: F.schema_of_variant(F.try_variant_get(payload, f"{base}.{name}", "variant"))
-        has = lambda name: F.try_variant_get(payload, f"{base}.{name}", "variant").isNotNull()
-        points = [F.when(has(n), 3).otherwise(0) for n in IMAGE_FIELDS] + [F.when(has(n), 1).otherwise(0) for n in PROJECT_FIELDS]
-        points += [F.when(F.startswith(kind(n), F.lit("ARRAY")), p).otherwise(0) for n, p in (("rows", 3), ("backpack", 2), ("groups", 1))]
-        return sum(points[1:], points[0])
+        own = F.try_variant_get(payload, base, "map<string,variant>")
+        keys = F.map_keys(own)
+        is_list = lambda name: F.coalesce(F.startswith(F.schema_of_variant(F.try_element_at(own, F.lit(name))), F.lit("ARRAY")), F.lit(False))
+        among = lambda names: F.size(F.array_intersect(keys, F.array(*map(F.lit, names))))
+        lists = [F.when(is_list(n), p).otherwise(0) for n, p in (("rows", 3), ("backpack", 2), ("groups", 1))]
+        return F.when(own.isNotNull(), 3 * among(fixed.IMAGE_FIELDS) + among(fixed.PROJECT_FIELDS) + lists[0] + lists[1] + lists[2]).otherwise(0)
 
     return F.coalesce(F.greatest(score("$"), score("$.app")), F.lit(0))
 
 
 def project_text_score(c: Column) -> Column:
-    """The same by names followed by a colon in the first 300,000 characters."""
-    head = F.substring(c, 1, 300_000)
-    hit = lambda name, p: F.when(F.rlike(head, F.lit(rf"""["']?\b{name}\b["']?\s*:""")), p).otherwise(0)
-    points = [hit(n, 3) for n in IMAGE_FIELDS] + [hit(n, 1) for n in PROJECT_FIELDS] + [F.when(F.rlike(head, F.lit(rf"""["']?\b{n}\b["']?\s*:\s*\[""")), p).otherwise(0) for n, p in (("rows", 3), ("backpack", 2), ("groups", 1))]
-    return sum(points[1:], points[0])
+    """The same by names followed by a colon in the first 300,000 characters of a text, in any case of letters: 3 a picture's field, 1 another."""
+    names = F.regexp_extract_all(F.substring(c, 1, 300_000), F.lit(r"""(?i)(?<![A-Za-z0-9_$])["\\']?([A-Za-z]+)["\\']?\s*:"""), 1)
+    found = F.array_distinct(F.transform(names, F.lower))
+    among = lambda names: F.size(F.array_intersect(found, F.array(*[F.lit(n.lower()) for n in names])))
+    return F.coalesce(3 * among(fixed.IMAGE_FIELDS) + among(fixed.PROJECT_TEXT_FIELDS), F.lit(0))
+
+
+def is_project_text(c: Column) -> Column:
+    """Whether a text is or holds a project: parsed JSON by its object's score; a text in braces that isn't JSON never; other text by its names."""
+    trimmed = F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    braced = F.startswith(trimmed, F.lit("{")) & F.endswith(trimmed, F.lit("}"))
+    parsed = F.try_parse_json(c)
+    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
+    return F.coalesce(F.when(F.coalesce(c, F.lit("")) == "", False).when(braced & parsed.isNull(), False).when(is_object, project_score(parsed) >= 4).otherwise(project_text_score(c) >= 4), F.lit(False))
 
 
 def update_reason(etag: tuple[Column, Column], modified: tuple[Column, Column], length: tuple[Column, Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Query keys that only track, besides all that begin with "utm_".
@@ -238,6 +238,48 @@ def extension(c: Column | str) -> Column:
 
 
 def record_file_url(base: Column, collection: Column, record: Column, name: Column) -> Column:
-    """The link of a record's file: each part percent-encoded."""
-    part = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
-    return F.when((F.trim(record) != "") & (F.trim(name) != ""), F.concat(F.rtrim(base), F.lit("/api/files/"), part(collection), F.lit("/"), part(record), F.lit("/"), part(name)))
+    """The link of a record's file, each part percent-encoded; null if the ids aren't 1 to 80 letters, digits, _ or -, or the name is empty."""
+    part = lambda x: F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    collection, record, name = F.trim(collection), F.trim(record), F.trim(name)
+    valid = lambda x: F.rlike(x, F.lit(r"^[A-Za-z0-9_-]{1,80}$"))
+    return F.when(valid(collection) & valid(record) & (name != ""), F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/api/files/"), part(collection), F.lit("/"), part(record), F.lit("/"), part(name)))
+
+
+def plan_local_paths(refs: DataFrame, start: str) -> DataFrame:
+    """``refs`` (url, mime or null) with ``kind`` and ``path``: where a file of the site that starts at ``start`` is kept, before collisions are resolved.
+
+    A file of the same host keeps its path below the start's folder, else from the root; others go to a folder of their kind under a safe name. A missing extension comes
+    from the kind, and a query that means something adds a digest. The page itself is index.html, its data file project.json.
+    """
+    from lodestack.operators.filters import classify_kind
+
+    kind = classify_kind("url", F.col("mime"))
+    decoded = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    own, folder = decoded(path("url")), decoded(F.concat(F.regexp_replace(path(F.lit(start)), "/+$", ""), F.lit("/")))
+    below = F.when(F.startswith(own, folder), F.expr("substr(own, length(folder) + 1)")).otherwise(F.regexp_replace("own", "^/+", ""))
+    rows = refs.withColumns({"kind": kind, "own": own, "folder": folder}).withColumn("rel", F.regexp_replace(below, r"\\\\", "/"))
+    mime = F.lower(F.coalesce("mime", F.lit("")))
+    guess = lambda images, media: F.when(F.col("kind") == "images", images).when(F.col("kind") == "css", ".css").when(F.col("kind") == "js", ".js").when(F.col("kind") == "fonts", ".woff2").when(F.col("kind") == "json", ".json").when(F.col("kind") == "media", media).otherwise("")
+    ext_of = lambda c: F.regexp_extract(c, r"^(?:.*/)?\.*[^/.][^/]*?(\.[^./]*)$", 1)
+    ask = query(cache_identity("url"))
+    digest = F.when(ask != "", F.concat(F.lit("_"), F.substring(F.sha1(ask), 1, 10))).otherwise("")
+
+    def named(c: Column, ext: Column) -> Column:
+        stem = F.regexp_replace(c, r"(?<=[^/.])\.[^./]*$", "")
+        return F.concat(F.when(ext_of(c) == "", c).otherwise(stem), digest, F.when(ext_of(c) == "", ext).otherwise(ext_of(c)))
+
+    same = named(F.col("rel"), guess(F.when(F.contains(mime, F.lit("jpeg")), ".jpg").otherwise(".png"), ""))
+    base = safe_component(F.regexp_extract(path("url"), "([^/]*)$", 1))
+    fallback = F.when(F.endswith("kind", F.lit("s")), F.expr("substr(kind, 1, length(kind) - 1)")).otherwise(F.col("kind"))
+    base = F.when(base == "", fallback).otherwise(base)
+    hint = guess(F.lit(".png"), ".bin")
+    ext = F.when(ext_of(base) != "", ext_of(base)).when(hint != "", hint).otherwise(".bin")
+    stem = F.when(ext_of(base) == "", base).otherwise(F.regexp_replace(base, r"(?<=[^/.])\.[^./]*$", ""))
+    most = F.lit(140) - F.length(ext)
+    short = F.when(F.length(stem) > most, F.concat(F.substr(stem, F.lit(1), F.greatest(most - 11, F.lit(1))), F.lit("_"), F.substring(F.sha1(base), 1, 10))).otherwise(stem)
+    other = F.concat(F.when(F.col("kind").isin("html", "json"), "assets").otherwise(F.col("kind")), F.lit("/"), short, digest, ext)
+    local = (
+        F.when(F.col("kind") == "html", "index.html").when((F.col("kind") == "json") & F.rlike(path("url"), F.lit(r"(?i)project\.json$")), "project.json")
+        .when((netloc("url") == netloc(F.lit(start))) & (F.col("rel") != ""), F.array_join(F.filter(F.split(same, "/"), lambda p: ~p.isin("", ".", "..")), "/")).otherwise(other)
+    )
+    return rows.withColumn("path", local).select(*refs.columns, "kind", "path")

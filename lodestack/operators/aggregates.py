@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.urls import cache_identity, is_safe_member
+from lodestack.functions import fixed
+from lodestack.functions.scalars import project_score
+from lodestack.functions.urls import cache_identity, is_safe_member, netloc, path, query, resolve
+from lodestack.operators.windows import cap_scan, running
 
 
 def summarise_by_kind(log: DataFrame, kind: str = "kind", local: str = "local") -> DataFrame:
@@ -24,18 +27,30 @@ def summarise_results(df: DataFrame, by: str | None = None) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "OK").alias("ok"), F.count_if(F.col("status") != "OK").alias("others"), F.count_if(F.col("status").isin("OK", "SKIP")).alias("succeeded"))
 
 
-#: Reports that may be empty.
-REPORTS = ("failed_images.txt", "failed_audio.txt", "failed_assets.txt", "failed_fonts.txt", "download_report.txt")
-
-
-def verify_packages(files: DataFrame, diff: DataFrame, missing: DataFrame) -> DataFrame:
-    """package, issues, notes, ok: empty files, corrupted and missing ones and missing references are issues, extra files are notes."""
-    empty = files.where((F.col("size") == 0) & ~F.regexp_extract("path", "([^/]+)$", 1).isin(*REPORTS)).select("package", F.lit("zero-byte file").alias("issue"), F.lit(True).alias("blocking"))
-    changed = diff.where("status <> 'intact'").select("package", F.col("status").alias("issue"), (F.col("status") != "extra").alias("blocking"))
-    lost = missing.select("package", F.lit("missing reference").alias("issue"), F.lit(True).alias("blocking"))
-    issues = reduce(DataFrame.unionByName, (empty, changed, lost)).groupBy("package").agg(F.count_if("blocking").alias("issues"), F.count_if(~F.col("blocking")).alias("notes"))
+def verify_packages(files: DataFrame, diff: DataFrame, missing: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """package, issues, notes, ok of packages' files (package, path, size; text, if projects are to be read).
+
+    Issues: empty files (not reports), a project.json at the root that isn't a JSON object, corrupted and missing files (``diff``), missing references, and of
+    ``packages`` (package) those without files. Notes: extra files, no project.json, or one without a project's fields.
+    """
+    row = lambda df, text, blocking=True: df.select("package", F.lit(text).alias("issue"), (F.lit(blocking) if isinstance(blocking, bool) else blocking).alias("blocking"))
+    tables = [row(files.where((F.col("size") == 0) & ~F.regexp_extract("path", "([^/]+)$", 1).isin(*fixed.REPORT_NAMES)), "zero-byte asset"), row(missing, "missing reference")]
+    tables.append(diff.where("status <> 'intact'").select("package", F.col("status").alias("issue"), (F.col("status") != "extra").alias("blocking")))
+    every = files.select("package").distinct()
+    roots = files.where(F.col("path") == "project.json")
+    tables.append(row(every.join(roots.select("package").distinct(), "package", "left_anti"), "no project.json at root", False))
+    if "text" in files.columns:
+        payload = F.try_parse_json("text")
+        is_object = F.coalesce(F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")), F.lit(False))
+        verdict = F.when(payload.isNull(), "project.json failed to parse").when(~is_object, "project.json is not an object").when(project_score(payload) < 4, "project.json lacks typical fields")
+        found = roots.select("package", verdict.alias("issue")).where("issue is not null")
+        tables.append(found.withColumn("blocking", F.col("issue") != "project.json lacks typical fields"))
+    if packages is not None:
+        tables.append(row(packages.select("package").distinct().join(every, "package", "left_anti"), "folder is empty"))
+        every = every.union(packages.select("package")).distinct()
+    issues = reduce(DataFrame.unionByName, tables).groupBy("package").agg(F.count_if("blocking").alias("issues"), F.count_if(~F.col("blocking")).alias("notes"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return files.select("package").distinct().join(issues, "package", "left").select("package", zero(F.col("issues")).alias("issues"), zero(F.col("notes")).alias("notes"), (zero(F.col("issues")) == 0).alias("ok"))
+    return every.join(issues, "package", "left").select("package", zero(F.col("issues")).alias("issues"), zero(F.col("notes")).alias("notes"), (zero(F.col("issues")) == 0).alias("ok"))
 
 
 def cache_stats(index: DataFrame, limit_mib: int = 2048) -> DataFrame:
@@ -44,17 +59,40 @@ def cache_stats(index: DataFrame, limit_mib: int = 2048) -> DataFrame:
     return digests.agg(F.sum("n").alias("entries"), F.count("*").alias("files"), F.floor(F.sum("size") / (1 << 20)).alias("mib")).withColumn("limit_mib", F.lit(limit_mib))
 
 
-def profile_signals(pages: DataFrame, routes: DataFrame) -> DataFrame:
-    """Per page (page_id, html) what says how it must be mirrored, with its distinct routes (page_id, url)."""
-    count = lambda p: F.regexp_count("html", F.lit(p))
+#: A page's scripts are read up to so many characters together, and each up to so many.
+MOST_SCRIPT, MOST_OF_A_SCRIPT = 3 << 20, 1 << 20
+
+
+def profile_signals(pages: DataFrame, links: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
+    """Per page (page_id, url, html) what says how it must be mirrored: counts of its marks, its routes, and a score of what only shows when it runs.
+
+    ``links`` (page_id, page_url, raw): routes are the different paths and queries of those on the page's host, at or below its path. ``scripts``
+    (page_id, path, text): its script files, read in path order up to MOST_SCRIPT characters.
+    """
+    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    html = F.coalesce("html", F.lit(""))
     signals = pages.select(
-        "page_id", count(r"(?i)<script\s[^>]*src").alias("scripts"), count(r"(?i)type=[\"']module").alias("modules"), count(r"(?i)\b(?:loading=[\"']lazy|data-src)").alias("lazy"),
-        F.rlike("html", F.lit(r"(?i)id=[\"'](?:root|app|__next)[\"']")).alias("framework"), F.contains("html", F.lit("/_next/")).alias("next"), count("(?i)<canvas").alias("canvas"),
+        "page_id", count(html, r"(?i)<script\b[^>]*\bsrc\s*=").alias("scripts"), count(html, r"(?i)<script\b[^>]*\btype\s*=\s*[\"']module[\"']").alias("modules"),
+        count(html, r"(?i)\b(?:data-src|data-lazy-src|loading\s*=\s*[\"']lazy)").alias("lazy"), F.rlike(html, F.lit(r"(?i)\bid\s*=\s*[\"'](?:app|root|__next)[\"']")).alias("framework"),
+        count(html, r"(?i)/_next/").alias("next"), count(html, r"(?i)<canvas\b").alias("canvas"),
     )
-    n = routes.groupBy("page_id").agg(F.count_distinct("url").alias("routes"))
-    out = signals.join(n, "page_id", "left").withColumn("routes", F.coalesce("routes", F.lit(0)))
-    score = F.least("modules", F.lit(1)) + F.least("lazy", F.lit(1)) + F.col("framework").cast("int") + F.col("next").cast("int") + F.least("canvas", F.lit(1))
-    return out.withColumn("score", score.cast("int"))
+    target = F.regexp_replace(resolve(F.col("page_url"), F.col("raw")), "#.*$", "")
+    own = links.select("page_id", "page_url", target.alias("target"))
+    bare = lambda c: F.regexp_replace(path(c), "/+$", "")
+    inside = (F.lower(netloc("target")) == F.lower(netloc("page_url"))) & ((bare("target") == bare("page_url")) | F.startswith(path("target"), F.concat(bare("page_url"), F.lit("/"))))
+    routes = own.where(inside).groupBy("page_id").agg(F.count_distinct(F.struct(path("target"), query("target"))).alias("routes"))
+    out = signals.join(routes, "page_id", "left").withColumn("routes", F.coalesce("routes", F.lit(0)))
+    names = ("fetches", "observers", "imports", "new_images")
+    if scripts is not None:
+        read = cap_scan(scripts.where(F.rlike("path", F.lit(r"(?i)\.js$"))).withColumn("size", F.length("text")), "page_id", MOST_SCRIPT, MOST_OF_A_SCRIPT)
+        text = F.substr("text", F.lit(1), F.col("take").cast("int"))
+        patterns = (r"\bfetch\s*\(", "IntersectionObserver", r"\bimport\s*\(", r"\bnew\s+Image\s*\(")
+        bundles = read.select("page_id", *[count(text, p).alias(n) for n, p in zip(names, patterns)]).groupBy("page_id").agg(*[F.sum(n).alias(n) for n in names])
+        out = out.join(bundles, "page_id", "left")
+    out = out.withColumns({n: F.coalesce(n, F.lit(0)) if scripts is not None else F.lit(0) for n in names})
+    has = lambda c: (F.col(c) > 0).cast("int")
+    score = 2 * has("next") + (F.col("framework") & (F.col("scripts") > 0)).cast("int") + has("modules") + has("canvas") + has("fetches") + has("observers") + has("new_images")
+    return out.withColumn("score", score)
 
 
 def plan_archive(signals: DataFrame, projects: DataFrame | None = None) -> DataFrame:
@@ -80,9 +118,13 @@ def group_aliases(refs: DataFrame, column: str = "url") -> DataFrame:
     return refs.groupBy(cache_identity(column).alias("identity")).agg(F.min_by(column, "ord").alias("representative"), F.count_distinct(column).alias("n"))
 
 
-def ref_sources(refs: DataFrame) -> DataFrame:
-    """url, n: in how many different files a reference is."""
-    return refs.groupBy("url").agg(F.count_distinct("owner").alias("n"))
+def ref_sources(refs: DataFrame, most: int = 1000) -> DataFrame:
+    """url, n, owners: in how many different files a reference is, and which (in order; of more than ``most`` files the first, as a report)."""
+    each = refs.select("url", "owner").distinct()
+    rows = running(each, F.lit(1), ["owner"], ["url"])
+    counts = each.groupBy("url").agg(F.count("*").alias("n"))
+    owners = rows.where(F.col("upto") <= most).groupBy("url").agg(F.sort_array(F.collect_list("owner")).alias("owners"))
+    return counts.join(owners, "url")
 
 
 def validate_outputs(files: DataFrame) -> DataFrame:
@@ -94,8 +136,20 @@ def count_failure_lines(logs: DataFrame) -> DataFrame:
     return logs.groupBy("file").agg(F.count_if(F.trim("value") != "").alias("n"))
 
 
-def summarise_capture(events: DataFrame, key: str = "page") -> DataFrame:
-    return events.groupBy(key).agg(F.count_if(F.col("type") == "discovered").alias("discovered"), F.count_if(F.col("type") == "downloaded").alias("downloaded"), F.count_if(F.col("type") == "failed").alias("failed"), F.count("*").alias("steps"))
+def summarise_capture(events: DataFrame, key: str = "page", reason: str | None = None) -> DataFrame:
+    """key, discovered, downloaded, failed, steps; with ``reason``, a column of it, also blocked: how many requests were held back for each reason."""
+    n = lambda t: F.count_if(F.col("type") == t).alias(t)
+    out = events.groupBy(key).agg(n("discovered"), n("downloaded"), n("failed"), F.count("*").alias("steps"))
+    if reason is None:
+        return out
+    held = events.where((F.col("type") == "blocked") & F.col(reason).isNotNull()).groupBy(key, reason).agg(F.count("*").alias("n"))
+    held = held.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(reason, "n")))).alias("blocked"))  # as many entries as reasons
+    return out.join(held, key, "left").withColumn("blocked", F.coalesce("blocked", F.create_map().cast("map<string,bigint>")))
+
+
+def summarise_fonts(fonts: DataFrame) -> DataFrame:
+    """description, n, first of font references (url, description)."""
+    return fonts.groupBy("description").agg(F.count("*").alias("n"), F.min("url").alias("first"))
 
 
 def first_observed(events: DataFrame, key: str, value: str, ts: str = "ts") -> DataFrame:

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.urls import canonical_url, netloc, path, repaired_assets, resolve, route_url, scheme
-
-#: Extensions of assets.
-ASSET_EXTENSIONS = tuple("png jpg jpeg gif webp avif svg bmp ico mp3 ogg wav m4a mp4 webm woff woff2 ttf otf eot css js mjs json txt zip wasm tiff".split())
-IMAGE_EXTENSIONS = tuple("png jpg jpeg gif webp avif svg bmp ico".split())
+from lodestack.functions import fixed
+from lodestack.functions.scalars import is_project_text
+from lodestack.functions.urls import canonical_url, extension, hostname, netloc, path, repaired_assets, resolve, route_url, scheme
 
 #: References that lead nowhere.
 NO_LINK = r"(?i)^(#|javascript:|mailto:|tel:|data:)"
 
-_EXT = "|".join(ASSET_EXTENSIONS)
-_IMG = "|".join(IMAGE_EXTENSIONS)
+_EXT = "|".join((*fixed.ASSET_EXTENSIONS, "wasm"))
+_IMG = "|".join(fixed.IMAGE_EXTENSIONS)
 
 
 def matches(df: DataFrame, text: str, pattern: str, group: int = 1, *, keep: tuple[str, ...] = (), as_: str = "raw") -> DataFrame:
@@ -44,7 +46,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def extract_tag_assets(pages: DataFrame) -> DataFrame:
-    """page_id, tag, attr, raw, kind of what tags load: scripts, styles, pictures, sounds, icons, posters."""
+    """page_id, tag, attr, raw, kind of what tags load: scripts, styles, pictures (also of srcsets and inline styles), sounds, icons, posters."""
     rules = (
         ("script", "src", r"""(?is)<script\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", "js"),
         ("img", "src", r"""(?is)<img\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", "images"),
@@ -54,6 +56,14 @@ def extract_tag_assets(pages: DataFrame) -> DataFrame:
         ("video", "poster", r"""(?is)<video\s[^>]*?\bposter\s*=\s*["']([^"']+)["']""", "images"),
     )
     tables = [matches(pages, "html", p, keep=("page_id",)).select("page_id", F.lit(t).alias("tag"), F.lit(a).alias("attr"), "raw", F.lit(k).alias("kind")) for t, a, p, k in rules]
+    for tag, attr, pattern in (("img", "srcset", r"""(?is)<(?:img|source)\s[^>]*?\bsrcset\s*=\s*["']([^"']+)["']"""), ("link", "imagesrcset", r"""(?is)<link\s[^>]*?\bimagesrcset\s*=\s*["']([^"']+)["']""")):
+        sets = matches(pages, "html", pattern, keep=("page_id",), as_="srcset").drop("ord")
+        tables.append(split_srcset(sets).select("page_id", F.lit(tag).alias("tag"), F.lit(attr).alias("attr"), "raw", F.lit("images").alias("kind")))
+    for tag, attr, pattern in (("style", "", r"(?is)<style[^>]*>(.*?)</style>"), ("", "style", r"""(?is)\bstyle\s*=\s*(?:"[^"]*"|'[^']*')""")):
+        group = 1 if tag else 0
+        css = matches(pages, "html", pattern, group, keep=("page_id",), as_="css").drop("ord")
+        own = matches(css, "css", r"""(?i)url\(\s*["']?([^"')]+?)["']?\s*\)""", keep=("page_id",)).where(~F.rlike("raw", F.lit("(?i)^(data:|#)")))
+        tables.append(own.select("page_id", F.lit(tag).alias("tag"), F.lit(attr).alias("attr"), "raw", F.when(F.substring(extension("raw"), 2, 20).isin(*fixed.FONT_EXTENSIONS), "fonts").otherwise("images").alias("kind")))
     links = matches(pages, "html", r"(?is)(<link\s[^>]*>)", keep=("page_id",), as_="tag_text")
     href, rel, as_attr = (F.regexp_extract("tag_text", rf"""(?is)\b{a}\s*=\s*["']([^"']+)["']""", 1) for a in ("href", "rel", "as"))
     kind = F.when(F.rlike(rel, F.lit("(?i)stylesheet")) | (as_attr == "style"), "css").when(F.rlike(rel, F.lit("(?i)icon")) | (as_attr == "image"), "images").when((as_attr == "font"), "fonts").when(F.rlike(rel, F.lit("(?i)modulepreload")) | (as_attr == "script"), "js").otherwise("assets")
@@ -87,7 +97,11 @@ def scan_text_assets(files: DataFrame) -> DataFrame:
     css = matches(files, "text", r"""(?i)url\(\s*["']?([^"')\s]+?)["']?\s*\)""", keep=keep).withColumn("rule", F.lit("css"))
     dynamic = matches(files, "text", r"""(?i)\bimport\(\s*["']([^"']+)["']\s*\)""", keep=keep).withColumn("rule", F.lit("import"))
     static = matches(files, "text", r"""(?i)\bimport\s+(?:[^"';]*?\bfrom\s+)?["']([^"']+)["']""", keep=keep).withColumn("rule", F.lit("import"))
-    found = reduce(DataFrame.unionByName, (quoted, tags, css, dynamic, static)).where(~F.rlike("raw", F.lit(r"(?i)^(data:|#|about:|blob:|javascript:|(?:image|audio|video|font|text|application)/[a-z0-9+-]+$)")) & ~F.contains("raw", F.lit("${")))
+    sets = matches(files, "text", r"""(?is)\bimage-set\(((?:[^()]|\([^()]*\))*)\)""", keep=keep, as_="set").drop("ord")
+    sets = matches(sets, "set", r"""["']([^"']+)["']""", keep=keep).withColumn("rule", F.lit("image-set"))
+    lists = matches(files, "text", r"""(?s)(?:__vite__mapDeps|mapDeps|preload|precache\w*)\s*(?:=|\()[^\[]{0,200}\[((?:\s*["'][^"']*["']\s*,?)+)\]""", keep=keep, as_="list").drop("ord")
+    lists = matches(lists, "list", rf"""(?i)["']([^"'\s]+\.(?:{_EXT}))["']""", keep=keep).withColumn("rule", F.lit("preload"))
+    found = reduce(DataFrame.unionByName, (quoted, tags, css, dynamic, static, sets, lists)).where(~F.rlike("raw", F.lit(r"(?i)^(data:|#|about:|blob:|javascript:|(?:image|audio|video|font|text|application)/[a-z0-9+-]+$)")) & ~F.contains("raw", F.lit("${")))
     script = F.rlike("path", F.lit(r"(?i)\.m?js$"))
     own_base = F.regexp_extract("text", r"""new\s+URL\(\s*["'](\.{1,2}/[^"']*)["']\s*,\s*(?:document\.)?(?:currentScript\.src|import\.meta\.url)""", 1)
     relative = F.rlike("raw", F.lit(r"^\.{0,2}/"))
@@ -129,10 +143,43 @@ def expand_properties(files: DataFrame, most: int = 200, longest: int = 200) ->
     return uses.join(values, ["path", "prop"]).select("path", F.col("n").alias("ord"), F.concat("left", "value", "right").alias("raw"))
 
 
-def extract_image_refs(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep..., raw of pictures named in rich text: a field that is a link, tags, style backgrounds, links with a picture's extension, Markdown."""
-    rules = (rf"(?i)^\s*(https?://\S+\.(?:{_IMG})\S*)\s*$", r"""(?i)<(?:img|source)\s[^>]*?src\s*=\s*\\?["']([^"'\\]+)""", r"""(?i)background(?:-image)?\s*:[^;"']*url\(\s*["']?([^"')]+)""", rf"(?i)(https?://[^\s\"'<>()]+\.(?:{_IMG}))", r"!\[[^\]]*\]\(([^)\s]+)")
-    return union_refs(*[matches(df, column, p, keep=keep).drop("ord") for p in rules]).where(~F.startswith("raw", F.lit("data:")))
+def _image_like(c: Column) -> Column:
+    return F.substring(extension(c), 2, 20).isin(*fixed.IMAGE_EXTENSIONS)
+
+
+def _repaired_link(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(c), r"[.,;:)\]}]+$", ""), r"(?i)^(https?):/(?!/)", "$1://")
+
+
+def image_refs_of(text: Column, bare: Column | bool = False) -> Column:
+    """The pictures that a rich-text value names, each once: the value itself, if it is one link; else those in picture tags, style backgrounds, and links in
+    the prose with a picture's extension; else, where ``bare`` allows it, the value as a path with such an extension."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    bare = F.lit(bare) if isinstance(bare, bool) else bare
+    tag = r"""(?is)<(?:img|source)[^>]+(?:src|srcset)\s*=\s*["']([^"']+)["']"""
+    style = r"""(?is)(?:background(?:-image)?|src)\s*:\s*url\(\s*["']?([^"')\s]+)"""
+    named = F.concat(F.regexp_extract_all(t, F.lit(tag), 1), F.regexp_extract_all(t, F.lit(style), 1))
+    named = F.transform(named, lambda r: F.when(F.contains(r, F.lit(",")) & F.contains(r, F.lit(" ")), F.regexp_extract(r, r"^\s*([^\s,]+)", 1)).otherwise(r))
+    named = F.transform(named, lambda r: _repaired_link(F.when(F.startswith(r, F.lit("//")), F.concat(F.lit("https:"), r)).otherwise(r)))
+    prose = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"""(?i)(?<![A-Za-z0-9])(https?:/{1,2}[^\s"'<>]+)"""), 1), _repaired_link), _image_like)
+    good = F.filter(F.concat(named, prose), lambda r: (r != "") & ~F.rlike(r, F.lit("^(data:|javascript:|#)")))
+    alone = F.when(bare & ~F.rlike(t, F.lit("[<>]")) & F.coalesce(_image_like(_repaired_link(t)), F.lit(False)), F.array(t)).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when((t == "") | F.startswith(t, F.lit("data:")), F.array().cast("array<string>"))
+        .when(F.rlike(t, F.lit(r"""(?i)^https?:/{1,2}[^\s"'<>]+$""")), F.array(_repaired_link(t)))
+        .when(F.rlike(t, F.lit(r"""^//[^\s"'<>]+$""")), F.array(_repaired_link(F.concat(F.lit("https:"), t))))
+        .when(F.size(good) > 0, F.array_distinct(good)).otherwise(alone)
+    )
+
+
+def markdown_images(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?i)!\[[^\]]*\]\(([^)]+\.(?:png|jpg|jpeg|webp|gif|svg|avif))\)"), 1)
+
+
+def extract_image_refs(df: DataFrame, column: str, keep: tuple[str, ...] = (), bare: bool = False) -> DataFrame:
+    """keep..., raw of pictures named in rich text (``image_refs_of``) and in Markdown, each once a row of ``df``."""
+    refs = F.array_distinct(F.concat(image_refs_of(F.col(column), bare), markdown_images(F.col(column))))
+    return df.select(*keep, F.explode(refs).alias("raw"))
 
 
 def extract_media_ids(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -171,22 +218,46 @@ def extract_scripts(pages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (blocks, sources, frames)).select("page_id", "ord", "kind", "body")
 
 
-#: Where a project's data usually lies, in the order to try.
-DATA_FOLDERS = ("", "data/", "assets/", "js/", "json/", "public/")
-DATA_FILES = ("project.json", "project.txt", "project.zip", "data.json", "cyoa.json")
-
-
 def default_candidates(urls: DataFrame, column: str = "url") -> DataFrame:
-    """url, rank, candidate: for the page's folder and each folder above it, every usual data file, each once at its best rank.
+    """url, rank (from 0), candidate: where a page's data may lie, the likeliest first, each place once.
 
-    The rule table is exploded from a literal array, so no join is needed however many pages there are."""
-    base = urls.select(F.col(column).alias("url")).distinct()
-    parts = F.filter(F.split(F.regexp_replace(path(F.col("url")), "[^/]*$", ""), "/"), lambda p: p != "")
-    origin = F.concat(scheme("url"), F.lit("://"), F.lower(netloc("url")))
-    above = base.select("url", origin.alias("origin"), parts.alias("parts")).select("url", "origin", F.posexplode(F.transform(F.sequence(F.size("parts"), F.lit(0), F.lit(-1)), lambda n: F.concat(F.lit("/"), F.array_join(F.transform(F.slice("parts", 1, n), lambda p: F.concat(p, F.lit("/"))), "")))).alias("up", "folder"))
-    rules = F.array(*[F.lit(d + f) for d in DATA_FOLDERS for f in DATA_FILES])
-    found = above.select("url", "up", "origin", "folder", F.posexplode(rules).alias("rule", "file")).select("url", F.concat("origin", "folder", "file").alias("candidate"), (F.col("up") * len(DATA_FOLDERS) * len(DATA_FILES) + F.col("rule")).alias("rank"))
-    return found.groupBy("url", "candidate").agg(F.min("rank").alias("rank"))
+    In order: the usual names in the page's folder and in those above it; in the usual folders there; less usual names; less usual folders; what
+    known hosts do; capital spellings. Everything is an expression over the URL, so no rule table is joined, however many pages there are.
+    """
+    base = urls.select(F.col(column).alias("url")).where("url is not null").distinct()
+    parts = F.filter(F.split(path(F.col("url")), "/"), lambda p: p != "")
+    last = F.element_at("all_parts", -1)
+    a_file = (F.size("all_parts") > 0) & F.contains(last, F.lit(".")) & ~F.startswith(last, F.lit("."))
+    origin = F.concat(scheme("url"), F.lit("://"), netloc("url"))
+    folder = F.regexp_replace(F.when(path(F.col("url")) == "", "/").otherwise(path(F.col("url"))), "[^/]*$", "")
+    rows = base.withColumns({"all_parts": parts, "origin": origin, "host": hostname("url"), "own": F.concat(origin, folder)})
+    rows = rows.withColumn("parts", F.when(a_file, F.slice("all_parts", F.lit(1), F.size("all_parts") - 1)).otherwise(F.col("all_parts")))
+    up_to = lambda n: F.concat("origin", F.lit("/"), F.array_join(F.slice("parts", F.lit(1), n), "/"), F.lit("/"))
+    above = F.when(F.size("parts") > 0, F.transform(F.sequence(F.size("parts"), F.lit(1), F.lit(-1)), up_to)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("above", F.concat(above, F.array(F.concat("origin", F.lit("/")))))
+    one, table = F.array("own"), lambda names: F.array(*map(F.lit, names))
+
+    def each(bases: Column, names: tuple[str, ...]) -> Column:
+        return F.flatten(F.transform(bases, lambda b: F.transform(table(names), lambda n: F.concat(b, n))))
+
+    inside = lambda folders, names: tuple(f + n for f in folders for n in names)
+    site, first = F.array(F.concat(F.lit("https://"), "host", F.lit("/"))), F.concat(F.lit("https://"), "host", F.lit("/"), F.get("parts", F.lit(0)), F.lit("/"))
+    none = F.array().cast("array<string>")
+    its_first = F.when(F.size("parts") > 0, each(F.array(first), fixed.DATA_NAMES)).otherwise(none)
+    by_name = lambda *places: tuple(p + n for n in fixed.DATA_NAMES for p in places)
+    github = F.flatten(F.transform(table(fixed.DATA_NAMES), lambda n: F.array(F.concat("own", F.lit("docs/"), n), F.concat("own", F.lit("gh-pages/"), n), F.concat(site[0], n))))
+    cafe = F.flatten(F.transform(table(fixed.DATA_NAMES), lambda n: F.when(F.size("parts") > 0, F.array(F.concat("own", n), F.concat(first, n))).otherwise(F.array(F.concat("own", n)))))
+    is_host = lambda h: (F.col("host") == h) | F.endswith("host", F.lit(f".{h}"))
+    hosted = (
+        F.when(is_host("neocities.org"), each(site, by_name("", "cyoa/", "game/"))).when(F.endswith("host", F.lit(".github.io")), F.concat(github, its_first))
+        .when(F.contains("host", F.lit("itch.io")), each(one, by_name("game/", "public/"))).when(is_host("cyoa.cafe"), cafe).otherwise(none)
+    )
+    places = F.concat(
+        each(one, fixed.DATA_NAMES), each(F.col("above"), fixed.DATA_NAMES), each(one, inside(fixed.DATA_FOLDERS, fixed.DATA_NAMES)), each(F.slice("above", F.lit(1), F.lit(3)), inside(fixed.DATA_FOLDERS, fixed.DATA_NAMES)),
+        each(one, fixed.OTHER_DATA_NAMES), each(F.slice("above", F.lit(1), F.lit(1)), fixed.OTHER_DATA_NAMES), each(one, inside(fixed.OTHER_DATA_FOLDERS, fixed.DATA_NAMES)),
+        each(one, inside(("", *fixed.DATA_FOLDERS), fixed.OTHER_DATA_NAMES)), hosted, each(F.concat(one, F.slice("above", F.lit(1), F.lit(2))), ("Project.json", "PROJECT.JSON")),
+    )
+    return rows.select("url", F.posexplode(F.array_distinct(places)).alias("rank", "candidate"))
 
 
 def asset_folder_candidates(df: DataFrame) -> DataFrame:
@@ -209,7 +280,7 @@ def fallback_candidates(failed: DataFrame) -> DataFrame:
     depth = F.size(F.filter(F.split(own, "/"), lambda p: p != ""))
     rules = F.array(
         F.struct(F.lit(0).alias("rank"), F.when((F.col("kind") == "css") & F.startswith(own, folder), F.concat(origin, folder, name)).alias("candidate")),
-        F.struct(F.lit(1).alias("rank"), F.when(F.startswith(own, F.lit("/assets/")) & (folder != "/"), F.concat(origin, folder, F.substring(own, 2, 100_000))).alias("candidate")),
+        F.struct(F.lit(1).alias("rank"), F.when(F.startswith(own, F.lit("/assets/")) & (folder != "/"), F.concat(origin, folder, F.regexp_replace(own, "^/", ""))).alias("candidate")),
         F.struct(F.lit(2).alias("rank"), F.when((depth == 1) & F.rlike(own, F.lit(r"(?i)\.m?js$")), F.concat(origin, F.lit("/assets"), own)).alias("candidate")),
     )
     found = failed.where(F.lower(netloc("page_url")) == F.lower(netloc("url"))).select("page_url", "url", F.explode(rules).alias("r")).select("page_url", "url", "r.rank", "r.candidate")
@@ -233,3 +304,135 @@ def explode_record_files(df: DataFrame) -> DataFrame:
     return rows.select("record", "kind", "name", F.concat(F.format_string("%04d_", n), "name").alias("local"))
 
 
+def extract_fonts(projects: DataFrame, pages: DataFrame | None = None, styles: DataFrame | None = None) -> DataFrame:
+    """owner, url, description of the fonts that projects (owner, base_url, text), their pages (owner, base_url, html) and styles need; of a font its first description.
+
+    ``styles`` (url, text) are style files at hand: those that a project or page links and those of the font service (by the link that a family's name stands
+    for) are searched for fonts. In order: links in the project, style text in it, its own styles, style functions in it, the page's links, its inline styles, font services.
+    """
+    ends = rf"(?i)\.(?:{'|'.join(fixed.FONT_EXTENSIONS)})$"
+    service = r"""https://fonts\.googleapis\.com/css[^\s"'<>]*"""
+    urls_in = r"""url\(["']?([^"')\s]+)["']?\)"""
+    rows = projects.select("owner", "base_url", F.replace("text", F.lit("\\/"), F.lit("/")).alias("text"))
+    folder = F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/"))
+    keep = ("owner", "base_url")
+    found: list[DataFrame] = []
+
+    def add(df: DataFrame, description: Column | str) -> None:
+        shown = F.lit(description) if isinstance(description, str) else description
+        found.append(df.select("owner", F.trim("found").alias("url"), shown.alias("description"), F.lit(len(found)).alias("rank"), "ord"))
+
+    def fonts_in(df: DataFrame, text: str, base: Column, whole: bool = False) -> DataFrame:
+        own = matches(df, text, urls_in, keep=keep if "source" not in df.columns else (*keep, "source"))
+        bare = F.col("raw") if whole else F.regexp_replace("raw", r"\?.*$", "")
+        own = own.where(F.rlike(bare, F.lit(ends)) & ~F.startswith("raw", F.lit("data:")))
+        return own.withColumn("found", F.when(F.rlike("raw", F.lit("^https?://")), F.col("raw")).otherwise(resolve(base, F.col("raw"))))
+
+    add(matches(rows, "text", rf"""(?i)https?://[^\s"'<>]+\.(?:woff2?|ttf|otf|eot)[^\s"'<>]*""", 0, keep=keep).withColumn("found", F.col("raw")), "project, link")
+    services = matches(rows, "text", service, 0, keep=keep).select(*keep, F.col("raw").alias("url"))
+    config = rows.select(*keep, F.try_parse_json("text").alias("v")).where("v is not null")
+    fields = font_fields(config)
+    families = fields.where("field = 'googlefonts'")
+    named = F.concat(F.lit("https://fonts.googleapis.com/css2?family="), F.replace(F.replace(F.url_encode(F.replace("value", F.lit("+"), F.lit(" "))), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")), F.lit(":wght@400;600;700&display=swap"))
+    is_link = F.rlike("value", F.lit("^https?://"))
+    at_service = F.contains("value", F.lit("fonts.googleapis.com"))
+    services = services.unionByName(families.where(~is_link).select(*keep, named.alias("url"))).unionByName(families.where(is_link & at_service).select(*keep, F.col("value").alias("url")))
+    linked = families.where(is_link & ~at_service).select(*keep, F.col("value").alias("url")).unionByName(fields.where("field = 'customfonts'").select(*keep, F.when(is_link, F.col("value")).otherwise(resolve(folder, F.col("value"))).alias("url")))
+    css = fields.where("field = 'customcss'").select(*keep, F.col("value").alias("css"))
+    add(fonts_in(css, "css", F.col("base_url")), "project, style text")
+    if styles is not None:
+        own = linked.distinct().join(styles.select("url", F.col("text").alias("css")), "url").withColumnRenamed("url", "source")
+        add(fonts_in(own, "css", F.col("source")), "project, style text")
+        services = services.unionByName(matches(own, "css", service, 0, keep=keep).select(*keep, F.col("raw").alias("url")))
+    add(fonts_in(rows, "text", folder, True), "project, style function")
+    if pages is not None:
+        tags = matches(pages, "html", r"(?is)(<link\s[^>]*>)", keep=keep, as_="tag").where(F.rlike("tag", F.lit(r"""(?is)\brel\s*=\s*["'][^"']*stylesheet""")))
+        tags = tags.withColumn("raw", F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1))
+        add(tags.where(F.rlike("raw", F.lit(ends)) & ~F.contains("raw", F.lit("fonts.googleapis.com"))).withColumn("found", F.when(F.startswith("raw", F.lit("http")), F.col("raw")).otherwise(resolve(F.col("base_url"), F.col("raw")))), "page, link")
+        services = services.unionByName(tags.where(F.contains("raw", F.lit("fonts.googleapis.com"))).select(*keep, F.col("raw").alias("url")))
+        blocks = matches(pages, "html", r"(?is)<style[^>]*>(.*?)</style>", keep=keep, as_="css").drop("ord")
+        add(fonts_in(blocks, "css", F.col("base_url"), True), "page, inline style")
+    if styles is not None:
+        own = services.distinct().join(styles.select("url", F.col("text").alias("css")), "url").withColumnRenamed("url", "source")
+        own = matches(own, "css", r"url\(([^)]+)\)", keep=("owner", "source")).withColumn("found", F.regexp_replace("raw", "^[\"']+|[\"']+$", ""))
+        add(own.where(F.rlike("found", F.lit(ends))), F.concat(F.lit("font service ("), "source", F.lit(")")))
+    every = reduce(DataFrame.unionByName, found).where("url <> ''")
+    return keep_first(every, ["owner", "url"], ["rank", "description", "ord"]).select("owner", "url", "description")
+
+
+def font_fields(config: DataFrame) -> DataFrame:
+    """owner, base_url, field (googlefonts, customfonts, customcss), value of font settings at any depth of project JSON (owner, base_url, v)."""
+    from lodestack.operators.iterate import nested_levels
+
+    out: list[DataFrame] = []
+    for level in nested_levels(config, ("owner", "base_url"), "v"):
+        entry = F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e")
+        own = level.select("owner", "base_url", entry).select("owner", "base_url", F.lower("e.key").alias("field"), F.col("e.value").alias("value")).where(F.col("field").isin("googlefonts", "customfonts", "customcss"))
+        listed = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+        items = own.select("owner", "base_url", "field", F.explode(listed).alias("x"))
+        first = lambda *names: F.coalesce(*[F.when(c != "", c) for c in (F.try_variant_get("x", f"$.{n}", "string") for n in names)])
+        text = F.when(F.schema_of_variant("x") == "STRING", F.try_variant_get("x", "$", "string"))
+        named = F.when(F.col("field") == "googlefonts", first("family", "name", "fontFamily")).when(F.col("field") == "customfonts", first("url", "href", "src", "css"))
+        out.append(items.select("owner", "base_url", "field", F.trim(F.coalesce(text, named)).alias("value")).where("value is not null and value <> ''"))
+    return reduce(DataFrame.unionByName, out) if out else config.select("owner", "base_url", F.lit("").alias("field"), F.lit("").alias("value")).limit(0)
+
+
+#: Where a script may hold a whole project, in the order to look: words before a brace, and patterns that end at one.
+EMBEDDED_MARKERS = (
+    r"Store\(\{state:\{app:", r"state:\{app:", r"__INITIAL_STATE__=", r"__INITIAL_STATE__ =", r"window\.__APP__=", r"window\.__APP__ =", r"window\.__NUXT__=", r"window\.__NUXT__ =", r"app:(?=\{)",
+    r'"app":(?=\{)', r"project:(?=\{)", r'"project":(?=\{)', r"(?i)\b(?:app|project)\s*=\s*[A-Za-z_$][\w$]*\s*\(\s*(?=\{)", r"(?:app|project)\s*:\s*(?=\{)", r'"(?:app|project)"\s*:\s*(?=\{)',
+    r"(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*(?=\{)", r"return\s*(?=\{)",
+)
+#: Names in a project, near which its braces may lie when nothing else says so; and how far before them.
+EMBEDDED_NAMES, NEAR = (r"""["\\']rows["\\']\s*:""", r"\brows\s*:", r"""["\\']backpack["\\']\s*:""", r"\bbackpack\s*:", r"""["\\']groups["\\']\s*:""", r"""["\\']words["\\']\s*:"""), 250_000
+
+
+def _closing(text: str) -> dict[int, int]:
+    """For each opening brace outside of quotes the place after its closing one: one pass over the text."""
+    stack, ends, quote, at = [], {}, "", 0
+    for m in re.finditer(r"""\\.|["'{}]""", text, re.S):
+        c, at = m.group(), m.start()
+        if c[0] == "\\":
+            continue
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "{":
+            stack.append(at)
+        elif stack:
+            ends[stack.pop()] = at + 1
+    return ends
+
+
+def embedded_blocks(files: DataFrame) -> DataFrame:
+    """path, rank, block: texts in balanced braces in scripts (path, text) that a marker or a project's name points at, in the order to try them; each block once."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path_, text in zip(pdf["path"], pdf["text"]):
+                if not text or "{" not in text:
+                    continue
+                ends, starts = _closing(text), {}
+                for pattern in EMBEDDED_MARKERS:
+                    for m in re.finditer(pattern, text):
+                        brace = text.find("{", m.start() if not pattern.endswith("(?=\\{)") else m.end())
+                        if brace in ends:
+                            starts.setdefault(brace, len(starts))
+                opened = sorted(ends)
+                for pattern in EMBEDDED_NAMES:
+                    for m in re.finditer(pattern, text):
+                        for k in range(bisect.bisect_left(opened, m.start()) - 1, -1, -1):
+                            if opened[k] < m.start() - NEAR:
+                                break
+                            if ends[opened[k]] > m.start() and ends[opened[k]] - opened[k] > 100:  # blocks around the name, the innermost first
+                                starts.setdefault(opened[k], len(starts))
+                yield pd.DataFrame([(path_, rank, text[at : ends[at]]) for at, rank in starts.items()], columns=["path", "rank", "block"])
+
+    return files.select("path", "text").mapInPandas(cut, "path string, rank int, block string")
+
+
+def extract_embedded(files: DataFrame) -> DataFrame:
+    """path, payload of the project that a script (path, text) holds: the first of ``embedded_blocks`` that looks like one."""
+    good = embedded_blocks(files).where(is_project_text(F.col("block")))
+    return good.groupBy("path").agg(F.min_by("block", "rank").alias("payload"))

@@ -4,37 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions import fixed
 from lodestack.functions.scalars import redact, redaction_hits
 from lodestack.functions.urls import extension, hostname, netloc, path, same_origin, scheme
-from lodestack.operators.extract import ASSET_EXTENSIONS
-
-#: Kinds of assets by extension.
-EXTENSION_KINDS = {
-    "css": ("css",),
-    "js": ("js", "mjs"),
-    "fonts": ("woff", "woff2", "ttf", "otf", "eot"),
-    "images": ("png", "jpg", "jpeg", "gif", "webp", "avif", "svg", "bmp", "ico", "tiff"),
-    "media": ("mp3", "ogg", "wav", "m4a", "mp4", "webm"),
-    "json": ("json",),
-    "html": ("html", "htm"),
-}
-
-#: Hosts that only measure, and suffixes of such.
-TELEMETRY_HOSTS = ("www.google-analytics.com", "google-analytics.com", "www.googletagmanager.com", "static.cloudflareinsights.com", "plausible.io")
-TELEMETRY_SUFFIXES = (".sentry.io", ".posthog.com")
-
-#: References that are no download.
-NO_REFERENCE = r"(?i)^(data:|javascript:|mailto:|file:|ftp:|blob:|chrome:|about:|#)"
-SKIPPED_PATHS = r"(?i)/(?:api|auth|login|logout|signin|signup|register|account|admin)(?:/|$)"
-
-#: Modes of a queue row, and spellings of them.
-MODES = ("embed", "zip", "both", "website_zip", "website_folder", "pure_website", "pure_website_zip", "pure_website_folder", "cyoap_vue", "cyoap_vue_zip", "cyoap_vue_folder", "auto")
-MODE_SPELLINGS = {"icc": "website_zip", "icc_zip": "website_zip", "icc_folder": "website_folder"}
-
 
 def filter_http(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.rlike(F.trim(column), F.lit("(?i)^https?://")))
@@ -43,7 +18,7 @@ def filter_http(df: DataFrame, column: str) -> DataFrame:
 def filter_refs(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
     """References that could be fetched; ``strict`` also drops very long ones, control characters, drive letters and words for nothing."""
     c = F.trim(column)
-    ok = (c != "") & ~F.rlike(c, F.lit(NO_REFERENCE)) & (~F.rlike(c, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")) | F.rlike(c, F.lit("(?i)^https?:")))
+    ok = (c != "") & ~F.rlike(c, F.lit(fixed.NO_REFERENCE)) & (~F.rlike(c, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")) | F.rlike(c, F.lit("(?i)^https?:")))
     if strict:
         ok &= (F.length(c) <= 600) & ~F.rlike(c, F.lit(r"[\x00-\x1f]|^[A-Za-z]:[\\/]")) & ~F.upper(c).isin("NONE", "NULL", "N/A", "[]")
     return df.where(ok)
@@ -52,10 +27,10 @@ def filter_refs(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
 def filter_assets(df: DataFrame, column: str) -> DataFrame:
     """URLs whose path has an asset's extension or ends in a project file; name-space links are none."""
     ext = F.substring(extension(column), 2, 20)
-    return df.where((ext.isin(*ASSET_EXTENSIONS) | F.rlike(path(column), F.lit(r"(?i)project\.(json|txt|zip)$"))) & ~F.contains(column, F.lit("w3.org/")))
+    return df.where((ext.isin(*fixed.ASSET_EXTENSIONS) | F.rlike(path(column), F.lit(r"(?i)project\.(json|txt|zip)$"))) & ~F.contains(column, F.lit("w3.org/")))
 
 
-def drop_telemetry_hosts(df: DataFrame, column: str, hosts: Sequence[str] = TELEMETRY_HOSTS, suffixes: Sequence[str] = TELEMETRY_SUFFIXES) -> DataFrame:
+def drop_telemetry_hosts(df: DataFrame, column: str, hosts: Sequence[str] = fixed.TELEMETRY_HOSTS, suffixes: Sequence[str] = fixed.TELEMETRY_SUFFIXES) -> DataFrame:
     host = hostname(column)
     bad = host.isin(*hosts)
     for s in suffixes:
@@ -64,27 +39,18 @@ def drop_telemetry_hosts(df: DataFrame, column: str, hosts: Sequence[str] = TELE
 
 
 def is_internal_host(host: Column) -> Column:
-    """localhost, local names, and literal addresses that no public server has; an empty host is one too."""
-
-    @F.pandas_udf("boolean")
-    def private_v6(h: pd.Series) -> pd.Series:
-        import ipaddress
-
-        def one(x: str) -> bool:
-            try:
-                a = ipaddress.ip_address(x)
-            except ValueError:
-                return False
-            return a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified
+    """localhost, local names, and literal addresses that no public server has; an empty host is one too.
 
-        return h.map(one).astype(bool)
-
-    o = F.transform(F.split(host, r"\."), lambda x: x.try_cast("int"))
+    Of IPv6 those are: unspecified, loopback, IPv4 in it (judged as such), unique local (fc, fd), link local (fe8 to feb), multicast (ff), documentation
+    (2001:db8), discard only (100::) and what is reserved outside of 2000::/3.
+    """
+    o = F.transform(F.split(F.regexp_extract(host, r"((?:\d{1,3}\.){3}\d{1,3})$", 1), r"\."), lambda x: x.try_cast("int"))
     a, b = F.get(o, F.lit(0)), F.get(o, F.lit(1))
-    v4 = F.rlike(host, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$"))
+    v4 = F.rlike(host, F.lit(r"^(::ffff:|::)?\d{1,3}(\.\d{1,3}){3}$"))
     private = v4 & (a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | (a >= 224) | ((a == 100) & b.between(64, 127)))
+    v6 = F.contains(host, F.lit(":")) & ~v4 & (F.rlike(host, F.lit(r"^(0*:)*:?0*1?$|^f[cdef]|^0*(1[0-9a-f]{0,2}|[1-9a-f][0-9a-f]{0,2}|[0189a-e][0-9a-f]{3})?:|^2001:0?db8:")) & ~F.rlike(host, F.lit("^[23][0-9a-f]{3}:(?!0?db8:)")))
     named = (host == "") | (host == "localhost") | F.rlike(host, F.lit(r"\.(localhost|local)$"))
-    return named | private | F.when(F.contains(host, F.lit(":")), private_v6(host)).otherwise(False)
+    return F.coalesce(named | private | v6, F.lit(False))
 
 
 def screen_internal(df: DataFrame, url: str, base: str, allow: bool = False) -> DataFrame:
@@ -100,40 +66,70 @@ def filter_scope(links: DataFrame, seed_url: str = "seed", column: str = "url")
     scope = F.when(F.contains(leaf, F.lit(".")), F.regexp_replace(path(seed_url), "[^/]*$", "")).otherwise(F.concat(start, F.lit("/")))
     own = F.when(path(column) == "", "/").otherwise(path(column))
     same = (scheme(seed_url) == scheme(column)) & (F.lower(netloc(seed_url)) == F.lower(netloc(column)))
-    return links.where(same & ~F.rlike(own, F.lit(SKIPPED_PATHS)) & ((F.regexp_replace(own, "/+$", "") == start) | F.startswith(own, scope)))
+    return links.where(same & ~F.rlike(own, F.lit(fixed.SKIPPED_PATHS)) & ((F.regexp_replace(own, "/+$", "") == start) | F.startswith(own, scope)))
 
 
-def drop_error_documents(df: DataFrame, body: str = "content", mime: str = "mime") -> DataFrame:
-    """Responses that aren't an error page in place of a file."""
+def drop_error_documents(df: DataFrame, body: str = "content", mime: str = "mime", binary: str | None = None) -> DataFrame:
+    """Responses that aren't an error page in place of a file; where the column ``binary`` says that a binary file was asked for, JSON is one too."""
     head = F.lower(F.ltrim(F.substring(F.col(body).cast("string"), 1, 512)))
-    bad = F.rlike(F.coalesce(F.lower(mime), F.lit("")), F.lit(r"text/html|application/xhtml\+xml")) | F.rlike(head, F.lit(r'^(<!doctype html|<html|<head|<body|\{"error)'))
+    m = F.coalesce(F.lower(mime), F.lit(""))
+    bad = F.rlike(m, F.lit(r"text/html|application/xhtml\+xml")) | F.rlike(head, F.lit(r'^(<!doctype html|<html|<head|<body|\{"error)'))
+    if binary:
+        bad |= F.coalesce(F.col(binary), F.lit(False)) & F.contains(m, F.lit("application/json"))
     return df.where(~bad)
 
 
+def _is_data_path(p: Column) -> Column:
+    return F.rlike(p, F.lit(r"(?i)project\.(json|txt|zip)$"))
+
+
 def classify_kind(url: Column | str, mime: Column | None = None) -> Column:
-    """css, js, fonts, images, media, json, html or assets: by MIME type first, then by extension."""
+    """css, js, fonts, images, media, json, html or assets: the first kind whose content type or extension it has."""
+    ext = F.substring(extension(url), 2, 20)
+    m = F.lower(F.coalesce(mime, F.lit(""))) if mime is not None else F.lit("")
+    has = lambda text: F.contains(m, F.lit(text))
+    begins = lambda text: F.startswith(m, F.lit(text))
+    return (
+        F.when(has("text/css") | ext.isin(*fixed.STYLE_EXTENSIONS), "css").when(has("javascript") | ext.isin(*fixed.SCRIPT_EXTENSIONS), "js")
+        .when(has("font") | ext.isin(*fixed.FONT_EXTENSIONS), "fonts").when(begins("image/") | ext.isin(*fixed.IMAGE_EXTENSIONS), "images")
+        .when(begins("audio/") | begins("video/") | ext.isin(*fixed.MEDIA_EXTENSIONS), "media")
+        .when((m == "application/json") | _is_data_path(path(url)) | ext.isin(*fixed.DATA_EXTENSIONS), "json").when(has("text/html") | ext.isin("html", "htm"), "html")
+        .otherwise("assets")
+    )
+
+
+def classify_path(url: Column | str) -> Column:
+    """The kind of a reference of which only the path is known; data files come first, and pages count as assets."""
     ext = F.substring(extension(url), 2, 20)
-    by_ext = F.lit("assets")
-    for kind, own in reversed(EXTENSION_KINDS.items()):
-        by_ext = F.when(ext.isin(*own), kind).otherwise(by_ext)
-    if mime is None:
-        return by_ext
-    m = F.lower(F.coalesce(mime, F.lit("")))
     return (
-        F.when(F.contains(m, F.lit("text/css")), "css").when(F.contains(m, F.lit("javascript")), "js").when(F.contains(m, F.lit("font")), "fonts").when(F.startswith(m, F.lit("image/")), "images")
-        .when(F.rlike(m, F.lit("^(audio|video)/")), "media").when(F.contains(m, F.lit("json")), "json").when(F.contains(m, F.lit("html")), "html").otherwise(by_ext)
+        F.when(_is_data_path(path(url)) | ext.isin(*fixed.DATA_EXTENSIONS), "json").when(ext.isin(*fixed.FONT_EXTENSIONS), "fonts").when(ext.isin(*fixed.IMAGE_EXTENSIONS), "images")
+        .when(ext.isin(*fixed.MEDIA_EXTENSIONS), "media").when(ext.isin(*fixed.STYLE_EXTENSIONS), "css").when(ext.isin(*fixed.SCRIPT_EXTENSIONS), "js").otherwise("assets")
     )
 
 
-def sniff(content: Column) -> Column:
-    """The type that a file's first bytes say, else null."""
+def filter_runtime_assets(df: DataFrame, url: str = "url", mime: str = "mime") -> DataFrame:
+    """Responses that a running page loads as an asset: by content type, else by extension."""
+    m = F.trim(F.lower(F.substring_index(F.coalesce(mime, F.lit("")), ";", 1)))
+    return df.where(F.rlike(m, F.lit("^(image|audio|video|font)/")) | m.isin(*fixed.RUNTIME_TYPES) | F.coalesce(F.substring(extension(url), 2, 20).isin(*fixed.RUNTIME_EXTENSIONS), F.lit(False)))
+
+
+def sniff(content: Column, url: Column | None = None, media: bool = False) -> Column:
+    """What a file is, else null: by its URL's extension, then by a hint in the query (``format``, ``fm``, ``ext``, ``type``), then by its first bytes;
+    ``media``: by the bytes first."""
     hexed = F.hex(F.substring(content, 1, 16))
     begins = lambda *x: F.rlike(hexed, F.lit("^(?:" + "|".join(x) + ")"))
     text = F.lower(F.ltrim(F.substring(content, 1, 256).cast("string")))
-    return (
+    magic = (
         F.when(begins("89504E47"), "png").when(begins("FFD8FF"), "jpg").when(begins("47494638"), "gif").when(begins("52494646.{8}57454250"), "webp").when(begins(".{8}66747970617669"), "avif")
         .when(begins("424D"), "bmp").when(begins("494433", "FFFB", "FFF3", "FFF2"), "mp3").when(F.rlike(text, F.lit(r"^(<\?xml[^>]*>\s*)?<svg")), "svg")
     )
+    if url is None:
+        return magic
+    plain = lambda x: F.when(x == "jpeg", "jpg").otherwise(x)
+    known = lambda x: F.when(x.isin(*fixed.IMAGE_EXTENSIONS, *fixed.MEDIA_EXTENSIONS), plain(x))
+    hint = F.lower(F.regexp_extract(url, r"(?i)[?&](?:format|fm|ext|type)=\.?(?:image/|audio/)?([a-z0-9]+)", 1))
+    by_name = F.coalesce(known(F.substring(extension(url), 2, 20)), known(hint))
+    return F.coalesce(magic, by_name) if media else F.coalesce(by_name, magic)
 
 
 def sniff_audit(files: DataFrame) -> DataFrame:
@@ -144,60 +140,64 @@ def sniff_audit(files: DataFrame) -> DataFrame:
 
 def normal_mode(c: Column) -> Column:
     """A queue row's mode in its one spelling, "" if unknown."""
-    own = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[-\s]+", "_")
-    for spelling, mode in MODE_SPELLINGS.items():
+    own = _mode_name(c)
+    for spelling, mode in fixed.MODE_SPELLINGS.items():
         own = F.when(own == spelling, mode).otherwise(own)
-    return F.when(own.isin(*MODES), own).otherwise("")
+    return F.when(own.isin(*fixed.MODES), own).otherwise("")
+
+
+def _mode_name(c: Column) -> Column:
+    return F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "- ", "__")
 
 
 def normalize_modes(queue: DataFrame) -> DataFrame:
-    """The queue with its modes in one spelling and what they ask for: pure, website, as_zip, engine."""
+    """The queue with its modes in one spelling and what they ask for: zip, both, pure, website, website_zip, engine."""
     m = F.col("mode")
-    out = queue.withColumn("mode", normal_mode(m))
-    return out.withColumns({"pure": F.startswith(m, F.lit("pure_")), "website": F.contains(m, F.lit("website")), "website_zip": F.contains(m, F.lit("website")) & F.endswith(m, F.lit("_zip")), "engine": F.when(F.startswith(m, F.lit("cyoap_vue")), "cyoap_vue").otherwise("standard")})
+    vue, pure = m.isin(*fixed.VUE_MODES), m.isin(*fixed.PURE_MODES)
+    flags = {"zip": m == "zip", "both": m == "both", "pure": pure, "website": m.isin(*fixed.WEBSITE_MODES) | vue | pure, "website_zip": ~m.isin(*fixed.FOLDER_MODES), "engine": F.when(vue, "cyoap_vue").otherwise("standard")}
+    return queue.withColumn("mode", normal_mode(m)).withColumns(flags)
 
 
 def classify_records(df: DataFrame) -> DataFrame:
-    """``class`` of a catalogue record: static_pages if it has page files, linked_viewer if its link is http(s), else unknown."""
+    """``class`` of a catalogue record: static_pages if it has page files, linked_viewer if one of its link fields is http(s), else unknown."""
     pages = F.coalesce(F.exists("pages", lambda x: F.trim(x) != ""), F.lit(False))
-    return df.withColumn("class", F.when(pages, "static_pages").when(F.rlike("iframe_url", F.lit("(?i)^https?://")), "linked_viewer").otherwise("unknown"))
-
-
-#: Hosts that are about a project, not the project.
-SOCIAL_SUFFIXES = ("reddit.com", "twitter.com", "x.com", "discord.com", "discord.gg", "patreon.com", "ko-fi.com", "github.com", "youtube.com", "facebook.com", "google-analytics.com", "googletagmanager.com")
+    linked = F.lit(False)
+    for field in fixed.RECORD_FIELDS:
+        if field in df.columns:
+            linked |= F.coalesce(F.rlike(F.trim(field), F.lit("(?i)^https?://")), F.lit(False))
+    return df.withColumn("class", F.when(pages, "static_pages").when(linked, "linked_viewer").otherwise("unknown"))
 
 
 def screen_candidates(df: DataFrame, column: str = "url") -> DataFrame:
     """``df`` with ``reason`` (null if allowed) and ``allowed`` of candidate links."""
     host = hostname(column)
-    social = F.lit(False)
-    for s in SOCIAL_SUFFIXES:
-        social |= (host == s) | F.endswith(host, F.lit(f".{s}"))
+    social = host.isin(*fixed.SOCIAL_HOSTS)
+    for s in fixed.SOCIAL_HOSTS:
+        social |= F.endswith(host, F.lit(f".{s}"))
+    aside = F.exists(F.array(*map(F.lit, fixed.ASIDE_TOKENS)), lambda t: F.contains(F.lower(column), t))
+    ext = F.substring(extension(column), 2, 20)
     reason = (
-        F.when(~F.rlike(column, F.lit("(?i)^https?://")), "not http").when(classify_kind(column).isin("images", "media", "fonts"), "media file").when(is_internal_host(host), "internal host")
-        .when(social, "social or repository host").when(F.rlike(column, F.lit(r"(?i)/(profile|user|docs?)(/|$)|[?&]utm_")), "profile, document or tracked link")
+        F.when(~F.coalesce(scheme(column).isin("http", "https") & (netloc(column) != ""), F.lit(False)), "not an HTTP(S) URL")
+        .when(ext.isin(*fixed.IMAGE_EXTENSIONS, *fixed.MEDIA_EXTENSIONS, *fixed.FONT_EXTENSIONS), "direct media/font asset").when(is_internal_host(host), "internal address")
+        .when(social, "repository/social/analytics host").when(aside, "profile/documentation/tracking URL")
     )
     return df.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 
 
-#: What a page says that wants to see a browser first.
-CHALLENGE_MARKERS = ("just a moment", "checking your browser", "cf-browser-verification", "cf_chl_", "challenge-platform", "attention required", "ddos protection", "turnstile", "verify you are human")
-
-#: Pairs of marks of viewers.
-VIEWER_MARKERS = (("track(", "<nav>"), ('id="app"', "project.json"), ("pointTypes", "backpack"), ("cyoap", "dist/"))
-
-
-def flag_challenges(df: DataFrame, body: str = "html") -> DataFrame:
-    head = F.lower(F.substring(body, 1, 2000))
-    return df.withColumn("challenge", F.exists(F.array(*map(F.lit, CHALLENGE_MARKERS)), lambda m: F.contains(head, m)))
+def flag_challenges(df: DataFrame, body: str = "html", mime: str = "mime", server: str = "server", ray: str = "ray") -> DataFrame:
+    """``challenge``: an HTML or JSON answer of the guarding edge (by its Server or ray header) with a marker in its first 2,000 characters."""
+    typed = F.rlike(F.coalesce(mime, F.lit("")), F.lit("text/html|application/json"))
+    edge = (F.coalesce(ray, F.lit("")) != "") | F.contains(F.lower(F.coalesce(server, F.lit(""))), F.lit("cloudflare"))
+    marked = F.exists(F.array(*map(F.lit, fixed.CHALLENGE_MARKERS)), lambda m: F.contains(F.substring(body, 1, 2000), m))
+    return df.withColumn("challenge", F.coalesce(typed & edge & marked, F.lit(False)))
 
 
-def flag_custom_viewers(pages: DataFrame, body: str = "html", pairs: Sequence[tuple[str, str]] = VIEWER_MARKERS) -> DataFrame:
-    """Pages in which both marks of a pair are."""
-    hit = F.lit(False)
+def flag_custom_viewers(pages: DataFrame, body: str = "html", pairs: Sequence[tuple[str, str]] = fixed.VIEWER_MARKERS) -> DataFrame:
+    """Pages in which both marks of a pair are, in any case of letters."""
+    low, hit = F.lower(body), F.lit(False)
     for a, b in pairs:
-        hit |= F.contains(body, F.lit(a)) & F.contains(body, F.lit(b))
-    return pages.withColumn("custom_viewer", hit)
+        hit |= F.contains(low, F.lit(a)) & F.contains(low, F.lit(b))
+    return pages.withColumn("custom_viewer", F.coalesce(hit, F.lit(False)))
 
 
 def failure_cause(error: Column) -> Column:
@@ -236,10 +236,11 @@ def normalize_policies(df: DataFrame) -> DataFrame:
 
 
 def filter_safe_labels(df: DataFrame) -> DataFrame:
-    """UI controls that may be pressed: ``df`` is (label, type, in_form, expanded)."""
-    unsafe = F.rlike("label", F.lit(r"(?i)\b(delete|remove|buy|pay|log ?in|log ?out|sign|submit|send|reset|download|share)\b"))
-    safe = F.rlike("label", F.lit(r"(?i)\b(next|more|show|open|expand|start|continue|begin|load|view)\b"))
-    return df.where(~F.col("in_form") & ~F.lower("type").isin("submit", "reset", "image") & ~unsafe & (safe | (F.col("expanded") == "false")))
+    """UI controls that may be pressed: ``df`` is (label, type, in_form, expanded). None in a form, none that sends or buys; else those that show more."""
+    label = F.trim(F.regexp_replace(F.coalesce("label", F.lit("")), r"\s+", " "))
+    sends = F.coalesce(F.col("in_form"), F.lit(False)) | F.coalesce(F.lower("type").isin("submit", "reset", "image"), F.lit(False))
+    shows = F.rlike(label, F.lit(fixed.SAFE_LABELS)) | F.coalesce(F.lower("expanded") == "false", F.lit(False))
+    return df.where(~sends & ~F.rlike(label, F.lit(fixed.UNSAFE_LABELS)) & shows)
 
 
 def classify_scripts(files: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def classify_scripts(files: DataFrame) -> DataFrame:
 
 def validate_viewers(responses: DataFrame) -> DataFrame:
     """url, ok, reason: whether a response (url, status, mime, body) is a viewer page."""
-    head = F.lower(F.substring("body", 1, 200_000))
+    head = F.lower("body")
     json = F.try_parse_json(F.col("body"))
     shaped = F.try_variant_get(json, "$.rows", "variant").isNotNull() | F.try_variant_get(json, "$.app.rows", "variant").isNotNull()
     marks = F.rlike(head, F.lit(r"id=[\"']app[\"']|pointtypes|project\.json|cyoap|<script[^>]+type=[\"']module"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.scalars import update_reason
-from lodestack.functions.urls import canonical_url, hostname, netloc, path, scheme
+from lodestack.functions.urls import cache_identity, canonical_url, hostname, netloc, path, scheme
 from lodestack.operators.extract import keep_first
 from lodestack.operators.filters import screen_candidates
 
@@ -37,8 +37,8 @@ def check_integrity(refs: DataFrame, files: DataFrame) -> DataFrame:
     bare = F.regexp_replace("ref", r"[?#].*$", "")
     from lodestack.functions.urls import without_dot_segments
 
-    near = lambda x: F.substring(without_dot_segments(F.concat(F.lit("/"), folder, x)), 2, 100_000)
-    rooted = lambda x: F.substring(without_dot_segments(F.concat(F.lit("/"), x)), 2, 100_000)
+    near = lambda x: F.regexp_replace(without_dot_segments(F.concat(F.lit("/"), folder, x)), "^/", "")
+    rooted = lambda x: F.regexp_replace(without_dot_segments(F.concat(F.lit("/"), x)), "^/", "")
     decoded = F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
     places = F.array_distinct(F.array(*[p for x in (bare, decoded) for p in (near(x), rooted(x), F.concat(F.lit("public/"), rooted(x)))]))
     tried = refs.select("package", "owner", "ref", F.explode(places).alias("path"))
@@ -122,12 +122,16 @@ def fallback_basename(unresolved: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def rewrite_refs(files: DataFrame, mapping: DataFrame, token: str = r"[A-Za-z0-9_./:%?=&#+~@\\-]+") -> DataFrame:
-    """files (path, text) with every token that ``mapping`` (old, new) knows replaced once; what comes in isn't replaced again and parts of tokens aren't."""
-    pieces = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(f"({token}|(?:(?!{token})[\\s\\S])+)"), 1)).alias("pos", "piece"))
+    """files (path, text) with every token that ``mapping`` (old, new) knows replaced once; what comes in isn't replaced again and parts of tokens aren't.
+
+    Only the different tokens of a file are joined, with those that are known; the text itself stays where it is and is put together from a map of its hits.
+    """
     known = mapping.select(F.col("old").alias("piece"), "new").union(mapping.select(F.replace("old", F.lit("/"), F.lit("\\/")), F.replace("new", F.lit("/"), F.lit("\\/")))).dropDuplicates(["piece"])
-    new = pieces.join(known, "piece", "left").select("path", "pos", F.coalesce("new", "piece").alias("piece"))
-    out = new.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    return files.drop("text").join(out, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    tokens = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({token})"), 1))).alias("piece"))
+    hits = tokens.join(known, "piece").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("piece", "new"))).alias("__hits"))
+    pieces = F.regexp_extract_all("text", F.lit(f"({token}|(?:(?!{token})[\\s\\S])+)"), 1)
+    text = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("__hits", p), p)), "")
+    return files.join(hits, "path", "left").withColumn("text", F.coalesce(F.when(F.col("__hits").isNull(), F.col("text")).otherwise(text), F.lit(""))).drop("__hits")
 
 
 def fan_out(results: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -168,3 +172,36 @@ def resolve_targets(candidates: DataFrame, validations: DataFrame) -> DataFrame:
     why = F.coalesce("screened", "reason", F.lit("not checked"))
     found = rows.groupBy("page").agg(F.min_by(F.when(good, F.col("url")), F.when(good, F.col("rank"))).alias("target"), F.sort_array(F.collect_list(F.when(~good, F.struct("rank", why.alias("why"))))).alias("bad"))
     return found.select("page", "target", F.when(F.col("target").isNull(), F.transform(F.slice("bad", F.greatest(F.size("bad") - 4, F.lit(1)), 5), lambda x: x["why"])).alias("reasons"))
+
+
+def restrict_to_reachable(files: DataFrame, reachable: DataFrame) -> DataFrame:
+    """files (path, ...) without the style files that no page reaches: ``reachable`` (path) is ``reachable_styles``'s result."""
+    style = F.rlike("path", F.lit(r"(?i)\.css$"))
+    return files.where(~style).unionByName(files.where(style).join(reachable.select("path").distinct(), "path", "left_semi"))
+
+
+def remove_localised(pending: DataFrame, localised: DataFrame) -> DataFrame:
+    """pending (url, ...) without what is at hand already, also under another spelling of the same file (``localised``: url)."""
+    known = localised.select(cache_identity("url").alias("__identity")).distinct()
+    return pending.withColumn("__identity", cache_identity("url")).join(known, "__identity", "left_anti").drop("__identity")
+
+
+def patch_media(walk: DataFrame, local: DataFrame) -> DataFrame:
+    """project_id, path, field, old, new, use_audio_url: how a project's media fields change when videos are at hand as files.
+
+    ``walk`` is the strings of projects (project_id, path, key, value), ``local`` (url, path) the files. A ``bgmId`` that is such a link, its video's id or
+    the file already is replaced, and its object then uses audio files; calls of the player in any text get the file in place of the id.
+    """
+    video = lambda c: F.regexp_extract(c, r"(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})", 1)
+    files = local.select(F.trim("url").alias("url"), F.col("path").alias("new"))
+    by_id = files.where(video(F.col("url")) != "").select(video(F.col("url")).alias("ref"), "new")
+    names = files.select(F.col("url").alias("ref"), "new").unionByName(by_id).unionByName(files.select(F.col("new").alias("ref"), "new")).groupBy("ref").agg(F.min("new").alias("new"))
+    fields = walk.where((F.lower("key") == "bgmid") & (F.trim("value") != "")).withColumn("value", F.trim("value"))
+    whole = fields.join(names.withColumnRenamed("ref", "value"), "value").select("project_id", "path", "value", "new")
+    rest = fields.join(names.select(F.col("ref").alias("value")), "value", "left_anti").withColumn("ref", video(F.col("value")))
+    linked = rest.join(names, "ref").select("project_id", "path", "value", "new")
+    patched = whole.unionByName(linked).select("project_id", "path", F.lit("bgmId").alias("field"), F.col("value").alias("old"), "new", F.lit(True).alias("use_audio_url"))
+    call = r"""(?i)playVideo\s*\(\s*['"]([A-Za-z0-9_-]{11})['"]\s*\)"""
+    calls = walk.select("project_id", "path", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(call), 1))).alias("ref"))
+    texts = calls.join(by_id.dropDuplicates(["ref"]), "ref").select("project_id", "path", F.lit("playVideo").alias("field"), F.col("ref").alias("old"), "new", F.lit(False).alias("use_audio_url"))
+    return patched.unionByName(texts)

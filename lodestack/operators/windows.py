@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from lodestack.functions import fixed
+from lodestack.shared import written
 
 
 def dedup_content(files: DataFrame, scope: str = "package", order: str = "ord") -> DataFrame:
@@ -12,22 +19,46 @@ def dedup_content(files: DataFrame, scope: str = "package", order: str = "ord")
     return files.withColumn("kept", F.when(F.col("size") > 0, F.first("path").over(w)).otherwise(F.col("path")))
 
 
-def _suffixed(path: Column, n: Column) -> Column:
-    return F.concat(F.regexp_replace(path, r"(\.[^./]+)?$", ""), F.lit("_"), n.cast("string"), F.regexp_extract(path, r"(\.[^./]+)$", 1))
+#: A path's root and extension; a name that only begins with dots has none.
+_ROOT_AND_EXTENSION = r"^((?:.*/)?\.*[^/.][^/]*?)(\.[^./]*)$"
+
+
+def assign_paths(plan: DataFrame) -> DataFrame:
+    """plan (ord, path, ...) with ``local``: in the order of ``ord`` each claimant gets its path or, if that is taken, the first free of stem_1.ext, stem_2.ext, ...
+
+    Names can only meet in a family: paths that differ in trailing _numbers of the stem. A family of one path is numbered by ranges, however many claim
+    it; the others are walked in order, and a task keeps the names of one family at a time. Ties of ``ord`` go by path.
+    """
+    extension = F.regexp_extract("path", _ROOT_AND_EXTENSION, 2)
+    root = F.when(extension == "", F.col("path")).otherwise(F.regexp_extract("path", _ROOT_AND_EXTENSION, 1))
+    rows = written(plan.withColumns({"__root": root, "__ext": extension}).withColumn("__family", F.concat(F.regexp_replace("__root", r"(_[0-9]+)+$", ""), F.lit("/"), "__ext")))
+    mixed = written(rows.groupBy("__family").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").select("__family"))
+    single = running(rows.join(mixed, "__family", "left_anti"), F.lit(1), ["ord"], ["path"]).withColumn("__n", F.col("upto") - 1)
+    single = single.withColumn("local", F.when(F.col("__n") == 0, F.col("path")).otherwise(F.concat("__root", F.lit("_"), F.col("__n").cast("string"), "__ext")))
 
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, used, following = None, set(), {}
+        for batch in batches:
+            out = []
+            for own, path, root, ext in zip(*(batch.column(c).to_pylist() for c in ("__family", "path", "__root", "__ext"))):
+                if own != family:
+                    family, used, following = own, set(), {}
+                local, n = path, following.get(path, 1)
+                while local in used:
+                    local, n = f"{root}_{n}{ext}", n + 1
+                following[path] = n
+                used.add(local)
+                out.append(local)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "local"])
 
-def assign_paths(plan: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """plan (ord, path) with ``local``: the nth claimant of a path gets ``stem_(n-1).ext``; a name that is taken then counts on, until all differ."""
-    n = F.row_number().over(Window.partitionBy(F.lower("path")).orderBy("ord")) - 1
-    rows = plan.withColumns({"n": n}).withColumn("local", F.when(F.col("n") == 0, F.col("path")).otherwise(_suffixed(F.col("path"), F.col("n"))))
-    for _ in range(most_rounds):
-        clash = F.row_number().over(Window.partitionBy(F.lower("local")).orderBy("n", "ord")) - 1
-        marked = rows.withColumn("clash", clash)
-        if not marked.where("clash > 0").limit(1).count():
-            break
-        n = F.col("n") + F.when(F.col("clash") > 0, F.count("*").over(Window.partitionBy(F.lower("path")))).otherwise(0)
-        rows = marked.withColumn("n", n).withColumn("local", F.when(F.col("n") == 0, F.col("path")).otherwise(_suffixed(F.col("path"), F.col("n")))).drop("clash")
-    return rows.drop("n")
+    walked = rows.join(mixed, "__family", "left_semi").repartition("__family").sortWithinPartitions("__family", "ord", "path")
+    walked = walked.mapInArrow(named, StructType([*walked.schema.fields, StructField("local", StringType())]))
+    return single.select(*plan.columns, "local").unionByName(walked.select(*plan.columns, "local"))
+
+
+def collisions(assigned: DataFrame) -> DataFrame:
+    """The claimants of ``assign_paths``'s result that got another name than their path."""
+    return assigned.where("local <> path")
 
 
 def first_success(attempts: DataFrame, key: str, rank: str, ok: str = "ok") -> DataFrame:
@@ -36,20 +67,53 @@ def first_success(attempts: DataFrame, key: str, rank: str, ok: str = "ok") -> D
     return attempts.where(F.col(ok)).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def _running(df: DataFrame, value: Column, order: list[str], groups: int = 64) -> DataFrame:
-    """``df`` with ``upto``, the sum of ``value`` up to each row in ``order``, over the whole table without one task for all: ranges are summed on their own,
-    then the ranges' totals (one row each) before them are added."""
-    ranged = df.withColumn("__v", value).repartitionByRange(groups, *order).withColumn("__p", F.spark_partition_id())
-    sums = ranged.groupBy("__p").agg(F.sum("__v").alias("__s"))
-    before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    own = F.sum("__v").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranged.join(F.broadcast(before), "__p").withColumn("upto", own + F.col("__b")).drop("__v", "__p", "__b")
+def running(df: DataFrame, value: Column, order: list[str], group: list[str] | None = None) -> DataFrame:
+    """``df`` with ``upto``, the sum of ``value`` up to each row in ``order``, in each ``group`` or over the whole table.
+
+    No task sees more than a range of the order: ranges are cut once and written, summed on their own, and the totals of the ranges before (one row a
+    range and group) are added. So neither a large table nor a hot group is one task.
+    """
+    group = group or []
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(df.withColumn("__v", value).repartitionByRange(n, *group, *order).withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy("__p", *group).agg(F.sum("__v").alias("__s"))
+    earlier = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__g_{c}") for c in group], F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__b"))
+    own = F.sum("__v").over(Window.partitionBy("__p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col("__p") == F.col("__q")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return ranged.withColumn("__own", own).join(before, same).withColumn("upto", F.col("__own") + F.col("__b")).select(*df.columns, "upto")
+
+
+def folded(df: DataFrame, key: str, order: list[str], columns: list[str], first: Callable[[Column], Column], again: Callable[[Column], Column], chunk: int = 4096) -> DataFrame:
+    """One row per ``key``: what its rows, in ``order``, fold to. ``first`` makes a summary of an array of rows (structs of ``order`` and ``columns``), ``again`` one
+    of an array of summaries. An array has at most ``chunk`` entries, so a hot key is many small rows until few are left."""
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def chunks(rows: DataFrame, by: list[str]) -> DataFrame:
+        ranged = written(rows.repartitionByRange(n, key, *by).withColumn("__p", F.spark_partition_id()))
+        place = F.row_number().over(Window.partitionBy("__p", key).orderBy(*by))
+        return ranged.withColumn("__c", F.floor((place - 1) / chunk))
+
+    rows = chunks(df.select(key, *order, *columns), order)
+    level = rows.groupBy(key, "__p", "__c").agg(first(F.sort_array(F.collect_list(F.struct(*order, *columns)))).alias("s"))
+    level = written(level.withColumnsRenamed({"__p": "a", "__c": "b"}))
+    while (level.groupBy(key).count().agg(F.max("count")).first()[0] or 0) > chunk:
+        level = chunks(level, ["a", "b"]).groupBy(key, "__p", "__c").agg(again(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "s"))), lambda x: x["s"])).alias("s"))
+        level = written(level.withColumnsRenamed({"__p": "a", "__c": "b"}))
+    return level.groupBy(key).agg(again(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "s"))), lambda x: x["s"])).alias("s"))
 
 
 def evict_lru(files: DataFrame, limit: int) -> DataFrame:
-    """The files (path, mtime, size) to evict, oldest first, until the rest is within ``limit`` bytes."""
+    """The files (path, mtime, size) to evict, oldest first (of one time by path), until the rest is within ``limit`` bytes."""
     total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return _running(files, F.col("size"), ["mtime", "path"]).where(F.lit(total) - (F.col("upto") - F.col("size")) > limit).drop("upto")
+    return running(files, F.col("size"), ["mtime", "path"]).where(F.lit(total) - (F.col("upto") - F.col("size")) > limit).drop("upto")
+
+
+def drop_evicted(index: DataFrame, evicted: DataFrame) -> DataFrame:
+    """The index (url, digest) without rows whose file is gone (``evicted``: sha256)."""
+    return index.join(evicted.select(F.col("sha256").alias("digest")).distinct(), "digest", "left_anti").select(*index.columns)
 
 
 def cap_scan(files: DataFrame, group: str, most: int = 3 << 20, each: int = 1 << 20) -> DataFrame:
@@ -80,14 +144,20 @@ def speed_samples(events: DataFrame, key: str = "job", least_gap: float = 0.5) -
     return events.withColumn("gap", gap).withColumn("speed", F.when(F.col("gap") >= least_gap, F.col("bytes") / F.col("gap")))
 
 
-#: Where in a job's progress each state lies.
-STAGE_BANDS = {"queued": 0.0, "starting": 0.02, "discovering": 0.05, "downloading": 0.15, "processing": 0.85, "packaging": 0.93, "verifying": 0.97, "completed": 1.0}
+def stage_progress(state: Column, finished: Column, total: Column) -> Column:
+    """How far a job in a state is: in the states that load files its share of them in the state's band, else the band's middle, or its end if it has no width."""
+    bands = F.create_map(*[x for name, (a, b) in fixed.STAGE_BANDS.items() for x in (F.lit(name), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    band = F.coalesce(F.try_element_at(bands, F.upper(F.coalesce(state, F.lit("IDLE")))), F.struct(F.lit(0.0).alias("a"), F.lit(0.995).alias("b")))
+    share = F.when(total > 0, F.least(F.greatest(finished / F.when(total > 0, total), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    loads = F.upper(state).isin("DOWNLOADING", "RETRYING")
+    return F.when(loads, band["a"] + (band["b"] - band["a"]) * share).when(band["a"] != band["b"], (band["a"] + band["b"]) / 2).otherwise(band["b"])
 
 
-def job_progress(events: DataFrame, key: str = "job", value: str = "progress") -> DataFrame:
-    """``events`` with ``shown``, the progress so far: it never goes back."""
+def job_progress(events: DataFrame, key: str = "job", value: str | None = None) -> DataFrame:
+    """``events`` (job, ts, state, finished, total) with ``shown``, the progress so far: it never goes back. ``value``: a column that has it already."""
     w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("shown", F.max(value).over(w))
+    own = F.col(value) if value else stage_progress(F.col("state"), F.coalesce("finished", F.lit(0)), F.coalesce("total", F.lit(0)))
+    return events.withColumn("shown", F.least(F.max(own).over(w), F.lit(1.0)))
 
 
 def job_latest(events: DataFrame, columns: list[str], key: str = "job") -> DataFrame:
@@ -115,9 +185,51 @@ def rank_members(members: DataFrame) -> DataFrame:
 
 
 def domain_backoff(attempts: DataFrame, base: float = 2.0, most: float = 300.0) -> DataFrame:
-    """domain, attempts, backoff after a domain's attempts (domain, ts, ok): failures start at ``base`` and double up to ``most``, a success halves."""
-    folded = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("ts", "ok"))), F.lit(0.0),
-        lambda b, x: F.when(x["ok"], b / 2).otherwise(F.least(F.lit(most), F.when(b > 0, b * 2).otherwise(base))),
-    )
-    return attempts.groupBy(F.lower("domain").alias("domain")).agg(F.count("*").alias("attempts"), folded.alias("backoff"))
+    """domain, attempts, backoff, fails after a domain's attempts (domain, ts, ok): a failure starts the backoff at ``base`` or doubles it up to ``most``, a
+    success halves it and takes one off the count of fails.
+
+    A run of attempts maps a positive backoff b to min(c, k b), none to z, and a count f to max(m, f + d); runs of bounded length are folded on their own.
+    """
+    rows = attempts.select(F.lower("domain").alias("domain"), "ts", F.col("ok").cast("boolean").alias("ok"))
+    start = F.struct(F.lit(1.0).alias("k"), F.lit(float("inf")).alias("c"), F.lit(0.0).alias("z"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        z = F.when(x["ok"], s["z"] / 2).when(s["z"] > 0, F.least(F.lit(most), s["z"] * 2)).otherwise(base)
+        k, c = F.when(x["ok"], s["k"] / 2).otherwise(s["k"] * 2), F.when(x["ok"], s["c"] / 2).otherwise(F.least(F.lit(most), s["c"] * 2))
+        move = F.when(x["ok"], -1).otherwise(1)
+        m = F.when(x["ok"], F.greatest(s["m"] - 1, F.lit(0))).otherwise(s["m"] + 1)
+        return F.struct(k.alias("k"), c.alias("c"), z.alias("z"), (s["d"] + move).alias("d"), m.alias("m"), (s["n"] + 1).alias("n"))
+
+    def join(s: Column, t: Column) -> Column:
+        z = F.when(s["z"] > 0, F.least(t["c"], t["k"] * s["z"])).otherwise(t["z"])
+        c = F.least(t["c"], F.when(s["c"] == float("inf"), F.lit(float("inf"))).otherwise(t["k"] * s["c"]))
+        return F.struct((s["k"] * t["k"]).alias("k"), c.alias("c"), z.alias("z"), (s["d"] + t["d"]).alias("d"), F.greatest(t["m"], s["m"] + t["d"]).alias("m"), (s["n"] + t["n"]).alias("n"))
+
+    out = folded(rows, "domain", ["ts"], ["ok"], lambda xs: F.aggregate(xs, start, step), lambda xs: F.aggregate(xs, start, join))
+    return out.select("domain", F.col("s.n").alias("attempts"), F.col("s.z").alias("backoff"), F.col("s.m").alias("fails"))
+
+
+def ewma_by(samples: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.25) -> DataFrame:
+    """key, n, smoothed: the smoothed value after a key's samples. A bad sample counts as 0; a smoothed value that isn't positive starts anew.
+
+    A run of samples maps a positive value v to q v + w, and none to z; runs of bounded length are folded on their own.
+    """
+    a = min(1.0, max(0.01, alpha))
+    start = F.struct(F.lit(1.0).alias("q"), F.lit(0.0).alias("w"), F.lit(0.0).alias("z"), F.lit(0).cast("long").alias("n"))
+    x = F.col(value).cast("double")
+    rows = samples.withColumn("__x", F.when(x.isNull() | F.isnan(x) | (x < 0), 0.0).otherwise(x))
+    step = lambda s, r: F.struct((s["q"] * (1 - a)).alias("q"), (s["w"] * (1 - a) + a * r["__x"]).alias("w"), F.when(s["z"] > 0, s["z"] * (1 - a) + a * r["__x"]).otherwise(r["__x"]).alias("z"), (s["n"] + 1).alias("n"))
+    join = lambda s, t: F.struct((s["q"] * t["q"]).alias("q"), (s["w"] * t["q"] + t["w"]).alias("w"), F.when(s["z"] > 0, s["z"] * t["q"] + t["w"]).otherwise(t["z"]).alias("z"), (s["n"] + t["n"]).alias("n"))
+    out = folded(rows, key, order, ["__x"], lambda xs: F.aggregate(xs, start, step), lambda xs: F.aggregate(xs, start, join))
+    return out.select(key, F.col("s.n").alias("n"), F.col("s.z").alias("smoothed"))
+
+
+def request_slots(attempts: DataFrame, gap: float = 0.3) -> DataFrame:
+    """``attempts`` (domain, ts, backoff seconds) with ``slot`` and ``wait``: the second in which a request may go out, at least ``gap`` after the domain's one
+    before and not before its backoff is over. In order n the slot is gap n + the largest of (now + backoff - gap i) up to n: a running maximum."""
+    now = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    w = Window.partitionBy("domain").orderBy("ts")
+    rows = attempts.withColumns({"__now": now, "__n": F.row_number().over(w)})
+    ready = F.col("__now") + F.greatest(F.coalesce("backoff", F.lit(0.0)), F.lit(0.0)) - gap * F.col("__n")
+    slot = F.max(ready).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + gap * F.col("__n")
+    return rows.withColumn("slot", slot).withColumn("wait", F.col("slot") - F.col("__now")).drop("__now", "__n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions.scalars import ewma, format_duration
+from lodestack.functions.scalars import format_duration
 from lodestack.operators import aggregates as agg
 from lodestack.operators import windows as wi
 from lodestack.plans.base import Query, register, table
@@ -41,38 +41,30 @@ def job_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_q("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT user_id, k, CASE WHEN value < 0 THEN 0.0::DOUBLE ELSE value END AS s FROM o WHERE k = 1
 UNION ALL SELECT o.user_id, o.k, CASE WHEN r.s <= 0 THEN greatest(o.value, 0) ELSE 0.28::DOUBLE * greatest(o.value, 0) + 0.72::DOUBLE * r.s END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT user_id AS job, round(arg_max(s, k), 4) AS speed, max(k) AS n FROM r GROUP BY 1""")
 def ewma_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "bytes"))), lambda x: x["bytes"])
-    return _events(spark, sf_dir).groupBy("job").agg(F.round(ewma(values, 0.28), 4).alias("speed"), F.count("*").alias("n"))
+    return wi.ewma_by(_events(spark, sf_dir), "job", "bytes", ["ts", "event_id"], 0.28).select("job", F.round("smoothed", 4).alias("speed"), "n")
 
 
-@_q("""WITH RECURSIVE o AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT user_id, k, CASE WHEN ok THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS b FROM o WHERE k = 1
-UNION ALL SELECT o.user_id, o.k, CASE WHEN o.ok THEN r.b / 2 ELSE least(300.0::DOUBLE, CASE WHEN r.b > 0 THEN r.b * 2 ELSE 2.0::DOUBLE END) END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT user_id::VARCHAR AS domain, max(k) AS attempts, round(arg_max(b, k), 6) AS backoff FROM r GROUP BY 1""")
+@_q("""WITH RECURSIVE o AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT user_id, k, CASE WHEN ok THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS b, CASE WHEN ok THEN 0 ELSE 1 END AS f FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.k, CASE WHEN o.ok THEN r.b / 2 ELSE least(300.0::DOUBLE, CASE WHEN r.b > 0 THEN r.b * 2 ELSE 2.0::DOUBLE END) END, CASE WHEN o.ok THEN greatest(r.f - 1, 0) ELSE r.f + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT user_id::VARCHAR AS domain, max(k) AS attempts, round(arg_max(b, k), 6) AS backoff, arg_max(f, k)::BIGINT AS fails FROM r GROUP BY 1""")
 def domain_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     attempts = e.select(F.col("job").cast("string").alias("domain"), F.struct("ts", "event_id").alias("ts"), (F.col("type") != "error").alias("ok"))
     return wi.domain_backoff(attempts).withColumn("backoff", F.round("backoff", 6))
 
 
-@_q("""WITH o AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), s AS (SELECT user_id, k, t, max(t - 0.3::DOUBLE * k) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING) + 0.3::DOUBLE * k AS slot FROM o)
-SELECT user_id AS job, count(*) AS n, round(max(slot - t), 3) AS longest_wait FROM s GROUP BY 1""")
+@_q("""WITH o AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, (event_id % 7) * 400::DOUBLE AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), s AS (SELECT user_id, k, t, max(t + b - 0.3::DOUBLE * k) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING) + 0.3::DOUBLE * k AS slot FROM o)
+SELECT user_id AS domain, count(*) AS n, round(max(slot - t), 3) AS longest_wait FROM s GROUP BY 1""")
 def request_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots at least 0.3 s apart: slot k is the latest of t_j + 0.3 (k - j) over j <= k, a running maximum."""
-    from pyspark.sql import Window
+    rows = _events(spark, sf_dir).select(F.col("job").alias("domain"), "ts", ((F.col("event_id") % 7) * 400.0).alias("backoff"))
+    return wi.request_slots(rows).groupBy("domain").agg(F.count("*").alias("n"), F.round(F.max("wait"), 3).alias("longest_wait"))
 
-    w = Window.partitionBy("job").orderBy("ts", "event_id")
-    t = F.unix_micros("ts") / 1e6
-    rows = _events(spark, sf_dir).withColumns({"t": t, "k": F.row_number().over(w)})
-    slot = F.max(F.col("t") - 0.3 * F.col("k")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 0.3 * F.col("k")
-    return rows.withColumn("wait", slot - F.col("t")).groupBy("job").agg(F.count("*").alias("n"), F.round(F.max("wait"), 3).alias("longest_wait"))
 
-
-_BAND = "CASE event_type WHEN 'signup' THEN 0.02 WHEN 'view' THEN 0.05 WHEN 'click' THEN 0.15 WHEN 'error' THEN 0.85 ELSE 1.0 END"
-
-
-@_q(f"SELECT event_id, max({_BAND}::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS shown FROM events")
+@_q("""WITH p AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 0.025 WHEN 'view' THEN 0.175 WHEN 'click' THEN 0.25 + 0.6 * least(event_id % 12 / 10, 1) WHEN 'error' THEN 0.25 WHEN 'purchase' THEN 0.9825 END::DOUBLE AS v FROM events)
+SELECT event_id, round(max(v) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS shown FROM p""")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    band = F.when(F.col("type") == "signup", 0.02).when(F.col("type") == "view", 0.05).when(F.col("type") == "click", 0.15).when(F.col("type") == "error", 0.85).otherwise(1.0)
-    return wi.job_progress(_events(spark, sf_dir).withColumn("progress", band)).select("event_id", "shown")
+    state = F.when(F.col("type") == "signup", "resolving").when(F.col("type") == "view", "DISCOVERING_ASSETS").when(F.col("type") == "click", "DOWNLOADING").when(F.col("type") == "error", "RETRYING").otherwise("PACKAGING")
+    rows = _events(spark, sf_dir).withColumns({"state": state, "finished": F.col("event_id") % 12, "total": F.when(F.col("type") == "click", 10)})
+    return wi.job_progress(rows).select("event_id", F.round("shown", 6).alias("shown"))
 
 
 @_q("SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS last_error FROM events")
@@ -104,10 +96,13 @@ def result_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.summarise_results(_events(spark, sf_dir).withColumn("status", status), "job")
 
 
-@_q("SELECT user_id AS page, count(*) FILTER (event_type = 'view') AS discovered, count(*) FILTER (event_type = 'purchase') AS downloaded, count(*) FILTER (event_type = 'error') AS failed, count(*) AS steps FROM events GROUP BY 1")
+@_q("SELECT user_id AS page, count(*) FILTER (event_type = 'signup' AND event_id % 2 = 0) AS ads, count(*) FILTER (event_type = 'signup' AND event_id % 2 = 1) AS loops, count(*) FILTER (event_type = 'view') AS discovered, count(*) FILTER (event_type = 'purchase') AS downloaded, count(*) FILTER (event_type = 'error') AS failed, count(*) AS steps FROM events GROUP BY 1")
 def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("type") == "view", "discovered").when(F.col("type") == "purchase", "downloaded").when(F.col("type") == "error", "failed")
-    return agg.summarise_capture(_events(spark, sf_dir).select(F.col("job").alias("page"), kind.alias("type")))
+    kind = F.when(F.col("type") == "view", "discovered").when(F.col("type") == "purchase", "downloaded").when(F.col("type") == "error", "failed").when(F.col("type") == "signup", "blocked")
+    reason = F.when(F.col("event_id") % 2 == 0, "ads").otherwise("loops")
+    out = agg.summarise_capture(_events(spark, sf_dir).select(F.col("job").alias("page"), kind.alias("type"), reason.alias("reason")), reason="reason")
+    n = lambda r: F.coalesce(F.try_element_at("blocked", F.lit(r)), F.lit(0)).cast("long").alias(r)
+    return out.select("page", n("ads"), n("loops"), "discovered", "downloaded", "failed", "steps")
 
 
 @_q("SELECT user_id AS job, arg_min(event_type, ts) AS type FROM events GROUP BY 1")
@@ -127,7 +122,8 @@ def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("job").agg(format_duration(s).alias("took"))
 
 
-@_q("""WITH w AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) AS start, sum(value) AS bytes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS spent FROM events GROUP BY 1) SELECT start, round(bytes, 4) AS bytes, round(greatest(bytes / 50.0::DOUBLE - spent, 0), 4) AS excess FROM w""")
+@_q("""WITH g AS (SELECT ts, value, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), w AS (SELECT min(ts) AS start, sum(value) AS bytes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS spent FROM s GROUP BY k)
+SELECT start, round(bytes, 4) AS bytes, round(greatest(bytes / 0.1::DOUBLE - spent, 0), 4) AS excess FROM w""")
 def bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = st.bandwidth_excess(_events(spark, sf_dir), 50.0)
+    w = st.bandwidth_excess(_events(spark, sf_dir), 0.1, idle="5 minutes")
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("bytes", 4).alias("bytes"), F.round("excess", 4).alias("excess"))

@@ -49,9 +49,6 @@ def most_linked_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy(u.hostname("page_url").alias("host"), F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("target")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-SQL["most_linked_routes"] = f"""WITH l AS ({_LINKS}) SELECT host, raw AS target, count(*) AS n, count(DISTINCT page_id) AS pages FROM l WHERE {_GOOD} GROUP BY ALL"""
-
-
 @_q(f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY ALL")
 def pages_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.filter_http(table(spark, sf_dir, "pages"), "url").groupBy(u.hostname("url").alias("host")).agg(F.count("*").alias("n"))
@@ -128,18 +125,6 @@ def scope_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jo.scope_pages(p, seeds).select(F.col("seed_id").alias("seed"), "page_id")
 
 
-_FOLDERS = ", ".join(f"({a}, '{b}')" for a, b in enumerate(ex.DATA_FOLDERS))
-_FILES = ", ".join(f"({a}, '{b}')" for a, b in enumerate(ex.DATA_FILES))
-
-
-@_q(f"""WITH p AS (SELECT DISTINCT url, {_SCHEME} || '://' || {_HOST} AS origin, list_filter(string_split(regexp_replace({_PATH}, '[^/]*$', ''), '/'), lambda x: x <> '') AS parts FROM pages),
-a AS (SELECT url, origin, parts, unnest(range(0, len(parts) + 1)) AS up FROM p), f AS (SELECT url, up, origin || '/' || array_to_string(list_transform(parts[1:len(parts) - up], lambda x: x || '/'), '') AS folder FROM a),
-d(d, dn) AS (VALUES {_FOLDERS}), n(n, nn) AS (VALUES {_FILES}), c AS (SELECT url, folder || dn || nn AS candidate, min(up * 30 + d * 5 + n) AS rank FROM f, d, n GROUP BY 1, 2)
-SELECT candidate, count(*) AS n, min(rank) AS best FROM c GROUP BY 1""")
-def default_candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.default_candidates(table(spark, sf_dir, "pages")).groupBy("candidate").agg(F.count("*").alias("n"), F.min("rank").alias("best"))
-
-
 @_q(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT CASE WHEN host = 'therin.example.net' THEN 'exact' WHEN host LIKE 'm.%' AND FALSE THEN '' WHEN host LIKE '%.example.org' OR host = 'example.org' THEN 'org' WHEN host LIKE '%.net' THEN 'net' ELSE 'default' END AS headers, count(*) AS n, min(page_id) AS first FROM h GROUP BY 1""")
 def host_header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = spark.createDataFrame([("therin.example.net", "exact")], "host string, headers string")
@@ -157,17 +142,10 @@ def viewer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jo.match_viewer(table(spark, sf_dir, "pages"), _VIEWERS)
 
 
-@_q(f"""WITH l AS ({_LINKS}), r AS (SELECT page_id, count(DISTINCT raw) AS routes FROM l WHERE {_GOOD} GROUP BY 1),
-s AS (SELECT p.page_id, least(len(regexp_extract_all(html, '(?i)type=["'']module')), 1) + least(len(regexp_extract_all(html, '(?i)\\b(?:loading=["'']lazy|data-src)')), 1) + regexp_matches(html, '(?i)id=["''](?:root|app|__next)["'']')::INT + contains(html, '/_next/')::INT + least(len(regexp_extract_all(html, '(?i)<canvas')), 1) AS score, coalesce(routes, 0) AS routes FROM pages p LEFT JOIN r USING (page_id))
-SELECT page_id, CASE WHEN score >= 2 THEN 'browser' WHEN routes > 0 THEN 'smart' ELSE 'classic' END AS strategy FROM s""")
-def site_profile_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return agg.plan_archive(agg.profile_signals(p, ex.extract_links(p)))
-
-
-@_q(f"""WITH l AS ({_LINKS}) SELECT raw AS url, count(DISTINCT page_id) AS n FROM l WHERE {_GOOD} GROUP BY 1""")
+@_q(f"""WITH l AS ({_LINKS}) SELECT raw AS url, count(DISTINCT page_id) AS n, array_to_string(list_sort(list_distinct(list(page_id)))[1:50], ',') AS owners FROM l WHERE {_GOOD} GROUP BY 1""")
 def reference_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.ref_sources(ex.extract_links(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("owner"), F.col("raw").alias("url")))
+    found = agg.ref_sources(ex.extract_links(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("owner"), F.col("raw").alias("url")), 50)
+    return found.withColumn("owners", F.array_join("owners", ","))
 
 
 @_q(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages) SELECT length(body) AS size, count(*) AS n, count(DISTINCT page_id) AS pages FROM s GROUP BY 1""")
@@ -176,42 +154,7 @@ def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.length("body").alias("size")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@_q(f"""SELECT page_id FROM pages WHERE NOT ends_with({_HOST}, '.net') AND {_HOST} NOT LIKE 'm.%.com' AND {_HOST} <> 'therin.example.com'""")
-def without_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    kept = fl.drop_telemetry_hosts(p, "url", hosts=("therin.example.com",), suffixes=(".net",))
-    return kept.where(~F.rlike(u.hostname("url"), F.lit(r"^m\..*\.com$"))).select("page_id")
-
-
-@_q(f"""SELECT CASE WHEN regexp_matches(url, '(?i)/(profile|user|docs?)(/|$)|[?&]utm_') THEN 'profile, document or tracked link' ELSE 'allowed' END AS verdict, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1""")
-def screened_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fl.screen_candidates(table(spark, sf_dir, "pages"))
-    return s.groupBy(F.coalesce("reason", F.lit("allowed")).alias("verdict")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-
-
-@_q("""SELECT (contains(html, 'track(') AND contains(html, '<nav>')) AS custom_viewer, regexp_matches(lower(left(html, 2000)), 'just a moment|checking your browser|cf-browser-verification|cf_chl_|challenge-platform|attention required|ddos protection|turnstile|verify you are human') AS challenge, count(*) AS n FROM pages GROUP BY ALL""")
-def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fl.flag_challenges(fl.flag_custom_viewers(table(spark, sf_dir, "pages"), pairs=(("track(", "<nav>"),)))
-    return p.groupBy("custom_viewer", "challenge").agg(F.count("*").alias("n"))
-
-
 @_q(f"""WITH l AS ({_LINKS}), o AS (SELECT DISTINCT page_id, raw FROM l WHERE {_GOOD}), n AS (SELECT page_id, raw, row_number() OVER (PARTITION BY page_id ORDER BY raw) AS n, count(*) OVER (PARTITION BY page_id) AS c FROM o) SELECT page_id, raw, n, greatest(c - 3, 0) AS more FROM n WHERE n <= 3""")
 def first_links_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = ex.extract_links(table(spark, sf_dir, "pages")).select("page_id", "raw").distinct()
     return cap_per_group(links, "page_id", ["raw"], 3)
-
-
-@_q(f"""WITH l AS ({_LINKS}) SELECT page_id, min(raw) AS first_raw, count(*) AS n FROM l WHERE {_GOOD} AND NOT regexp_matches(raw, '(?i)/(?:api|auth|login|logout|signin|signup|register|account|admin)(?:/|$)') GROUP BY 1""")
-def links_in_story(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = ex.extract_links(table(spark, sf_dir, "pages")).withColumn("seed", F.concat(u.scheme("page_url"), F.lit("://"), u.netloc("page_url"), F.lit("/")))
-    return fl.filter_scope(links).groupBy("page_id").agg(F.min("raw").alias("first_raw"), F.count("*").alias("n"))
-
-
-@_q("""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)url\\(\\s*["'']?([^"'')]+?)["'']?\\s*\\)', 1)) AS raw FROM pages) SELECT raw, count(DISTINCT page_id) AS n FROM u WHERE NOT regexp_matches(raw, '(?i)^(data:|#)') GROUP BY 1""")
-def css_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.extract_css_refs(table(spark, sf_dir, "pages"), "html", keep=("page_id",)).groupBy("raw").agg(F.count_distinct("page_id").alias("n"))
-
-
-@_q(f"""WITH p AS (SELECT {_HOST} AS host, {_PATH} AS path FROM pages) SELECT CASE WHEN regexp_matches(lower(path), '\\.html?$') THEN 'html' ELSE 'assets' END AS kind, count(*) AS n, count(DISTINCT host) AS hosts FROM p GROUP BY 1""")
-def kinds_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(fl.classify_kind("url").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct(u.hostname("url")).alias("hosts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.plans import events, files, pages, tables
+from lodestack.plans import derived, events, files, pages, tables
 
-QUERIES = {**pages.QUERIES, **files.QUERIES, **events.QUERIES, **tables.QUERIES}
-SQL = {**pages.SQL, **files.SQL, **events.SQL, **tables.SQL}
+QUERIES = {**pages.QUERIES, **files.QUERIES, **events.QUERIES, **tables.QUERIES, **derived.QUERIES}
+SQL = {**pages.SQL, **files.SQL, **events.SQL, **tables.SQL, **derived.SQL}

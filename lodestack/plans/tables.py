@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import aggregates as agg
 from lodestack.operators import joins as jo
-from lodestack.operators.iterate import crawl_routes
+from lodestack.operators.iterate import crawl_routes, resume_crawl
 from lodestack.operators.windows import cap_per_group, rank_scripts
 from lodestack.plans.base import Query, register, table
 from lodestack.shared import written
@@ -86,10 +86,22 @@ def script_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_scripts(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
 
 
-@_q("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity >= 50), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT 's1' AS url, 0 AS depth UNION SELECT g.b, r.depth + 1 FROM r JOIN g ON g.a = r.url WHERE r.depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY 1""")
+@_q("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT 's1' AS url, 0 AS depth UNION SELECT g.b, r.depth + 1 FROM r JOIN g ON g.a = r.url WHERE r.depth < 12) SELECT url, min(depth) AS depth FROM r GROUP BY 1""")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
+    """The whole graph of suppliers and parts, to its end; the SQL stops after 12 steps, more than it has."""
     s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
+    li = table(spark, sf_dir, "lineitem")
     one = li.select(s.alias("url"), p.alias("target")).unionByName(li.select(p.alias("url"), s.alias("target"))).distinct().withColumn("ord", F.lit(0))
-    found, _ = crawl_routes(written(one), spark.createDataFrame([("s1",)], "url string"), max_depth=4)
+    found, _ = crawl_routes(written(one), spark.createDataFrame([("s1",)], "url string"), max_depth=1000)
     return found.select("url", "depth")
+
+
+@_q("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), have AS (SELECT DISTINCT a FROM g WHERE starts_with(a, 's') AND substr(a, 2)::INT % 2 = 0),
+r AS (SELECT DISTINCT g.b AS url, 0 AS depth FROM g JOIN have USING (a) WHERE g.b NOT IN (SELECT a FROM have) UNION SELECT g.b, r.depth + 1 FROM r JOIN g ON g.a = r.url WHERE r.depth < 12 AND g.b NOT IN (SELECT a FROM have))
+SELECT url, min(depth) AS depth FROM r GROUP BY 1 UNION ALL SELECT a, -1 FROM have""")
+def resumed_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
+    li = table(spark, sf_dir, "lineitem")
+    one = written(li.select(s.alias("url"), p.alias("target")).unionByName(li.select(p.alias("url"), s.alias("target"))).distinct().withColumn("ord", F.lit(0)))
+    have = one.where("url like 's%' and cast(substr(url, 2) as int) % 2 = 0").select("url").distinct()
+    return resume_crawl(one, have, max_depth=1000)[0].select("url", "depth")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.scalars import project_score, project_text_score
+from lodestack.functions.scalars import project_score
 
 #: Names of a queue's columns.
 HEADER_ALIASES = {"url": ("url", "link", "urls", "links"), "filename": ("filename", "name", "output", "title", "file"), "mode": ("mode", "output_mode", "type")}
@@ -54,18 +55,23 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_package(spark: SparkSession, root: str, manifest: str = "checksums.json") -> DataFrame:
-    """path, size, sha256, mtime, content of every file under ``root`` but the manifest."""
-    base = root.rstrip("/") + "/"
+    """path, size, sha256, mtime of every file under ``root`` but the manifest."""
+    base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/")) + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    rel = F.substring(path, len(base) + 1, 100_000)
-    return files.select(rel.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"), "content").where(F.col("path") != manifest)
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base), "")
+    return files.select(rel.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime")).where(F.col("path") != manifest)
+
+
+def _json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """v (variant; null if it can't be read): each file is a JSON document, or has one a line."""
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("whole"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = F.when(F.col("whole").isNull() & (F.size("lines") > 1), F.transform("lines", F.try_parse_json)).otherwise(F.array("whole"))
+    return text.select(F.explode(lines).alias("v"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows path, sha256, size) and (issues) of a manifest's ``files``."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    files = text.select(F.try_variant_get("v", "$.files", "variant").alias("files"))
+    files = _json_documents(spark, path).select(F.try_variant_get("v", "$.files", "variant").alias("files"))
     files.createOrReplaceTempView("lodestack_manifest")
     rows = spark.sql("SELECT e.key AS path, schema_of_variant(e.value) AS kind, e.value AS value FROM lodestack_manifest, LATERAL variant_explode(files) AS e")
     good = F.startswith("kind", F.lit("OBJECT"))
@@ -75,7 +81,7 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def _keyed(spark: SparkSession, path: str, view: str) -> DataFrame:
-    spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).createOrReplaceTempView(view)
+    _json_documents(spark, path).createOrReplaceTempView(view)
     return spark.sql(f"SELECT e.key AS key, e.value AS value, schema_of_variant(e.value) AS kind FROM {view}, LATERAL variant_explode(v) AS e")
 
 
@@ -91,9 +97,10 @@ def read_cache_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_resume(spark: SparkSession, path: str) -> DataFrame:
-    """url, state (completed or failed) of a saved run; what isn't text goes."""
-    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    parts = [v.select(F.explode(F.try_variant_get("v", f"$.{s}", "array<variant>")).alias("x")).where(F.schema_of_variant("x") == "STRING").select(F.try_variant_get("x", "$", "string").alias("url"), F.lit(s).alias("state")) for s in ("completed", "failed")]
+    """url, state (completed or failed), updated_at of a saved run; what isn't text goes."""
+    v = _json_documents(spark, path)
+    at = F.try_variant_get("v", "$.updated_at", "string").alias("updated_at")
+    parts = [v.select(F.explode(F.try_variant_get("v", f"$.{s}", "array<variant>")).alias("x"), at).where(F.schema_of_variant("x") == "STRING").select(F.try_variant_get("x", "$", "string").alias("url"), F.lit(s).alias("state"), "updated_at") for s in ("completed", "failed")]
     return parts[0].unionByName(parts[1])
 
 
@@ -106,8 +113,9 @@ def read_failures(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("section").try_cast("timestamp").alias("section"), F.trim(F.get("p", F.lit(0))).alias("url"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("error"))
 
 
-def explode_archives(files: DataFrame, depth: int = 2) -> DataFrame:
-    """archive, member, is_dir, file_size, compress_size of the ZIP files in (path, content), and of ZIPs in them down to ``depth``."""
+def explode_archives(files: DataFrame, depth: int = 2, largest: int = 512 << 20) -> DataFrame:
+    """archive, member, is_dir, file_size, compress_size of the ZIP files in (path, content), and of ZIPs in them down to ``depth``; an inner ZIP of over
+    ``largest`` bytes is a member like others. One archive's content is in memory at a time."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows(name: str, data: bytes, level: int) -> list[tuple]:
@@ -116,7 +124,7 @@ def explode_archives(files: DataFrame, depth: int = 2) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     for i in z.infolist():
                         out.append((name, i.filename, i.is_dir(), i.file_size, i.compress_size))
-                        if level < depth and i.filename.lower().endswith(".zip") and i.file_size <= 512 << 20:
+                        if level < depth and i.filename.lower().endswith(".zip") and i.file_size <= largest:
                             out += rows(f"{name}!{i.filename}", z.read(i), level + 1)
             except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
                 pass
@@ -133,7 +141,7 @@ def read_projects(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``payload`` (variant) for rows whose text is a project's JSON, or holds one between its first and last brace."""
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     rows = df.withColumn("payload", F.coalesce(F.try_parse_json(text), F.try_parse_json(inner)))
-    return rows.where((project_score(F.col("payload")) >= 4) & (project_text_score(F.col(text)) >= 1))
+    return rows.where(project_score(F.col("payload")) >= 4)
 
 
 def read_library(df: DataFrame) -> DataFrame:
@@ -145,18 +153,39 @@ def read_telemetry_stream(spark: SparkSession, path: str, schema: str = "event_i
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-#: What a log line says, in the order to look for it: pattern, event type, state.
-LOG_RULES = (("all done|finished successfully", "job_completed", "completed"), ("cancel", "job_cancelled", "cancelled"), ("error|failed", "asset_failed", None), ("zipping|packag", "state", "packaging"), ("verify", "state", "verifying"), ("download", "state", "downloading"), ("scan|discover", "state", "discovering"))
+#: What a log line says of a job's state, in the order to look for it.
+LOG_STATES = (
+    ("RESOLVING", "resolving project source|project search start|cyoa\\.cafe detected"), ("FETCHING_ENTRY", "fetching page html|website download started"),
+    ("DISCOVERING_ASSETS", "(?s)deep scan|candidate\\(s\\)|found .*asset|asset.*found "), ("REWRITING", "re-analysed:|rewrit|localiz"), ("VERIFYING", "integrity check|verification"),
+    ("PACKAGING", "zip created|saving:|finaliz|packag"),
+)
 
 
 def parse_log_events(df: DataFrame, column: str = "line") -> DataFrame:
-    """``df`` with a row (type, state, name, done, total) per event of a log line; ``[done/total] name`` is a finished file and, first, a discovered one."""
-    pattern = r"\[(\d+)/(\d+)\]\s*(.*)$"
-    done, total, name = (F.regexp_extract(column, pattern, g) for g in (1, 2, 3))
-    kind, state = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for p, k, s in reversed(LOG_RULES):
-        hit = F.rlike(F.lower(column), F.lit(p))
-        kind, state = F.when(hit, k).otherwise(kind), F.when(hit, F.lit(s)).otherwise(state)
-    one = lambda t, s: F.struct(t.alias("type"), s.alias("state"), F.when(done != "", name).alias("name"), done.try_cast("int").alias("done"), total.try_cast("int").alias("total"))
-    events = F.when(done != "", F.array(one(F.lit("asset_discovered"), F.lit(None).cast("string")), one(F.lit("file_completed"), F.lit("downloading")))).when(kind.isNotNull(), F.array(one(kind, state)))
+    """``df`` with a row (type, state, name, done, total, error) per event of a log line.
+
+    A state's words make ``stage_changed``, else a retry ``file_retry``, else "asset:" ``file_completed``. ``[done/total] name`` overrides these: ``asset_discovered``
+    with the total, then ``file_completed``, or ``file_failed`` where the line has a cross or says so.
+    """
+    c, low = F.col(column), F.lower(column)
+    pattern = r"\[(\d+)\s*/\s*(\d+)\]\s*(?:✓|✗|FAILED|OK)?\s*(.*)"
+    done, total = (F.regexp_extract(c, pattern, g) for g in (1, 2))
+    name = F.trim(F.regexp_extract(c, pattern, 3))
+    none = F.lit(None).cast("string")
+
+    def one(kind: Column, state: Column = none, own: Column = none, error: Column = none, at: Column = none, of: Column = none) -> Column:
+        return F.struct(kind.alias("type"), state.alias("state"), own.alias("name"), at.try_cast("int").alias("done"), of.try_cast("int").alias("total"), error.alias("error"))
+
+    state = none
+    for s, p in reversed(LOG_STATES):
+        state = F.when(F.rlike(low, F.lit(p)), s).otherwise(state)
+    retry = F.contains(low, F.lit("retry")) & F.rlike(low, F.lit("attempt|backoff"))
+    asset = F.trim(F.substring_index(c, "Asset:", -1))
+    said_failed = F.contains(low, F.lit("failed"))
+    failed = said_failed | F.contains(c, F.lit("✗"))
+    counted = F.array(one(F.lit("asset_discovered"), of=total), one(F.when(failed, "file_failed").otherwise("file_completed"), own=name, error=F.when(said_failed, c).otherwise(""), at=done))
+    events = (
+        F.when(done != "", counted).when(state.isNotNull(), F.array(one(F.lit("stage_changed"), state))).when(retry, F.array(one(F.lit("file_retry"))))
+        .when(F.contains(low, F.lit("asset:")), F.array(one(F.lit("file_completed"), own=asset)))
+    )
     return df.select("*", F.explode(events).alias("e")).select(*df.columns, "e.*")

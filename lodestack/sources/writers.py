@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.aggregates import project_stats
-from lodestack.operators.windows import retain_newest
+from lodestack.operators.windows import retain_newest, running
 
 
 def write_queue(df: DataFrame, path: str, fmt: str) -> None:
@@ -20,21 +20,27 @@ def write_queue(df: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"a queue is written as csv or txt, not {fmt}")
 
 
-def append_failures(df: DataFrame, path: str, run_ts: str) -> None:
-    """Each run's failures (url, error) as a partition of their own; nothing is overwritten."""
-    df.select("url", "error").withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts").parquet(path)
+def _documents(rows: DataFrame, keys: list[str], entry: Column, most: int = 5000) -> DataFrame:
+    """``rows`` dealt into groups of about ``most`` by a hash, each group's ``entry`` values in one sorted array: keys..., chunk, entries."""
+    n = max(1, -(-rows.count() // most))
+    dealt = rows.withColumns({"chunk": F.pmod(F.xxhash64(entry), F.lit(n)), "entry": entry})
+    return dealt.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
 
 
-def write_manifest(files: DataFrame, path: str) -> None:
-    """The rows (package, path, sha256, size) of a manifest, as a table by package."""
-    files.select("package", "path", "sha256", "size").repartition("package").sortWithinPartitions("package", "path").write.parquet(path)
+def append_failures(df: DataFrame, path: str, run_ts: str) -> None:
+    """A run's failures (url, error) added to a log's folder, as sections ``# --- time ---`` of lines ``url<TAB>error``; nothing is overwritten."""
+    line = F.concat_ws("\t", "url", F.regexp_replace(F.coalesce("error", F.lit("")), r"[\r\n\t]+", " "))
+    sections = _documents(df.where(F.trim(F.coalesce("url", F.lit(""))) != ""), [], line)
+    sections.select(F.concat_ws("\n", F.lit(f"# --- {run_ts} ---"), "entries").alias("value")).write.mode("append").text(path)
 
 
-def manifest_json(files: DataFrame, created_utc: str) -> DataFrame:
-    """package, json: each package's manifest as one document, for packages small enough to be one."""
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", F.struct("sha256", "size")))))
-    grouped = files.groupBy("package").agg(F.count("*").alias("file_count"), entries.alias("files"))
-    return grouped.select("package", F.to_json(F.struct(F.lit(1).alias("manifest_version"), F.lit(created_utc).alias("created_utc"), "file_count", "files")).alias("json"))
+def write_manifest(files: DataFrame, path: str, created_utc: str) -> None:
+    """The manifests of packages' files (package, path, sha256, size) as JSON documents in a folder per package; a large package has several."""
+    entry = F.struct("path", F.struct("sha256", "size").alias("file"))
+    count = files.groupBy("package").agg(F.count("*").alias("file_count"))
+    documents = _documents(files.select("package", "path", "sha256", "size"), ["package"], entry).join(count, "package")
+    json = F.to_json(F.struct(F.lit(1).alias("manifest_version"), F.lit(created_utc).alias("created_utc"), "file_count", F.map_from_entries("entries").alias("files")))
+    documents.select("package", json.alias("value")).write.partitionBy("package").text(path)
 
 
 def write_archive_plan(pages: DataFrame, failures: DataFrame, state: dict, policy: dict, path: str) -> None:
@@ -51,7 +57,7 @@ def render_report(log: DataFrame) -> DataFrame:
     files = log.select("kind", "local").distinct().select(F.lit(1).alias("section"), "kind", F.col("local").alias("file"), F.concat(F.lit("  "), "local").alias("text"))
     failed = log.where(F.coalesce("error", F.lit("")) != "").select(F.lit(2).alias("section"), "kind", F.col("local").alias("file"), F.concat(F.lit("FAILED "), "local", F.lit(": "), "error").alias("text"))
     rows = total.unionByName(kinds).unionByName(files).unionByName(failed)
-    return rows.orderBy("section", "kind", "file", "text").select((F.row_number().over(Window.orderBy("section", "kind", "file", "text"))).alias("line_no"), "text")
+    return running(rows, F.lit(1), ["section", "kind", "file", "text"]).select(F.col("upto").alias("line_no"), "text")
 
 
 def upsert_history(history: DataFrame, new: DataFrame, cap: int = 1000) -> DataFrame:
@@ -64,9 +70,11 @@ def library_insert(library: DataFrame, new: DataFrame, key: str = "file_path") -
     return new.dropDuplicates([key]).join(library.select(key).distinct(), key, "left_anti")
 
 
-def write_resume(df: DataFrame, path: str) -> None:
-    """(url, state) of a run, to be read again."""
-    df.select("url", "state").distinct().write.mode("overwrite").parquet(path)
+def write_resume(df: DataFrame, path: str, updated_at: str) -> None:
+    """(url, state completed or failed) of a run as JSON documents of a bounded number of URLs, to be read again."""
+    rows = _documents(df.select("url", "state").distinct(), ["state"], F.col("url"))
+    of = lambda state: F.when(F.col("state") == state, F.col("entries")).otherwise(F.array().cast("array<string>")).alias(state)
+    rows.select(F.to_json(F.struct(of("completed"), of("failed"), F.lit(updated_at).alias("updated_at"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestack.functions import fixed
 from lodestack.operators.filters import redacted
 
 
@@ -18,12 +19,13 @@ def throughput(events: DataFrame, window: str = "10 minutes", late: str = "1 hou
     return rows.groupBy("job", F.window("ts", window).alias("w")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).select("job", F.col("w.start").alias("start"), "bytes", "n")
 
 
-def bandwidth_excess(events: DataFrame, limit: float, window: str = "10 seconds", late: str = "1 hour") -> DataFrame:
-    """start, bytes, excess: seconds by which a window's bytes took less than ``limit`` bytes a second allow."""
+def bandwidth_excess(events: DataFrame, limit: float, idle: str = "1 second", late: str = "1 hour") -> DataFrame:
+    """start, bytes, excess: seconds by which a run of traffic took less than ``limit`` bytes a second allow. A run ends after ``idle`` without any; then the
+    account begins anew."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    w = rows.groupBy(F.window("ts", window).alias("w")).agg(F.sum("bytes").alias("bytes"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    spent = (F.unix_micros("b") - F.unix_micros("a")) / 1e6
-    return w.select(F.col("w.start").alias("start"), "bytes", F.greatest(F.col("bytes") / limit - spent, F.lit(0.0)).alias("excess"))
+    w = rows.groupBy(F.session_window("ts", idle).alias("s")).agg(F.sum("bytes").alias("bytes"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    spent = (F.unix_micros("end") - F.unix_micros("start")) / 1e6
+    return w.select("start", "bytes", F.greatest(F.col("bytes") / limit - spent, F.lit(0.0)).alias("excess"))
 
 
 def job_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -48,40 +50,143 @@ def redact_stream(logs: DataFrame, column: str = "text") -> DataFrame:
     return redacted(logs, column)
 
 
-STATE = "state string, files long, failed long, bytes double, speed double, peak double, samples long, last double, error string"
-
-
-def job_state_stream(events: DataFrame, alpha: float = 0.28) -> DataFrame:
-    """job and its state after each batch: (job, ts, type, bytes, error) events folded in time order; ``job_started`` begins anew.
-
-    The state is one row of numbers a job, however many events it has. A job that ends with failed files has completed with warnings.
+#: Speeds kept per job.
+HISTORY = 120
+
+STATE = (
+    "state string, total_jobs long, completed_jobs long, failed_jobs long, cancelled_jobs long, assets_total long, finished long, success long, failed long, skipped long, retried long, "
+    "file_bytes double, bytes double, known_bytes double, size_complete boolean, sample_bytes double, speed double, average double, peak double, samples long, progress double, "
+    "file string, error string, started double, last double, history array<double>"
+)
+
+_NEW_JOB = {
+    "assets_total": None, "finished": 0, "success": 0, "failed": 0, "skipped": 0, "retried": 0, "file_bytes": 0.0, "bytes": 0.0, "known_bytes": 0.0, "size_complete": True, "sample_bytes": 0.0,
+    "speed": 0.0, "average": 0.0, "peak": 0.0, "samples": 0, "progress": 0.0, "file": "", "error": "", "history": [],
+}
+_NEW = {"state": "IDLE", "total_jobs": 0, "completed_jobs": 0, "failed_jobs": 0, "cancelled_jobs": 0, "started": None, "last": None, **_NEW_JOB}
+
+#: Columns of events besides job, ts and type, all of which may be null.
+DETAILS = ("bytes", "total", "state", "name", "error")
+
+
+def _moved(s: dict, state: str) -> None:
+    """The job is in ``state`` now; its progress never goes back."""
+    if state not in fixed.STAGE_BANDS:
+        return
+    a, b = fixed.STAGE_BANDS[state]
+    share = min(1.0, max(0.0, s["finished"] / s["assets_total"])) if s["assets_total"] else 0.0
+    value = a + (b - a) * share if state in ("DOWNLOADING", "RETRYING") else (a + b) / 2 if a != b else b
+    s["state"], s["progress"] = state, min(1.0, max(s["progress"], value))
+    if state in ("COMPLETED", "COMPLETED_WITH_WARNINGS"):
+        s["progress"] = 1.0
+    if state in ("COMPLETED", "COMPLETED_WITH_WARNINGS", "FAILED", "CANCELLED"):
+        s["speed"] = 0.0
+
+
+def _sampled(s: dict, now: float, force: bool, alpha: float) -> None:
+    """A speed sample at least every half second, and after each file."""
+    if s["last"] is None:
+        s["last"] = now
+        return
+    gap = now - s["last"]
+    if gap <= 0 or (gap < 0.5 and not force):
+        return
+    instant = s["sample_bytes"] / gap
+    s["speed"] = instant if s["speed"] <= 0 else alpha * instant + (1 - alpha) * s["speed"]
+    s["sample_bytes"], s["last"], s["samples"], s["peak"] = 0.0, now, s["samples"] + 1, max(s["peak"], instant)
+    s["history"] = [*s["history"], s["speed"]][-HISTORY:]
+    if s["started"] is not None and now > s["started"]:
+        s["average"] = s["bytes"] / (now - s["started"])
+
+
+def apply_event(s: dict, now: float, kind: str, bytes_: float | None, total: float | None, state: str | None, name: str | None, error: str | None, alpha: float = 0.28) -> None:
+    """Fold one event into a job's state."""
+    n = max(0.0, bytes_ or 0.0)
+    if kind == "queue_started":
+        s |= _NEW | {"total_jobs": int(total or 0), "started": now, "last": now}
+        _moved(s, "RESOLVING")
+    elif kind == "job_started":
+        s |= _NEW_JOB | {"started": now, "last": now, "total_jobs": max(s["total_jobs"], int(total or s["total_jobs"] or 1))}
+        _moved(s, "RESOLVING")
+    elif kind == "stage_changed":
+        _moved(s, (state or "").upper())
+    elif kind == "asset_discovered":
+        s["assets_total"] = max(s["assets_total"] or 0, int(total) if total is not None else s["finished"] + 1)
+        _moved(s, "DISCOVERING_ASSETS")
+    elif kind == "file_started":
+        s["file"], s["file_bytes"] = name or "", 0.0
+        _moved(s, "DOWNLOADING")
+    elif kind == "response_meta":
+        s["file"] = name or s["file"]
+        if total is None:
+            s["size_complete"] = False
+        else:
+            s["known_bytes"] += max(0.0, total)
+    elif kind in ("bytes_transferred", "speed_bytes", "file_progress"):
+        more = max(0.0, n - s["file_bytes"]) if kind == "file_progress" else n
+        for c in ("sample_bytes", "bytes", "file_bytes"):
+            s[c] += more
+        if kind == "file_progress":
+            _moved(s, "DOWNLOADING")
+    elif kind in ("file_completed", "file_failed", "file_skipped"):
+        s["finished"] += 1
+        s[{"file_completed": "success", "file_failed": "failed", "file_skipped": "skipped"}[kind]] += 1
+        if kind == "file_completed":
+            s["file"] = name or s["file"]
+            _sampled(s, now, True, alpha)
+        elif kind == "file_failed":
+            s["error"] = error or s["error"]
+        _moved(s, "DOWNLOADING")
+    elif kind == "file_retry":
+        s["retried"] += 1
+        _moved(s, "RETRYING")
+    elif kind == "job_completed":
+        s["completed_jobs"] += 1
+        _moved(s, "COMPLETED_WITH_WARNINGS" if int(total or s["failed"]) else "COMPLETED")
+    elif kind == "job_failed":
+        s["failed_jobs"] += 1
+        s["error"] = error or "Download failed"
+        _moved(s, "FAILED")
+    elif kind == "job_cancelled":
+        s["cancelled_jobs"] += 1
+        _moved(s, "CANCELLED")
+    elif kind == "cancelling":
+        _moved(s, "CANCELLING")
+    _sampled(s, now, False, alpha)
+
+
+def job_state_stream(events: DataFrame, alpha: float = 0.28, expires: str = "1 day") -> DataFrame:
+    """job and its state after each batch: (job, ts, type, bytes, total, state, name, error) events folded in time order.
+
+    17 types: queue_started, job_started (both begin anew), stage_changed, asset_discovered, file_started, response_meta (of a file once: see
+    ``dedup_stream``), bytes_transferred, speed_bytes, file_progress, file_completed, file_failed, file_skipped, file_retry, job_completed
+    (``total``: failed files, else those counted), job_failed, job_cancelled, cancelling; others only take a speed sample. The state is one row of
+    numbers a job and its last HISTORY speeds; a job that is silent for ``expires`` is forgotten.
     """
-    names = [x.split()[0] for x in STATE.split(", ")]
+    names = [x.strip().split()[0] for x in STATE.split(",")]
+    wait = int(pd.Timedelta(expires).total_seconds() * 1000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for r in rows.itertuples():
-            now = r.ts.timestamp()
-            if r.type == "job_started" or s["state"] is None:
-                s = {"state": "starting", "files": 0, "failed": 0, "bytes": 0.0, "speed": 0.0, "peak": 0.0, "samples": 0, "last": now, "error": None}
-            if r.type == "file_completed":
-                s["files"] += 1
-                s["state"] = "downloading"
-            elif r.type == "asset_failed":
-                s["failed"] += 1
-                s["error"] = r.error
-            elif r.type in ("job_completed", "job_cancelled", "job_failed"):
-                s["state"] = {"job_completed": "completed_with_warnings" if s["failed"] else "completed", "job_cancelled": "cancelled", "job_failed": "failed"}[r.type]
-            if r.bytes == r.bytes and r.bytes is not None and r.bytes > 0:
-                s["bytes"] += float(r.bytes)
-                gap = now - s["last"]
-                if gap >= 0.5:
-                    instant = float(r.bytes) / gap
-                    s["speed"] = instant if s["speed"] <= 0 else alpha * instant + (1 - alpha) * s["speed"]
-                    s["peak"], s["samples"], s["last"] = max(s["peak"], instant), s["samples"] + 1, now
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = _NEW | (dict(zip(names, state.get)) if state.exists else {})
+        s["history"] = list(s["history"] or [])
+        value = lambda x: None if pd.isna(x) else x
+        for r in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
+            apply_event(s, r.ts.timestamp(), r.type, *(value(getattr(r, c)) for c in DETAILS), alpha=alpha)
         state.update(tuple(s[n] for n in names))
-        yield pd.DataFrame([{"job": key[0], **s}])
+        state.setTimeoutDuration(wait)
+        yield pd.DataFrame([{"job": key[0], **{n: s[n] for n in names}}])
 
     kind = events.schema["job"].dataType.simpleString()
-    return events.groupBy("job").applyInPandasWithState(fold, f"job {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    for c in DETAILS:
+        if c not in events.columns:
+            events = events.withColumn(c, F.lit(None).cast("double" if c in ("bytes", "total") else "string"))
+    rows = events.select("job", "ts", "type", *[F.col(c).cast("double" if c in ("bytes", "total") else "string").alias(c) for c in DETAILS])
+    return rows.groupBy("job").applyInPandasWithState(fold, f"job {kind}, {STATE}", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def speed_stream(events: DataFrame, alpha: float = 0.28) -> DataFrame:
+    """job, speed, average, peak, samples, history (the last HISTORY smoothed speeds) after each batch."""
+    return job_state_stream(events, alpha).select("job", "speed", "average", "peak", "samples", "history")
