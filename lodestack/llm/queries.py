@@ -17,7 +17,7 @@ from lodestack.llm.secret_scan import scan_secrets
 from lodestack.llm.sharding import assign_shards
 from lodestack.llm.token_count import count_tokens
 from lodestack.llm.toxicity import score_toxicity
-from lodestack.llm.url_reputation import filter_urls
+from lodestack.llm.url_reputation import SUFFIXES, filter_urls
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,26 +76,28 @@ WITH known AS (
 ), rules(rule, rule_host, rule_path, rule_verdict) AS (
   VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
     ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), sites AS (
+  SELECT site, count(is_bad) AS n, coalesce(sum(is_bad), 0)::DOUBLE AS k FROM (SELECT page_id, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '\.+$', '') AS site FROM parts) LEFT JOIN known USING (page_id) GROUP BY 1
+), labelled AS (
+  SELECT site, n, k, string_split(site, '.') AS parts, array_to_string(list_slice(string_split(site, '.'), -2, -1), '.') IN (_SUFFIXES) AS long, regexp_matches(site, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') AS address FROM sites
 ), hosts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_last(string_split(host, '.')) AS suffix,
-    count(is_bad) AS n, coalesce(sum(is_bad), 0)::DOUBLE AS k
-  FROM parts LEFT JOIN known USING (page_id) GROUP BY ALL
-), domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL
-), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL
-), top AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m FROM domains
-), s1 AS (SELECT suffix, n, k, m FROM suffixes, top
-), s2 AS (SELECT sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)) AS excess, sum(n * (n - 1) * m * (1 - m)) AS scale FROM s1
+  SELECT site, n, k, CASE WHEN address THEN site ELSE array_to_string(list_slice(parts, CASE WHEN long THEN -3 ELSE -2 END, -1), '.') END AS domain,
+    CASE WHEN address THEN 'address' ELSE array_to_string(list_slice(parts, CASE WHEN long THEN -2 ELSE -1 END, -1), '.') END AS suffix FROM labelled
+), domains AS (SELECT suffix, domain, sum(n) AS nd, sum(k) AS kd FROM hosts GROUP BY ALL
+), suffixes AS (SELECT suffix, sum(nd) AS ns, sum(kd) AS ks FROM domains GROUP BY ALL
+), total AS (SELECT coalesce(sum(ns), 0) AS n, coalesce(sum(ks), 0) AS k FROM suffixes
+), s1 AS (SELECT suffix, ns, ks, (k - ks + 0.5::DOUBLE) / (n - ns + 1) AS m FROM suffixes, total
+), s2 AS (SELECT sum(pow(ks - ns * m, 2)) - sum(ns * m * (1 - m)) AS excess, sum(ns * (ns - 1) * m * (1 - m)) AS scale FROM s1
 ), s3 AS (SELECT CASE WHEN NOT coalesce(scale > 0, false) THEN 1 WHEN excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM s2
-), s4 AS (SELECT suffix, (k + w * m) / (n + w) AS m FROM s1, s3
-), d1 AS (SELECT domain, n, k, m FROM domains JOIN s4 USING (suffix)
-), d2 AS (SELECT sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)) AS excess, sum(n * (n - 1) * m * (1 - m)) AS scale FROM d1
+), d1 AS (SELECT domain, suffix, nd, kd, (ks - kd + w * m) / (ns - nd + w) AS m FROM domains JOIN s1 USING (suffix), s3
+), d2 AS (SELECT sum(pow(kd - nd * m, 2)) - sum(nd * m * (1 - m)) AS excess, sum(nd * (nd - 1) * m * (1 - m)) AS scale FROM d1
 ), d3 AS (SELECT CASE WHEN NOT coalesce(scale > 0, false) THEN 1 WHEN excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM d2
-), d4 AS (SELECT domain, (k + w * m) / (n + w) AS m FROM d1, d3
-), h1 AS (SELECT host, n, k, m FROM hosts JOIN d4 USING (domain)
+), h1 AS (SELECT site, n, k, (kd - k + w * m) / (nd - n + w) AS m FROM hosts JOIN d1 USING (domain, suffix), d3
 ), h2 AS (SELECT sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)) AS excess, sum(n * (n - 1) * m * (1 - m)) AS scale FROM h1
 ), h3 AS (SELECT CASE WHEN NOT coalesce(scale > 0, false) THEN 1 WHEN excess > 0 THEN least(greatest(scale / excess - 1, 1), 1000) ELSE 1000 END AS w FROM h2
-), h4 AS (SELECT host, (k + w * m) / (n + w) AS rate, n + w AS total FROM h1, h3
-), h5 AS (SELECT host, rate, rate - 1.96::DOUBLE * sqrt(rate * (1 - rate) / (total + 1)) AS bound FROM h4
+), h4 AS (SELECT site, (k + w * m) / (n + w) AS rate, k + w * m AS a, n - k + w * (1 - m) AS b FROM h1, h3
+), h5 AS (SELECT site, rate, a, b, 1 / (2 * a - 1) AS x, 1 / (2 * b - 1) AS y, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h, (1.96::DOUBLE * 1.96 - 3) / 6 AS l FROM h4
+), h6 AS (SELECT site, rate, CASE WHEN b <= 1 THEN pow(0.024997895148220428::DOUBLE, 1 / a) WHEN a <= 0.5 THEN 0 ELSE a / (a + b * exp(2 * (1.96::DOUBLE * sqrt(h + l) / h - (y - x) * (l + 5::DOUBLE / 6 - 2 / (3 * h))))) END AS bound FROM h5
 ), fits AS (
   SELECT p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
   FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)
@@ -103,9 +105,11 @@ WITH known AS (
 )
 SELECT page_id, parts.host, parts.path, rule, coalesce(rule_verdict, CASE WHEN bound > 0.25 THEN 'block' ELSE 'allow' END) AS verdict,
   round(rate, 6) AS bad_rate, round(bound, 6) AS bad_bound
-FROM parts LEFT JOIN h5 ON parts.host = h5.host LEFT JOIN fits ON parts.host = fits.host AND parts.path = fits.path
+FROM parts LEFT JOIN h6 ON regexp_replace(regexp_replace(parts.host, '^.*@|:[0-9]*$', '', 'g'), '\.+$', '') = h6.site LEFT JOIN fits ON parts.host = fits.host AND parts.path = fits.path
 """
 
+SQL["op1_url_filter"] = SQL["op1_url_filter"].replace("_SUFFIXES", ", ".join(f"'{x}'" for x in SUFFIXES))
+
 SQL["op2_line_dedup"] = r"""
 WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL
 ), totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,9 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 #: Rules travel in the plan, as a map literal.
 MOST_RULES = 10_000
 
+#: Public suffixes of two labels; others are one label.
+SUFFIXES = tuple("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp ne.jp or.jp com.br com.cn com.mx co.in co.kr co.za com.tr com.tw github.io blogspot.com".split())
+
 #: Bounds of the prior's weight in pseudo-pages, so that a level without spread stays proper.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 
@@ -30,14 +34,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels, or the host where it has fewer."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """The host as reputation knows it: without user info, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.+$", "")
+
 
+def domain_and_suffix(site: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain, a label more than the public suffix, and that suffix: one of ``suffixes`` (of two labels), else the last label.
 
-def suffix_of(host: Column) -> Column:
-    """The last label."""
-    return F.substring_index(host, ".", -1)
+    A site that is a suffix itself is its own domain. Addresses have the suffix "address", and each is a domain.
+    """
+    last, two, three = (F.substring_index(site, ".", -k) for k in (1, 2, 3))
+    long = two.isin(list(suffixes)) if suffixes else F.lit(False)
+    address = F.rlike(site, F.lit(r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"))
+    return F.when(address, site).when(long, three).otherwise(two), F.when(address, "address").when(long, two).otherwise(last)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -76,36 +86,52 @@ def _fitted(mean: Column) -> Column:
     return F.least(F.greatest(weight, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """One row per host of ``outcomes`` (host string, pages long, n long, k long): the posterior of its bad rate.
+def beta_quantile(a: Column, b: Column, z: float) -> Column:
+    """About the quantile of a beta distribution that a normal one has at -z, by the closed form 26.5.22 of Abramowitz and Stegun's handbook.
 
-    ``n`` of a host's pages are labelled and ``k`` of those are bad. The rate is shrunk from host to
-    registered domain to suffix to all pages: each level's beta prior has the posterior mean of the level
-    above and a weight fitted over all groups of the level. A host without labels gets its domain's rate.
-    Columns added: ``rate`` (posterior mean) and ``spread`` (posterior standard deviation).
+    For a and b of at least 1 it is within 0.01 of the quantile. Where b is at most 1 it is that of b = 1, which is exact and never more than the quantile;
+    else, where a is at most 1/2, 0 (the quantile is near it).
     """
-    hosts = outcomes.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    n, k = domains.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    below = 0.5 * math.erfc(z / math.sqrt(2))
+    x, y = 1 / (2 * a - 1), 1 / (2 * F.greatest(b, F.lit(1.0)) - 1)
+    h, lam = 2 / (x + y), (z * z - 3) / 6
+    w = z * F.sqrt(h + lam) / h - (y - x) * (lam + 5 / 6 - 2 / (3 * h))
+    return F.when(b <= 1, F.pow(F.lit(below), 1 / a)).when(a <= 0.5, 0.0).otherwise(a / (a + b * F.exp(2 * w)))
 
-    def shrunk(level: DataFrame, mean: Column, name: str) -> DataFrame:
-        weight = F.lit(level.agg(_fitted(mean)).first()[0])  # one number
-        return level.withColumn(name, (F.col("k") + weight * mean) / (F.col("n") + weight)).withColumn("weight", weight)
 
-    suffixes = shrunk(suffixes, F.lit((k + 0.5) / (n + 1)), "suffix_rate")
-    domains = shrunk(domains.join(suffixes.select("suffix", "suffix_rate"), "suffix"), F.col("suffix_rate"), "domain_rate")
-    hosts = shrunk(hosts.join(domains.select("domain", "domain_rate"), "domain"), F.col("domain_rate"), "rate")
-    total = F.col("n") + F.col("weight")
-    return hosts.select("host", "pages", "n", "k", "rate", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1)).alias("spread"))
+def host_reputation(outcomes: DataFrame, *, suffixes: Sequence[str] = SUFFIXES, z: float = 1.96) -> DataFrame:
+    """One row per site of ``outcomes`` (site string, n long, k long): site, n, k, rate, bound of the posterior of its bad rate.
 
-
-def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, max_bad_rate: float = 0.25, z: float = 1.96, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None) -> DataFrame:
+    ``n`` of a site's pages are labelled and ``k`` of those are bad. The rate is shrunk from host to registered domain to suffix to all pages.
+    Each prior is what is known without the group itself, so nothing counts twice: a host's is the posterior mean of its domain's other
+    hosts, theirs that of the suffix's other domains, theirs that of the other suffixes' pages. A level's weight is fitted over its groups.
+    ``bound`` is the posterior's lower quantile at -z. A site without labels gets what its domain and suffix say.
+    """
+    domain, suffix = domain_and_suffix(F.col("site"), suffixes)
+    hosts = outcomes.withColumns({"domain": domain, "suffix": suffix})
+    domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("nd"), F.sum("k").alias("kd")))
+    groups = written(domains.groupBy("suffix").agg(F.sum("nd").alias("ns"), F.sum("kd").alias("ks")))
+    n, k = groups.agg(F.coalesce(F.sum("ns"), F.lit(0)), F.coalesce(F.sum("ks"), F.lit(0))).first()
+
+    def weight(level: DataFrame, n: str, k: str, mean: str) -> Column:
+        return F.lit(level.select(F.col(n).alias("n"), F.col(k).alias("k"), mean).agg(_fitted(F.col(mean))).first()[0])  # one number
+
+    groups = groups.withColumn("m0", (F.lit(k) - F.col("ks") + 0.5) / (F.lit(n) - F.col("ns") + 1))
+    w = weight(groups, "ns", "ks", "m0")
+    domains = domains.join(groups, "suffix").withColumn("m1", (F.col("ks") - F.col("kd") + w * F.col("m0")) / (F.col("ns") - F.col("nd") + w))
+    w = weight(domains, "nd", "kd", "m1")
+    hosts = hosts.join(domains.select("domain", "suffix", "nd", "kd", "m1"), ["domain", "suffix"]).withColumn("m2", (F.col("kd") - F.col("k") + w * F.col("m1")) / (F.col("nd") - F.col("n") + w))
+    w = weight(hosts, "n", "k", "m2")
+    good, bad = F.col("n") - F.col("k") + w * (1 - F.col("m2")), F.col("k") + w * F.col("m2")
+    return hosts.select("site", "n", "k", (bad / (F.col("n") + w)).alias("rate"), beta_quantile(bad, good, z).alias("bound"))
+
+
+def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, max_bad_rate: float = 0.25, z: float = 1.96, suffixes: Sequence[str] = SUFFIXES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None) -> DataFrame:
     """A verdict for each row of ``pages``: page_id, host, path, rule, verdict, bad_rate, bad_bound.
 
     The longest rule that fits decides. Otherwise the host's bad rate does: the page is blocked where
-    the posterior's lower bound ``rate - z * spread`` is above ``max_bad_rate``, i.e. where it is
-    credible (97.5 % one-sided by default) that more of the host's pages are bad than that.
+    the posterior's lower bound is above ``max_bad_rate``, i.e. where it is credible (97.5 % one-sided by default)
+    that more of the host's pages are bad than that. Ports, user info and final dots don't tell hosts apart.
     ``labels`` has an outcome for some pages; ``bad`` says which outcomes are bad (default: quality 0 or toxic 1).
 
     Null urls and urls without ``://`` have an empty host and path, and form one host. A null page_id is
@@ -116,10 +142,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[tuple[st
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)) if bad is None else bad
     known = labels.select(F.col(f"`{label_id}`").alias("page_id"), bad.cast("long").alias("is_bad")).where("page_id is not null and is_bad is not null").groupBy("page_id").agg(F.max("is_bad").alias("is_bad"))
     url = F.col(f"`{url_col}`").cast("string")
-    parts = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    counted = parts.select("page_id", "host").join(known, "page_id", "left")
-    outcomes = written(counted.groupBy("host").agg(F.count("*").alias("pages"), F.count("is_bad").alias("n"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("k")))
-    rates = host_reputation(outcomes).select("host", "rate", (F.col("rate") - z * F.col("spread")).alias("bound"))
-    judged = parts.join(rates, "host", "left").withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
+    parts = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("site", site_of(F.col("host")))
+    counted = parts.select("page_id", "site").join(known, "page_id", "left")
+    outcomes = written(counted.groupBy("site").agg(F.count("is_bad").alias("n"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("k")))
+    rates = host_reputation(outcomes, suffixes=suffixes, z=z).select("site", "rate", "bound")
+    judged = parts.join(rates, "site", "left").withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bound") > max_bad_rate, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), own).alias("verdict"), F.round("rate", 6).alias("bad_rate"), F.round("bound", 6).alias("bad_bound"))
