@@ -28,7 +28,22 @@ DICTIONARY = 1e-3
 #: At most so many labelled findings of each label train the forest.
 MOST_FINDINGS = 10_000
 
-FEATURES = ("length", "transitions", "digits", "capitals", "only_hex", "coverage", "named", "assigned", "quoted", "sample_path", "near_length")
+#: Up to so many dictionary words are broadcast (some 16 bytes each).
+MOST_SENT_WORDS = 200_000
+
+FEATURES = ("length", "transitions", "coverage", "named", "assigned", "quoted", "sample_path", "near_length")
+
+#: Published formats of keys and tokens.
+KEY_FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9A-Za-z]{24,}|AIza[0-9A-Za-z_\-]{35}|xox[abprs]-[0-9A-Za-z\-]{10,}|glpat-[0-9A-Za-z_\-]{20})$"
+
+#: Random values of a digest's length, in one case of hexadecimal digits.
+DIGEST = r"^(?=.{32}$|.{40}$|.{64}$)([0-9a-f]+|[0-9A-F]+)$"
+
+#: A value that stands in so many different surroundings is a sample or a placeholder, not a secret.
+SAMPLE_PLACES = 3
+
+#: The share of different values (by a hash) whose labels never train: the forest is measured on them.
+HELD_OUT = 5
 
 
 def candidates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -70,7 +85,7 @@ def dictionary(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The frequent short words of all texts: word."""
     words = F.array_distinct(F.filter(F.split(F.col(f"`{text_col}`").cast("string"), r"[\x20\x09-\x0D]+", -1), lambda w: F.length(w).between(3, 8) & F.rlike(w, F.lit("^[a-z]+$"))))
     met = written(df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("met")))
-    return met.where(F.col("met") >= max(2.0, DICTIONARY * df.count())).select("word")
+    return written(met.where(F.col("met") >= max(2.0, DICTIONARY * df.count())).select("word"))
 
 
 def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -80,7 +95,8 @@ def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     pieces = F.transform(F.sequence(F.lit(1), F.col("length") - 2), lambda i: F.array_join(F.slice("letters", i, 8), ""))
     starts = own.select("id", "length", F.posexplode(pieces).alias("start", "piece"))  # eight letters a row, however long the candidate
     parts = starts.select("id", "length", "start", F.explode(F.sequence(F.lit(3), F.length("piece"))).alias("size"), "piece").withColumn("word", F.substr("piece", F.lit(1), F.col("size")))
-    longest = parts.join(words, "word").groupBy("id", "length", "start").agg(F.max("size").alias("size"))
+    few = words.limit(MOST_SENT_WORDS + 1).count() <= MOST_SENT_WORDS
+    longest = parts.join(F.broadcast(words) if few else words, "word").groupBy("id", "length", "start").agg(F.max("size").alias("size"))
     cells = longest.select("id", "length", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("cell")).groupBy("id", "length").agg(F.count_distinct("cell").alias("n"))
     return cells.select("id", (F.col("n") / F.col("length")).alias("coverage"))
 
@@ -94,9 +110,6 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     columns = {
         "length": length,
         "transitions": F.regexp_count(c, F.lit(change)) / length,
-        "digits": F.regexp_count(c, F.lit("[0-9]")) / length,
-        "capitals": F.regexp_count(c, F.lit("[A-Z]")) / length,
-        "only_hex": F.rlike(c, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "coverage": F.coalesce("coverage", F.lit(0.0)),
         **{k: F.col(k) for k in ("named", "assigned", "quoted", "near_length")},
         "sample_path": F.coalesce(F.rlike("path", F.lit(SAMPLE_PATHS)), F.lit(False)),
@@ -104,17 +117,36 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     return found.withColumns({k: v.cast("double") for k, v in columns.items()})
 
 
+def check_digit(number: Column) -> Column:
+    """Whether a row of digits ends in the check digit of card numbers: from the right every second digit counts double, as the sum of its digits."""
+    digits = F.transform(F.split(F.reverse(number), ""), lambda d: d.try_cast("int"))
+    weighed = F.transform(digits, lambda d, k: F.when(k % 2 == 0, d).when(d < 5, 2 * d).otherwise(2 * d - 9))
+    return F.aggregate(weighed, F.lit(0), lambda total, d: total + F.coalesce(d, F.lit(0))) % 10 == 0
+
+
 def label_findings(found: DataFrame) -> DataFrame:
-    """``found`` with the column label, where a finding is plain without a model: 1 for a quoted mixture of letters and digits assigned to a name of a
-    secret, 0 for letters alone or digits alone outside of such, else null. It stands in for a table of reviewed findings."""
-    named = (F.col("named") == 1) & (F.col("assigned") == 1)
-    mixed = F.rlike("candidate", F.lit("[A-Za-z]")) & F.rlike("candidate", F.lit("[0-9]"))
-    return found.withColumn("label", F.when(named & (F.col("quoted") == 1) & mixed, 1.0).when(~named & ~mixed, 0.0))
+    """``found`` with the column label, by evidence about the value alone that is no feature of the forest; it stands in for a table of reviewed findings.
+
+    0: a value in SAMPLE_PLACES or more different surroundings (a sample or a placeholder), one letter over and over, digits with a card number's check
+    digit, digits or letters of one case alone (numbers and words; a digest of 32 or more digits has letters but for 1 in 10^6). 1, of the others: a
+    published key format, or a digest in hexadecimal digits of at least eight kinds. Null: neither is known.
+    """
+    c = F.col("candidate")
+    places = found.groupBy("candidate").agg(F.count_distinct("near").alias("places")).where(F.col("places") >= SAMPLE_PLACES)
+    often = written(places.select(F.xxhash64("candidate").alias("often")).distinct())
+    few = often.limit(MOST_SENT_WORDS + 1).count() <= MOST_SENT_WORDS
+    found = found.join(F.broadcast(often) if few else often, F.xxhash64("candidate") == F.col("often"), "left")
+    kinds = F.size(F.array_distinct(F.split(c, "")))
+    plain = F.rlike(c, F.lit("^([a-z]+|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"))
+    no = F.col("often").isNotNull() | (kinds == 1) | plain | (F.rlike(c, F.lit("^[0-9]+$")) & check_digit(c))
+    yes = F.rlike(c, F.lit(KEY_FORMATS)) | (F.rlike(c, F.lit(DIGEST)) & (kinds >= 8))
+    return found.withColumn("label", F.when(no, 0.0).when(yes, 1.0)).drop("often")
 
 
 def _sample(found: DataFrame) -> DataFrame:
     """Up to MOST_FINDINGS rows of each label, those first in the order of a hash, in one order whatever the partitions."""
     order = F.xxhash64("candidate", "near", "doc_id", "at", "part")
+    found = found.where(F.pmod(F.xxhash64("candidate", F.lit("fold")), F.lit(HELD_OUT)) != 0)
     own = [found.where(F.col("label") == label).select("label", order.alias("order"), *FEATURES).orderBy("order", *FEATURES).limit(MOST_FINDINGS) for label in (0.0, 1.0)]
     return own[0].unionByName(own[1])
 
@@ -122,14 +154,27 @@ def _sample(found: DataFrame) -> DataFrame:
 def scan_secrets(df: DataFrame, *, findings: DataFrame | None = None, cut: float = 0.5, trees: int = 20, depth: int = 6, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, at (the word's number), part (the candidate's number in its word), candidate, probability, is_secret.
 
-    A random forest on the candidate's length, changes of character class, digits and capitals, coverage by the corpus's frequent words, path,
-    and neighbouring words, trained on at most MOST_FINDINGS findings of each label, sets ``is_secret`` where its probability is at least ``cut``.
-    ``findings`` (candidate, label 0/1) are reviewed ones; without them ``label_findings`` supplies labels. With findings of one
-    label only there is no forest: probability is null and a candidate is a secret if it is labelled so.
+    A random forest on the candidate's length, changes of character class, coverage by the corpus's frequent words, path, and neighbouring
+    words, trained on at most MOST_FINDINGS findings of each label, sets ``is_secret`` where its probability is at least ``cut``.
+    ``findings`` (candidate, label 0/1) are reviewed ones; without them ``label_findings`` supplies labels. Of all different values one in HELD_OUT
+    trains nothing (``held_out_figures`` measures on those). With findings of one label only there is no forest: probability is null and a
+    candidate is a secret if it is labelled so.
 
     Null and empty texts have no candidates; a null path speaks for nothing; null ids are kept. Repeated rows give repeated results. An empty
     table gives no rows. Other columns are not read. Texts are split whole, candidates of any length are taken whole.
     """
+    keys = ("doc_id", "at", "part", "candidate", "probability", "is_secret")
+    return _judged(df, findings=findings, cut=cut, trees=trees, depth=depth, id_col=id_col, text_col=text_col, path_col=path_col).select(*keys)
+
+
+def held_out_figures(df: DataFrame, **options: object) -> DataFrame:
+    """label, is_secret, n of the labelled candidates that trained nothing; ``options`` as for ``scan_secrets``."""
+    options = {"findings": None, "cut": 0.5, "trees": 20, "depth": 6, "id_col": "doc_id", "text_col": "text", "path_col": "source"} | options
+    found = _judged(df, **options).where("label is not null").where(F.pmod(F.xxhash64("candidate", F.lit("fold")), F.lit(HELD_OUT)) == 0)
+    return found.groupBy("label", "is_secret").agg(F.count("*").alias("n"))
+
+
+def _judged(df: DataFrame, *, findings: DataFrame | None, cut: float, trees: int, depth: int, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     found = written(candidates(df, id_col=id_col, text_col=text_col, path_col=path_col))
     found = written(with_features(found, dictionary(df, text_col=text_col)))
     if findings is None:
@@ -138,14 +183,13 @@ def scan_secrets(df: DataFrame, *, findings: DataFrame | None = None, cut: float
         known = findings.select("candidate", F.col("label").cast("double").alias("label")).dropna().groupBy("candidate").agg(F.max("label").alias("label"))
         found = found.join(known, "candidate", "left")
     train = written(_sample(found))
-    keys = ("doc_id", "at", "part", "candidate")
     if train.select("label").distinct().count() < 2:
-        return found.select(*keys, F.lit(None).cast("double").alias("probability"), F.coalesce(F.col("label") == 1, F.lit(False)).alias("is_secret"))
+        return found.withColumns({"probability": F.lit(None).cast("double"), "is_secret": F.coalesce(F.col("label") == 1, F.lit(False))})
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     train = assemble.transform(train.repartition(1).sortWithinPartitions("label", "order", *FEATURES)).select("label", "features")  # bounded by MOST_FINDINGS
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featuresCol="features", labelCol="label").fit(train)
-    scored = forest.transform(assemble.transform(found)).withColumn("p", F.round(_second(F.col("probability")), 9))
-    return scored.select(*keys, F.col("p").alias("probability"), (F.col("p") >= cut).alias("is_secret"))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featuresCol="features", labelCol="label", rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__predicted").fit(train)
+    scored = forest.transform(assemble.transform(found)).withColumn("probability", F.round(_second(F.col("__p")), 9))
+    return scored.withColumn("is_secret", F.col("probability") >= cut)
 
 
 def _second(vector: Column) -> Column:
