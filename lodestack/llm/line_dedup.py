@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import written
 
-#: Up to so many boilerplate lines (16 bytes each) are broadcast; more are joined by a shuffle, each site in so many parts.
-MOST_BROADCAST_LINES, PARTS = 1_000_000, 32
+#: Up to so many boilerplate lines (16 bytes each) are broadcast; more are joined by a shuffle, each site in as many parts as that has partitions.
+MOST_BROADCAST_LINES = 1_000_000
 
 #: A line is boilerplate on a site where it is on more than this share of the pages and on at least so many.
 MAX_RATIO, LEAST_PAGES = 0.05, 3
@@ -56,8 +56,9 @@ def drop_boilerplate(df: DataFrame, *, max_ratio: float = MAX_RATIO, least_pages
     if few:
         own = own.join(F.broadcast(sites), same, "left")
     else:
-        parts = sites.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        own = own.withColumn("__of", F.pmod(F.xxhash64(body), F.lit(PARTS)).cast("int")).join(parts, same & (F.col("__of") == F.col("__part")), "left")
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = sites.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        own = own.withColumn("__of", F.pmod(F.xxhash64(body), F.lit(n)).cast("int")).join(parts, same & (F.col("__of") == F.col("__part")), "left")
     split = F.split(body, "\n", -1)
     clean = F.filter(split, lambda x: ~F.array_contains(F.col("__lines"), _key(x)))
     own = own.withColumn("__kept", F.when(F.col("__lines").isNull(), split).otherwise(clean))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import row_hash, written
 
-#: Ranges per shard, the most ranges at all, and sampled keys per range: they bound what the driver holds (ranges x sampled keys).
-RANGES_PER_SHARD, MOST_RANGES, SAMPLES_PER_RANGE = 12, 4096, 32
+#: Least ranges per shard, bytes per range beyond those, the most ranges at all, and sampled keys per range: they bound what the driver holds (ranges
+#: x sampled keys).
+RANGES_PER_SHARD, RANGE_BYTES, MOST_RANGES, SAMPLES_PER_RANGE = 12, 1 << 30, 16_384, 32
 
 #: A group of equal texts up to this share of a shard lies in one shard.
 WHOLE_GROUP = 0.01
@@ -57,7 +58,7 @@ def assign_shards(df: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id",
     """One row per row of ``df``: doc_id, size, text_crc32, law, shard, slot, grown_shard; the shards' sizes are near equal.
 
     A row's size is the UTF-8 bytes of its text (a null text: none; its CRC is that of "") plus ``overhead``. Rows are ordered by
-    a hash of the text and a tie, so copies are neighbours. A sample weighted by size gives the splitters of some ranges per shard; ranges
+    a hash of the text and a tie (rows equal in text and id have ties of their own), so copies are neighbours. A sample weighted by size gives the splitters of some ranges per shard; ranges
     of more than twice their due are subdivided by splitters drawn in them, a group of copies by the tie. Then the bytes before each row are
     known exactly from the ranges' totals and a running sum in each range, and say the shard: each shard's size is off by at most its
     border rows or a group of copies of under 1 % of a shard. Slots count from 0 without gaps. Repeated rows each get a slot; rows with a null id
@@ -65,9 +66,9 @@ def assign_shards(df: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id",
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"))
-    rows = written(rows.withColumn("tie", F.xxhash64(F.lit(seed), row_hash("doc_id"))))
+    rows = written(rows.withColumn("tie", F.xxhash64(F.lit(seed), row_hash("doc_id"), F.monotonically_increasing_id())))  # fixed by writing it
     total = rows.agg(F.sum("size")).first()[0] or 0
-    n_ranges = min(MOST_RANGES, n_shards * RANGES_PER_SHARD)
+    n_ranges = min(MOST_RANGES, max(n_shards * RANGES_PER_SHARD, total // RANGE_BYTES))
     target = max(1.0, total / n_ranges)
     share = SAMPLES_PER_RANGE / target
     points = _drawn(rows, share, target, seed)
