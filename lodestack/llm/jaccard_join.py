@@ -35,18 +35,19 @@ from lodestack.shared import discard
 MOST_PIVOTS, PIVOT_SHINGLES = 1024, 4096
 
 #: Least distance between the pivots of a division, and the cells' radius in r: of the first division and of those inside of cells.
-APART, RADIUS = 0.5, (3, 2)
+APART, RADIUS = 0.5, (2, 2)
 
 #: Cells of more sets than this are divided again, with about so many pivots each and so many times; what then is still overfull lies equally
 #: far from all pivots, and is compared in blocks.
 OVERFULL, PIVOTS_PER_CELL, MOST_DIVISIONS = 2048, 64, 3
 
-#: Shingles of at least this share of all documents come last in the global order. At most mean set size / HEAVY x 2 shingles can be so common.
-HEAVY = 2e-4
-
-#: Shingles counted together in a task before those met once are dropped (8 bytes each).
+#: Shingles counted together in a task before those met once are dropped (8 bytes each). The others are met again, and come last in the global order.
 COUNTED_TOGETHER = 2_000_000
 
+#: Shingles met again are sent along as bits at their lowest HEAVY_BITS bits; of more than a sixteenth as many only those that are met most often. What a bit
+#: says wrongly of another shingle changes the order, everywhere alike, and so the work, but no result.
+HEAVY_BITS = 26
+
 #: Blocks that a large region is compared in.
 BLOCK = 512
 
@@ -158,7 +159,7 @@ def signed_documents(rows: DataFrame, pivots: Pivots, width: int, percent: int)
         pivots = sent.value
         types = {"doc_id": pa.int64(), **dict.fromkeys(("key", "n", "sig", "low", "shingle", "met"), pa.int64()), **_CELL}
         held: dict[tuple, np.ndarray] = {}  # different sets
-        documents = shingles = 0
+        shingles = 0
 
         def batch(**columns) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
@@ -166,7 +167,7 @@ def signed_documents(rows: DataFrame, pivots: Pivots, width: int, percent: int)
 
         def common() -> pa.RecordBatch:
             shingle, met = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            often = met >= max(2, HEAVY / 2 * documents)
+            often = met >= 2
             return batch(shingle=shingle[often].view(np.int64), met=met[often])
 
         for piece, texts in text_slices(batches, "text"):
@@ -180,13 +181,12 @@ def signed_documents(rows: DataFrame, pivots: Pivots, width: int, percent: int)
                     held[sig] = own
                     shingles += len(own)
                     cells += [(*sig, len(own), *c) for c in pivots.places(own, 0, percent, RADIUS[0])[0]]
-            documents += len(sets)
             if cells:
                 yield batch(**dict(zip(("sig", "low", "n", "cell", "at", "home", "links"), zip(*cells))))
             if shingles > COUNTED_TOGETHER:
                 yield common()
                 held.clear()
-                documents = shingles = 0
+                shingles = 0
         if held:
             yield common()
 
@@ -194,9 +194,25 @@ def signed_documents(rows: DataFrame, pivots: Pivots, width: int, percent: int)
     return rows.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(freeing(signed), f"doc_id {kind}, {columns}, at double, home boolean, links boolean")
 
 
+def heavy_bits(met: DataFrame) -> np.ndarray:
+    """The bits of the shingles (shingle, met) that are met again, as bytes."""
+    counts = written(met.groupBy("shingle").agg(F.sum("met").alias("met")))
+    enough, above = 10_001, 0  # the least number of times that a shingle is met for a bit of its own
+    for r in counts.groupBy(F.least("met", F.lit(10_000)).alias("met")).agg(F.count("*").alias("n")).orderBy(F.desc("met")).collect():
+        above += r.n
+        if above > (1 << HEAVY_BITS) // 16:
+            break
+        enough = r.met
+    at = F.col("shingle").bitwiseAND((1 << HEAVY_BITS) - 1)
+    words = counts.where(F.col("met") >= enough).groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), at.bitwiseAND(31).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << (HEAVY_BITS - 5), np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
 def windows(rows: DataFrame, heavy: np.ndarray, pivots: Pivots, signer: Signer, width: int, percent: int) -> DataFrame:
     """Each set of the residue in the regions of its window: shingle, n, sig. Copies in one task are one set."""
-    sent = rows.sparkSession.sparkContext.broadcast((np.sort(heavy.astype(np.int64).view(np.uint64)), pivots))
+    sent = rows.sparkSession.sparkContext.broadcast((heavy, pivots))
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, pivots), seen = sent.value, set()
@@ -209,9 +225,9 @@ def windows(rows: DataFrame, heavy: np.ndarray, pivots: Pivots, signer: Signer,
                 if not pivots.places(own, 0, percent, RADIUS[0])[1]:
                     continue
                 size = len(own) - -(-percent * len(own) // 100) + 1
-                if len(common):
-                    last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-                    own = np.concatenate([own[~last], own[last]]) if last.any() else own
+                at = own & np.uint64((1 << HEAVY_BITS) - 1)
+                last = (common[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+                own = np.concatenate([own[~last], own[last]]) if last.any() else own
                 out.append((own[:size].view(np.int64), len(own), sig))
             if out:
                 lengths = [len(x[0]) for x in out]
@@ -538,8 +554,7 @@ def _nodes(df: DataFrame, *, percent: int, width: int, id_col: str, text_col: st
     own = F.try_element_at(F.create_map(*[F.lit(x) for c in clashes.items() for x in c]), F.col("sig")) if clashes else F.lit(None)
     sig = F.when(F.coalesce(own != F.col("low"), F.lit(False)), F.col("low")).otherwise(F.col("sig")).alias("sig")
     documents = first.where("key is not null").select("doc_id", "key", "n", sig)
-    heavy = first.where("shingle is not null").groupBy("shingle").agg(F.sum("met").alias("met")).where(F.col("met") >= max(2.0, HEAVY / 2 * n))
-    common = heavy.select("shingle").toArrow().column(0).to_numpy()
+    common = heavy_bits(first.where("shingle is not null").select("shingle", "met"))
 
     keys = written(documents.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key")))
     sets = Sets(rows, keys, signer, width, percent)
@@ -586,11 +601,12 @@ def jaccard_components(df: DataFrame, *, percent: int = 80, width: int = 5, id_c
 
     Repeated rows are returned each. A null doc_id takes part, also where it connects others, and has its component's id (null, if that has none). An
     empty table gives no rows. Other columns are not read. Overfull cells and regions are divided or compared in blocks of bounded size; what reaches
-    the driver is bounded: pivots, numbers of overfull cells, and the list of common shingles.
+    the driver is bounded: pivots, numbers of overfull cells, and the bits of common shingles.
     """
     nodes = written(_nodes(df, percent=percent, width=width, id_col=id_col, text_col=text_col))
-    smallest = nodes.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return nodes.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    several = nodes.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    smallest = written(several.where("rows > 1").drop("rows"))
+    return small_join(nodes, smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(df: DataFrame, *, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -599,8 +615,8 @@ def keep_one_of_each(df: DataFrame, *, percent: int = 80, width: int = 5, id_col
     of an id stay. All columns stay."""
     nodes = written(_nodes(df, percent=percent, width=width, id_col=id_col, text_col=text_col).where("comp is not null"))
     rank = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")
-    best = nodes.groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1)
-    each = nodes.join(best, "comp").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max((F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("best.key") == F.col("key"))).alias("__best"), F.count("*").alias("__rows"))
+    best = written(nodes.groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1))
+    each = small_join(nodes, best, "comp").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max((F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("best.key") == F.col("key"))).alias("__best"), F.count("*").alias("__rows"))
     named = df.withColumn("__row", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     same = lambda t: F.col(f"`{id_col}`").eqNullSafe(t["__id"]) & (F.col("__row") == t["__key"])
     gone = written(each.where("not __best or __rows > 1").select("__id", "__key"))
