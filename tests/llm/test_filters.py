@@ -1,5 +1,7 @@
 """URL reputation, line dedup, secrets, quality and toxicity on small tables."""
 
+import collections
+import math
 import random
 import re
 import zlib
@@ -10,10 +12,10 @@ from pyspark.sql import functions as F
 from lodestack.llm import line_dedup, toxicity
 from lodestack.llm.line_dedup import drop_boilerplate
 from lodestack.llm.common import word_hashes
-from lodestack.llm.quality import judge_quality, statistics
-from lodestack.llm.secret_scan import CANDIDATE, candidates, scan_secrets
+from lodestack.llm.quality import features, judge_quality, statistics
+from lodestack.llm.secret_scan import CANDIDATE, candidates, check_digit, dictionary, held_out_figures, scan_secrets, with_features
 from lodestack.llm.toxicity import drop_toxic, held_out, score_toxicity
-from lodestack.llm.url_reputation import filter_urls
+from lodestack.llm.url_reputation import beta_quantile, domain_and_suffix, filter_urls, site_of
 
 
 def test_url_rules_and_parts(spark, labels):
@@ -46,6 +48,36 @@ def test_reputation_blocks_bad_hosts_and_shrinks(spark, labels):
     assert got[100].bad_rate < got[301].bad_rate < got[300].bad_rate < got[0].bad_rate
 
 
+def test_beta_quantile(spark):
+    import numpy as np
+
+    x = (np.arange(200_000) + 0.5) / 200_000
+    rows = []
+    for a, b in ((1, 1), (2, 5), (5, 20), (30, 3), (0.9, 40), (200, 300), (1.5, 0.4), (12, 0.9)):
+        density = x ** (a - 1) * (1 - x) ** (b - 1)
+        rows.append((float(a), float(b), float(x[np.searchsorted(np.cumsum(density) / density.sum(), 0.025)])))
+    df = spark.createDataFrame(rows, "a double, b double, q double").select("a", "b", "q", beta_quantile(F.col("a"), F.col("b"), 1.96).alias("found"))
+    assert all(abs(r.q - r.found) < 0.01 if r.b >= 1 else r.q - 0.09 < r.found <= r.q for r in df.collect())
+    assert df.select(beta_quantile(F.lit(0.3), F.lit(5.0), 1.96)).first()[0] == 0
+
+
+def test_sites_and_domains(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "localhost": ("localhost", "localhost"), "10.1.2.3": ("10.1.2.3", "address"), "": ("", "")}
+    df = spark.createDataFrame([(k,) for k in want], "site string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("site", *domain_and_suffix(F.col("site"))).collect()} == want
+    hosts = spark.createDataFrame([("u:p@x.com:8080",), ("x.com.",), ("x.com",)], "host string")
+    assert {r[0] for r in hosts.select(site_of(F.col("host"))).collect()} == {"x.com"}
+
+
+def test_a_host_alone_counts_once(spark, labels):
+    pages = spark.createDataFrame([(k, "http://only.alone.org/") for k in range(6)] + [(100 + k, f"http://h{k % 20}.wide.com/") for k in range(200)], "page_id long, url string")
+    known = labels(*[(k, 0, 0) for k in range(6)], *[(100 + k, 1, 0) for k in range(200)])
+    got = {r.page_id: r for r in filter_urls(pages, known, rules=()).collect()}
+    assert got[0].bad_rate < 0.95 and got[0].bad_bound < 0.6  # six bad pages against a prior from the good ones elsewhere
+    long = filter_urls(spark.createDataFrame([(1, "http://" + "a" * 50_000 + ".net/" + "b" * 100_000)], "page_id long, url string"), known).first()
+    assert len(long.host) == 50_004 and len(long.path) == 100_001
+
+
 def test_empty_tables(spark, documents, labels):
     none = documents().limit(0)
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), labels()).count() == 0
@@ -62,9 +94,11 @@ def test_line_dedup(documents, broadcast, monkeypatch):
     texts = [(k, f"own line {k}\n  Menu here \n\nbody {k}", "a") for k in range(20)]
     texts += [(100 + k, "copied page\nwith two lines", "a") for k in range(50)]  # copies are one page
     texts += [(200, None, "a"), (201, "", "a"), (202, "Menu here", "b"), (203, "Menu here", None), (204, "Menu here\nx", "a")]
-    df = documents(*texts).withColumn("lines", F.lit("clash"))
+    texts += [(300, "Menu here\n" + "very long text " * 100_000, "a")]
+    df = documents(*texts).withColumn("lines", F.lit("clash")).withColumn("lines_total", F.lit("replaced")).withColumn("lines_dropped", F.lit(None))
     got = {r.doc_id: r for r in drop_boilerplate(df).collect()}
     assert len(got) == len(texts) and got[0].text == "own line 0\n\nbody 0" and got[0].lines_dropped == 1 and got[0].lines_total == 4
+    assert got[300].text == "very long text " * 100_000 and got[300].lines_dropped == 1
     assert got[100].text == "copied page\nwith two lines" and got[200].text is None and got[200].lines_total == 0 and got[201].text == ""
     assert got[202].text == "Menu here" and got[203].text == "Menu here" and got[204].text == "x" and got[0].lines == "clash"
 
@@ -81,6 +115,8 @@ def test_secrets(spark, documents):
     for r in scan_secrets(documents(*rows)).collect():
         got.setdefault(r.doc_id, []).append(r.is_secret)
     assert all(got[k] == [True] for k in range(120)) and all(got[1000 + k] == [False, False] for k in range(120))
+    figures = {(r.label, r.is_secret): r.n for r in held_out_figures(documents(*rows)).collect()}
+    assert figures[1.0, True] > 10 and figures[0.0, False] > 20 and (1.0, False) not in figures and figures.get((0.0, True), 0) <= 1
     assert 5000 not in got and 5001 not in got and got[5002] == [True] and got[5003] == [True] and got[5004] == [False]
 
 
@@ -116,6 +152,12 @@ def test_quality_statistics():
         assert statistics(text, word_hashes([text.encode()])[0]) == plain_statistics(text), repr(text)
 
 
+def quality_buckets(x):
+    words = word_hashes([w.encode() for w in ((x,) if isinstance(x, str) else x)])
+    found, _ = features([__import__("numpy").concatenate(words)], 1 << 16)
+    return int(found[0] if isinstance(x, str) else found[2])
+
+
 def test_quality_verdicts(documents, labels):
     rnd = random.Random(2)
     word = lambda: rnd.choice("abcdefghijklmnopqrst") * 3  # few words, as all pairs must come in the trusted texts too
@@ -123,9 +165,28 @@ def test_quality_verdicts(documents, labels):
     bad = [(100 + k, " ".join(word() + "%%%" for _ in range(120))) for k in range(20)]
     odd = [(300, None), (301, ""), (302, "too short"), (303, "x y z " * 100), (304, good[0][1]), (304, good[0][1])]
     known = [(k, 1, 0) for k in range(50)] + [(100 + k, 0, 0) for k in range(10)] + [(None, 1, 0)]
-    rows = judge_quality(documents(*good, *bad, *odd), labels(*known)).collect()
+    long = (305, " ".join(word() for _ in range(300_000)))
+    rows = judge_quality(documents(*good, *bad, *odd, long).withColumn("score", F.lit("clash")).withColumn("is_target", F.lit(True)).withColumn("quality", F.lit(0)), labels(*known)).collect()
     got = {r.doc_id: r for r in rows}
-    assert len(rows) == 106 and all(got[k].kept for k in range(80)) and not any(got[100 + k].kept for k in range(20))
+    assert got[305].n_words == 300_000 and got[305].score > -0.12
+    raw, target = collections.Counter(), collections.Counter()  # the score by dictionaries of words and pairs
+    for k, text in [*good, *bad, *odd, long]:
+        w = (text or "").split()
+        found = [*w, *zip(w, w[1:])]
+        raw.update(found)
+        target.update(found if k < 50 else [])
+    n, m, weight = sum(raw.values()), sum(target.values()), 65536.0
+    names = {x: quality_buckets(x) for x in raw}
+    own, its = collections.Counter(), collections.Counter()
+    for x, b in names.items():
+        own[b] += raw[x]
+        its[b] += target[x]
+    ratio = {x: math.log((its[b] + weight * own[b] / n) / (m + weight)) - math.log(own[b] / n) for x, b in names.items()}
+    for k in (0, 60, 105, 303, 305):
+        w = dict([*good, *bad, *odd, long])[k].split()
+        own = [ratio[x] for x in [*w, *zip(w, w[1:])]]
+        assert abs(got[k].score - sum(own) / len(own)) < 1e-9
+    assert len(rows) == 107 and all(got[k].kept for k in range(80)) and not any(got[100 + k].kept for k in range(20))
     assert all(got[k].base_failed and not got[k].kept for k in (300, 301, 302, 303)) and got[304].kept and got[303].n_repeat_words == 300
 
 
@@ -186,8 +247,8 @@ def test_toxicity_model_has_no_cap(documents, labels, monkeypatch):
     rows = [(k, " ".join([word() for _ in range(30)] + ["zgrobix"] * (k % 50 == 0))) for k in range(600)]
     df = documents(*rows, (9000, None), (9000, rows[0][1]), (None, rows[0][1]), (None, "..."))
     known = df.select("text", (F.col("doc_id") % 50 == 0).cast("int").alias("toxic")).where("text is not null and toxic is not null")
-    context, _, letter, _ = toxicity.letters("zgrobix")
-    keys = toxicity._keys(context, letter).tolist()
+    contexts, letter, _ = toxicity.letters("zgrobix")
+    keys = toxicity._keys(contexts[0], letter).tolist()
     model = {r.key: r.ratio for r in toxicity.train(known, "toxic").collect()}
     assert all(model[k] > 1 for k in keys[1:6])  # also the letters after a beginning that only toxic texts have
     found = [(k, 1, int(k % 50 == 0)) for k in range(600)]
@@ -197,3 +258,91 @@ def test_toxicity_model_has_no_cap(documents, labels, monkeypatch):
     order = lambda rows: sorted((str(r.doc_id), r.score) for r in rows)
     assert len(sent) == len(joined) == 604 and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(order(sent), order(joined)))
     assert drop_toxic(df, labels(*found)).count() == sum(not r.predicted for r in sent)
+
+
+def plain_ratios(known):
+    """Both Kneser-Ney log-likelihoods of each letter in its context, from dictionaries of letters, and what they differ by."""
+    seen, count = set(), {0: {}, 1: {}}
+    for text, toxic in known:
+        own = set()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            for k, x in enumerate([*word, " "]):
+                own.add((("\0" * 4 + word)[k : k + 4], x))
+        for e in own:
+            count[toxic][e] = count[toxic].get(e, 0) + 1
+        seen |= own
+    met = {4: seen}
+    for k in (3, 2, 1, 0):
+        met[k] = {(h[1:], x) for h, x in met[k + 1]}
+    n = {k: {} for k in range(4)}
+    for k in range(4):
+        for h, x in met[k + 1]:
+            n[k][h[1:], x] = n[k].get((h[1:], x), 0) + 1
+
+    def shared(x, h):
+        own = {e: c for e, c in n[len(h)].items() if e[0] == h}
+        total = sum(own.values())
+        rest = shared(x, h[1:]) if h else 1 / 64
+        return max(own.get((h, x), 0) - 0.75, 0) / total + 0.75 * len(own) / total * rest if total else rest
+
+    out, docs = {}, [sum(count[c].values()) for c in (0, 1)]
+    for h, x in seen:
+        o, t = (count[c].get((h, x), 0) for c in (0, 1))
+        co, ct = (sum(v for (g, _), v in count[c].items() if g == h) for c in (0, 1))
+        if not co or not ct:
+            chance = t * math.log(sum(docs) / docs[1]) if not co else o * math.log(sum(docs) / docs[0])
+        else:
+            chance = sum(c * math.log(c * (ct + co) / ((t + o) * m)) for c, m in ((t, ct), (o, co)) if c)
+        s = shared(x, h[1:])
+        back = 0.75 * sum(g == h for g, _ in seen) / (ct + co) * s
+        p = [max(c - 0.75, 0) / m + back if m else s for c, m in ((o, co), (t, ct))]
+        ratio = math.log(p[1]) - math.log(p[0])
+        if max(t, o) >= 3 and 2 * chance >= 15 and abs(ratio) >= toxicity.LEAST_RATIO:
+            out[h, x] = ratio
+    return out
+
+
+def test_toxicity_model_against_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_RATIO", 0.02)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice(("an", "ti", "lo", "re", "mu", "é")) for _ in range(rnd.randrange(1, 4)))
+    rows = [(" ".join([word() for _ in range(rnd.randrange(12))] + ["zgrob" + word()] * (k % 5 == 0) + ["Fine!", "42"] * (k % 7 == 0)), int(k % 5 == 0)) for k in range(150)]
+    known = documents(*enumerate(t for t, _ in rows)).select("text", F.element_at(F.lit([c for _, c in rows]), (F.col("doc_id") + 1).cast("int")).alias("toxic"))
+    want = plain_ratios(rows)
+    model = {r.key: r.ratio for r in toxicity.train(known, "toxic").collect()}
+    names = {}
+    for (h, x), value in want.items():
+        before = h.replace("\0", "")
+        contexts, letter, _ = toxicity.letters(before + ("" if x == " " else x))
+        names[int(toxicity._keys(contexts[0], letter)[len(before)])] = value
+    assert len(want) >= 5 and set(names) == set(model) and all(abs(model[k] - v) < 1e-9 for k, v in names.items())
+
+
+def test_secret_features_against_brute_force(documents):
+    rnd = random.Random(12)
+    common = ["lorem", "ipsum", "dolor", "sit", "amet"]
+    kinds = ["abcdef", "ABC", "0123456789", "+/_=-"]
+    token = lambda: "".join(rnd.choice(common) if rnd.random() < 0.3 else rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randrange(16, 40)))
+    rows = [(k, " ".join([*common, token(), rnd.choice(["is", "of", "x"])]), rnd.choice(["src/a", "tests/b"])) for k in range(60)]
+    df = documents(*rows).withColumn("coverage", F.lit("clash"))
+    words = {r.word for r in dictionary(df).collect()}
+    count = {}
+    for _, text, _ in rows:
+        for w in set(text.split(" ")):
+            if re.fullmatch("[a-z]{3,8}", w):
+                count[w] = count.get(w, 0) + 1
+    assert words == {w for w, n in count.items() if n >= 2}
+    got = {r.doc_id: r for r in with_features(candidates(df), dictionary(df)).collect()}
+    for k, text, path in rows:
+        c = text.split(" ")[5]
+        low = c.lower()
+        cells = {i + j for i in range(len(c)) for n in range(3, 9) if low[i : i + n] in words and i + n <= len(c) for j in range(n)}
+        of = lambda x: "a" if x.islower() else "A" if x.isupper() else "0" if x.isdigit() else "+"
+        changes = sum(of(x) != of(y) for x, y in zip(c, c[1:]))
+        r = got[k]
+        assert r.candidate == c and r.length == len(c) and abs(r.transitions - changes / len(c)) < 1e-12 and abs(r.coverage - len(cells) / len(c)) < 1e-12 and r.sample_path == ("test" in path)
+
+
+def test_check_digit(spark):
+    df = spark.createDataFrame([("4539578763621486",), ("4539578763621487",), ("79927398713",), ("0",)], "n string")
+    assert [r[0] for r in df.select(check_digit(F.col("n"))).collect()] == [True, False, True, True]
