@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by their shingles the one with the smallest id stays."""
+    """Of each group of documents that link by their shingles one stays, that with the smallest id."""
     return keep_one_of_each(docs)
 
 
