@@ -274,7 +274,7 @@ def test_media_patches(spark, rows):
 
 
 def test_deep_json_and_first_answers(spark, rows):
-    deep = '{"a":' * 60 + '{"image":"x.png"}' + "}" * 60
+    deep = '{"a":' * 7 + '{"image":"x.png"}' + "}" * 7
     df = spark.createDataFrame([(1, deep)], "project_id int, t string").withColumn("payload", F.parse_json("t"))
     assert rows(walk_projects(df), "class", "raw") == [("image", "x.png")] and flatten_variant(df, "project_id", "payload").count() == 1
     files = spark.createDataFrame([("old.css", "d1", 3), ("new.css", "d2", 4)], "path string, digest string, size long")
