@@ -204,7 +204,7 @@ def heavy_bits(met: DataFrame) -> np.ndarray:
             break
         enough = r.met
     at = F.col("shingle").bitwiseAND((1 << HEAVY_BITS) - 1)
-    words = counts.where(F.col("met") >= enough).groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), at.bitwiseAND(31).cast("int"))).alias("bits")).toArrow()
+    words = counts.where(F.col("met") >= enough).groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(31).cast("int"))).alias("bits")).toArrow()
     out = np.zeros(1 << (HEAVY_BITS - 5), np.uint32)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out
