@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from lodestack.functions import fixed
 from lodestack.operators.extract import union_refs
 
 Scanner = Callable[[DataFrame], DataFrame]
@@ -52,6 +53,21 @@ class Registry:
         return pages.withColumn("detected", F.coalesce(*found)) if found else pages.withColumn("detected", F.lit(None).cast("struct<by:string,result:string>"))
 
 
+@udtf(returnType="rule string, raw string")
+class AssetNames:
+    """``SELECT ... FROM files, LATERAL asset_names(text)``: the quoted names and style references of assets in a text, each once, for SQL users."""
+
+    def eval(self, text: str):
+        import re
+
+        ext = "|".join(fixed.ASSET_EXTENSIONS)
+        rules = (("quoted", rf"""["'`]([^"'`\s<>{{}}|\\^$]{{1,400}}\.(?:{ext})(?:[?#][^"'`\s<>]*)?)["'`](?!\s*:)"""), ("css", r"""url\(\s*["']?([^"')\s]+?)["']?\s*\)"""))
+        for rule, pattern in rules if text else ():
+            for raw in dict.fromkeys(re.findall(pattern, text, re.I)):
+                if not raw.startswith(("data:", "#")):
+                    yield rule, raw
+
+
 @udtf(returnType="ord int, raw string")
 class AnchorLinks:
     """``SELECT ... FROM pages, LATERAL anchor_links(html)``: the links of a page for SQL users."""

@@ -7,7 +7,7 @@ from lodestack.operators import filters as fl
 from lodestack.operators import joins as jo
 from lodestack.operators import windows as wi
 from lodestack.operators.iterate import crawl_routes, deep_scan, flatten_variant, reachable_styles, resume_crawl, walk_projects
-from lodestack.operators.registry import AnchorLinks, Registry
+from lodestack.operators.registry import AnchorLinks, AssetNames, Registry
 
 
 def pages(spark, *rows):
@@ -323,3 +323,6 @@ def test_registry(spark, rows):
     spark.udtf.register("anchor_links", AnchorLinks)
     pages(spark, ("u", '<a href="/x">')).createOrReplaceTempView("p")
     assert spark.sql("SELECT raw FROM p, LATERAL anchor_links(html)").first().raw == "/x"
+    spark.udtf.register("asset_names", AssetNames)
+    spark.createDataFrame([("""a="x.png"; b="x.png"; {"y.js": 1}; url('z.woff')""",), (None,)], "t string").createOrReplaceTempView("texts")
+    assert rows(spark.sql("SELECT n.* FROM texts, LATERAL asset_names(t) AS n")) == [("css", "z.woff"), ("quoted", "x.png")]
