@@ -226,7 +226,7 @@ def default_candidates(urls: DataFrame, column: str = "url") -> DataFrame:
     """
     base = urls.select(F.col(column).alias("url")).where("url is not null").distinct()
     parts = F.filter(F.split(path(F.col("url")), "/"), lambda p: p != "")
-    last = F.element_at("all_parts", -1)
+    last = F.coalesce(F.try_element_at("all_parts", F.lit(-1)), F.lit(""))
     a_file = (F.size("all_parts") > 0) & F.contains(last, F.lit(".")) & ~F.startswith(last, F.lit("."))
     origin = F.concat(scheme("url"), F.lit("://"), netloc("url"))
     folder = F.regexp_replace(F.when(path(F.col("url")) == "", "/").otherwise(path(F.col("url"))), "[^/]*$", "")

@@ -65,7 +65,8 @@ def scan_package(spark: SparkSession, root: str, manifest: str = "checksums.json
 def _json_documents(spark: SparkSession, path: str) -> DataFrame:
     """v (variant; null if it can't be read): each file is a JSON document, or has one a line."""
     text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("whole"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    lines = F.when(F.col("whole").isNull() & (F.size("lines") > 1), F.transform("lines", F.try_parse_json)).otherwise(F.array("whole"))
+    each = (F.size("lines") > 1) & F.forall("lines", lambda x: F.rlike(x, F.lit(r"^\s*\{.*\}\s*$")))  # the parser takes the first of several documents
+    lines = F.when(each, F.transform("lines", F.try_parse_json)).otherwise(F.array("whole"))
     return text.select(F.explode(lines).alias("v"))
 
 

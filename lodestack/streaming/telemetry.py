@@ -155,13 +155,13 @@ def apply_event(s: dict, now: float, kind: str, bytes_: float | None, total: flo
     _sampled(s, now, False, alpha)
 
 
-def job_state_stream(events: DataFrame, alpha: float = 0.28, expires: str = "1 day") -> DataFrame:
+def job_state_stream(events: DataFrame, alpha: float = 0.28, expires: str = "1 day", late: str = "1 hour") -> DataFrame:
     """job and its state after each batch: (job, ts, type, bytes, total, state, name, error) events folded in time order.
 
     17 types: queue_started, job_started (both begin anew), stage_changed, asset_discovered, file_started, response_meta (of a file once: see
     ``dedup_stream``), bytes_transferred, speed_bytes, file_progress, file_completed, file_failed, file_skipped, file_retry, job_completed
     (``total``: failed files, else those counted), job_failed, job_cancelled, cancelling; others only take a speed sample. The state is one row of
-    numbers a job and its last HISTORY speeds; a job that is silent for ``expires`` is forgotten.
+    numbers a job and its last HISTORY speeds; a job that is silent for ``expires`` of event time is forgotten. Events over ``late`` are dropped.
     """
     names = [x.strip().split()[0] for x in STATE.split(",")]
     wait = int(pd.Timedelta(expires).total_seconds() * 1000)
@@ -176,15 +176,15 @@ def job_state_stream(events: DataFrame, alpha: float = 0.28, expires: str = "1 d
         for r in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
             apply_event(s, r.ts.timestamp(), r.type, *(value(getattr(r, c)) for c in DETAILS), alpha=alpha)
         state.update(tuple(s[n] for n in names))
-        state.setTimeoutDuration(wait)
+        state.setTimeoutTimestamp(max(int((s["last"] or 0) * 1000), state.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame([{"job": key[0], **{n: s[n] for n in names}}])
 
     kind = events.schema["job"].dataType.simpleString()
     for c in DETAILS:
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast("double" if c in ("bytes", "total") else "string"))
-    rows = events.select("job", "ts", "type", *[F.col(c).cast("double" if c in ("bytes", "total") else "string").alias(c) for c in DETAILS])
-    return rows.groupBy("job").applyInPandasWithState(fold, f"job {kind}, {STATE}", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("ts", late).select("job", "ts", "type", *[F.col(c).cast("double" if c in ("bytes", "total") else "string").alias(c) for c in DETAILS])
+    return rows.groupBy("job").applyInPandasWithState(fold, f"job {kind}, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def speed_stream(events: DataFrame, alpha: float = 0.28) -> DataFrame:

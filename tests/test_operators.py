@@ -325,4 +325,4 @@ def test_registry(spark, rows):
     assert spark.sql("SELECT raw FROM p, LATERAL anchor_links(html)").first().raw == "/x"
     spark.udtf.register("asset_names", AssetNames)
     spark.createDataFrame([("""a="x.png"; b="x.png"; {"y.js": 1}; url('z.woff')""",), (None,)], "t string").createOrReplaceTempView("texts")
-    assert rows(spark.sql("SELECT n.* FROM texts, LATERAL asset_names(t) AS n")) == [("css", "z.woff"), ("quoted", "x.png")]
+    assert rows(spark.sql("SELECT n.* FROM texts, LATERAL asset_names(t) AS n")) == [("css", "z.woff"), ("quoted", "x.png"), ("quoted", "z.woff")]

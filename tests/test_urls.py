@@ -87,7 +87,7 @@ def test_local_paths(spark):
     df = spark.createDataFrame([(k, url, m) for k, (url, m) in enumerate(cases)], "k int, url string, mime string")
     got = {r.k: r.path for r in u.plan_local_paths(df, start).collect()}
     for k, want in enumerate(cases.values()):
-        assert got[k] == want or want is None and len(got[k].removeprefix("images/")) == 140 and got[k].endswith(".png"), (k, got[k])
+        assert got[k] == want or want is None and 100 < len(got[k].removeprefix("images/")) <= 140 and got[k].endswith(".png"), (k, got[k])
 
 
 def test_record_file_url(spark):
