@@ -25,8 +25,15 @@ WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+#: Rows of an Arrow batch between Spark and Python, unless the session asks for fewer: texts are long, and both sides hold a batch whole.
+ROWS_PER_BATCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ROWS_PER_BATCH:
+        spark.conf.set(rows, str(ROWS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
