@@ -282,7 +282,7 @@ def plain_ratios(known):
     def shared(x, h):
         own = {e: c for e, c in n[len(h)].items() if e[0] == h}
         total = sum(own.values())
-        rest = shared(x, h[1:]) if h else 1 / 64
+        rest = shared(x, h[1:]) if len(h) > 4 - toxicity.BACKOFFS else 1 / 64
         return max(own.get((h, x), 0) - 0.75, 0) / total + 0.75 * len(own) / total * rest if total else rest
 
     out, docs = {}, [sum(count[c].values()) for c in (0, 1)]
