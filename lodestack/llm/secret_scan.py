@@ -157,14 +157,15 @@ def scan_secrets(df: DataFrame, *, findings: DataFrame | None = None, cut: float
     A random forest on the candidate's length, changes of character class, coverage by the corpus's frequent words, path, and neighbouring
     words, trained on at most MOST_FINDINGS findings of each label, sets ``is_secret`` where its probability is at least ``cut``.
     ``findings`` (candidate, label 0/1) are reviewed ones; without them ``label_findings`` supplies labels. Of all different values one in HELD_OUT
-    trains nothing (``held_out_figures`` measures on those). With findings of one label only there is no forest: probability is null and a
+    trains nothing (``held_out_figures`` measures the forest on those). A candidate that is labelled 0 is no secret, whatever the forest says. With findings of one label only there is no forest: probability is null and a
     candidate is a secret if it is labelled so.
 
     Null and empty texts have no candidates; a null path speaks for nothing; null ids are kept. Repeated rows give repeated results. An empty
     table gives no rows. Other columns are not read. Texts are split whole, candidates of any length are taken whole.
     """
-    keys = ("doc_id", "at", "part", "candidate", "probability", "is_secret")
-    return _judged(df, findings=findings, cut=cut, trees=trees, depth=depth, id_col=id_col, text_col=text_col, path_col=path_col).select(*keys)
+    found = _judged(df, findings=findings, cut=cut, trees=trees, depth=depth, id_col=id_col, text_col=text_col, path_col=path_col)
+    known = F.coalesce(F.col("label") == 0, F.lit(False))
+    return found.select("doc_id", "at", "part", "candidate", "probability", (F.col("is_secret") & ~known).alias("is_secret"))
 
 
 def held_out_figures(df: DataFrame, **options: object) -> DataFrame:
