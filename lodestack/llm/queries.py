@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm.common import table
 from lodestack.llm.decontaminate import find_leaks
+from lodestack.llm.exact_dedup import exact_duplicates
 from lodestack.llm.jaccard_join import jaccard_components
 from lodestack.llm.line_dedup import drop_boilerplate
 from lodestack.llm.packing import pack_documents
 from lodestack.llm.quality import judge_quality
+from lodestack.llm.ranked_search import rank_documents
 from lodestack.llm.secret_scan import scan_secrets
 from lodestack.llm.sharding import assign_shards
 from lodestack.llm.token_count import count_tokens
 from lodestack.llm.toxicity import score_toxicity
 from lodestack.llm.url_reputation import SUFFIXES, filter_urls
+from lodestack.llm.whitening import whiten
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_jaccard_join, op4_token_counts, op5_packing, op6_secret_scan, op7_sharding, op8_decontamination, op9_quality_rules, op10_toxicity)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_jaccard_join, op4_token_counts, op5_packing, op6_secret_scan, op7_sharding, op8_decontamination, op9_quality_rules, op10_toxicity, op11_ranked_search, op12_exact_dedup, op13_whitening)}
 
 SQL: dict[str, str] = {}
 
@@ -127,3 +142,32 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(st
   CASE WHEN text IS NULL THEN 0 ELSE len(own) END AS lines_total, CASE WHEN text IS NULL THEN 0 ELSE len(own) - len(stay) END AS lines_dropped
 FROM kept
 """
+
+SQL["op11_ranked_search"] = r"""
+WITH words AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)
+), counts AS (SELECT doc_id, row, term, count(*) AS tf FROM words GROUP BY ALL
+), lengths AS (SELECT row, count(*) AS n FROM words GROUP BY row
+), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), weights AS (SELECT term, floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, total GROUP BY term
+), items AS (
+  SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, text FROM benchmark))
+), asked AS (SELECT item, item_id, term, count(*) AS times FROM items GROUP BY ALL
+), scored AS (
+  SELECT item, item_id, doc_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (row), total GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+SQL["op12_exact_dedup"] = r"""
+WITH bare AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS content FROM documents
+), firsts AS (
+  SELECT *, first_value(doc_id) OVER own AS keep_id, first_value(chars) OVER own AS keep_chars, count(*) OVER (PARTITION BY content) AS group_size
+  FROM bare WINDOW own AS (PARTITION BY content ORDER BY chars DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND chars = keep_chars AS kept, sha256(content) AS text_sha256 FROM firsts
+"""
