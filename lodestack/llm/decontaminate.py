@@ -26,13 +26,11 @@ UNITS = frozenset("mm cm m km in ft mi mile miles g kg mg lb lbs oz l ml s sec s
 #: Up to so many different window hashes (8 bytes each) are sent to the tasks as a filter before the join, and up to so many windows are broadcast.
 MOST_SENT_WINDOWS = 500_000
 
-#: A window of more different items than this names no item on its own: an item with rarer windows is looked for by those.
-COMMON_ITEMS = 50
-
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _CAPITAL, _ENDS, _NUM, _UNIT, _NONE = 1, 2, 4, 8, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _SLOTS = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>")) for kind in ("number", "unit", "name")}
 
 
@@ -75,24 +73,20 @@ class Templates:
         self.words = np.select([number, unit, name], list(_SLOTS.values()), self.literal)
         self.slot = number | unit | name
 
-    def hashes(self, lengths: list[int], more: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-        """(length, starts, hashes, exact) of the windows of each length: by slots those of which at least half are literal, and, exact, by their literal
-        words those that would be less than half literal with ``more`` slots."""
+    def hashes(self, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """(length, starts, hashes, exact) of the windows of each length: by slots those of which at least half are literal, and, exact, all by their
+        literal words in any case."""
         before = np.r_[0, np.cumsum(self.slot)]
-        value, literal = (np.full(len(self.words), 7, np.uint64) for _ in range(2))
-        for k in range(max(lengths, default=0)):
-            count = len(self.words) - k
+        back = np.multiply.accumulate(np.full(len(self.words), _ODD_INVERSE)) * _ODD  # of the window's place
+        sums = [np.r_[np.uint64(0), np.cumsum(own * np.multiply.accumulate(np.full(len(own), _ODD)))] for own in (self.words, self.literal)]
+        for length in lengths:
+            count = len(self.words) - length + 1
             if count <= 0:
-                return
-            value = mix((value[:count] * _ODD) ^ self.words[k:])
-            literal = mix((literal[:count] * _ODD) ^ self.literal[k:])
-            if (length := k + 1) in lengths:
-                whole = self.owner[k:] == self.owner[:count]
-                slots = before[length:] - before[:-length]
-                start = np.flatnonzero(whole & (2 * slots <= length))
-                yield length, start, value[start] ^ np.uint64(length), False
-                start = np.flatnonzero(whole & (2 * (slots + more) > length))
-                yield length, start, literal[start] ^ np.uint64(1 << 32 | length), True
+                continue
+            whole = self.owner[length - 1 :] == self.owner[:count]
+            few = 2 * (before[length:] - before[:-length]) <= length
+            for own, start, exact in zip(sums, (np.flatnonzero(whole & few), np.flatnonzero(whole)), (False, True)):
+                yield length, start, _named((own[start + length] - own[start]) * back[start], length, exact), exact
 
     def slots(self, start: int, length: int) -> list[str]:
         """What fills a window's slots, as written but for case and punctuation around it."""
@@ -103,10 +97,14 @@ class Templates:
         """(hash, slots) of a window for each slot that its first word may be in a document, after words that aren't part of it."""
         for kind, flag in (("name", _CAPITAL), ("unit", _UNIT)):
             if not self.slot[start] and self.flags[start] & flag and 2 * (1 + self.slot[start : start + length].sum()) <= length:
-                value = np.full(1, 7, np.uint64)
-                for word in (_SLOTS[kind], *self.words[start + 1 : start + length]):
-                    value = mix((value * _ODD) ^ word)
-                yield int((value ^ np.uint64(length)).view(np.int64)[0]), [_EDGES.sub("", self.raw[self.at[start]].decode()).lower(), *self.slots(start + 1, length - 1)]
+                words = np.r_[_SLOTS[kind], self.words[start + 1 : start + length]]
+                value = (words * np.multiply.accumulate(np.full(length, _ODD))).sum(keepdims=True)
+                yield int(_named(value, length, False).view(np.int64)[0]), [_EDGES.sub("", self.raw[self.at[start]].decode()).lower(), *self.slots(start + 1, length - 1)]
+
+
+def _named(sums: np.ndarray, length: int, exact: bool) -> np.ndarray:
+    """Hashes of windows by the sums of their words times powers of an odd number."""
+    return mix(sums ^ np.uint64(exact << 32 | length))
 
 
 class _Filter:
@@ -137,7 +135,7 @@ def item_windows(rows: DataFrame) -> DataFrame:
                 total = len(own.words)
                 length = min(WINDOW, total)
                 if total:
-                    for _, start, value, exact in own.hashes([length], 1):
+                    for _, start, value, exact in own.hashes([length]):
                         out += [(doc, key, total, s, length, h, [] if exact else own.slots(s, length)) for s, h in zip(start.tolist(), value.view(np.int64).tolist())]
                     out += [(doc, key, total, 0, length, h, slots) for h, slots in own.readings(0, length)]
             types = {"id": piece.schema.field("doc_id").type, "key": pa.int64(), **_WINDOW}
@@ -147,7 +145,8 @@ def item_windows(rows: DataFrame) -> DataFrame:
 
 
 def document_windows(rows: DataFrame, lengths: list[int], only: np.ndarray | None) -> DataFrame:
-    """(doc_id, key, at, hash, here) of the windows of ``rows`` (doc_id, text), of all ``lengths``. ``only``: sorted hashes to keep."""
+    """(doc_id, key, at, hash, here, reach) of the windows of ``rows`` (doc_id, text), of all ``lengths``. ``only``: sorted hashes to keep; ``reach`` is how
+    many of the row's words lie in windows that were kept, so no item of more than reach / least_cover words can have leaked into it."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     sent = rows.sparkSession.sparkContext.broadcast(only)
 
@@ -156,18 +155,21 @@ def document_windows(rows: DataFrame, lengths: list[int], only: np.ndarray | Non
         for piece, texts in text_slices(batches, "text"):
             own = Templates(texts, words)
             found: list[tuple[np.ndarray, np.ndarray, list]] = []
+            edges = np.zeros(len(own.words) + 1, np.int64)
             for length, start, value, exact in own.hashes(lengths):
                 if keep is not None:
                     hit = keep.of(value)
                     start, value = start[hit], value[hit]
+                edges += np.bincount(start, minlength=len(edges)) - np.bincount(start + length, minlength=len(edges))
                 found.append((start, value, [[]] * len(start) if exact else [own.slots(s, length) for s in start.tolist()]))
             start, value = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
             owner = own.owner[start]
             ids = [piece.column(c).take(pa.array(owner)) for c in ("doc_id", "key")]
-            rest = pa.array(start - own.bounds[owner]), pa.array(value.view(np.int64)), pa.array([s for f in found for s in f[2]], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*ids, *rest], ["doc_id", "key", "at", "hash", "here"])
+            reach = np.bincount(own.owner, weights=np.cumsum(edges)[:-1] > 0, minlength=1).astype(np.int64)
+            rest = pa.array(start - own.bounds[owner]), pa.array(value.view(np.int64)), pa.array([s for f in found for s in f[2]], pa.list_(pa.string())), pa.array(reach[owner])
+            yield pa.RecordBatch.from_arrays([*ids, *rest], ["doc_id", "key", "at", "hash", "here", "reach"])
 
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(freeing(cut), f"doc_id {kind}, key long, at long, hash long, here array<string>")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(freeing(cut), f"doc_id {kind}, key long, at long, hash long, here array<string>, reach long")
 
 
 def _leaks(df: DataFrame, benchmark: DataFrame, *, least_cover: float, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
@@ -182,19 +184,7 @@ def _leaks(df: DataFrame, benchmark: DataFrame, *, least_cover: float, id_col: s
     small = lambda t: F.broadcast(t) if few else t
     found = document_windows(as_documents(df, id_col, text_col), lengths or [WINDOW], only)
 
-    common = written(items.groupBy("hash").agg(F.count_distinct("item").alias("n")).where(F.col("n") > COMMON_ITEMS).select("hash"))
-    if common.limit(1).count():
-        found = written(found)
-        shared = items.join(common, "hash", "left_semi")
-        rare = items.join(common, "hash", "left_anti")
-        rare = rare.unionByName(shared.join(rare.select("item").distinct(), "item", "left_anti"))  # items of common windows only
-        hits = written(found.join(small(rare), "hash"))
-        pairs = hits.select("doc_id", "key", "item").distinct().withColumnsRenamed({"doc_id": "__id", "key": "__key"})
-        rest = found.join(pairs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).drop("__id", "__key")
-        rest = rest.join(small(shared.join(rare.select("item").distinct(), "item", "left_semi")), ["hash", "item"])
-        hits = hits.unionByName(rest.select(*hits.columns)).distinct()
-    else:
-        hits = found.join(small(items), "hash")
+    hits = found.join(small(items), "hash").where(F.col("reach") >= least_cover * F.col("words"))
     hits = hits.withColumn("pairs", F.arrays_zip(F.col("slots").alias("item"), F.col("here").alias("here")))
     places = hits.groupBy("doc_id", "key", "item", "words", (F.col("at") - F.col("start")).alias("shift")).agg(
         F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))).alias("covers"),
@@ -213,12 +203,12 @@ def _leaks(df: DataFrame, benchmark: DataFrame, *, least_cover: float, id_col: s
 def find_leaks(df: DataFrame, benchmark: DataFrame, *, least_cover: float = LEAST_COVER, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The pairs of a document and an item that it contains: doc_id, item_id, covered, item_words, reparameterised.
 
-    Windows of both sides' templates are joined by hash; windows of more slots than literal words by their literal words, so only exact copies match. An
-    item of fewer than WINDOW words is one window of its own length. An item's first word counts as a slot too, where a document may read it as one. The
-    windows of one place in a document and one alignment with an item must fill the item's slots consistently: each value of the item stands
+    Windows of both sides' templates are joined by hash, those with at least half of their words literal, and beside them all windows by their literal words in
+    any case. An item of fewer than WINDOW words is one window of its own length. An item's first word counts as a slot too, where a document may read it
+    as one. The windows of one place in a document and one alignment with an item must fill the item's slots consistently: each value of the item stands
     for one value there, and each name there for one of the item; else they say nothing. The item has leaked if the others cover at least
-    ``least_cover`` of its words. ``reparameterised``: some slot holds another value. Where more than COMMON_ITEMS items share a window, it
-    counts only for items that a rarer one has named, or that have no rarer one.
+    ``least_cover`` of its words. ``reparameterised``: in no alignment do all slots hold the item's own values. However many items share a window, it counts
+    for each of them; a row whose matching windows are too short for an item altogether is not compared with it.
 
     Null and empty texts match nothing. A row is known by its id and its text: rows equal in both give one result, others of an id (or of a null id) one
     each, also of items. Empty tables give no rows. Other columns are not read. A benchmark of any size works: up to a bound its

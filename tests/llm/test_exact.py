@@ -214,10 +214,10 @@ def test_leaks(spark, documents, sent, monkeypatch):
     torn = "Where we met, Anna saw a train leave at 9 and count wheels in total while Bob was near the old mill"
     rows = [(10, f"Before. {ITEM.lower()} after"), (11, f"Before. {changed} after"), (12, torn), (13, None), (14, ""), (15, "clean words only " * 50), (16, " ".join(w + "%%%" for w in ITEM.split())), (17, "so the QUICK fox, jumps over it!"), (10, f"Before. {ITEM.lower()} after"), (18, "far " * 40_000 + ITEM)]
     found = {(r.doc_id, r.item_id): r.reparameterised for r in find_leaks(documents(*rows).withColumn("item_id", F.lit(5)), items).collect()}
-    assert set(found) == {(11, 1), (16, 1), (17, 4), (18, 1)} | ({(10, 1)} if (10, 1) in found else set())
+    assert set(found) == {(10, 1), (11, 1), (16, 1), (17, 4), (18, 1)}
     assert found[11, 1] and not found[18, 1]
     kept = {r.doc_id for r in drop_leaks(documents(*rows), items).collect()}
-    assert {12, 13, 14, 15} <= kept and not kept & {11, 16, 17, 18}
+    assert {12, 13, 14, 15} <= kept and not kept & {10, 11, 16, 17, 18}
     assert find_leaks(documents().limit(0), items).count() == 0 and find_leaks(documents(*rows), items.limit(0)).count() == 0
 
 
@@ -271,8 +271,7 @@ def plain_leaks(docs, items):
                         if 2 * literal >= length and (n == 0 or at == 0) and all(a[2] == b[2] and (a[2] or a[1] == b[1]) for a, b in zip(here, there)):
                             own |= set(range(at, at + length))
                             pairs |= {(a[1], b[1]) for a, b in zip(here, there) if a[2]}
-                        slots = length - literal
-                        if n == 0 and 2 * (slots + 1) > length and 2 * sum(w[2] is not None for w in there) > length and all(a[1] == b[1] for a, b in zip(here, there)):
+                        if n == 0 and all(a[1] == b[1] for a, b in zip(here, there)):
                             own |= set(range(at, at + length))
                 named = [b for _, b in pairs if not re.search(r"\d", b)]
                 if own and len({a for a, _ in pairs}) == len(pairs) and len(set(named)) == len(named):
@@ -283,9 +282,7 @@ def plain_leaks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("common", [50, 1])
-def test_leaks_against_brute_force(spark, documents, common, monkeypatch):
-    monkeypatch.setattr(decontaminate, "COMMON_ITEMS", common)
+def test_leaks_against_brute_force(spark, documents):
     rnd = random.Random(11)
     word = lambda: rnd.choice(["near", "the", "mill", "Anna", "Bob", "Carla", "9", "120", "km", "days", "he", "sees", "runs", "Paris.", "then", "so", "--", "12th", "we", "walk"])
     texts = [" ".join(word() for _ in range(rnd.choice((2, 4, 7, 12, 25)))) for _ in range(12)]
@@ -300,7 +297,15 @@ def test_leaks_against_brute_force(spark, documents, common, monkeypatch):
     got = {(r.doc_id, r.item_id): (r.covered, r.item_words, r.reparameterised) for r in find_leaks(documents(*docs), frame).collect()}
     want = plain_leaks(docs, items)
     assert len(want) > 40
-    assert got == want if common > 1 else set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert got == want
+
+
+@pytest.mark.parametrize("m", [1, 50, 51, 500])
+def test_leaks_of_a_passage_that_items_share(spark, documents, m):
+    shared = " ".join(f"word{k}" for k in range(24))
+    items = spark.createDataFrame([(k, f"{shared} " + " ".join(f"own{k}x{j}" for j in range(12))) for k in range(m)], "item_id long, text string")
+    found = find_leaks(documents((1, f"before {shared} after"), (2, " ".join(shared.split()[:12]))), items)
+    assert sorted((r.doc_id, r.item_id, r.covered) for r in found.collect()) == [(1, k, 24) for k in range(m)]
 
 
 def test_leaks_by_row(spark, documents):
