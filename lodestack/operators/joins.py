@@ -121,19 +121,6 @@ def fallback_basename(unresolved: DataFrame, saved: DataFrame) -> DataFrame:
     return unresolved.withColumn("__b", basename(path("url"))).join(first, "__b", "left").withColumn("local", F.coalesce("__local", "url")).drop("__b", "__local")
 
 
-def rewrite_refs(files: DataFrame, mapping: DataFrame, token: str = r"[A-Za-z0-9_./:%?=&#+~@\\-]+") -> DataFrame:
-    """files (path, text) with every token that ``mapping`` (old, new) knows replaced once; what comes in isn't replaced again and parts of tokens aren't.
-
-    Only the different tokens of a file are joined, with those that are known; the text itself stays where it is and is put together from a map of its hits.
-    """
-    known = mapping.select(F.col("old").alias("piece"), "new").union(mapping.select(F.replace("old", F.lit("/"), F.lit("\\/")), F.replace("new", F.lit("/"), F.lit("\\/")))).dropDuplicates(["piece"])
-    tokens = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({token})"), 1))).alias("piece"))
-    hits = tokens.join(known, "piece").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("piece", "new"))).alias("__hits"))
-    pieces = F.regexp_extract_all("text", F.lit(f"({token}|(?:(?!{token})[\\s\\S])+)"), 1)
-    text = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("__hits", p), p)), "")
-    return files.join(hits, "path", "left").withColumn("text", F.coalesce(F.when(F.col("__hits").isNull(), F.col("text")).otherwise(text), F.lit(""))).drop("__hits")
-
-
 def fan_out(results: DataFrame, aliases: DataFrame) -> DataFrame:
     """Each alias (identity, url) with its identity's result."""
     return aliases.join(results, "identity")

@@ -186,12 +186,6 @@ def test_policies_and_modes(spark):
     assert [r.mode for r in fl.normalize_modes(q).collect()] == ["website_folder", "website_zip", "pure_website", "", "", "website", "cyoap_vue"]
 
 
-def test_rewrite_once(spark, rows):
-    files = spark.createDataFrame([("f", '{"a":"url1","b":"url2"} a/b.png xa/b.png'), ("e", "")], "path string, text string")
-    m = spark.createDataFrame([("url1", "url2"), ("url2", "final"), ("a/b.png", "L")], "old string, new string")
-    assert rows(jo.rewrite_refs(files, m), "path", "text") == [("e", ""), ("f", '{"a":"url2","b":"final"} L xa/b.png')]
-
-
 def test_archives(spark, rows):
     m = spark.createDataFrame([("z", "../escape.txt", False, 5, 5), ("y", "a", False, 2 << 20, 1024), ("x", "a", False, 1 << 20, 1)], "archive string, member string, is_dir boolean, file_size long, compress_size long")
     assert rows(agg.audit_archives(m), "archive", "ok") == [("x", True), ("y", False), ("z", False)]
