@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import fixed
 from lodestack.functions.scalars import project_score
 from lodestack.functions.urls import cache_identity, is_safe_member, netloc, path, query, resolve
-from lodestack.operators.windows import cap_scan, running
+from lodestack.operators.scan import with_totals
+from lodestack.operators.windows import cap_scan
 
 
 def summarise_by_kind(log: DataFrame, kind: str = "kind", local: str = "local") -> DataFrame:
     return log.groupBy(kind).agg(F.count_distinct(local).alias("n"), F.min(local).alias("first"), F.max(local).alias("last"))
 
 
+def files_by_kind(log: DataFrame, kind: str = "kind", local: str = "local") -> DataFrame:
+    """kind, local, n: the different files of each kind, and how many it has. One row a file."""
+    return with_totals(log.select(kind, local).distinct(), [kind], n=F.count("*"))
+
+
 def dedup_log(log: DataFrame) -> DataFrame:
     return log.select("url", "local", "kind", "error").dropDuplicates()
 
@@ -118,13 +124,15 @@ def group_aliases(refs: DataFrame, column: str = "url") -> DataFrame:
     return refs.groupBy(cache_identity(column).alias("identity")).agg(F.min_by(column, "ord").alias("representative"), F.count_distinct(column).alias("n"))
 
 
-def ref_sources(refs: DataFrame, most: int = 1000) -> DataFrame:
-    """url, n, owners: in how many different files a reference is, and which (in order; of more than ``most`` files the first, as a report)."""
-    each = refs.select("url", "owner").distinct()
-    rows = running(each, F.lit(1), ["owner"], ["url"])
-    counts = each.groupBy("url").agg(F.count("*").alias("n"))
-    owners = rows.where(F.col("upto") <= most).groupBy("url").agg(F.sort_array(F.collect_list("owner")).alias("owners"))
-    return counts.join(owners, "url")
+def alias_members(refs: DataFrame, column: str = "url") -> DataFrame:
+    """identity, url, representative (the first in ``ord``), n (of the identity's different URLs): every URL that is a spelling of a file, once."""
+    rows = refs.withColumn("identity", cache_identity(column)).groupBy("identity", F.col(column).alias("url")).agg(F.min("ord").alias("ord"))
+    return with_totals(rows, ["identity"], representative=F.min_by("url", F.struct("ord", "url")), n=F.count("*")).drop("ord")
+
+
+def ref_sources(refs: DataFrame) -> DataFrame:
+    """url, owner, n of references (url, owner): every file that a reference is in, once, and in how many it is. One row an owner, so no list grows with the table."""
+    return with_totals(refs.select("url", "owner").distinct(), ["url"], n=F.count("*"))
 
 
 def validate_outputs(files: DataFrame) -> DataFrame:
@@ -158,8 +166,7 @@ def first_observed(events: DataFrame, key: str, value: str, ts: str = "ts") -> D
 
 def queue_multiplicity(queue: DataFrame) -> DataFrame:
     """The queue with ``times`` and ``duplicate``; no row goes."""
-    n = F.count("*").over(Window.partitionBy("url"))
-    return queue.withColumn("times", n).withColumn("duplicate", n > 1)
+    return with_totals(queue, ["url"], times=F.count("*")).withColumn("duplicate", F.col("times") > 1)
 
 
 def project_stats(projects: DataFrame) -> DataFrame:

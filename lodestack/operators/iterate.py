@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import fixed
 from lodestack.functions.urls import extension
 from lodestack.operators.extract import image_refs_of, markdown_images
-from lodestack.operators.windows import running
+from lodestack.operators.scan import running
 from lodestack.shared import written
 
 

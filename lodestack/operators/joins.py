@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.scalars import update_reason
 from lodestack.functions.urls import cache_identity, canonical_url, hostname, netloc, path, scheme
 from lodestack.operators.extract import keep_first
 from lodestack.operators.filters import screen_candidates
+from lodestack.operators.scan import with_totals
 
 
 def map_routes(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -147,8 +148,7 @@ def requeue(diff: DataFrame, failures: DataFrame) -> DataFrame:
 def resume_queue(queue: DataFrame, completed: DataFrame) -> DataFrame:
     """The queue with ``skip``: completed, and once in the queue only."""
     done = completed.select("url").distinct().withColumn("__done", F.lit(True))
-    n = F.count("*").over(Window.partitionBy("url"))
-    return queue.withColumn("__n", n).join(done, "url", "left").withColumn("skip", F.coalesce("__done", F.lit(False)) & (F.col("__n") == 1)).drop("__n", "__done")
+    return with_totals(queue, ["url"], __n=F.count("*")).join(done, "url", "left").withColumn("skip", F.coalesce("__done", F.lit(False)) & (F.col("__n") == 1)).drop("__n", "__done")
 
 
 def resolve_targets(candidates: DataFrame, validations: DataFrame) -> DataFrame:

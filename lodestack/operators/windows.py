@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestack.functions import fixed
+from lodestack.operators.scan import Scan, running, with_totals
 from lodestack.shared import written
 
 
 def dedup_content(files: DataFrame, scope: str = "package", order: str = "ord") -> DataFrame:
     """files (scope, sha256, path, ord) with ``kept``: the path of the first file of the same content in the scope; empty files are their own."""
-    w = Window.partitionBy(scope, "sha256").orderBy(order, "path")
-    return files.withColumn("kept", F.when(F.col("size") > 0, F.first("path").over(w)).otherwise(F.col("path")))
+    empty = ~F.coalesce(F.col("size") > 0, F.lit(False))
+    found = with_totals(files.where(~empty), [scope, "sha256"], kept=F.min_by("path", F.struct(order, "path")))
+    return found.unionByName(files.where(empty).withColumn("kept", F.col("path")))
 
 
 #: A path's root and extension; a name that only begins with dots has none.
@@ -67,25 +69,6 @@ def first_success(attempts: DataFrame, key: str, rank: str, ok: str = "ok") -> D
     return attempts.where(F.col(ok)).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def running(df: DataFrame, value: Column, order: list[str], group: list[str] | None = None) -> DataFrame:
-    """``df`` with ``upto``, the sum of ``value`` up to each row in ``order``, in each ``group`` or over the whole table.
-
-    No task sees more than a range of the order: ranges are cut once and written, summed on their own, and the totals of the ranges before (one row a
-    range and group) are added. So neither a large table nor a hot group is one task.
-    """
-    group = group or []
-    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = written(df.withColumn("__v", value).repartitionByRange(n, *group, *order).withColumn("__p", F.spark_partition_id()))
-    sums = ranged.groupBy("__p", *group).agg(F.sum("__v").alias("__s"))
-    earlier = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__g_{c}") for c in group], F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__b"))
-    own = F.sum("__v").over(Window.partitionBy("__p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    same = F.col("__p") == F.col("__q")
-    for c in group:
-        same &= F.col(c).eqNullSafe(F.col(f"__g_{c}"))
-    return ranged.withColumn("__own", own).join(before, same).withColumn("upto", F.col("__own") + F.col("__b")).select(*df.columns, "upto")
-
-
 def folded(df: DataFrame, key: str, order: list[str], columns: list[str], first: Callable[[Column], Column], again: Callable[[Column], Column], chunk: int = 4096) -> DataFrame:
     """One row per ``key``: what its rows, in ``order``, fold to. ``first`` makes a summary of an array of rows (structs of ``order`` and ``columns``), ``again`` one
     of an array of summaries. An array has at most ``chunk`` entries, so a hot key is many small rows until few are left."""
@@ -118,10 +101,8 @@ def drop_evicted(index: DataFrame, evicted: DataFrame) -> DataFrame:
 
 def cap_scan(files: DataFrame, group: str, most: int = 3 << 20, each: int = 1 << 20) -> DataFrame:
     """The files of a group that are scanned, in path order: ``take`` bytes of each (at most ``each``) until ``most`` bytes."""
-    take = F.least("size", F.lit(each))
-    w = Window.partitionBy(group).orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum(take).over(w) - take
-    return files.withColumns({"take": take, "__before": before}).where(F.col("__before") < most).withColumn("take", F.least("take", F.lit(most) - F.col("__before"))).drop("__before")
+    rows = running(files.withColumn("take", F.least("size", F.lit(each))), F.col("take"), ["path"], [group])
+    return rows.withColumn("__before", F.col("upto") - F.col("take")).drop("upto").where(F.col("__before") < most).withColumn("take", F.least("take", F.lit(most) - F.col("__before"))).drop("__before")
 
 
 def retain_newest(history: DataFrame, k: int = 1000, ts: str = "last_downloaded", key: str = "url") -> DataFrame:
@@ -139,9 +120,9 @@ def cap_per_group(df: DataFrame, group: str, order: list[str], k: int) -> DataFr
 
 def speed_samples(events: DataFrame, key: str = "job", least_gap: float = 0.5) -> DataFrame:
     """events (job, ts, bytes) with ``gap`` seconds since the one before and ``speed`` in bytes a second, null for shorter gaps."""
-    w = Window.partitionBy(key).orderBy("ts")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) / 1e6
-    return events.withColumn("gap", gap).withColumn("speed", F.when(F.col("gap") >= least_gap, F.col("bytes") / F.col("gap")))
+    rows = Scan(events, ["ts"], [key]).before("__before", F.col("ts")).result()
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("__before").cast("timestamp")) / 1e6
+    return rows.withColumn("gap", gap).drop("__before").withColumn("speed", F.when(F.col("gap") >= least_gap, F.col("bytes") / F.col("gap")))
 
 
 def stage_progress(state: Column, finished: Column, total: Column) -> Column:
@@ -155,15 +136,16 @@ def stage_progress(state: Column, finished: Column, total: Column) -> Column:
 
 def job_progress(events: DataFrame, key: str = "job", value: str | None = None) -> DataFrame:
     """``events`` (job, ts, state, finished, total) with ``shown``, the progress so far: it never goes back. ``value``: a column that has it already."""
-    w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.col(value) if value else stage_progress(F.col("state"), F.coalesce("finished", F.lit(0)), F.coalesce("total", F.lit(0)))
-    return events.withColumn("shown", F.least(F.max(own).over(w), F.lit(1.0)))
+    return Scan(events, ["ts"], [key]).max("shown", own).result().withColumn("shown", F.least("shown", F.lit(1.0)))
 
 
 def job_latest(events: DataFrame, columns: list[str], key: str = "job") -> DataFrame:
     """``events`` with the last known value of each of ``columns`` so far."""
-    w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumns({f"last_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
+    rows = Scan(events, ["ts"], [key])
+    for c in columns:
+        rows.last(f"last_{c}", F.col(c))
+    return rows.result()
 
 
 def rank_scripts(df: DataFrame, label: str) -> DataFrame:
@@ -228,8 +210,7 @@ def request_slots(attempts: DataFrame, gap: float = 0.3) -> DataFrame:
     """``attempts`` (domain, ts, backoff seconds) with ``slot`` and ``wait``: the second in which a request may go out, at least ``gap`` after the domain's one
     before and not before its backoff is over. In order n the slot is gap n + the largest of (now + backoff - gap i) up to n: a running maximum."""
     now = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    w = Window.partitionBy("domain").orderBy("ts")
-    rows = attempts.withColumns({"__now": now, "__n": F.row_number().over(w)})
     ready = F.col("__now") + F.greatest(F.coalesce("backoff", F.lit(0.0)), F.lit(0.0)) - gap * F.col("__n")
-    slot = F.max(ready).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + gap * F.col("__n")
-    return rows.withColumn("slot", slot).withColumn("wait", F.col("slot") - F.col("__now")).drop("__now", "__n")
+    rows = Scan(attempts.withColumn("__now", now), ["ts"], ["domain"]).sum("__n", F.lit(1)).max("__ready", ready).result()
+    rows = rows.withColumn("slot", F.col("__ready") + gap * F.col("__n"))
+    return rows.withColumn("wait", F.col("slot") - F.col("__now")).drop("__now", "__n", "__ready")

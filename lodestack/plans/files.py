@@ -117,6 +117,11 @@ def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.cache_stats(_files(spark, sf_dir).withColumnRenamed("sha256", "digest"))
 
 
+@_q(f"WITH {_F}, e AS (SELECT DISTINCT regexp_extract(path, '^([^/]*)', 1) AS kind, path FROM f) SELECT kind, path, count(*) OVER (PARTITION BY kind) AS n FROM e")
+def kind_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.files_by_kind(_files(spark, sf_dir).withColumn("kind", F.regexp_extract("path", "^([^/]*)", 1)), "kind", "path")
+
+
 @_q(f"WITH {_F} SELECT regexp_extract(path, '^([^/]*)', 1) AS kind, count(DISTINCT path) AS n, min(path) AS first, max(path) AS last FROM f GROUP BY 1")
 def files_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.summarise_by_kind(_files(spark, sf_dir).withColumn("kind", F.regexp_extract("path", "^([^/]*)", 1)), "kind", "path")

@@ -142,10 +142,15 @@ def viewer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jo.match_viewer(table(spark, sf_dir, "pages"), _VIEWERS)
 
 
-@_q(f"""WITH l AS ({_LINKS}) SELECT raw AS url, count(DISTINCT page_id) AS n, array_to_string(list_sort(list_distinct(list(page_id)))[1:50], ',') AS owners FROM l WHERE {_GOOD} GROUP BY 1""")
+@_q(f"""WITH l AS ({_LINKS}), e AS (SELECT DISTINCT raw AS url, page_id AS owner FROM l WHERE {_GOOD}) SELECT url, owner, count(*) OVER (PARTITION BY url) AS n FROM e""")
 def reference_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = agg.ref_sources(ex.extract_links(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("owner"), F.col("raw").alias("url")), 50)
-    return found.withColumn("owners", F.array_join("owners", ","))
+    return agg.ref_sources(ex.extract_links(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("owner"), F.col("raw").alias("url")))
+
+
+@_q(f"""WITH d AS ({_DUP}), e AS (SELECT {_CACHE} AS identity, url, min(page_id) AS ord FROM d GROUP BY 1, 2)
+SELECT identity, url, first_value(url) OVER (PARTITION BY identity ORDER BY ord, url) AS representative, count(*) OVER (PARTITION BY identity) AS n FROM e""")
+def alias_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.alias_members(_doubled(spark, sf_dir).select("url", F.col("page_id").alias("ord")))
 
 
 @_q(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages) SELECT length(body) AS size, count(*) AS n, count(DISTINCT page_id) AS pages FROM s GROUP BY 1""")

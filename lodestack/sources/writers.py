@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.aggregates import project_stats
-from lodestack.operators.windows import retain_newest, running
+from lodestack.operators.scan import running
+from lodestack.operators.windows import retain_newest
 
 
 def write_queue(df: DataFrame, path: str, fmt: str) -> None:

@@ -1,4 +1,4 @@
-"""Streams of job events: windows, sessions, de-duplication, and folds with state of bounded size per job."""
+"""Streams of job events: windows, sessions, de-duplication, and jobs' states."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle, TimerValues
 
 from lodestack.functions import fixed
 from lodestack.operators.filters import redacted
+from lodestack.operators.scan import Scan
+from lodestack.streaming.state import Fold, in_order, seconds, stateful
 
 
 def throughput(events: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -21,11 +23,19 @@ def throughput(events: DataFrame, window: str = "10 minutes", late: str = "1 hou
 
 def bandwidth_excess(events: DataFrame, limit: float, idle: str = "1 second", late: str = "1 hour") -> DataFrame:
     """start, bytes, excess: seconds by which a run of traffic took less than ``limit`` bytes a second allow. A run ends after ``idle`` without any; then the
-    account begins anew."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    w = rows.groupBy(F.session_window("ts", idle).alias("s")).agg(F.sum("bytes").alias("bytes"), F.min("ts").alias("start"), F.max("ts").alias("end"))
-    spent = (F.unix_micros("end") - F.unix_micros("start")) / 1e6
-    return w.select("start", "bytes", F.greatest(F.col("bytes") / limit - spent, F.lit(0.0)).alias("excess"))
+    account begins anew.
+
+    Runs have no key. Of a table they are found by ranges of time: a row that comes ``idle`` or more after the one before begins a run, and their running
+    number is the run's, so no task has all rows. A stream's are session windows.
+    """
+    spent = lambda: (F.unix_micros("end") - F.unix_micros("start")) / 1e6
+    totals = (F.sum("bytes").alias("bytes"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    if events.isStreaming:
+        runs = events.withWatermark("ts", late).groupBy(F.session_window("ts", idle).alias("s")).agg(*totals)
+    else:
+        new = F.when(F.col("before").isNull() | (F.col("ts") >= F.col("before") + F.expr(f"INTERVAL {idle}")), 1).otherwise(0)
+        runs = Scan(events.where("ts is not null").select("ts", "bytes"), ["ts"]).before("before", F.col("ts")).sum("run", new).result().groupBy("run").agg(*totals)
+    return runs.select("start", "bytes", F.greatest(F.col("bytes") / limit - spent(), F.lit(0.0)).alias("excess"))
 
 
 def job_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -161,30 +171,49 @@ def job_state_stream(events: DataFrame, alpha: float = 0.28, expires: str = "1 d
     17 types: queue_started, job_started (both begin anew), stage_changed, asset_discovered, file_started, response_meta (of a file once: see
     ``dedup_stream``), bytes_transferred, speed_bytes, file_progress, file_completed, file_failed, file_skipped, file_retry, job_completed
     (``total``: failed files, else those counted), job_failed, job_cancelled, cancelling; others only take a speed sample. The state is one row of
-    numbers a job and its last HISTORY speeds; a job that is silent for ``expires`` of event time is forgotten. Events over ``late`` are dropped.
+    numbers a job and a list of its last HISTORY speeds; a job that is silent for ``expires`` of event time is forgotten. Events over ``late`` are dropped. A
+    batch's events are folded in the order of time, with at most 2 HELD_ROWS of them in memory.
     """
-    names = [x.strip().split()[0] for x in STATE.split(",")]
-    wait = int(pd.Timedelta(expires).total_seconds() * 1000)
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = _NEW | (dict(zip(names, state.get)) if state.exists else {})
-        s["history"] = list(s["history"] or [])
-        value = lambda x: None if pd.isna(x) else x
-        for r in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
-            apply_event(s, r.ts.timestamp(), r.type, *(value(getattr(r, c)) for c in DETAILS), alpha=alpha)
-        state.update(tuple(s[n] for n in names))
-        state.setTimeoutTimestamp(max(int((s["last"] or 0) * 1000), state.getCurrentWatermarkMs()) + wait)
-        yield pd.DataFrame([{"job": key[0], **{n: s[n] for n in names}}])
-
     kind = events.schema["job"].dataType.simpleString()
     for c in DETAILS:
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast("double" if c in ("bytes", "total") else "string"))
     rows = events.withWatermark("ts", late).select("job", "ts", "type", *[F.col(c).cast("double" if c in ("bytes", "total") else "string").alias(c) for c in DETAILS])
-    return rows.groupBy("job").applyInPandasWithState(fold, f"job {kind}, {STATE}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return stateful(rows, "job", JobFold(alpha, expires), f"job {kind}, {STATE}")
+
+
+class JobFold(Fold):
+    """A job's numbers as a value, its speeds as a list."""
+
+    def __init__(self, alpha: float, expires: str) -> None:
+        super().__init__(expires)
+        self.alpha = alpha
+        self.names = [x.strip().split()[0] for x in STATE.split(",") if "history" not in x]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.numbers = handle.getValueState("numbers", ", ".join(x for x in STATE.split(",") if "history" not in x))
+        self.speeds = handle.getListState("speeds", "speed double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        s = _NEW | (dict(zip(self.names, self.numbers.get())) if self.numbers.exists() else {})
+        s["history"] = [v for (v,) in self.speeds.get()] if self.speeds.exists() else []
+        value = lambda x: None if pd.isna(x) else x
+        last = self.seen()
+        for piece in in_order(rows, ["ts"]):
+            for now, r in zip(seconds(piece["ts"]).tolist(), piece.itertuples()):
+                s = dict(_NEW) if now - last > self.wait else s
+                last = now
+                apply_event(s, now, r.type, *(value(getattr(r, c)) for c in DETAILS), alpha=self.alpha)
+        self.numbers.update(tuple(s[n] for n in self.names))
+        if s["history"]:
+            self.speeds.put([(v,) for v in s["history"]])
+        self.alive(last, timerValues)
+        yield pd.DataFrame([{"job": key[0], **{n: s[n] for n in self.names}, "history": s["history"]}])
+
+    def forget(self) -> None:
+        self.numbers.clear()
+        self.speeds.clear()
 
 
 def speed_stream(events: DataFrame, alpha: float = 0.28) -> DataFrame:
