@@ -116,3 +116,81 @@ VIDEO_ID = r"^[A-Za-z0-9_-]{11}$"
 VIDEO_ID_IN_TEXT = r"""(?i)(?:playVideo|youtube(?:Id|VideoId)?)\s*[:=(]\s*['"]([A-Za-z0-9_-]{11})['"]"""
 VIDEO_LINK_IN_TEXT = r"""(?i)https?://(?:www\.)?(?:youtube\.com|youtu\.be|youtube-nocookie\.com)/[^\s'"<>\\]+"""
 WATCH_LINK = "https://www.youtube.com/watch?v="
+
+#: Extensions of assets that texts name, and of pictures in lists.
+TEXT_ASSET_EXTENSIONS = (
+    "webp", "avif", "png", "jpg", "jpeg", "gif", "svg", "ico", "bmp", "tiff", "mp3", "ogg", "opus", "wav", "m4a", "aac", "flac", "mp4", "webm", "mov", "ogv", "m4v",
+    "woff2", "woff", "ttf", "otf", "eot", "json", "css", "wasm",
+)
+LISTED_PICTURES = ("webp", "avif", "png", "jpe?g", "gif", "svg", "ico", "bmp", "tiff")
+
+#: How scripts open data files, an application's script in a bootstrap, and where inline scripts say that data is.
+OPENED_FILES = (
+    r"""e\.open\(\s*["']GET["']\s*,\s*["']([^"']+)["']""",
+    r"""(?i)(?:fetch|axios\.get|axios\(|load|request)\s*\(\s*["']([^"']+\.(?:json|txt|zip))["']""",
+    r"""(?i)\.open\s*\(\s*["']GET["']\s*,\s*["']([^"']+)["']""",
+)
+BOOTSTRAP_SCRIPT = r"""js/app\.[^'"]+\.js"""
+SCRIPT_HINT = (
+    r"""(?i)window\.__(?:PROJECT|APP|DATA|CYOA|INITIAL_STATE)__\s*=\s*["'][^"']+["']|"""
+    r"""(?:fetch|axios\.get|axios\(|open)\s*\(\s*["'][^"']+\.(?:json|txt|zip)["']"""
+)
+
+#: Folders below a page where its pictures and its sounds may lie.
+PICTURE_FOLDERS = ("dist/images/",)
+SOUND_FOLDERS = ("dist/audio/", "dist/media/", "dist/images/", "audio/", "media/")
+
+#: Parts of the names of scripts that are an application's, and of those that are libraries.
+APPLICATION_SCRIPTS = ("app.", "/app.", "app.js", "/js/app", "main.", "/main.", "main.js", "/index.", "runtime.")
+LIBRARY_SCRIPTS = ("chunk-vendors", "vendors", "vendor.", "polyfills", "webpack")
+
+#: Names of scripts that are bundles, and what scripts say that make up addresses while they run.
+BUNDLE_NAME = (
+    r"(?i)(?:^|/)(?:app|main|index|chunk-vendors?|vendors?|runtime|polyfills?|core|working)"
+    r"(?:[._-][a-zA-Z0-9_-]{4,})?(?:-legacy)?(?:[._-][a-zA-Z0-9_-]{4,})?\.m?js$"
+)
+LOADER_BASE = r"""(?i)basePath\s*=\s*new URL\(["']\.\./"""
+LOADER_PATHS = r"__webpack_public_path__|__publicPath__"
+
+#: Extensions by which files without one are told.
+SNIFFED_PICTURES = ("png", "jpg", "jpeg", "gif", "webp", "avif", "bmp", "svg", "ico", "tif", "tiff")
+SNIFFED_SOUNDS = ("mp3", "ogg", "wav", "m4a", "aac", "opus", "flac", "weba")
+SNIFFED_TEXTS = ("css", "js", "mjs", "cjs", "json", "txt", "html", "htm")
+
+#: What errors say of locked cookies and of checks for robots.
+COOKIE_LOCKS = ("could not copy chrome cookie database", "could not copy chromium cookie database", "permission denied", "access is denied")
+BOT_CHECKS = (
+    "sign in to confirm", "bot", "confirm your age", "private video", "video unavailable", "http error 403", "this video is not available",
+)
+
+#: Hosts of a gallery's raw files, and parts of the paths of its pages.
+RAW_PICTURE_HOSTS = (
+    "i.pximg.net", "img-original.pximg.net", "img-zip-ugoira.pximg.net", "pbs.twimg.com", "c.deviantart.com", "a.deviantart.net", "wixmp.com",
+    "cdn.donmai.us", "static1.e621.net", "static1.e926.net", "img3.sankakucomplex.com", "img.sankakucomplex.com", "img1.gelbooru.com",
+    "img2.gelbooru.com", "img.hypnohub.net", "img.rule34.xxx", "img3.rule34.xxx", "img.rule34.paheal.net",
+)
+GALLERY_PARTS = ("/artworks/", "/posts/", "/post/", "/view/", "/gallery/", "/status/")
+
+#: A catalogue's host, marks of viewer pages, and those that its own pages need.
+CATALOGUE_HOST = "cyoa.cafe"
+VIEWER_MARKS = (
+    'id="app"', "id='app'", "interactive cyoa creator", "interactive cyoa", "project.json", "project.txt", "dist/platform.json", "dist/nodes/list.json",
+    "window.app", "cyoa-viewer", "loading omnitrix",
+)
+STRONG_MARKS = ("iframe", "project.json", "interactive cyoa creator")
+
+#: Hints of viewers by their type, the types that modes ask for, and the mark of a remix.
+VIEWER_HINTS = {
+    "icc_plus": (
+        "app.c533aa25", "chunk-vendors", "ICC+", "icc-plus", "ICCPlus", "core.js", "basePath +", "app.B6d7tc9y", "app_BuGW6RFa", "vite_is_modern_browser",
+    ),
+    "icc_remix": ("ICC_PROJECT_DATA_SCRIPT", "icc_remix", "ICCRemix", "app.offline.js"),
+    "om1cr0n": ("Om1cr0n", "animation.webp", "Bad End", "color-schema", "assets/index-", "font-sans dark:text-white"),
+    "cyoap_vue": ("platform.json", "cyoap", "cyoa_plus"),
+    "custom": (),
+}
+VIEWER_MODES = {
+    "website_zip": "icc_plus", "website_folder": "icc_plus", "pure_website_zip": "custom", "pure_website_folder": "custom", "cyoap_vue_zip": "cyoap_vue",
+    "cyoap_vue_folder": "cyoap_vue",
+}
+REMIX_TEMPLATE = "{{ICC_PROJECT_DATA_SCRIPT}}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,12 @@ query = _part(r"^[^?#]*\?([^#]*)")
 fragment = _part(r"^[^#]*#(.*)$")
 
 
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """``f`` of values that are computed once, however often its expression names them; plans would else repeat them each time."""
+    bound = F.array(F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)]))
+    return F.get(F.transform(bound, lambda s: f(*[s[f"v{k}"] for k in range(len(values))])), F.lit(0))
+
+
 def path(c: Column | str) -> Column:
     """The path without parameters (what follows ``;`` in the last segment)."""
     return F.regexp_replace(raw_path(c), r";[^/]*$", "")

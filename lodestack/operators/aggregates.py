@@ -136,8 +136,12 @@ def ref_sources(refs: DataFrame) -> DataFrame:
 
 
 def validate_outputs(files: DataFrame) -> DataFrame:
-    """path, inlined, remaining, ok of written projects: pictures inside and outside; shorter than 10 characters or no JSON isn't ok."""
-    return files.select("path", F.regexp_count("text", F.lit("data:image/")).alias("inlined"), F.regexp_count("text", F.lit(r"(?i)https?://[^\s\"']+\.(?:png|jpe?g|gif|webp|avif)")).alias("remaining"), ((F.length("text") >= 10) & F.try_parse_json("text").isNotNull()).alias("ok"))
+    """path, refs, inlined, remaining, ok of written projects: fields with a picture, pictures inside, fields that still name one outside; a file of fewer
+    than 10 bytes, or that is no JSON object or list, isn't ok."""
+    count = lambda p: F.regexp_count("text", F.lit(p))
+    refs, inlined = count('"image": ?"'), count("data:image/")
+    json = F.rlike("text", F.lit(r"^\s*[{\[]")) & F.try_parse_json("text").isNotNull()
+    return files.select("path", refs.alias("refs"), inlined.alias("inlined"), (refs - inlined).alias("remaining"), F.coalesce((F.octet_length("text") >= 10) & json, F.lit(False)).alias("ok"))
 
 
 def count_failure_lines(logs: DataFrame) -> DataFrame:

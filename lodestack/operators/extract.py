@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import fixed
 from lodestack.functions.scalars import is_project_text
-from lodestack.functions.urls import canonical_url, extension, hostname, netloc, path, repaired_assets, resolve, route_url, scheme
+from lodestack.functions.urls import extension, hostname, let, netloc, path, resolve, route_url, scheme
+from lodestack.operators.filters import is_blocked
 
 #: References that lead nowhere.
 NO_LINK = r"(?i)^(#|javascript:|mailto:|tel:|data:)"
 
-_EXT = "|".join((*fixed.ASSET_EXTENSIONS, "wasm"))
 _IMG = "|".join(fixed.IMAGE_EXTENSIONS)
 
 
@@ -45,36 +45,20 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return found.where(F.rlike("url", F.lit(r"^https?://[^\[\]/]+(/|$)")))
 
 
-def extract_tag_assets(pages: DataFrame) -> DataFrame:
-    """page_id, tag, attr, raw, kind of what tags load: scripts, styles, pictures (also of srcsets and inline styles), sounds, icons, posters."""
-    rules = (
-        ("script", "src", r"""(?is)<script\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", "js"),
-        ("img", "src", r"""(?is)<img\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", "images"),
-        ("source", "src", r"""(?is)<source\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", "media"),
-        ("audio", "src", r"""(?is)<audio\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", "media"),
-        ("video", "src", r"""(?is)<video\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", "media"),
-        ("video", "poster", r"""(?is)<video\s[^>]*?\bposter\s*=\s*["']([^"']+)["']""", "images"),
-    )
-    tables = [matches(pages, "html", p, keep=("page_id",)).select("page_id", F.lit(t).alias("tag"), F.lit(a).alias("attr"), "raw", F.lit(k).alias("kind")) for t, a, p, k in rules]
-    for tag, attr, pattern in (("img", "srcset", r"""(?is)<(?:img|source)\s[^>]*?\bsrcset\s*=\s*["']([^"']+)["']"""), ("link", "imagesrcset", r"""(?is)<link\s[^>]*?\bimagesrcset\s*=\s*["']([^"']+)["']""")):
-        sets = matches(pages, "html", pattern, keep=("page_id",), as_="srcset").drop("ord")
-        tables.append(split_srcset(sets).select("page_id", F.lit(tag).alias("tag"), F.lit(attr).alias("attr"), "raw", F.lit("images").alias("kind")))
-    for tag, attr, pattern in (("style", "", r"(?is)<style[^>]*>(.*?)</style>"), ("", "style", r"""(?is)\bstyle\s*=\s*(?:"[^"]*"|'[^']*')""")):
-        group = 1 if tag else 0
-        css = matches(pages, "html", pattern, group, keep=("page_id",), as_="css").drop("ord")
-        own = matches(css, "css", r"""(?i)url\(\s*["']?([^"')]+?)["']?\s*\)""", keep=("page_id",)).where(~F.rlike("raw", F.lit("(?i)^(data:|#)")))
-        tables.append(own.select("page_id", F.lit(tag).alias("tag"), F.lit(attr).alias("attr"), "raw", F.when(F.substring(extension("raw"), 2, 20).isin(*fixed.FONT_EXTENSIONS), "fonts").otherwise("images").alias("kind")))
-    links = matches(pages, "html", r"(?is)(<link\s[^>]*>)", keep=("page_id",), as_="tag_text")
-    href, rel, as_attr = (F.regexp_extract("tag_text", rf"""(?is)\b{a}\s*=\s*["']([^"']+)["']""", 1) for a in ("href", "rel", "as"))
-    kind = F.when(F.rlike(rel, F.lit("(?i)stylesheet")) | (as_attr == "style"), "css").when(F.rlike(rel, F.lit("(?i)icon")) | (as_attr == "image"), "images").when((as_attr == "font"), "fonts").when(F.rlike(rel, F.lit("(?i)modulepreload")) | (as_attr == "script"), "js").otherwise("assets")
-    tables.append(links.where(href != "").select("page_id", F.lit("link").alias("tag"), F.lit("href").alias("attr"), href.alias("raw"), kind.alias("kind")))
-    return union_refs(*tables)
+def srcset_parts(c: Column) -> Column:
+    """The candidates of a srcset; commas in ``data:`` URIs don't separate, and those URIs are left out."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?:^|,)\s*((?:data:\S+|[^\s,]+))(?:\s+[^,]*)?"), F.lit(1))
+    return F.filter(parts, lambda x: ~F.startswith(x, F.lit("data:")))
+
+
+def css_urls(c: Column) -> Column:
+    """The references of ``url()`` in style text."""
+    return F.filter(F.regexp_extract_all(c, F.lit(r"""(?i)url\(\s*["']?([^"')]+?)["']?\s*\)"""), F.lit(1)), lambda x: ~F.rlike(x, F.lit("(?i)^(data:|#)")))
 
 
 def split_srcset(df: DataFrame, column: str = "srcset") -> DataFrame:
-    """``df`` with a row (ord, raw) per candidate of a srcset; commas in ``data:`` URIs don't separate, and those URIs are left out."""
-    parts = F.regexp_extract_all(column, F.lit(r"(?:^|,)\s*((?:data:\S+|[^\s,]+))(?:\s+[^,]*)?"), 1)
-    return df.select("*", F.posexplode(F.filter(parts, lambda x: ~F.startswith(x, F.lit("data:")))).alias("ord", "raw"))
+    """``df`` with a row (ord, raw) per candidate of a srcset."""
+    return df.select("*", F.posexplode(srcset_parts(F.col(column))).alias("ord", "raw"))
 
 
 def extract_css_refs(files: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -84,65 +68,6 @@ def extract_css_refs(files: DataFrame, text: str = "text", keep: tuple[str, ...]
     return union_refs(urls.drop("ord"), imports.drop("ord")).where(~F.rlike("raw", F.lit("(?i)^(data:|#)")))
 
 
-def scan_text_assets(files: DataFrame) -> DataFrame:
-    """owner, rule, raw, url of assets named in scripts, styles, JSON and HTML: ``files`` is (path, url, base_url, text).
-
-    One rule per spelling: quoted names with an asset's extension, ``url()``, imports, lazy attributes, srcset. Templates, MIME lists, object keys
-    and tokens of over 400 characters are no references. Bare and ``./`` names resolve against the page for scripts, against the file else; a script that
-    sets a base from its own place resolves against that.
-    """
-    keep = ("path", "url", "base_url", "text")
-    quoted = matches(files, "text", rf"""(?i)["'`]([^"'`\s<>{{}}|\\^$]{{1,400}}\.(?:{_EXT})(?:[?#][^"'`\s<>]*)?)["'`](?!\s*:)""", keep=keep).withColumn("rule", F.lit("quoted"))
-    tags = matches(files, "text", rf"""(?i)<(?:img|source|image|video|audio)\s[^>]*?(?:src|href|data-[a-z-]+)=\\?["']([^"'\\\s<>]+\.(?:{_EXT}))""", keep=keep).withColumn("rule", F.lit("tag"))
-    css = matches(files, "text", r"""(?i)url\(\s*["']?([^"')\s]+?)["']?\s*\)""", keep=keep).withColumn("rule", F.lit("css"))
-    dynamic = matches(files, "text", r"""(?i)\bimport\(\s*["']([^"']+)["']\s*\)""", keep=keep).withColumn("rule", F.lit("import"))
-    static = matches(files, "text", r"""(?i)\bimport\s+(?:[^"';]*?\bfrom\s+)?["']([^"']+)["']""", keep=keep).withColumn("rule", F.lit("import"))
-    sets = matches(files, "text", r"""(?is)\bimage-set\(((?:[^()]|\([^()]*\))*)\)""", keep=keep, as_="set").drop("ord")
-    sets = matches(sets, "set", r"""["']([^"']+)["']""", keep=keep).withColumn("rule", F.lit("image-set"))
-    lists = matches(files, "text", r"""(?s)(?:__vite__mapDeps|mapDeps|preload|precache\w*)\s*(?:=|\()[^\[]{0,200}\[((?:\s*["'][^"']*["']\s*,?)+)\]""", keep=keep, as_="list").drop("ord")
-    lists = matches(lists, "list", rf"""(?i)["']([^"'\s]+\.(?:{_EXT}))["']""", keep=keep).withColumn("rule", F.lit("preload"))
-    found = reduce(DataFrame.unionByName, (quoted, tags, css, dynamic, static, sets, lists)).where(~F.rlike("raw", F.lit(r"(?i)^(data:|#|about:|blob:|javascript:|(?:image|audio|video|font|text|application)/[a-z0-9+-]+$)")) & ~F.contains("raw", F.lit("${")))
-    script = F.rlike("path", F.lit(r"(?i)\.m?js$"))
-    own_base = F.regexp_extract("text", r"""new\s+URL\(\s*["'](\.{1,2}/[^"']*)["']\s*,\s*(?:document\.)?(?:currentScript\.src|import\.meta\.url)""", 1)
-    relative = F.rlike("raw", F.lit(r"^\.{0,2}/"))
-    base = F.when(F.col("rule") == "import", F.col("url")).when(script & (own_base != ""), resolve(F.col("url"), own_base)).when(script & ~relative, F.col("base_url")).when(script & F.startswith("raw", F.lit("./")), F.col("base_url")).otherwise(F.col("url"))
-    url = F.regexp_replace(repaired_assets(resolve(base, F.col("raw"))), "#.*$", "")
-    return found.select(F.col("path").alias("owner"), "rule", "raw", url.alias("url")).where(F.rlike("url", F.lit("(?i)^https?://"))).distinct()
-
-
-def infer_prefixed_assets(files: DataFrame) -> DataFrame:
-    """path, raw of names in a list that the file joins to a folder: ``imageSrc='image/'`` with ``imagesToLoad=[...]``."""
-    name = r"\b\w*(?:img|image|asset)\w*"
-    prefix = matches(files, "text", rf"""(?i){name}\s*=\s*["']([^"']+/)["']""", keep=("path",), as_="prefix").select("path", "prefix")
-    lists = matches(files, "text", rf"(?is){name}\s*=\s*\[([^\]]*)\]", keep=("path",), as_="list")
-    items = matches(lists, "list", r"""["']([^"']+)["']""", keep=("path",), as_="item").select("path", "item")
-    both = prefix.join(items, "path").where(~F.rlike("item", F.lit("(?i)^([a-z]+:|/)")) & ~F.expr("startswith(item, prefix)"))
-    return both.select("path", F.concat("prefix", "item").alias("raw")).distinct()
-
-
-def expand_numeric(files: DataFrame, most: int = 1000) -> DataFrame:
-    """path, raw of numbered names: ``n = Math.floor(Math.random()*N)+s`` with ``"p/"+n+".png"``."""
-    pattern = r"(\w+)\s*=\s*Math\.floor\(\s*Math\.random\(\)\s*\*\s*(\d+)\s*\)\s*(?:\+\s*(\d+))?"
-    found = files.select("path", F.posexplode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), g).alias(n) for g, n in ((1, "var"), (2, "count"), (3, "start"))])).alias("ord", "m"))
-    ranges = found.select("path", "m.var", F.col("m.count").try_cast("int").alias("count"), F.coalesce(F.col("m.start").try_cast("int"), F.lit(0)).alias("start")).where(F.col("count").between(1, most))
-    use = r"""["']([^"']*)["']\s*\+\s*(\w+)\s*\+\s*["']([^"']*\.\w+)["']"""
-    uses = files.select("path", F.explode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(use), g).alias(n) for g, n in ((1, "left"), (2, "var"), (3, "right"))])).alias("m")).select("path", "m.*")
-    numbered = ranges.join(uses, ["path", "var"]).withColumn("n", F.explode(F.expr("sequence(start, start + count - 1)")))
-    return numbered.select("path", F.concat("left", "n", "right").alias("raw")).distinct()
-
-
-def expand_properties(files: DataFrame, most: int = 200, longest: int = 200) -> DataFrame:
-    """path, ord, raw of ``${obj.prop}.ext`` with each value of that property in the file, in order; at most ``most`` values of a template."""
-    template = r"[`\"']([^`\"'$]*)\$\{\w+\.(\w+)\}([^`\"'$]*\.\w+)[`\"']"
-    uses = files.select("path", F.explode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(template), g).alias(n) for g, n in ((1, "left"), (2, "prop"), (3, "right"))])).alias("m")).select("path", "m.*").distinct()
-    value = r"""["']?\b(\w+)["']?\s*:\s*["']([^"']+)["']"""
-    values = files.select("path", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(value), 1).alias("prop"), F.regexp_extract_all("text", F.lit(value), 2).alias("value"))).alias("ord", "m")).select("path", "ord", "m.*")
-    values = values.where(F.length("value") <= longest).groupBy("path", "prop", "value").agg(F.min("ord").alias("ord"))
-    n = F.row_number().over(Window.partitionBy("path", "prop").orderBy("ord"))
-    values = values.withColumn("n", n).where(F.col("n") <= most)
-    return uses.join(values, ["path", "prop"]).select("path", F.col("n").alias("ord"), F.concat("left", "value", "right").alias("raw"))
-
-
 def _image_like(c: Column) -> Column:
     return F.substring(extension(c), 2, 20).isin(*fixed.IMAGE_EXTENSIONS)
 
@@ -190,32 +115,22 @@ def extract_media_ids(df: DataFrame, column: str, keep: tuple[str, ...] = ()) ->
 
 
 def extract_candidates(df: DataFrame, most: int = 80) -> DataFrame:
-    """url, rank, raw, found of data files named in scripts: ``df`` is (url, text). The first ``most`` different ones of a text, in the order of rules and text."""
-    rules = (r"""["']([^"'\s<>]+?\.(?:json|txt|zip)(?:\?[^"'\s]*)?)["']""", r"""["']([^"'\s<>]*?/?project)["']""", r"""\b(?:fetch|axios|load|request)\w*\(\s*["']([^"'\s<>]+)["']""", r"""open\(\s*["']GET["']\s*,\s*["']([^"'\s<>]+)["']""")
-    tables = [matches(df, "text", p, keep=("url",)).withColumn("rule", F.lit(k)) for k, p in enumerate(rules)]
-    found = reduce(DataFrame.unionByName, tables).withColumn("raw", F.replace("raw", F.lit("\\/"), F.lit("/"))).withColumn("found", resolve(F.col("url"), F.col("raw")))
-    first = keep_first(found, ["url", "found"], ["rule", "ord"])
-    rank = F.row_number().over(Window.partitionBy("url").orderBy("rule", "ord"))
-    return first.select("url", rank.alias("rank"), "raw", "found").where(F.col("rank") <= most)
+    """url, rank, raw, found of data files named in scripts: ``df`` is (url, text). The first ``most`` different ones of a text, in the order of rules and text.
 
-
-def extract_hints(pages: DataFrame) -> DataFrame:
-    """page_id, hint, raw of where a page says its data is: meta, data attributes, linked JSON, globals."""
-    rules = (
-        ("meta", r"""(?is)<meta\s[^>]*?name\s*=\s*["'][^"']*(?:project|cyoa)[^"']*["'][^>]*?content\s*=\s*["']([^"']+)["']"""),
-        ("data", r"""(?is)\bdata-(?:project|src|url|file)\s*=\s*["']([^"']+)["']"""),
-        ("link", r"""(?is)<link\s[^>]*?href\s*=\s*["']([^"']+?\.(?:json|txt|zip))["']"""),
-        ("global", r"""window\.__[A-Z_]+__\s*=\s*["']([^"']+)["']"""),
-    )
-    return union_refs(*[matches(pages, "html", p, keep=("page_id",)).select("page_id", F.lit(n).alias("hint"), "raw") for n, p in rules])
-
-
-def extract_scripts(pages: DataFrame) -> DataFrame:
-    """page_id, ord, kind (inline, src, iframe), body of a page's scripts and frames."""
-    blocks = matches(pages, "html", r"(?is)<script(?![^>]*\bsrc\s*=)[^>]*>(.*?)</script>", keep=("page_id",), as_="body").withColumn("kind", F.lit("inline"))
-    sources = matches(pages, "html", r"""(?is)<script\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", keep=("page_id",), as_="body").withColumn("kind", F.lit("src"))
-    frames = matches(pages, "html", r"""(?is)<iframe\s[^>]*?\bsrc\s*=\s*["']([^"']+)["']""", keep=("page_id",), as_="body").withColumn("kind", F.lit("iframe"))
-    return reduce(DataFrame.unionByName, (blocks, sources, frames)).select("page_id", "ord", "kind", "body")
+    Quoted names that end in .json, .txt or .zip, or in ``project`` below a folder; what is opened by GET; calls that load such a file. Slashes may be
+    escaped. Files on internal hosts other than the text's own go.
+    """
+    quoted = F.regexp_extract_all("text", F.lit(r"""(["'])([^"']+)\1"""), F.lit(2))
+    own = lambda c: F.lower(path(c))
+    data = lambda c: F.rlike(own(c), F.lit(r"[^/]\.(?:json|txt|zip)$")) | F.rlike(own(c), F.lit(r"/project(?:\.[a-z0-9]+)?$"))
+    rules = [F.filter(quoted, data), *[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in fixed.OPENED_FILES]]
+    found = df.select("url", F.posexplode(F.concat(*rules)).alias("ord", "raw"))
+    found = found.withColumn("raw", F.regexp_replace(F.replace("raw", F.lit("\\/"), F.lit("/")), r"""^[\s"']+|[\s"']+$""", "")).where((F.col("raw") != "") & ~F.rlike("raw", F.lit("^(data:|javascript:|#)")))
+    places = F.array(F.when(F.rlike("raw", F.lit("^https?://")), F.col("raw")).otherwise(let(resolve, F.col("url"), F.col("raw"))))
+    found = found.select("url", "ord", "raw", F.explode(F.filter(places, lambda x: ~is_blocked(x, F.col("url")))).alias("found"))
+    first = found.groupBy("url", "found").agg(F.min(F.struct("ord", "raw")).alias("f")).select("url", "found", "f.*")
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("ord"))
+    return first.select("url", rank.alias("rank"), "raw", "found").where(F.col("rank") <= most)
 
 
 def default_candidates(urls: DataFrame, column: str = "url") -> DataFrame:
@@ -261,39 +176,44 @@ def default_candidates(urls: DataFrame, column: str = "url") -> DataFrame:
 
 
 def asset_folder_candidates(df: DataFrame) -> DataFrame:
-    """``df`` (raw, kind) with a row (rank, candidate) per place to try: as it is, percent-encoded, then the usual folders of its kind."""
-    encoded = F.replace(F.replace(F.url_encode("raw"), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
-    folders = F.when(F.col("kind") == "images", F.array(*map(F.lit, ("images/", "img/", "assets/", "assets/images/")))).when(F.col("kind") == "media", F.array(*map(F.lit, ("audio/", "music/", "assets/", "assets/audio/")))).otherwise(F.array(F.lit("assets/")))
-    places = F.array_distinct(F.concat(F.array(F.col("raw"), encoded), F.transform(folders, lambda f: F.concat(f, "raw"))))
-    return df.select("*", F.posexplode(places).alias("rank", "candidate"))
+    """``df`` (raw, kind) with a row (rank, candidate) per place to try: a link as it is; else the name, and below the folders of its kind, each also
+    percent-encoded and once. With ``base_url`` candidates are resolved against it. Empty and inlined values have none."""
+    raw = F.trim(F.coalesce("raw", F.lit("")))
+    name = F.regexp_replace(raw, "^/+", "")
+    encoded = F.url_encode(name)
+    for code, letter in (("+", "%20"), ("%2F", "/"), ("%3A", ":"), ("*", "%2A"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(code), F.lit(letter))
+    below = F.when(F.startswith(name, F.lit("dist/")), F.array().cast("array<string>")).when(F.col("kind") == "images", F.array(*map(F.lit, fixed.PICTURE_FOLDERS))).otherwise(F.array(*map(F.lit, fixed.SOUND_FOLDERS)))
+    places = F.flatten(F.transform(F.concat(F.array(F.lit("")), below), lambda f: F.array(F.concat(f, name), F.concat(f, encoded))))
+    places = F.transform(places, lambda p: resolve(F.col("base_url"), p)) if "base_url" in df.columns else places
+    none = (raw == "") | F.startswith(raw, F.lit("data:"))
+    found = F.when(none, F.array().cast("array<string>")).when(F.rlike(raw, F.lit("(?i)^https?://")), F.array(raw)).otherwise(F.array_distinct(places))
+    return df.select("*", F.posexplode(found).alias("rank", "candidate"))
 
 
 def fallback_candidates(failed: DataFrame) -> DataFrame:
-    """page_url, url, rank, candidate of other places for a reference that failed: ``failed`` is (page_url, url, kind). Same origin only.
+    """page_url, url, rank, candidate of other places for a reference that failed: ``failed`` is (page_url, url, kind), ``kind`` css where a style names it; ``raw``,
+    the reference as it is written, if known. Same origin only.
 
-    In order: a reference relative to a script or style taken from the page's root, a viewer's own folder before ``/assets/``, ``/assets/`` before a script at the root.
+    In order: of a style below the page its file name right below the page, of others a relative reference from the page's root; the page's own path before
+    ``/assets/``; ``/assets/`` before a script at the root.
     """
     origin = F.concat(scheme("url"), F.lit("://"), netloc("url"))
-    folder = F.regexp_replace(F.when(path("page_url") == "", "/").otherwise(path("page_url")), "[^/]*$", "")
+    start = F.regexp_replace(path("page_url"), "/+$", "")
     own = path("url")
+    below = (start != "") & F.startswith(own, F.concat(start, F.lit("/")))
+    deeper = below & F.contains(F.substring(own, F.length(start) + 2, F.length(own)), F.lit("/"))
     name = F.regexp_extract(own, "([^/]+)$", 1)
-    depth = F.size(F.filter(F.split(own, "/"), lambda p: p != ""))
+    relative = F.when(~F.rlike("raw", F.lit("^(?:http|//|data:|#)")), resolve(F.col("page_url"), F.col("raw"))) if "raw" in failed.columns else F.lit(None).cast("string")
     rules = F.array(
-        F.struct(F.lit(0).alias("rank"), F.when((F.col("kind") == "css") & F.startswith(own, folder), F.concat(origin, folder, name)).alias("candidate")),
-        F.struct(F.lit(1).alias("rank"), F.when(F.startswith(own, F.lit("/assets/")) & (folder != "/"), F.concat(origin, folder, F.regexp_replace(own, "^/", ""))).alias("candidate")),
-        F.struct(F.lit(2).alias("rank"), F.when((depth == 1) & F.rlike(own, F.lit(r"(?i)\.m?js$")), F.concat(origin, F.lit("/assets"), own)).alias("candidate")),
+        F.struct(F.lit(0).alias("rank"), F.when((F.col("kind") == "css") & deeper & (name != ""), F.concat(origin, start, F.lit("/"), name)).otherwise(relative).alias("candidate")),
+        F.struct(F.lit(1).alias("rank"), F.when(F.startswith(own, F.lit("/assets/")) & (start != "") & ~below, F.concat(origin, start, own)).alias("candidate")),
+        F.struct(F.lit(2).alias("rank"), F.when(F.rlike(own, F.lit(r"(?i)^/[^/]*\.m?js$")), F.concat(origin, F.lit("/assets"), own)).alias("candidate")),
     )
-    found = failed.where(F.lower(netloc("page_url")) == F.lower(netloc("url"))).select("page_url", "url", F.explode(rules).alias("r")).select("page_url", "url", "r.rank", "r.candidate")
+    found = failed.where((F.lower(netloc("page_url")) == F.lower(netloc("url"))) & (scheme("page_url") == scheme("url"))).select("page_url", "url", F.explode(rules).alias("r")).select("page_url", "url", "r.rank", "r.candidate")
     return found.where(F.col("candidate").isNotNull() & (F.col("candidate") != F.col("url")))
 
 
-def viewer_candidates(pages: DataFrame) -> DataFrame:
-    """page_id, method, rank, ord, url of what a catalogue page embeds: frames, script fields, og:url, canonical link."""
-    rules = (("iframe", r"""(?is)<iframe\s[^>]*?src\s*=\s*["']([^"']+)["']"""), ("field", r"""["'](?:iframe_url|project_url|game_url|viewer_url)["']\s*:\s*["']([^"']+)["']"""), ("og", r"""(?is)<meta\s[^>]*?property\s*=\s*["']og:url["'][^>]*?content\s*=\s*["']([^"']+)["']"""), ("canonical", r"""(?is)<link\s[^>]*?rel\s*=\s*["']canonical["'][^>]*?href\s*=\s*["']([^"']+)["']"""))
-    tables = [matches(pages, "html", p, keep=("page_id", "url")).select("page_id", F.lit(n).alias("method"), F.lit(k).alias("rank"), "ord", canonical_url(resolve(F.col("url"), F.replace("raw", F.lit("\\/"), F.lit("/")))).alias("found")) for k, (n, p) in enumerate(rules)]
-    return reduce(DataFrame.unionByName, tables).where("found is not null").withColumnRenamed("found", "url")
-
-
 def explode_record_files(df: DataFrame) -> DataFrame:
     """record, kind, name, local of a catalogue record's picture files (pages, preview, cover): by name once, numbered in order."""
     kinds = (("page", "pages"), ("preview", "previews"), ("cover", "covers"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import mimetypes
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import fixed
-from lodestack.functions.scalars import redact, redaction_hits
-from lodestack.functions.urls import extension, hostname, netloc, path, same_origin, scheme
+from lodestack.functions.scalars import is_project_text, redact, redaction_hits
+from lodestack.functions.urls import canonical_url, extension, hostname, let, netloc, path, same_origin, scheme
+from lodestack.operators.scan import with_totals
+from lodestack.shared import written
+
 
 def filter_http(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.rlike(F.trim(column), F.lit("(?i)^https?://")))
@@ -53,10 +58,14 @@ def is_internal_host(host: Column) -> Column:
     return F.coalesce(named | private | v6, F.lit(False))
 
 
+def is_blocked(url: Column, base: Column) -> Column:
+    """Whether ``url`` is on an internal host that isn't ``base``'s own; an empty host isn't."""
+    return let(lambda url, base: let(lambda host: (host != "") & is_internal_host(host), hostname(url)) & ~same_origin(url, base), url, base)
+
+
 def screen_internal(df: DataFrame, url: str, base: str, allow: bool = False) -> DataFrame:
     """``df`` with ``blocked``: an internal host that isn't the base's own; an empty host passes."""
-    host = hostname(url)
-    return df.withColumn("blocked", F.lit(False) if allow else (host != "") & is_internal_host(host) & ~same_origin(url, base))
+    return df.withColumn("blocked", F.lit(False) if allow else is_blocked(F.col(url), F.col(base)))
 
 
 def filter_scope(links: DataFrame, seed_url: str = "seed", column: str = "url") -> DataFrame:
@@ -113,23 +122,31 @@ def filter_runtime_assets(df: DataFrame, url: str = "url", mime: str = "mime") -
     return df.where(F.rlike(m, F.lit("^(image|audio|video|font)/")) | m.isin(*fixed.RUNTIME_TYPES) | F.coalesce(F.substring(extension(url), 2, 20).isin(*fixed.RUNTIME_EXTENSIONS), F.lit(False)))
 
 
-def sniff(content: Column, url: Column | None = None, media: bool = False) -> Column:
+def sniff(content: Column, url: Column | None = None, media: bool = False, mime: Column | None = None) -> Column:
     """What a file is, else null: by its URL's extension, then by a hint in the query (``format``, ``fm``, ``ext``, ``type``), then by its first bytes;
-    ``media``: by the bytes first."""
+    ``media``: by the bytes, then the content type, then the URL."""
     hexed = F.hex(F.substring(content, 1, 16))
     begins = lambda *x: F.rlike(hexed, F.lit("^(?:" + "|".join(x) + ")"))
-    text = F.lower(F.ltrim(F.substring(content, 1, 256).cast("string")))
+    text = F.ltrim(F.regexp_replace(F.substring(content, 1, 256).cast("string"), r"^\s+", ""))
     magic = (
-        F.when(begins("89504E47"), "png").when(begins("FFD8FF"), "jpg").when(begins("47494638"), "gif").when(begins("52494646.{8}57454250"), "webp").when(begins(".{8}66747970617669"), "avif")
-        .when(begins("424D"), "bmp").when(begins("494433", "FFFB", "FFF3", "FFF2"), "mp3").when(F.rlike(text, F.lit(r"^(<\?xml[^>]*>\s*)?<svg")), "svg")
+        F.when(begins("89504E470D0A1A0A"), "png").when(begins("FFD8FF"), "jpg").when(begins("474946383761", "474946383961"), "gif").when(begins("52494646.{8}57454250"), "webp")
+        .when(begins(".{8}6674797061766966", ".{8}6674797061766973"), "avif").when(begins("424D"), "bmp").when(begins("494433", "FFFB"), "mp3").when(F.rlike(text, F.lit(r"^<(?:svg|\?xml)")), "svg")
     )
     if url is None:
         return magic
-    plain = lambda x: F.when(x == "jpeg", "jpg").otherwise(x)
-    known = lambda x: F.when(x.isin(*fixed.IMAGE_EXTENSIONS, *fixed.MEDIA_EXTENSIONS), plain(x))
-    hint = F.lower(F.regexp_extract(url, r"(?i)[?&](?:format|fm|ext|type)=\.?(?:image/|audio/)?([a-z0-9]+)", 1))
-    by_name = F.coalesce(known(F.substring(extension(url), 2, 20)), known(hint))
-    return F.coalesce(magic, by_name) if media else F.coalesce(by_name, magic)
+    bare = F.substring(extension(F.regexp_replace(path(url), "/+$", "")), 2, 20)
+    hints = F.transform(F.regexp_extract_all(url, F.lit(r"(?i)(?<=[?&])(?:format|fm|ext|type)=([^&#]*)"), F.lit(1)), lambda v: F.lower(v))
+    value = lambda v: F.coalesce(F.when(F.rlike(v, F.lit(r"\.[^./]+$")) & ~F.startswith(v, F.lit(".")), F.regexp_extract(v, r"\.([^./]+)$", 1)), F.regexp_replace(v, r"^\.+", ""))
+    hint = F.get(F.filter(F.transform(hints, value), lambda v: v.isin(*fixed.SNIFFED_PICTURES, *fixed.SNIFFED_SOUNDS)), F.lit(0))
+    by_name = F.coalesce(F.when(bare.isin(*fixed.SNIFFED_PICTURES, *fixed.SNIFFED_SOUNDS, *fixed.FONT_EXTENSIONS, *fixed.SNIFFED_TEXTS), bare), hint)
+    if not media:
+        return F.coalesce(by_name, magic)
+    named = F.lit(None).cast("string") if mime is None else F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME_EXTENSIONS.items() for x in kv]), F.lower(F.trim(F.substring_index(mime, ";", 1))))
+    return F.coalesce(magic, named, by_name)
+
+
+#: The extension that a content type is known for, by the standard library's own table.
+MIME_EXTENSIONS = {kind: ("jpg" if end in (".jpe", ".jpeg") else end[1:]) for kind in sorted(set(mimetypes.MimeTypes().types_map[True].values())) if (end := mimetypes.MimeTypes().guess_extension(kind))}
 
 
 def sniff_audit(files: DataFrame) -> DataFrame:
@@ -201,13 +218,15 @@ def flag_custom_viewers(pages: DataFrame, body: str = "html", pairs: Sequence[tu
 
 
 def failure_cause(error: Column) -> Column:
-    """Why a download failed, by its first 500 characters."""
-    e = F.lower(F.substring(error, 1, 500))
-    rule = lambda p: F.rlike(e, F.lit(p))
+    """Why a download failed, by the first 500 characters of its message: causes of media tools first, then of connections, then an HTTP status."""
+    e = F.lower(F.substring(F.trim(F.regexp_replace(error, r"\s+", " ")), 1, 500))
+    said = lambda *x: reduce(lambda a, b: a | b, [F.contains(e, F.lit(t)) for t in x])
+    status = F.regexp_extract(e, r"\b(?:http|status)(?: error)?[ :]*([1-5]\d\d)\b", 1)
     return (
-        F.when(rule("certificate|ssl|tls"), "tls").when(rule("reset by peer|connection reset|connection aborted"), "reset").when(rule("name resolution|getaddrinfo|dns|nodename"), "dns")
-        .when(rule(r"\bhttp\s*\d{3}|\b[45]\d\d\b"), F.concat(F.lit("http "), F.regexp_extract(e, r"\b([45]\d\d)\b", 1))).when(rule("cookie.*lock|database is locked"), "cookie lock")
-        .when(rule("runtime|node|deno"), "runtime missing").when(rule("signature|nsig"), "signature").when(rule("bot|captcha|sign in"), "bot check").otherwise("other")
+        F.when(said("cookie database") & said(*fixed.COOKIE_LOCKS), "cookie lock").when(said("no supported javascript runtime"), "runtime missing")
+        .when(said("signature solving failed", "challenge solving failed"), "signature").when(said("provided youtube account cookies are no longer valid"), "cookies expired")
+        .when(said("certificate verification failed", "certificate verify failed", "sslerror"), "tls").when(said("connection reset", "econnreset"), "reset")
+        .when(said("name or service not known", "nodename"), "dns").when(said(*fixed.BOT_CHECKS), "bot check").when(status != "", F.concat(F.lit("http "), status)).otherwise("other")
     )
 
 
@@ -244,25 +263,60 @@ def filter_safe_labels(df: DataFrame) -> DataFrame:
 
 
 def classify_scripts(files: DataFrame) -> DataFrame:
-    """path, class of scripts: bundle by name, loader by content, else plain; only plain ones may be rewritten."""
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    own = F.when(F.rlike(name, F.lit(r"(?i)^(app|main|index|vendor|chunk|runtime|polyfills?)[.-][\w.-]*\.m?js$")), "bundle").when(F.rlike("text", F.lit(r"__webpack_require__|import\(\s*[^\"'`)]|document\.createElement\(\s*[\"']script")), "loader").otherwise("plain")
+    """path, class of scripts: loader by content, else bundle by name, else plain; only plain ones may be rewritten."""
+    loads = F.rlike("text", F.lit(fixed.LOADER_BASE)) | F.rlike("text", F.lit(fixed.LOADER_PATHS))
+    own = F.when(F.coalesce(loads, F.lit(False)), "loader").when(F.rlike(path("path"), F.lit(fixed.BUNDLE_NAME)), "bundle").otherwise("plain")
     return files.where(F.rlike("path", F.lit(r"(?i)\.m?js$"))).select("path", own.alias("class"))
 
 
-def validate_viewers(responses: DataFrame) -> DataFrame:
-    """url, ok, reason: whether a response (url, status, mime, body) is a viewer page."""
-    head = F.lower("body")
-    json = F.try_parse_json(F.col("body"))
-    shaped = F.try_variant_get(json, "$.rows", "variant").isNotNull() | F.try_variant_get(json, "$.app.rows", "variant").isNotNull()
-    marks = F.rlike(head, F.lit(r"id=[\"']app[\"']|pointtypes|project\.json|cyoap|<script[^>]+type=[\"']module"))
-    reason = F.when(F.coalesce("status", F.lit(0)) >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).when(F.col("body").isNull() | (F.trim("body") == ""), "missing").when(F.contains("mime", F.lit("json")) & ~F.coalesce(shaped, F.lit(False)), "no project JSON").when(~F.contains("mime", F.lit("json")) & ~marks, "no viewer markers")
-    return responses.select("url", reason.isNull().alias("ok"), reason.alias("reason"))
+_ENDPOINT = r"(?i)(?:project\.(?:json|txt)|dist/platform\.json|dist/nodes/list\.json)$"
+
 
+def validate_viewers(responses: DataFrame, catalogue: str = fixed.CATALOGUE_HOST) -> DataFrame:
+    """url, ok, reason: whether a response (url, status, mime, body; ``ord``, if there is an order) is a viewer page.
 
-def route_gallery(df: DataFrame, known: dict[str, str], column: str = "url") -> DataFrame:
-    """``extractor`` of gallery links: a known host's key, else a token of the path, else null; raw files are none."""
-    host = F.regexp_replace(hostname(column), r"^www\.", "")
-    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.lit(None)
-    by_path = F.regexp_extract(path(column), r"(?i)/(gallery|album|post|artworks|set)(?:/|$)", 1)
-    return df.withColumn("extractor", F.when(classify_kind(column).isin("images", "media"), None).otherwise(F.coalesce(F.try_element_at(table, host) if known else F.lit(None).cast("string"), F.when(by_path != "", F.lower(by_path)))))
+    A page is one if it is a project itself, has a viewer's mark (the catalogue's own pages need a strong one), is a plain form under the catalogue's title, or if
+    the responses have a project or both of a platform's two lists below it. Of a page in several spellings the first counts, the others were visited.
+    """
+    order = "ord" if "ord" in responses.columns else "url"
+    rows = responses.withColumn("__own", F.coalesce(canonical_url("url"), F.col("url")))
+    first = written(with_totals(rows, ["__own"], __first=F.min(F.struct(order, "url"))))
+    body, kind = F.coalesce("body", F.lit("")), F.lower(F.coalesce("mime", F.lit("")))
+    low, own = F.lower(body), F.lower(path("__own"))
+    json = F.schema_of_variant(F.try_parse_json("body"))
+    good = F.coalesce("status", F.lit(0)) < 400
+    listed = F.when(F.endswith(own, F.lit("dist/nodes/list.json")), F.coalesce(F.startswith(json, F.lit("ARRAY")), F.lit(False))).when(F.endswith(own, F.lit("dist/platform.json")), F.coalesce(F.startswith(json, F.lit("OBJECT")), F.lit(False)))
+    project = is_project_text(F.col("body"))
+    found = first.withColumns({"__listed": listed, "__project": project})
+
+    ends = found.where(good & F.rlike(own, F.lit(_ENDPOINT))).select(F.regexp_replace("__own", r"/*" + _ENDPOINT, "").alias("__base"), own.alias("__end"), F.coalesce("__listed", "__project").alias("__good"))
+    has = lambda end: F.bool_or(F.endswith("__end", F.lit(end)) & F.col("__good"))
+    pairs = ends.groupBy("__base").agg((F.bool_or(F.rlike("__end", F.lit(r"project\.(json|txt)$")) & F.col("__good")) | (has("dist/platform.json") & has("dist/nodes/list.json"))).alias("__served"))
+    found = found.withColumn("__base", F.regexp_replace("__own", "/+$", "")).join(pairs, "__base", "left")
+
+    said = lambda *x: reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in x])
+    custom = reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) & F.contains(low, F.lit(b)) for a, b in fixed.VIEWER_MARKERS])
+    shell = (F.lower(netloc("__own")) == catalogue) & F.contains(own, F.lit("/game/")) & ~said(*fixed.STRONG_MARKS) & ~custom
+    form = (F.contains(kind, F.lit("text/html")) | F.rlike(low, F.lit("^(?:<!doctype html|<html)"))) & said("<title>[cyoa]") & said("<main") & said("<input") & said("<label")
+    data = F.contains(kind, F.lit("json")) | F.rlike(own, F.lit(r"\.(?:json|txt)$"))
+    marked = said(*fixed.VIEWER_MARKS) | custom
+    reason = (
+        F.when(F.struct(order, "url") > F.col("__first"), "already visited").when(F.col("status").isNull() & F.col("body").isNull(), "request failed").when(~good, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+        .when(data & F.col("__listed").isNotNull(), F.when(~F.col("__listed"), "not a viewer's list")).when(data & F.col("__project"), None).when(marked & shell, "metadata page, not viewer").when(marked | form, None)
+        .when(F.coalesce("__served", F.lit(False)), None).otherwise("no valid project/viewer signature")
+    )
+    return found.select("url", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def route_gallery(df: DataFrame, known: dict[str, str], column: str = "url", mode: str = "smart", raw_hosts: Sequence[str] = fixed.RAW_PICTURE_HOSTS) -> DataFrame:
+    """``df`` with ``extractor`` of gallery links, null for others: a known host's key; else the host of pages whose path has a gallery's part. In mode ``smart``
+    pictures, and what hosts of raw files hold, have none; in mode ``force`` every http(s) link has one; in mode ``off`` none."""
+    if mode == "off":
+        return df.withColumn("extractor", F.lit(None).cast("string"))
+    host = hostname(column)
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.lit(None).cast("map<string,string>")
+    own = F.coalesce(F.try_element_at(table, host), F.when(F.lit(mode == "force") & scheme(column).isin("http", "https"), F.when(host == "", "custom").otherwise(host)))
+    page = reduce(lambda a, b: a | b, [F.contains(F.lower(path(column)), F.lit(t)) for t in fixed.GALLERY_PARTS])
+    own = F.coalesce(own, F.when(page, F.when(host == "", "page").otherwise(host)))
+    raw = host.isin(*raw_hosts) | F.substring(extension(column), 2, 20).isin(*fixed.IMAGE_EXTENSIONS)
+    return df.withColumn("extractor", F.when(~raw, own) if mode == "smart" else own)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions import fixed
 from lodestack.functions.scalars import update_reason
 from lodestack.functions.urls import cache_identity, canonical_url, hostname, netloc, path, scheme
 from lodestack.operators.extract import keep_first
@@ -61,7 +63,7 @@ def diff_history(history: DataFrame, probes: DataFrame) -> DataFrame:
     reason = update_reason((F.col("h.etag"), F.col("p.etag")), (F.col("h.last_modified"), F.col("p.last_modified")), (F.col("h.content_length"), F.col("p.content_length")))
     code = F.col("p.status")
     status = F.when(code.isNull() | (code >= 400), "unreachable").when(reason != "", "updated").otherwise("current")
-    return both.select("url", status.alias("status"), F.when(code >= 400, F.concat(F.lit("HTTP "), code.cast("string"))).when(code.isNull(), "no answer").otherwise(reason).alias("reason"))
+    return both.select("url", status.alias("status"), F.when(code >= 400, F.concat(F.lit("HTTP "), code.cast("string"))).when(code.isNull(), "HTTP request failed").otherwise(reason).alias("reason"))
 
 
 def lookup_cache(refs: DataFrame, index: DataFrame, files: DataFrame) -> DataFrame:
@@ -102,17 +104,24 @@ def attach_headers(df: DataFrame, exact: DataFrame, suffixes: DataFrame, column:
     return out.withColumn("headers", F.coalesce("__exact", "__suffix", F.lit(default))).drop("__host", "__exact", "__suffix")
 
 
-def match_viewer(pages: DataFrame, viewers: list[dict]) -> DataFrame:
-    """page_id, viewer, score: the viewer with most marks in a page; 1 a hint, 20 the marker, 10 the mode, 5 more for local ones; no marks, no row.
+def match_viewer(pages: DataFrame, viewers: list[dict], mode: str | Column = "auto", hints: dict[str, Sequence[str]] = fixed.VIEWER_HINTS) -> DataFrame:
+    """page_id, viewer, score: of the registered viewers (id, type, name) the one that fits a page (page_id, html) and a download's mode best; of equals the
+    first; without any mark no row.
 
-    The viewers are a short list in the plan, so each page is read once and no pairs are made.
+    One for each of its type's hints in the page, in any case of letters, 20 for the remix's own mark, 10 if the mode asks for its type, and, if there is any of
+    these, 5 for a name that says it is local. The viewers are a short list in the plan, so each page is read once and no pairs are made.
     """
+    low = F.lower("html")
+    asked = F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.VIEWER_MODES.items() for x in kv]), F.lit(mode) if isinstance(mode, str) else mode)
+    remix = F.contains("html", F.lit(fixed.REMIX_TEMPLATE)) | F.contains(low, F.lit("app.offline.js")) | F.contains(low, F.lit("iccremix"))
+
     def score(v: dict) -> Column:
-        hints = [F.when(F.contains("html", F.lit(h)), 1).otherwise(0) for h in v.get("hints", ())]
-        base = sum(hints, F.lit(0)) + (F.when(F.contains("html", F.lit(v["marker"])), 20).otherwise(0) if v.get("marker") else F.lit(0)) + (F.when(F.contains("html", F.lit(v["mode"])), 10).otherwise(0) if v.get("mode") else F.lit(0))
-        return base + F.when((base > 0) & F.lit(bool(v.get("local"))), 5).otherwise(0)
+        kind = v.get("type", "custom")
+        base = sum([F.when(F.contains(low, F.lit(h.lower())), 1).otherwise(0) for h in hints.get(kind, ())], F.lit(0))
+        base += F.when(remix & F.lit(kind == "icc_remix"), 20).otherwise(0) + F.when(F.coalesce(asked == kind, F.lit(False)), 10).otherwise(0)
+        return base + F.when((base > 0) & F.lit("local" in v.get("name", "").lower()), 5).otherwise(0)
 
-    best = F.array_max(F.array(*[F.struct(score(v).alias("score"), F.lit(-k).alias("order"), F.lit(v["name"]).alias("viewer")) for k, v in enumerate(viewers)]))
+    best = F.array_max(F.array(*[F.struct(score(v).alias("score"), F.lit(-k).alias("order"), F.lit(v["id"]).alias("viewer")) for k, v in enumerate(viewers)]))
     return pages.select("page_id", best.alias("b")).where("b.score > 0").select("page_id", "b.viewer", "b.score")
 
 
@@ -136,7 +145,7 @@ def resolve_auto_modes(queue: DataFrame, probes: DataFrame, preference: str = "f
 
 def live_candidates(candidates: DataFrame, probes: DataFrame) -> DataFrame:
     """Candidates (rank, url) that answered 200 or 206, by rank."""
-    return candidates.join(probes.where(F.col("status").isin(200, 206)).select("url"), "url", "left_semi").orderBy("rank")
+    return candidates.join(probes.where(F.col("status").isin(200, 206)).select("url"), "url", "left_semi")
 
 
 def requeue(diff: DataFrame, failures: DataFrame) -> DataFrame:

@@ -149,21 +149,22 @@ def job_latest(events: DataFrame, columns: list[str], key: str = "job") -> DataF
 
 
 def rank_scripts(df: DataFrame, label: str) -> DataFrame:
-    """Scripts in the order to read them: the application first, libraries last."""
+    """``df`` with ``rank`` and ``low``, by which scripts are to be read: the application first, libraries last, then by name."""
     low = F.lower(label)
-    rank = F.when(F.rlike(low, F.lit("vendor|polyfill|jquery|bootstrap")), 2).when(F.rlike(low, F.lit("app|main|index|runtime")), 0).otherwise(1)
-    return df.withColumn("rank", rank).orderBy("rank", low, label)
+    said = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(low, p))
+    return df.withColumns({"rank": F.when(said(fixed.APPLICATION_SCRIPTS), 0).when(said(fixed.LIBRARY_SCRIPTS), 2).otherwise(1), "low": low})
 
 
 def rank_members(members: DataFrame) -> DataFrame:
-    """Archive members that may be the project, the likeliest first: by class, then shortest name, then name; others go."""
+    """Archive members that may be the project, with ``rank`` and ``place``, from 1 the likeliest first: by rank, then shortest name, then name; others go."""
     low = F.lower("member")
     project = F.contains(low, F.lit("project"))
     rank = (
         F.when(F.endswith(low, F.lit("project.json")), 0).when(project & F.endswith(low, F.lit(".json")), 1).when(F.endswith(low, F.lit(".json")), 2)
         .when(project & F.endswith(low, F.lit(".txt")), 3).when(F.endswith(low, F.lit(".txt")), 4).when(F.endswith(low, F.lit(".zip")), 5).otherwise(99)
     )
-    return members.where("not is_dir").withColumn("rank", rank).where("rank < 99").orderBy("archive", "rank", F.length("member"), "member")
+    order = Window.partitionBy("archive").orderBy("rank", F.length("member"), "member")
+    return members.where("not is_dir").withColumn("rank", rank).where("rank < 99").withColumn("place", F.row_number().over(order))
 
 
 def domain_backoff(attempts: DataFrame, base: float = 2.0, most: float = 300.0) -> DataFrame:

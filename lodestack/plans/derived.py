@@ -14,6 +14,7 @@ from lodestack.operators import extract as ex
 from lodestack.operators import filters as fl
 from lodestack.operators import iterate as it
 from lodestack.operators import joins as jo
+from lodestack.operators import tags as tg
 from lodestack.plans.base import Query, register, table
 from lodestack.sources import readers as rd
 from lodestack.streaming import telemetry as st
@@ -182,15 +183,6 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.parse_log_events(table(spark, sf_dir, "events").select("event_id", _LINE().alias("line"))).select("event_id", "type", "state", "name", "done", "total", "error")
 
 
-_ERRORS = ("SSLError: certificate verify failed", "Connection reset by peer", "getaddrinfo failed", "HTTP 404 Not Found", "cookie database is locked", "no JS runtime found", "nsig extraction failed", "Sign in to confirm you're not a bot", "strange", "503 Server Error")
-_ERROR, _ERROR_SQL = _pick(_ERRORS, "event_id")
-
-
-@_q(f"""WITH c(k, cause) AS (VALUES (0, 'tls'), (1, 'reset'), (2, 'dns'), (3, 'http 404'), (4, 'cookie lock'), (5, 'runtime missing'), (6, 'signature'), (7, 'bot check'), (8, 'other'), (9, 'http 503')) SELECT cause, count(*) AS n FROM events JOIN c ON event_id % {len(_ERRORS)} = k GROUP BY 1""")
-def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.classify_failures(table(spark, sf_dir, "events").select(_ERROR().alias("error")))
-
-
 _TAGS = '<script type="module" src="/_next/app.js"></script><link rel="stylesheet" href="/s.css"><link rel="icon" href="/i.ico"><img src="/a.png" srcset="/b.png 1x, /c.png 2x"><video poster="/p.jpg" src="/v.mp4"></video><p style="background:url(/bg.png)"></p><style>@font-face{src:url(/f.woff2)}</style>'
 
 
@@ -198,7 +190,7 @@ _TAGS = '<script type="module" src="/_next/app.js"></script><link rel="styleshee
   ('video', 'poster', '/p.jpg', 'images'), ('video', 'src', '/v.mp4', 'media'), ('', 'style', '/bg.png', 'images'), ('style', '', '/f.woff2', 'fonts')) SELECT tag, attr, raw, kind, count(*) AS n FROM pages, t WHERE page_id % 3 = 0 GROUP BY ALL""")
 def tag_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.when(F.col("page_id") % 3 == 0, _TAGS).otherwise("")).alias("html"))
-    return ex.extract_tag_assets(p).groupBy("tag", "attr", "raw", "kind").agg(F.count("*").alias("n"))
+    return tg.extract_tag_assets(p).groupBy("tag", "attr", "raw", "kind").agg(F.count("*").alias("n"))
 
 
 _CSS = "'<style>@import \"base' || page_id % 5 || '.css\"; p{background:url(''bg/' || page_id % 7 || '.png'')} i{src:url(data:x)}</style>'"
@@ -239,7 +231,7 @@ t AS (SELECT page_id, routes, 2 * next::INT + (framework AND scripts > 0)::INT +
 SELECT page_id, routes, score, CASE WHEN score >= 2 THEN 'browser' WHEN routes > 0 THEN 'smart' ELSE 'classic' END AS strategy FROM t""")
 def site_profile_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _bare(spark, sf_dir).select("page_id", F.concat("bare", F.lit("/")).alias("url"), F.concat("html", _MORE()).alias("html"))
-    scripts = ex.extract_scripts(p).where("kind = 'inline'").select("page_id", F.concat("ord", F.lit(".js")).alias("path"), F.col("body").alias("text"))
+    scripts = tg.extract_scripts(p).where("kind = 'inline'").select("page_id", F.concat("ord", F.lit(".js")).alias("path"), F.col("body").alias("text"))
     signals = agg.profile_signals(p, ex.extract_links(p), scripts)
     return agg.plan_archive(signals).join(signals.select("page_id", "routes", "score"), "page_id").select("page_id", F.col("routes").cast("int").alias("routes"), F.col("score").cast("int").alias("score"), "strategy")
 
@@ -341,35 +333,6 @@ def media_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.extract_media_ids(rows, "text", keep=("doc_id",)).groupBy("url").agg(F.count("*").alias("n"))
 
 
-@_q(f"""WITH p AS (SELECT page_id, 'http://' || {_HOST} AS origin FROM pages) SELECT origin || x AS found, k AS rank, count(DISTINCT page_id) AS n FROM p, (VALUES ('/a/data.json', 1), ('/b/project', 2), ('/c', 3), ('/d', 4)) t(x, k) GROUP BY 1, 2""")
-def data_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """x="a/data.json"; y='\\/b\\/project'; fetch("/c"); r.open("GET", "/d"); fetch("a/data.json")"""
-    p = _bare(spark, sf_dir).select("page_id", F.concat(F.lit("http://"), u.netloc("url"), F.lit("/")).alias("url")).select("url", F.lit(text).alias("text"), "page_id")
-    found = ex.extract_candidates(p.select("url", "text").distinct())
-    return p.select("url", "page_id").join(found, "url").groupBy("found", "rank").agg(F.count_distinct("page_id").alias("n"))
-
-
-@_q("""SELECT hint, raw, count(*) AS n FROM pages, (VALUES ('meta', 'p.json'), ('data', 'q.json'), ('link', 'r.json'), ('global', 's.json')) t(hint, raw) WHERE page_id % 2 = 0 GROUP BY 1, 2""")
-def data_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = """<meta name="my-project" content="p.json"><div data-project='q.json'></div><link rel="x" href="r.json"><script>window.__DATA__ = "s.json"</script>"""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.when(F.col("page_id") % 2 == 0, more).otherwise("")).alias("html"))
-    return ex.extract_hints(p).groupBy("hint", "raw").agg(F.count("*").alias("n"))
-
-
-@_q("""SELECT kind, rank, candidate, count(*) AS n FROM pages, (VALUES ('images', 0, 'a b.png'), ('images', 1, 'a%20b.png'), ('images', 2, 'images/a b.png'), ('images', 3, 'img/a b.png'), ('images', 4, 'assets/a b.png'), ('images', 5, 'assets/images/a b.png'), ('other', 0, 'a b.png'), ('other', 1, 'a%20b.png'), ('other', 2, 'assets/a b.png')) t(kind, rank, candidate)
-WHERE kind = CASE WHEN page_id % 2 = 0 THEN 'images' ELSE 'other' END GROUP BY ALL""")
-def folder_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select(F.lit("a b.png").alias("raw"), F.when(F.col("page_id") % 2 == 0, "images").otherwise("other").alias("kind"))
-    return ex.asset_folder_candidates(rows).groupBy("kind", "rank", "candidate").agg(F.count("*").alias("n"))
-
-
-@_q(f"""SELECT method, 'http://' || lower({_HOST}) || x AS url, count(*) AS n FROM pages, (VALUES ('iframe', '/v/'), ('field', '/g'), ('canonical', '/c')) t(method, x) GROUP BY 1, 2""")
-def embedded_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = """<iframe src="/v/"></iframe><script>{"game_url":"\\/g"}</script><link rel="canonical" href="/c">"""
-    p = _bare(spark, sf_dir).select("page_id", F.col("bare").alias("url"), F.concat("html", F.lit(more)).alias("html"))
-    return ex.viewer_candidates(p).groupBy("method", "url").agg(F.count("*").alias("n"))
-
-
 @_q("""WITH r AS (SELECT 'http://h.example.org/' || doc_id AS route FROM documents WHERE doc_id % 3 = 0) SELECT 'http://h.example.org/' || doc_id AS url, 'p/' || doc_id || '.html' AS local FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0""")
 def mapped_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("http://h.example.org/"), "doc_id").alias("url"))

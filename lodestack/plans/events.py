@@ -122,8 +122,8 @@ def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("job").agg(format_duration(s).alias("took"))
 
 
-@_q("""WITH g AS (SELECT ts, value, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), w AS (SELECT min(ts) AS start, sum(value) AS bytes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS spent FROM s GROUP BY k)
+@_q("""WITH g AS (SELECT ts, value, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), w AS (SELECT min(ts) AS start, sum(value::DECIMAL(18, 2))::DOUBLE AS bytes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS spent FROM s GROUP BY k)
 SELECT start, round(bytes, 4) AS bytes, round(greatest(bytes / 0.1::DOUBLE - spent, 0), 4) AS excess FROM w""")
 def bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = st.bandwidth_excess(_events(spark, sf_dir), 0.1, idle="5 minutes")
+    w = st.bandwidth_excess(_events(spark, sf_dir).withColumn("bytes", F.col("bytes").cast("decimal(18,2)")), 0.1, idle="5 minutes")
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("bytes", 4).alias("bytes"), F.round("excess", 4).alias("excess"))

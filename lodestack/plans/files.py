@@ -151,10 +151,3 @@ def path_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("recorded only", m.subtract(g)).unionByName(side("disk only", g.subtract(m))).unionByName(side("both", m.intersect(g))).select("side", "package", "n")
 
 
-@_q("""SELECT source AS package, count(*) FILTER (doc_id % 2 = 0) AS ok, sum(len(regexp_extract_all(text, 'data:image/')))::BIGINT AS inlined, sum(len(regexp_extract_all(text, '(?i)https?://[^\\s"'']+\\.(?:png|jpe?g|gif|webp|avif)')))::BIGINT AS remaining, count(*) FILTER (length(text) >= 10) AS long_enough FROM documents GROUP BY 1""")
-def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    v = agg.validate_outputs(files).join(files.select("path", "package", "size"), "path")
-    json = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"k": '), "doc_id", F.lit(', "x": "yy"}'))).otherwise(F.concat(F.lit("{broken "), "doc_id"))
-    good = agg.validate_outputs(files.select("path", json.alias("text"))).select("path", "ok")
-    return v.drop("ok").join(good, "path").groupBy("package").agg(F.count_if("ok").alias("ok"), F.sum("inlined").alias("inlined"), F.sum("remaining").alias("remaining"), F.count_if(F.col("size") >= 10).alias("long_enough"))

@@ -10,6 +10,7 @@ from lodestack.operators import aggregates as agg
 from lodestack.operators import extract as ex
 from lodestack.operators import filters as fl
 from lodestack.operators import joins as jo
+from lodestack.operators import tags as tg
 from lodestack.operators.windows import cap_per_group
 from lodestack.plans.base import Query, register, table
 
@@ -132,16 +133,6 @@ def host_header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jo.attach_headers(table(spark, sf_dir, "pages").select("page_id", "url"), exact, suffixes).groupBy("headers").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
 
 
-_VIEWERS = [{"name": "nav", "hints": ("<nav>", "track("), "marker": "class=\"ad\"", "local": True}, {"name": "article", "hints": ("<article>",), "marker": "<h1>", "mode": "<table"}, {"name": "plain", "hints": ("<p>", "<b>")}]
-
-
-@_q("""WITH s AS (SELECT page_id, contains(html, '<nav>')::INT + contains(html, 'track(')::INT + 20 * contains(html, 'class="ad"')::INT AS a0, contains(html, '<article>')::INT + 20 * contains(html, '<h1>')::INT + 10 * contains(html, '<table')::INT AS b, contains(html, '<p>')::INT + contains(html, '<b>')::INT AS c FROM pages),
-t AS (SELECT page_id, CASE WHEN a0 > 0 THEN a0 + 5 ELSE 0 END AS a, b, c FROM s)
-SELECT page_id, CASE WHEN a >= b AND a >= c THEN 'nav' WHEN b >= c THEN 'article' ELSE 'plain' END AS viewer, greatest(a, b, c) AS score FROM t WHERE greatest(a, b, c) > 0""")
-def viewer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jo.match_viewer(table(spark, sf_dir, "pages"), _VIEWERS)
-
-
 @_q(f"""WITH l AS ({_LINKS}), e AS (SELECT DISTINCT raw AS url, page_id AS owner FROM l WHERE {_GOOD}) SELECT url, owner, count(*) OVER (PARTITION BY url) AS n FROM e""")
 def reference_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.ref_sources(ex.extract_links(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("owner"), F.col("raw").alias("url")))
@@ -155,7 +146,7 @@ def alias_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_q(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages) SELECT length(body) AS size, count(*) AS n, count(DISTINCT page_id) AS pages FROM s GROUP BY 1""")
 def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ex.extract_scripts(table(spark, sf_dir, "pages")).where("kind = 'inline'")
+    s = tg.extract_scripts(table(spark, sf_dir, "pages")).where("kind = 'inline'")
     return s.groupBy(F.length("body").alias("size")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 

@@ -24,7 +24,7 @@ def _q(sql: str | None = None):
 _DIFF = """h AS (SELECT o_orderkey::VARCHAR AS url, o_orderstatus AS etag, o_orderpriority AS lm, o_custkey::VARCHAR AS len FROM orders WHERE o_orderkey % 5 <> 0),
 p AS (SELECT o_orderkey::VARCHAR AS url, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS etag, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS lm, CASE WHEN o_orderkey % 7 = 0 THEN (o_custkey + 1)::VARCHAR ELSE o_custkey::VARCHAR END AS len, CASE WHEN o_orderkey % 11 = 0 THEN 404 ELSE 200 END AS status FROM orders WHERE o_orderkey % 13 <> 0),
 d AS (SELECT h.url, CASE WHEN status IS NULL OR status >= 400 THEN 'unreachable' WHEN h.etag <> p.etag OR h.len <> p.len THEN 'updated' ELSE 'current' END AS status,
-CASE WHEN status >= 400 THEN 'HTTP ' || status WHEN status IS NULL THEN 'no answer' ELSE concat_ws(', ', CASE WHEN h.etag <> p.etag THEN 'ETag' END, CASE WHEN h.len <> p.len THEN 'size ' || h.len || '→' || p.len END) END AS reason FROM h LEFT JOIN p ON h.url = p.url)"""
+CASE WHEN status >= 400 THEN 'HTTP ' || status WHEN status IS NULL THEN 'HTTP request failed' ELSE concat_ws(', ', CASE WHEN h.etag <> p.etag THEN 'ETag' END, CASE WHEN h.len <> p.len THEN 'size ' || h.len || '→' || p.len END) END AS reason FROM h LEFT JOIN p ON h.url = p.url)"""
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +81,6 @@ def archive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.audit_archives(members)
 
 
-@_q("SELECT p_partkey, p_name, CASE WHEN regexp_matches(lower(p_name), 'vendor|polyfill|jquery|bootstrap') THEN 2 WHEN regexp_matches(lower(p_name), 'app|main|index|runtime') THEN 0 ELSE 1 END AS rank FROM part")
-def script_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_scripts(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
-
-
 @_q("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT 's1' AS url, 0 AS depth UNION SELECT g.b, r.depth + 1 FROM r JOIN g ON g.a = r.url WHERE r.depth < 12) SELECT url, min(depth) AS depth FROM r GROUP BY 1""")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph of suppliers and parts, to its end; the SQL stops after 12 steps, more than it has."""

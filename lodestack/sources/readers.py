@@ -146,7 +146,7 @@ def read_projects(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_library(df: DataFrame) -> DataFrame:
-    return df.where(F.trim(F.coalesce("source_url", F.lit(""))) != "").orderBy(F.lower("name"), "name")
+    return df.where(F.trim(F.coalesce("source_url", F.lit(""))) != "")
 
 
 def read_telemetry_stream(spark: SparkSession, path: str, schema: str = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") -> DataFrame:
