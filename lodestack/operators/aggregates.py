@@ -140,7 +140,8 @@ def validate_outputs(files: DataFrame) -> DataFrame:
     than 10 bytes, or that is no JSON object or list, isn't ok."""
     count = lambda p: F.regexp_count("text", F.lit(p))
     refs, inlined = count('"image": ?"'), count("data:image/")
-    json = F.rlike("text", F.lit(r"^\s*[{\[]")) & F.try_parse_json("text").isNotNull()
+    listed = F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]")))  # what follows a value would else go unseen
+    json = F.rlike("text", F.lit(r"^\s*[{\[]")) & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
     return files.select("path", refs.alias("refs"), inlined.alias("inlined"), (refs - inlined).alias("remaining"), F.coalesce((F.octet_length("text") >= 10) & json, F.lit(False)).alias("ok"))
 
 

@@ -123,7 +123,9 @@ def viewer_candidates(pages: DataFrame) -> DataFrame:
     tags = tag_table(pages, keep=("page_id", "url")).withColumnRenamed("url", "page_url")
     item = lambda rank, method, raw: F.struct(F.lit(rank).alias("rank"), F.lit(method).alias("method"), raw.alias("raw"))
     script = F.col("name") == "script"
-    fields = [F.transform(F.when(script, F.regexp_extract_all("body", F.lit(rf"""(?i)["']{f}["']\s*:\s*["'](https?://[^"']+)["']"""), F.lit(1))), lambda r, f=f: item(2, f"script field {f}", r)) for f in fixed.RECORD_FIELDS]
+    named = lambda f: F.regexp_extract_all("body", F.lit(rf"""(?i)["']{f}["']\s*:\s*["'](https?://[^"']+)["']"""), F.lit(1))
+    labelled = lambda f: lambda r: item(2, f"script field {f}", r)
+    fields = [F.transform(F.when(script, named(f)), labelled(f)) for f in fixed.RECORD_FIELDS]
     single = F.array_compact(F.array(
         F.when(F.col("name") == "iframe", item(0, "iframe", F.trim(attr("src")))), F.when((F.col("name") == "meta") & (attr("property") == "og:url"), item(3, "og", F.trim(attr("content")))),
         F.when((F.col("name") == "link") & F.contains(attr("rel"), F.lit("canonical")), item(4, "canonical", F.trim(attr("href")))),

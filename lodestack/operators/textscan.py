@@ -105,7 +105,7 @@ def expand_properties(files: DataFrame, most: int = 200, longest: int = 200) ->
 
 def _json_strings(df: DataFrame) -> DataFrame:
     """The string values of JSON objects at any depth: a string token that no colon follows is one."""
-    tokens = matches(df, "text", r'(?s)("(?:[^"\\]++|\\.)*+")(?!\s*:)', keep=("path", "url", "base_url"))
+    tokens = matches(df, "text", r'(?s)("(?:[^"\\]++|\\.)*+"(?:\s*:)?)', keep=("path", "url", "base_url")).where(~F.endswith("raw", F.lit(":")))
     return tokens.withColumn("raw", F.trim(F.get(F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>"), F.lit(0))))
 
 

@@ -99,7 +99,7 @@ def folder_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VIEWERS = (("iframe", None, "/v/"), ("json", "https://g.example.org", "/1"), ("script field game_url", "https://g.example.org", "/1"), ("script field project_url", "https://p.example.org", "/a"), ("og", None, "/o"), ("canonical", None, "/c"))
 
 
-@_q(f"SELECT method, coalesce(at, {_SITE}) || x AS url, count(*) AS n FROM pages, {_values(_VIEWERS, 'method, at, x')} GROUP BY 1, 2")
+@_q(f"SELECT method, coalesce(whole, {_SITE}) || x AS url, count(*) AS n FROM pages, {_values(_VIEWERS, 'method, whole, x')} GROUP BY 1, 2")
 def embedded_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = (
         """<iframe width=1 src=/v/></iframe><script type="application/json">{"deep":[{"game_url":"https://g.example.org/1"}],"url":"relative"}</script><!-- <iframe src="/no"> -->"""
@@ -115,7 +115,8 @@ def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects that hold a document's text and two pictures; some are cut short, and some are the text alone."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = F.concat(F.lit('{"rows": [{"image": "data:image/png;base64,AA"}, {"image":"a.png"}], "link": "https://o.test/b.png", "more": '), F.to_json(F.struct("text")), F.lit("}"))
-    text = F.when(F.col("doc_id") % 3 == 0, whole).when(F.col("doc_id") % 3 == 1, F.concat(whole, F.lit("}"))).otherwise(F.col("text"))
+    broken = F.when(F.col("doc_id") % 2 == 0, F.concat(whole, F.lit("}"))).otherwise(F.substring(whole, F.lit(1), F.length(whole) - 1))
+    text = F.when(F.col("doc_id") % 3 == 0, whole).when(F.col("doc_id") % 3 == 1, broken).otherwise(F.col("text"))
     return agg.validate_outputs(d.select(F.col("doc_id").alias("path"), text.alias("text"))).select(F.col("path").alias("doc_id"), F.col("refs").cast("long").alias("refs"), F.col("inlined").cast("long").alias("inlined"), F.col("remaining").cast("long").alias("remaining"), "ok")
 
 
@@ -210,7 +211,7 @@ _TEXTS = (
     ("/v/assets/d.js", """__vite__mapDeps=1;d=(m.f||(m.f=["foo-1.js","./bar-2.js","x/no.js"])); import("./lazy-3.js"); import{a}from"./st-4.mjs"; import "./assets/own-5.js" """, ("/assets/foo-1.js", "/v/assets/bar-2.js", "/v/assets/lazy-3.js", "/v/assets/st-4.mjs", "/v/assets/own-5.js")),
     ("/v/sw.js", """self.__precacheManifest = [{"url": "p/q", "revision": "1"}, {"url": "/r/s.js"}]""", ("/v/p/q", "/r/s.js")),
     ("/v/e.css", """a{b:url( 'img/f.png?x=1#y' )} c{d:image-set("g.avif" 1x, 'h.avif' 2x)} .x{background:url(data:image/png;base64,a.png)}""", ("/v/img/f.png?x=1", "/v/g.avif", "/v/h.avif")),
-    ("/v/p.json", """{"a": {"img/key.png": "deep/l.png"}, "text": "<b>x</b><img src=\\"in/m.png\\">", "label": "Luna https:/cdn.example.org/n.gif", "list": ["o.js", "no", ".json"], "u": "https:\\/\\/cdn.example.org\\/q.jpg"}""", ("/v/deep/l.png", "/v/in/m.png", "https://cdn.example.org/n.gif", "/v/o.js", "https://cdn.example.org/q.jpg", "/v/img/key.png")),
+    ("/v/p.json", """{"a": {"img/key.png": "deep/l.png"}, "text": "<b>x</b><img src=\\"in/m.png\\">", "label": "Luna https:/cdn.example.org/n.gif", "list": ["o.js", "no", ".json"], "u": "https:\\/\\/cdn.example.org\\/q.jpg"}""", ("/v/deep/l.png", "/v/in/m.png", "https://cdn.example.org/n.gif", "/v/o.js", "/v/.json", "https://cdn.example.org/q.jpg", "/v/img/key.png")),
     ("/v/i.html", """<img data-src="lazy/r.png" srcset="s.png 1x, t.png 2x"><source src='u.bin'><link rel="preload" href="v.bin"><svg><image xlink:href="w.bin"/></svg>""", ("/v/lazy/r.png", "/v/s.png", "/v/t.png", "/v/u.bin", "/v/v.bin", "/v/w.bin")),
 )
 _NAMED = [(k, x if x.startswith("http") else None, x) for k, (_, _, names) in enumerate(_TEXTS) for x in names]

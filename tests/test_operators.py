@@ -5,6 +5,8 @@ from lodestack.operators import aggregates as agg
 from lodestack.operators import extract as ex
 from lodestack.operators import filters as fl
 from lodestack.operators import joins as jo
+from lodestack.operators import tags as tg
+from lodestack.operators import textscan as ts
 from lodestack.operators import windows as wi
 from lodestack.operators.iterate import crawl_routes, deep_scan, flatten_variant, reachable_styles, resume_crawl, walk_projects
 from lodestack.operators.registry import AnchorLinks, AssetNames, Registry
@@ -60,7 +62,7 @@ def test_text_assets(spark):
         ],
         "path string, url string, base_url string, text string",
     )
-    found = {(r.owner, r.url) for r in ex.scan_text_assets(files).collect()}
+    found = {(r.owner, r.url) for r in ts.scan_text_assets(files).collect()}
     assert {("lib/main.js", f"https://play.example.org/{x}") for x in ("lib/tree.avif", "lib/part-77.mjs", "wind.ogg", "sky/dusk.png")} <= found
     assert {u for o, u in found if o == "v/main.js"} == {"https://play.example.org/v/cover.jpg"}
     assert {u for o, u in found if o == "v/js/base.js"} >= {"https://play.example.org/v/skin/dark-mode.css", "https://play.example.org/v/data.json"}
@@ -72,9 +74,9 @@ def test_inferred_names(spark, rows):
         [("a.js", "let imgFolder = 'pics/'; const imgNames = ['deck/K.png','deck/Q.png', 'https://x/y.png'];"), ("b.js", 'roll = Math.floor(Math.random()*3)+1; "t/"+roll+".gif"'), ("c.js", "{folk:[{code:'elf'},{code:'orc'}]} \"${p.code}.svg\""), ("d.js", '"${p.code}.svg"')],
         "path string, text string",
     )
-    assert rows(ex.infer_prefixed_assets(files), "raw") == [("pics/deck/K.png",), ("pics/deck/Q.png",)]
-    assert rows(ex.expand_numeric(files), "raw") == [("t/1.gif",), ("t/2.gif",), ("t/3.gif",)]
-    assert [tuple(r) for r in ex.expand_properties(files).orderBy("ord").select("path", "raw").collect()] == [("c.js", "elf.svg"), ("c.js", "orc.svg")]
+    assert rows(ts.infer_prefixed_assets(files), "raw") == [("pics/deck/K.png",), ("pics/deck/Q.png",)]
+    assert rows(ts.expand_numeric(files), "raw") == [("t/1.gif",), ("t/2.gif",), ("t/3.gif",)]
+    assert [tuple(r) for r in ts.expand_properties(files).orderBy("ord").select("path", "raw").collect()] == [("c.js", "elf.svg"), ("c.js", "orc.svg")]
 
 
 def test_srcset(spark):
@@ -225,7 +227,7 @@ def test_deep_scan(spark, rows):
     schema = "path string, url string, base_url string, text string"
     files = spark.createDataFrame([("a.js", "https://h/a.js", "https://h/", '"b.js" "gone.png"')], schema)
     answers = spark.createDataFrame([("b.js", "https://h/b.js", "https://h/", '"c.png"'), ("c.png", "https://h/c.png", "https://h/", "")], schema)
-    assert rows(deep_scan(files, answers, ex.scan_text_assets), "url", "round") == [("https://h/a.js", 0), ("https://h/b.js", 1), ("https://h/c.png", 2)]
+    assert rows(deep_scan(files, answers, ts.scan_text_assets), "url", "round") == [("https://h/a.js", 0), ("https://h/b.js", 1), ("https://h/c.png", 2)]
 
 
 def test_project_scores(spark):
@@ -280,20 +282,24 @@ def test_pages_in_place_of_files(spark, rows):
     assert rows(fl.drop_error_documents(df, binary="binary"), "mime", "binary") == [("application/json", False), (None, True)]
 
 
-def test_sniffing(spark):
-    png, other = bytes.fromhex("89504E470D0A1A0A"), b"plain"
-    df = spark.createDataFrame([("https://h/a.jpeg", png), ("https://h/a?fm=webp", png), ("https://h/a", png), ("https://h/a", other), ("https://h/a.jpeg?x", None)], "url string, content binary")
-    assert [r[0] for r in df.select(fl.sniff(F.col("content"), F.col("url"))).collect()] == ["jpg", "webp", "png", None, "jpg"]
-    assert [r[0] for r in df.select(fl.sniff(F.col("content"), F.col("url"), media=True)).collect()] == ["png", "png", "png", None, "jpg"]
+def test_viewers_in_several_spellings_and_galleries(spark, rows):
+    v = spark.createDataFrame([(1, "http://a.test/x/../y", 200, "text/html", "<div id='app'>"), (0, "http://a.test/y", 200, "text/html", "prose"), (2, "http://a.test/y/project.txt", 200, "text/plain", "no project"), (3, None, 200, "text/html", "window.APP")], "ord int, url string, status int, mime string, body string")
+    assert rows(fl.validate_viewers(v), "url", "reason") == sorted([("http://a.test/x/../y", "already visited"), ("http://a.test/y", "no valid project/viewer signature"), ("http://a.test/y/project.txt", "no valid project/viewer signature"), (None, None)], key=repr)
+    g = spark.createDataFrame([("https://arts.test/x",), ("https://i.pximg.net/gallery/1",), ("https://o.test/Gallery/2",), (None,)], "url string")
+    assert rows(fl.route_gallery(g, {"arts.test": "arts"})) == sorted([("https://arts.test/x", "arts"), ("https://i.pximg.net/gallery/1", None), ("https://o.test/Gallery/2", "o.test"), (None, None)], key=repr)
+    assert {r.extractor for r in fl.route_gallery(g, {}, mode="off").collect()} == {None}
+    assert {r.extractor for r in fl.route_gallery(g, {}, mode="force").collect()} == {"arts.test", "i.pximg.net", "o.test", None}
 
 
-def test_viewers_scripts_galleries(spark, rows):
-    v = spark.createDataFrame([("a", 200, "application/json", '{"app":{"rows":[]}}'), ("b", 200, "application/json", "{}"), ("c", 404, "text/html", "x"), ("d", 200, "text/html", "<div id='app'>"), ("e", 200, "text/html", "prose"), ("f", 200, "text/html", None)], "url string, status int, mime string, body string")
-    assert rows(fl.validate_viewers(v), "url", "reason") == [("a", None), ("b", "no project JSON"), ("c", "HTTP 404"), ("d", None), ("e", "no viewer markers"), ("f", "missing")]
-    s = spark.createDataFrame([("app.1a2b.js", ""), ("x/loader.js", "import(name)"), ("mine.mjs", "let a"), ("a.css", "")], "path string, text string")
-    assert rows(fl.classify_scripts(s)) == [("app.1a2b.js", "bundle"), ("mine.mjs", "plain"), ("x/loader.js", "loader")]
-    g = spark.createDataFrame([("https://www.arts.test/x",), ("https://o.test/album/1",), ("https://o.test/pic.png",), ("https://o.test/about",)], "url string")
-    assert rows(fl.route_gallery(g, {"arts.test": "arts"})) == [("https://o.test/about", None), ("https://o.test/album/1", "album"), ("https://o.test/pic.png", None), ("https://www.arts.test/x", "arts")]
+def test_tags_in_one_pass(spark):
+    html = """<!-- <a href=no> --><DIV ID='App' data-x = "a > b" hidden><img src=p.png alt="it's"><script type="x">if (a < b) "</div>"</script><style>p{}</style><p title=it's>"""
+    tags = tg.tag_table(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")).select("name", tg.attr("id"), tg.attr("data-x"), tg.attr("hidden"), tg.attr("src"), tg.attr("alt"), "body")
+    assert [tuple(r) for r in tags.collect()] == [("div", "App", "a > b", "", None, None, None), ("img", None, None, None, "p.png", "it's", None), ("script", None, None, None, None, None, 'if (a < b) "</div>"'), ("style", None, None, None, None, None, "p{}"), ("p", None, None, None, None, None, None)]
+    page = spark.createDataFrame([(1, "<script>document.createElement('script').src = base + 'js/app.AB12.js'</script><script src='js\\/x.js'></script><iframe src=v></iframe>")], "page_id int, html string")
+    assert [(r.kind, r.body[:12]) for r in tg.extract_scripts(page).orderBy("ord", "kind").collect()] == [("bootstrap", "js/app.AB12."), ("inline", "document.cre"), ("src", "js/x.js"), ("iframe", "v")]
+
+
+def test_records_and_their_files(spark, rows):
     c = spark.createDataFrame([([" "], None, "http://x"), (["p.png"], None, None), (None, None, "no")], "pages array<string>, iframe_url string, game_url string")
     assert [r["class"] for r in fl.classify_records(c).collect()] == ["linked_viewer", "static_pages", "unknown"]
     r = spark.createDataFrame([("r", ["a.png", "b.txt", "a.png"], ["c.webp"], ["a.png"])], "record string, pages array<string>, previews array<string>, covers array<string>")
