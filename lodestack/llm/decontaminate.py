@@ -26,6 +26,9 @@ UNITS = frozenset("mm cm m km in ft mi mile miles g kg mg lb lbs oz l ml s sec s
 #: Up to so many different window hashes (8 bytes each) are sent to the tasks as a filter before the join, and up to so many windows are broadcast.
 MOST_SENT_WINDOWS = 500_000
 
+#: Bytes of words that a worker remembers, and of text that it works on at once (some 30 bytes of arrays for each).
+WORD_BYTES, SLICE_BYTES = 12 << 20, 1 << 18
+
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _CAPITAL, _ENDS, _NUM, _UNIT, _NONE = 1, 2, 4, 8, 16
@@ -127,8 +130,8 @@ def item_windows(rows: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_cache("template words", _Words)
-        for piece, texts in text_slices(batches, "text"):
+        words = worker_cache("template words", lambda: _Words(WORD_BYTES))
+        for piece, texts in text_slices(batches, "text", SLICE_BYTES):
             out: list[tuple] = []
             for doc, key, text in zip(piece.column("doc_id").to_pylist(), piece.column("key").to_pylist(), texts):
                 own = Templates([text], words)
@@ -151,8 +154,8 @@ def document_windows(rows: DataFrame, lengths: list[int], only: np.ndarray | Non
     sent = rows.sparkSession.sparkContext.broadcast(only)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, keep = worker_cache("template words", _Words), None if sent.value is None else _Filter(sent.value)
-        for piece, texts in text_slices(batches, "text"):
+        words, keep = worker_cache("template words", lambda: _Words(WORD_BYTES)), None if sent.value is None else _Filter(sent.value)
+        for piece, texts in text_slices(batches, "text", SLICE_BYTES):
             own = Templates(texts, words)
             found: list[tuple[np.ndarray, np.ndarray, list]] = []
             edges = np.zeros(len(own.words) + 1, np.int64)

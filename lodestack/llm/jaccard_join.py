@@ -48,6 +48,9 @@ COUNTED_TOGETHER = 2_000_000
 #: says wrongly of another shingle changes the order, everywhere alike, and so the work, but no result.
 HEAVY_BITS = 26
 
+#: Bytes of text that a worker works on at once.
+SLICE_BYTES = 1 << 18
+
 #: Blocks that a large region is compared in.
 BLOCK = 512
 
@@ -170,7 +173,7 @@ def signed_documents(rows: DataFrame, pivots: Pivots, width: int, percent: int)
             often = met >= 2
             return batch(shingle=shingle[often].view(np.int64), met=met[often])
 
-        for piece, texts in text_slices(batches, "text"):
+        for piece, texts in text_slices(batches, "text", SLICE_BYTES):
             types["doc_id"] = piece.schema.field("doc_id").type
             sets = shingle_sets(texts, width)
             sigs = [signature(s) if len(s) else (None, None) for s in sets]
@@ -216,7 +219,7 @@ def windows(rows: DataFrame, heavy: np.ndarray, pivots: Pivots, signer: Signer,
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, pivots), seen = sent.value, set()
-        for _, texts in text_slices(batches, "text"):
+        for _, texts in text_slices(batches, "text", SLICE_BYTES):
             out: list[tuple[np.ndarray, int, int]] = []
             for own in shingle_sets(texts, width):
                 if not len(own) or (sig := signer(own)) in seen:
@@ -431,7 +434,7 @@ def sets_of(rows: DataFrame, signer: Signer, width: int, sketched: bool = False)
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, texts in text_slices(batches, "text"):
+        for _, texts in text_slices(batches, "text", SLICE_BYTES):
             sets = {signer(own): own for own in shingle_sets(texts, width) if len(own)}
             sets = {k: own for k, own in sets.items() if k not in seen}
             seen.update(sets)
