@@ -225,7 +225,7 @@ def test_project_stats(spark):
 
 def test_deep_scan(spark, rows):
     schema = "path string, url string, base_url string, text string"
-    files = spark.createDataFrame([("a.js", "https://h/a.js", "https://h/", '"b.js" "gone.png"')], schema)
+    files = spark.createDataFrame([("a.js", "https://h/a.js", "https://h/", 'import("./b.js"); "gone.png"')], schema)
     answers = spark.createDataFrame([("b.js", "https://h/b.js", "https://h/", '"c.png"'), ("c.png", "https://h/c.png", "https://h/", "")], schema)
     assert rows(deep_scan(files, answers, ts.scan_text_assets), "url", "round") == [("https://h/a.js", 0), ("https://h/b.js", 1), ("https://h/c.png", 2)]
 
