@@ -194,3 +194,17 @@ VIEWER_MODES = {
     "cyoap_vue_folder": "cyoap_vue",
 }
 REMIX_TEMPLATE = "{{ICC_PROJECT_DATA_SCRIPT}}"
+
+#: What stands before a project's brace, or ends with it, in scripts, the likeliest first; patterns of such, all of which end with it; and names
+#: in a project, near which its braces lie when nothing else says so.
+EMBEDDED_MARKERS = (
+    "Store({state:{app:", "state:{app:", "__INITIAL_STATE__=", "__INITIAL_STATE__ =", "window.__APP__=", "window.__APP__ =", "window.__NUXT__=", "window.__NUXT__ =",
+    "app:{", '"app":{', "project:{", '"project":{',
+)
+EMBEDDED_PATTERNS = (
+    r"(?i)\b(?:app|project)\s*=\s*[A-Za-z_$][\w$]*\s*\(\s*\{", r"(?:app|project)\s*:\s*\{", r'"(?:app|project)"\s*:\s*\{',
+    r"(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*\{", r"return\s*\{",
+)
+EMBEDDED_NAMES = (
+    r"""["\']rows["\']\s*:""", r"\brows\s*:", r"""["\']backpack["\']\s*:""", r"\bbackpack\s*:", r"""["\']groups["\']\s*:""", r"""["\']words["\']\s*:""",
+)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -297,32 +296,63 @@ def font_fields(config: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else config.select("owner", "base_url", F.lit("").alias("field"), F.lit("").alias("value")).limit(0)
 
 
-#: Where a script may hold a whole project, in the order to look: words before a brace, and patterns that end at one.
-EMBEDDED_MARKERS = (
-    r"Store\(\{state:\{app:", r"state:\{app:", r"__INITIAL_STATE__=", r"__INITIAL_STATE__ =", r"window\.__APP__=", r"window\.__APP__ =", r"window\.__NUXT__=", r"window\.__NUXT__ =", r"app:(?=\{)",
-    r'"app":(?=\{)', r"project:(?=\{)", r'"project":(?=\{)', r"(?i)\b(?:app|project)\s*=\s*[A-Za-z_$][\w$]*\s*\(\s*(?=\{)", r"(?:app|project)\s*:\s*(?=\{)", r'"(?:app|project)"\s*:\s*(?=\{)',
-    r"(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*(?=\{)", r"return\s*(?=\{)",
-)
-#: Names in a project, near which its braces may lie when nothing else says so; and how far before them.
-EMBEDDED_NAMES, NEAR = (r"""["\\']rows["\\']\s*:""", r"\brows\s*:", r"""["\\']backpack["\\']\s*:""", r"\bbackpack\s*:", r"""["\\']groups["\\']\s*:""", r"""["\\']words["\\']\s*:"""), 250_000
-
-
-def _closing(text: str) -> dict[int, int]:
-    """For each opening brace outside of quotes the place after its closing one: one pass over the text."""
-    stack, ends, quote, at = [], {}, "", 0
-    for m in re.finditer(r"""\\.|["'{}]""", text, re.S):
-        c, at = m.group(), m.start()
-        if c[0] == "\\":
-            continue
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == "{":
-            stack.append(at)
-        elif stack:
-            ends[stack.pop()] = at + 1
-    return ends
+#: How far before a project's name its braces may lie, and the least length of a block around one.
+NEAR, LEAST_BLOCK = 250_000, 100
+
+#: Bytes of blocks that are handed on at once.
+BLOCK_BYTES = 4 << 20
+
+_TOKEN = re.compile(r"""\\.|["'{}]""", re.S)
+
+
+class Braces:
+    """The pairs of braces outside of quotes in a text, by where they open: ``start``, ``end`` (after the closing one; -1 for none), ``parent`` (the pair
+    around it; -1 for none). One pass, in which each of the ascending ``places`` also learns the last pair that is open there (``around``)."""
+
+    def __init__(self, text: str, places: list[int]) -> None:
+        self.start, self.end, self.parent, self.around = [], [], [], []
+        stack, quote, asked = [], "", 0
+        for m in _TOKEN.finditer(text):
+            c = m.group()
+            while asked < len(places) and places[asked] <= m.start():
+                self.around.append(stack[-1] if stack else -1)
+                asked += 1
+            if c[0] == "\\":
+                continue
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "\"'":
+                quote = c
+            elif c == "{":
+                self.start.append(m.start())
+                self.end.append(-1)
+                self.parent.append(stack[-1] if stack else -1)
+                stack.append(len(self.start) - 1)
+            elif stack:
+                self.end[stack.pop()] = m.end()
+        self.around += [stack[-1] if stack else -1] * (len(places) - asked)
+
+
+def project_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the balanced braces that a marker or a project's name points at, in the order to try them, each once, in time linear in the text: braces
+    after a marker, then those around a name, the innermost first."""
+    names = sorted((m.start(), k) for k, pattern in enumerate(fixed.EMBEDDED_NAMES) for m in re.finditer(pattern, text))
+    braces = Braces(text, [at for at, _ in names])
+    number = {at: k for k, at in enumerate(braces.start)}
+    found: dict[int, None] = {}
+    for pattern, inside in [(re.escape(m), m.endswith("{")) for m in fixed.EMBEDDED_MARKERS] + [(p, True) for p in fixed.EMBEDDED_PATTERNS]:
+        for m in re.finditer(pattern, text):
+            k = number.get(m.end() - 1 if inside else text.find("{", m.start()), -1)
+            if k >= 0 and braces.end[k] > 0:
+                found.setdefault(k)
+    reached: dict[int, int] = {}  # by pair the least place from which the pairs around it were walked
+    for (at, _), k in sorted(zip(names, braces.around), key=lambda x: (x[0][1], x[0][0])):
+        while k >= 0 and braces.start[k] >= at - NEAR and reached.get(k, at + 1) > at:
+            reached[k] = at
+            if braces.end[k] - braces.start[k] > LEAST_BLOCK:
+                found.setdefault(k)
+            k = braces.parent[k]
+    return [(braces.start[k], braces.end[k]) for k in found]
 
 
 def embedded_blocks(files: DataFrame) -> DataFrame:
@@ -330,24 +360,15 @@ def embedded_blocks(files: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out, size = [], 0
             for path_, text in zip(pdf["path"], pdf["text"]):
-                if not text or "{" not in text:
-                    continue
-                ends, starts = _closing(text), {}
-                for pattern in EMBEDDED_MARKERS:
-                    for m in re.finditer(pattern, text):
-                        brace = text.find("{", m.start() if not pattern.endswith("(?=\\{)") else m.end())
-                        if brace in ends:
-                            starts.setdefault(brace, len(starts))
-                opened = sorted(ends)
-                for pattern in EMBEDDED_NAMES:
-                    for m in re.finditer(pattern, text):
-                        for k in range(bisect.bisect_left(opened, m.start()) - 1, -1, -1):
-                            if opened[k] < m.start() - NEAR:
-                                break
-                            if ends[opened[k]] > m.start() and ends[opened[k]] - opened[k] > 100:  # blocks around the name, the innermost first
-                                starts.setdefault(opened[k], len(starts))
-                yield pd.DataFrame([(path_, rank, text[at : ends[at]]) for at, rank in starts.items()], columns=["path", "rank", "block"])
+                for rank, (start, end) in enumerate(project_blocks(text) if text and "{" in text else ()):
+                    out.append((path_, rank, text[start:end]))
+                    size += end - start
+                    if size > BLOCK_BYTES:
+                        yield pd.DataFrame(out, columns=["path", "rank", "block"])
+                        out, size = [], 0
+            yield pd.DataFrame(out, columns=["path", "rank", "block"])
 
     return files.select("path", "text").mapInPandas(cut, "path string, rank int, block string")
 

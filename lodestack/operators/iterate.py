@@ -12,7 +12,7 @@ from lodestack.functions import fixed
 from lodestack.functions.urls import extension
 from lodestack.operators.extract import image_refs_of, markdown_images
 from lodestack.operators.scan import running
-from lodestack.shared import written
+from lodestack.shared import discard, written
 
 
 def _numbered(df: DataFrame, order: list[str], first: int = 0) -> DataFrame:
@@ -29,33 +29,31 @@ def crawl_routes(links: DataFrame, seeds: DataFrame, pages: DataFrame | None = N
     level = seeds.select("url").distinct()
     level = level.join(existing.select("url").distinct(), "url", "left_anti") if existing is not None else level
     level = _numbered(level, ["url"]) if max_pages is not None else level.withColumn("place", F.xxhash64("url"))
-    level = written(level.select("url", F.lit(0).alias("depth"), "place"))
-    visited, n, depth = level, level.count(), 0
-    out = {"limit": False, "remaining": 0}
+    levels = [written(level.select("url", F.lit(0).alias("depth"), "place"))]  # each is written once; all of them are the pages visited
+    n, depth, out = levels[0].count(), 0, {"limit": False, "remaining": 0}
     if max_pages is not None and n > max_pages:
-        out = {"limit": True, "remaining": n - max_pages}
-        return written(visited.where(F.col("place") < max_pages)), out
+        return levels[0].where(F.col("place") < max_pages), {"limit": True, "remaining": n - max_pages}
     while depth < max_depth:
         depth += 1
         known = pages.select("url").distinct() if pages is not None else None
-        parents = level.join(known, "url", "left_semi") if known is not None else level
+        parents = levels[-1].join(known, "url", "left_semi") if known is not None else levels[-1]
         reach = parents.join(links.select("url", "target", "ord"), "url").groupBy("target").agg(F.min(F.struct("place", "ord")).alias("via"))
-        reach = reach.withColumnRenamed("target", "url").join(visited.select("url"), "url", "left_anti")
+        reach = reach.withColumnRenamed("target", "url").join(reduce(DataFrame.unionByName, levels).select("url"), "url", "left_anti")
         reach = reach.join(existing.select("url").distinct(), "url", "left_anti") if existing is not None else reach
         placed = _numbered(reach.select("url", "via.place", "via.ord").withColumnRenamed("place", "parent"), ["parent", "ord", "url"], n) if max_pages is not None else reach.withColumn("place", F.xxhash64("url"))
         # the order within a level matters only to cut it at max_pages, which bounds what a level keeps
         level = written(placed.select("url", F.lit(depth).alias("depth"), "place"))
         found = level.count()
         if not found:
+            discard(level)
             break
         if max_pages is not None and n + found > max_pages:
             out = {"limit": True, "remaining": n + found - max_pages}
-            level = level.where(F.col("place") < max_pages)
-            visited = written(visited.unionByName(level))
+            levels.append(level.where(F.col("place") < max_pages))
             break
-        visited = written(visited.unionByName(level))
+        levels.append(level)
         n += found
-    return visited, out
+    return reduce(DataFrame.unionByName, levels), out
 
 
 def resume_crawl(links: DataFrame, existing: DataFrame, pages: DataFrame | None = None, *, max_depth: int = 30, max_pages: int | None = None) -> tuple[DataFrame, dict]:

@@ -10,6 +10,7 @@ from pyspark.sql.functions import udtf
 
 from lodestack.functions import fixed
 from lodestack.operators.extract import union_refs
+from lodestack.shared import written
 
 Scanner = Callable[[DataFrame], DataFrame]
 
@@ -36,13 +37,12 @@ class Registry:
         self.detectors[name] = detect
 
     def run_scanners(self, files: DataFrame) -> DataFrame | None:
-        """The rows of all scanners, each once; one whose plan fails is left out and noted in ``failed``."""
+        """The rows of all scanners, each once. Each runs as a job of its own, whose result is written, so one that fails, in its plan or in a task, costs only
+        its own rows; ``failed`` says why."""
         tables = []
         for name, scan in self.scanners.items():
             try:
-                own = scan(files)
-                own.schema  # the plan is checked here
-                tables.append(own)
+                tables.append(written(scan(files)))
             except Exception as e:  # noqa: BLE001  a user's scanner may fail in any way
                 self.failed[name] = str(e)
         return union_refs(*tables) if tables else None
@@ -53,7 +53,7 @@ class Registry:
         return pages.withColumn("detected", F.coalesce(*found)) if found else pages.withColumn("detected", F.lit(None).cast("struct<by:string,result:string>"))
 
 
-@udtf(returnType="rule string, raw string")
+@udtf(returnType="rule string, raw string", useArrow=True)
 class AssetNames:
     """``SELECT ... FROM files, LATERAL asset_names(text)``: the quoted names and style references of assets in a text, each once, for SQL users."""
 
@@ -68,7 +68,7 @@ class AssetNames:
                     yield rule, raw
 
 
-@udtf(returnType="ord int, raw string")
+@udtf(returnType="ord int, raw string", useArrow=True)
 class AnchorLinks:
     """``SELECT ... FROM pages, LATERAL anchor_links(html)``: the links of a page for SQL users."""
 

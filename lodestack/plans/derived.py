@@ -299,7 +299,7 @@ def embedded_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     script = F.when(F.col("project_id") % 2 == 0, F.concat(F.lit("f({a:'}'});window.__APP__="), "text", F.lit(";g()"))).otherwise(F.concat(F.lit("const q={};var z={z:1};const app=i("), "text", F.lit(");")))
     also = _projects(spark, sf_dir).where("project_id % 13 = 0 AND project_id % 11 <> 0").select("project_id", F.concat(F.lit("return "), F.regexp_replace("text", "^var x = ", "")).alias("text"))
     files = p.select(F.col("project_id").cast("string").alias("path"), script.alias("text")).unionByName(also.select(F.col("project_id").cast("string").alias("path"), "text"))
-    return ex.extract_embedded(files).where("length(payload) > 60").select(F.col("path").cast("long").alias("path")).withColumn("n", F.col("path") % 2)
+    return ex.extract_embedded(files).select(F.col("path").cast("long").alias("path")).withColumn("n", F.col("path") % 2)
 
 
 _FONT_TEXT = """'{"googleFonts":["Open Sans",{"family":"Lora"}],"customFonts":[{"url":"fonts/c.css"}],"deep":[{"customCSS":"@font-face{src:url(f' || doc_id % 3 || '.woff2)}"}],"direct":"https:\\/\\/cdn.example.org\\/d' || doc_id % 2 || '.ttf?x"}'"""
