@@ -293,11 +293,12 @@ def media_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jo.patch_media(walk, local).where("field = 'bgmId'").select("project_id", "old", "new", "use_audio_url")
 
 
-@_q("""SELECT doc_id AS path, doc_id % 2 AS n FROM documents WHERE doc_id % 5 <> 3 AND doc_id % 11 <> 0""")
+@_q("""SELECT doc_id AS path, doc_id % 2 AS n FROM documents WHERE CASE WHEN doc_id % 11 = 0 THEN doc_id % 5 IN (0, 2) ELSE doc_id % 5 <> 3 END""")
 def embedded_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _projects(spark, sf_dir).where("project_id % 13 <> 0 AND project_id % 11 <> 0")
+    """Of broken texts the project's own braces are found by the names in it, where it has such."""
+    p = _projects(spark, sf_dir).where("project_id % 13 <> 0")
     script = F.when(F.col("project_id") % 2 == 0, F.concat(F.lit("f({a:'}'});window.__APP__="), "text", F.lit(";g()"))).otherwise(F.concat(F.lit("const q={};var z={z:1};const app=i("), "text", F.lit(");")))
-    also = _projects(spark, sf_dir).where("project_id % 13 = 0 AND project_id % 11 <> 0").select("project_id", F.concat(F.lit("return "), F.regexp_replace("text", "^var x = ", "")).alias("text"))
+    also = _projects(spark, sf_dir).where("project_id % 13 = 0").select("project_id", F.concat(F.lit("return "), F.regexp_replace("text", "^var x = ", "")).alias("text"))
     files = p.select(F.col("project_id").cast("string").alias("path"), script.alias("text")).unionByName(also.select(F.col("project_id").cast("string").alias("path"), "text"))
     return ex.extract_embedded(files).select(F.col("path").cast("long").alias("path")).withColumn("n", F.col("path") % 2)
 
