@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import written
@@ -17,7 +17,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 CHAIN = rf"{CANDIDATE}(?:\.{CANDIDATE})*+"
 
 #: Names of what holds a secret, in the three words before a candidate or in its own word.
-SECRET_NAMES = r"(?i)token|secret|passw|api_?key|auth|credential|private|bearer"
+SECRET_NAMES = r"(?i)token|secret|passw|api_?key|access_?key|auth|credential|private|bearer"
 
 #: Parts of a path (here: the source) that speak for samples and generated files.
 SAMPLE_PATHS = r"(?i)test|example|sample|fixture|mock|doc|lock|min\.js"
@@ -39,16 +39,23 @@ KEY_FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9A-Za-z]
 #: Random values of a digest's length, in one case of hexadecimal digits.
 DIGEST = r"^(?=.{32}$|.{40}$|.{64}$)([0-9a-f]+|[0-9A-F]+)$"
 
-#: A value that stands in so many different surroundings is a sample or a placeholder, not a secret.
+#: Words beside a digest that say that it is a checksum or the id of a version.
+CHECKSUMS = r"(?i)\b(?:commit|checksum|sha-?\d{1,3}|md5|digest|integrity|revision|etag|blob|merge)\b"
+
+#: A value that stands in so many different surroundings is a sample or a placeholder, not a secret, unless it has a published key format.
 SAMPLE_PLACES = 3
 
+#: Made-up findings of each kind that train the forest where there are no reviewed ones.
+SEEDS_EACH = 60
+
 #: The share of different values (by a hash) whose labels never train: the forest is measured on them.
 HELD_OUT = 5
 
 
 def candidates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, at (its word's number), part (its number in the word), candidate, path; and of what stands around it in its
-    word, back to the chain before, and in three words on each side: named, assigned, quoted, near_length, near (the neighbouring words' hash).
+    word, back to the chain before, and in three words on each side: named, assigned, quoted, near_length, near (the neighbouring words' hash), and summed (they
+    speak of a checksum).
     No row holds more text than the candidate, however many its word has."""
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), path.alias("path"))
@@ -57,7 +64,7 @@ def candidates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("doc_id", "path", "words", F.explode(places).alias("at"))
     before = F.array_join(F.slice("words", F.greatest(F.col("at") - 3, F.lit(1)), F.least(F.col("at") - 1, F.lit(3))), " ")
     rows = rows.select("doc_id", "path", "at", F.element_at("words", F.col("at")).alias("word"), before.alias("before"), F.array_join(F.slice("words", F.col("at") + 1, 3), " ").alias("after"))
-    near = {"near": F.xxhash64("before", "after"), "near_named": F.rlike("before", F.lit(SECRET_NAMES)), "near_assigned": F.rlike("before", F.lit(r"[=:]$")), "near_length": F.length(F.concat("before", "after")) / 6}
+    near = {"near": F.xxhash64("before", "after"), "near_named": F.rlike("before", F.lit(SECRET_NAMES)), "near_assigned": F.rlike("before", F.lit(r"[=:]$")), "near_length": F.length(F.concat("before", "after")) / 6, "summed": F.rlike(F.concat_ws(" ", "before", "after"), F.lit(CHECKSUMS))}
     rows = rows.withColumns(near).withColumns({"chain": F.regexp_extract_all("word", F.lit(CHAIN), F.lit(0)), "gaps": F.split("word", CHAIN, -1)})
     n = F.size("chain")  # and one gap more
     sides = {
@@ -65,7 +72,7 @@ def candidates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         "tail": F.concat(F.transform(F.slice("gaps", F.lit(2), n - 1), lambda g: F.substr(g, F.lit(1), F.lit(1))), F.slice("gaps", n + 1, F.lit(1))),
         "last": F.concat(F.array(F.lit("")), F.slice("chain", F.lit(1), n - 1)),
     }
-    kept = ("doc_id", "path", "at", "near", "near_named", "near_assigned", "near_length")
+    kept = ("doc_id", "path", "at", "near", "near_named", "near_assigned", "near_length", "summed")
     rows = rows.withColumns(sides).select(*kept, F.arrays_zip("last", "gap", "chain", "tail").alias("chains"))
 
     def own(u: Column, k: Column) -> Column:
@@ -125,11 +132,11 @@ def check_digit(number: Column) -> Column:
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """``found`` with the column label, by evidence about the value alone that is no feature of the forest; it stands in for a table of reviewed findings.
+    """``found`` with the column label, by evidence that is no feature of the forest; it stands in for a table of reviewed findings.
 
-    0: a value in SAMPLE_PLACES or more different surroundings (a sample or a placeholder), one letter over and over, digits with a card number's check
-    digit, digits or letters of one case alone (numbers and words; a digest of 32 or more digits has letters but for 1 in 10^6). 1, of the others: a
-    published key format, or a digest in hexadecimal digits of at least eight kinds. Null: neither is known.
+    1: a published key format, however often it comes, but for documented examples. 0, of the others: a value in SAMPLE_PLACES or more different
+    surroundings (a sample or a placeholder), one letter over and over, digits with a card number's check digit, digits or letters of one case alone
+    (numbers and words), a digest beside a word that says that it is a checksum or a version. Null: neither is known.
     """
     c = F.col("candidate")
     places = found.groupBy("candidate").agg(F.count_distinct("near").alias("places")).where(F.col("places") >= SAMPLE_PLACES)
@@ -138,9 +145,33 @@ def label_findings(found: DataFrame) -> DataFrame:
     found = found.join(F.broadcast(often) if few else often, F.xxhash64("candidate") == F.col("often"), "left")
     kinds = F.size(F.array_distinct(F.split(c, "")))
     plain = F.rlike(c, F.lit("^([a-z]+|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"))
-    no = F.col("often").isNotNull() | (kinds == 1) | plain | (F.rlike(c, F.lit("^[0-9]+$")) & check_digit(c))
-    yes = F.rlike(c, F.lit(KEY_FORMATS)) | (F.rlike(c, F.lit(DIGEST)) & (kinds >= 8))
-    return found.withColumn("label", F.when(no, 0.0).when(yes, 1.0)).drop("often")
+    example = F.rlike(c, F.lit("(?i)example|placeholder"))
+    no = F.col("often").isNotNull() | (kinds == 1) | plain | example | (F.rlike(c, F.lit("^[0-9]+$")) & check_digit(c)) | (F.rlike(c, F.lit(DIGEST)) & F.col("summed"))
+    return found.withColumn("label", F.when(F.rlike(c, F.lit(KEY_FORMATS)) & ~example, 1.0).when(no, 0.0)).drop("often")
+
+
+def seed_findings(spark: SparkSession) -> DataFrame:
+    """doc_id, text, source, label: SEEDS_EACH made-up lines of each kind, with one candidate each: keys and passwords in code and settings (1); commit ids,
+    checksums, UUIDs, numbers, placeholders and names (0). Values are digits of hashes, so no list of them is kept."""
+    n = F.col("n")
+    digest = lambda k: F.sha2(F.concat_ws("|", n.cast("string"), F.lit(str(k))), 256)
+    hexed = lambda k, size: F.substring(digest(k), 1, size)
+    mixed = lambda k, size: F.substring(F.regexp_replace(F.concat(F.base64(F.unhex(digest(k))), F.base64(F.unhex(digest(-k)))), "[+/=]", ""), 1, size)
+    digits = lambda k, size: F.substring(F.regexp_replace(F.concat(digest(k), digest(-k)), "[a-f]", ""), 1, size)
+    word = lambda k: F.get(F.array(*map(F.lit, "the and for one old file line next user page run set new call read all".split())), F.pmod(F.xxhash64(n, F.lit(k)), F.lit(16)).cast("int"))
+    prose = lambda k: F.concat_ws(" ", word(k), word(k + 1), word(k + 2))
+    uuid = lambda k: F.regexp_replace(hexed(k, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    kinds = [
+        (1, "settings.py", 'token = "', hexed(1, 40), '"'), (1, "deploy.env", "API_KEY=", hexed(2, 32), ""), (1, "notes", "password: ", hexed(3, 32), ","), (1, "config.py", "aws_access_key_id = ", F.concat(F.lit("AKIA"), F.upper(mixed(4, 16))), ""),
+        (1, "ci.yml", "GH_TOKEN: ", F.concat(F.lit("ghp_"), mixed(5, 36)), ""), (1, "pay.js", "apiKey = '", F.concat(F.lit("sk_live_"), mixed(6, 24)), "';"), (1, "maps.html", 'api_key="', F.concat(F.lit("AIza"), mixed(7, 35)), '"'), (1, "bot.rb", "secret='", mixed(8, 32), "'"),
+        (1, "page", 'TOKEN = "', F.upper(hexed(9, 40)), '"'), (1, "web", "Authorization: Bearer ", mixed(10, 40), ""), (0, "log", "commit ", hexed(11, 40), ""), (0, "SUMS", "", hexed(12, 64), "  dist.tar.gz"), (0, "page", "md5 ", hexed(13, 32), ""),
+        (0, "app.log", "request ", uuid(14), " done"), (0, "page", "", digits(15, 16), ""), (0, "page", "number ", digits(16, 20), "."), (0, "page", "", F.repeat(word(17), F.lit(7)), ""), (0, "docs", 'password = "', F.repeat(F.lit("x"), F.lit(24)), '"'),
+        (0, "code.py", "def ", F.concat_ws("_", word(18), word(19), word(20), word(21), word(22)), "():"), (0, "git", "index ", hexed(23, 40), " 100644"), (0, "tests", "checked out ", hexed(24, 40), ""), (0, "page", "(", hexed(25, 40), ")"),
+        (0, "lock", "resolved #", hexed(26, 40), ""), (0, "etc", "etag: W/", hexed(27, 32), ""), (0, "page", "token_count = ", digits(28, 17), ""), (0, "page", "secretary of ", F.repeat(word(29), F.lit(6)), " met"),
+    ]
+    each = [F.struct(F.lit(float(label)).alias("label"), F.lit(path).alias("source"), F.concat(prose(100 + 10 * k), F.lit(" "), F.lit(a), value, F.lit(b), F.lit(" "), prose(105 + 10 * k)).alias("text"), F.lit(k).alias("k")) for k, (label, path, a, value, b) in enumerate(kinds)]
+    rows = spark.range(SEEDS_EACH, numPartitions=1).withColumnRenamed("id", "n").select("n", F.explode(F.array(*each)).alias("s"))
+    return rows.select((F.col("s.k") * SEEDS_EACH + n).alias("doc_id"), "s.text", "s.source", "s.label")
 
 
 def _sample(found: DataFrame) -> DataFrame:
@@ -151,21 +182,27 @@ def _sample(found: DataFrame) -> DataFrame:
     return own[0].unionByName(own[1])
 
 
+def _seeded(spark: SparkSession, words: DataFrame) -> DataFrame:
+    """label, order and features of the made-up findings."""
+    seeds = written(seed_findings(spark))
+    found = with_features(candidates(seeds), words).join(seeds.select("doc_id", F.col("label").alias("label")), "doc_id")
+    return found.select("label", F.xxhash64("candidate", "doc_id").alias("order"), *FEATURES)
+
+
 def scan_secrets(df: DataFrame, *, findings: DataFrame | None = None, cut: float = 0.5, trees: int = 20, depth: int = 6, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, at (the word's number), part (the candidate's number in its word), candidate, probability, is_secret.
 
     A random forest on the candidate's length, changes of character class, coverage by the corpus's frequent words, path, and neighbouring
     words, trained on at most MOST_FINDINGS findings of each label, sets ``is_secret`` where its probability is at least ``cut``.
-    ``findings`` (candidate, label 0/1) are reviewed ones; without them ``label_findings`` supplies labels. Of all different values one in HELD_OUT
-    trains nothing (``held_out_figures`` measures the forest on those). A candidate that is labelled 0 is no secret, whatever the forest says. With findings of one label only there is no forest: probability is null and a
-    candidate is a secret if it is labelled so.
+    ``findings`` (candidate, label 0/1) are reviewed ones; without them ``label_findings`` labels those of ``df``, and ``seed_findings`` makes up more of both labels. Both
+    labels weigh the same. Of all different values one in HELD_OUT trains nothing (``held_out_figures`` measures the forest on those). The verdict is the
+    forest's alone. With findings of one label only there is no forest: probability is null and a candidate is a secret if it is labelled so.
 
     Null and empty texts have no candidates; a null path speaks for nothing; null ids are kept. Repeated rows give repeated results. An empty
     table gives no rows. Other columns are not read. Texts are split whole, candidates of any length are taken whole.
     """
     found = _judged(df, findings=findings, cut=cut, trees=trees, depth=depth, id_col=id_col, text_col=text_col, path_col=path_col)
-    known = F.coalesce(F.col("label") == 0, F.lit(False))
-    return found.select("doc_id", "at", "part", "candidate", "probability", (F.col("is_secret") & ~known).alias("is_secret"))
+    return found.select("doc_id", "at", "part", "candidate", "probability", "is_secret")
 
 
 def held_out_figures(df: DataFrame, **options: object) -> DataFrame:
@@ -177,18 +214,21 @@ def held_out_figures(df: DataFrame, **options: object) -> DataFrame:
 
 def _judged(df: DataFrame, *, findings: DataFrame | None, cut: float, trees: int, depth: int, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     found = written(candidates(df, id_col=id_col, text_col=text_col, path_col=path_col))
-    found = written(with_features(found, dictionary(df, text_col=text_col)))
+    words = dictionary(df, text_col=text_col)
+    found = written(with_features(found, words))
     if findings is None:
         found = label_findings(found)
     else:
         known = findings.select("candidate", F.col("label").cast("double").alias("label")).dropna().groupBy("candidate").agg(F.max("label").alias("label"))
         found = found.join(known, "candidate", "left")
-    train = written(_sample(found))
+    train = written(_sample(found) if findings is not None else _sample(found).unionByName(_seeded(df.sparkSession, words)))
     if train.select("label").distinct().count() < 2:
         return found.withColumns({"probability": F.lit(None).cast("double"), "is_secret": F.coalesce(F.col("label") == 1, F.lit(False))})
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = assemble.transform(train.repartition(1).sortWithinPartitions("label", "order", *FEATURES)).select("label", "features")  # bounded by MOST_FINDINGS
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featuresCol="features", labelCol="label", rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__predicted").fit(train)
+    sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, 0.5 / sizes[1.0]).otherwise(0.5 / sizes[0.0]) * sum(sizes.values())
+    train = assemble.transform(train.repartition(1).sortWithinPartitions("label", "order", *FEATURES)).select("label", "features", weight.alias("weight"))  # bounded by MOST_FINDINGS
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featuresCol="features", labelCol="label", weightCol="weight", rawPredictionCol="__raw", probabilityCol="__p", predictionCol="__predicted").fit(train)
     scored = forest.transform(assemble.transform(found)).withColumn("probability", F.round(_second(F.col("__p")), 9))
     return scored.withColumn("is_secret", F.col("probability") >= cut)
 
