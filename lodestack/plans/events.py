@@ -126,4 +126,4 @@ def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT start, round(bytes, 4) AS bytes, round(greatest(bytes / 0.1::DOUBLE - spent, 0), 4) AS excess FROM w""")
 def bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = st.bandwidth_excess(_events(spark, sf_dir).withColumn("bytes", F.col("bytes").cast("decimal(18,2)")), 0.1, idle="5 minutes")
-    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("bytes", 4).alias("bytes"), F.round("excess", 4).alias("excess"))
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round(F.col("bytes").cast("double"), 4).alias("bytes"), F.round("excess", 4).alias("excess"))
