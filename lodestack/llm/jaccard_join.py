@@ -13,7 +13,8 @@ The Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two documents link w
    sets that link meet in the region of their first common shingle.
 4. Regions whose sets are all connected are finished. In the others only sets of different components are compared, those of the largest one with
    those outside it only: a lower bound of the distance (from parity sketches of the sets) excludes pairs, what is left is verified exactly, and
-   components that meet are merged before the region is joined again. Large regions are compared in blocks of bounded size.
+   components that meet are merged before the region is joined again. Of the pairs of a group of near copies only spanning forests are verified. Large
+   regions are compared in blocks of bounded size, each with itself first.
 
 Copies of a set are one node.
 """
@@ -21,6 +22,7 @@ Copies of a set are one node.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -341,35 +343,48 @@ def _could_link(n_a: np.ndarray, n_b: np.ndarray, apart: np.ndarray, percent: in
     return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (apart <= both - 2 * least)
 
 
-def _across(pieces: dict[str, np.ndarray], sketches: list[np.ndarray], percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _across(pieces: dict[str, np.ndarray], sketches: list[np.ndarray], percent: int, forests: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of sets of different components that could link, between the sets outside the largest component and all, one of them at home here
-    and their distances to the pivot no more than r apart; and whether some were left for later: a set names its ``most`` nearest of each
-    other component."""
+    and their distances to the pivot no more than r apart; and whether some were left for later.
+
+    What could link is a graph from these sets to components. Of it ``forests`` edge-disjoint spanning forests are named, nearest pairs first, so the pairs
+    are at most as many as there are sets and components, times the forests, while a group of near copies has a pair for every two. With 0 forests, the
+    components alone are the nodes, of one forest."""
     every = np.flatnonzero(pieces["inner"] > 0)
-    comps, sizes, sigs, at, home = (pieces[c][every] for c in ("comp", "n", "sig", "at", "home"))
+    sizes, sigs, at, home = (pieces[c][every] for c in ("n", "sig", "at", "home"))
     r = 1 - percent / 100 + _EPSILON
+    names, comp, members = np.unique(pieces["comp"], return_inverse=True, return_counts=True)
+    by_set = (members[comp] > 1) & (forests > 0)
+    node = np.where(by_set, len(names) + np.arange(len(comp)), comp)
+    tree = np.tile(np.arange(len(names) + len(comp)), (max(1, forests), 1))  # of each node, in each forest
+    target = comp[every]
     a, b, more = [], [], False
     for x in np.flatnonzero(pieces["outer"] > 0):
         n = pieces["n"][x]
-        window = (comps != pieces["comp"][x]) & (np.abs(at - pieces["at"][x]) <= r) & (home | pieces["home"][x])
+        window = (target != comp[x]) & (np.abs(at - pieces["at"][x]) <= r) & (home | pieces["home"][x])
         near = np.flatnonzero(window & _could_link(n, sizes, np.zeros(1, np.int64), percent))
         if not len(near):
             continue
         apart = _apart(sketches[x], [sketches[k] for k in every[near]])
         fit = _could_link(n, sizes[near], apart, percent)
-        near, apart = near[fit], apart[fit]
-        if len(near) > most:
-            order = np.lexsort((apart, comps[near]))
-            own = comps[near][order]
-            nth = np.arange(len(order)) - np.searchsorted(own, own)
-            more |= bool((nth >= most).any())
-            near = near[order[nth < most]]
-        a += [pieces["sig"][x]] * len(near)
-        b += sigs[near].tolist()
+        near = near[fit][np.argsort(apart[fit], kind="stable")]
+        for own in tree:
+            met = own[target[near]]
+            new = np.flatnonzero(met != own[node[x]])
+            trees, first = np.unique(met[new], return_index=True)
+            if len(trees):
+                chosen = new[first]
+                a += [pieces["sig"][x]] * len(chosen)
+                b += sigs[near[chosen]].tolist()
+                own[np.isin(own, trees)] = own[node[x]]
+                near = np.delete(near, chosen)
+            if not len(near):
+                break
+        more |= len(near) > 0
     return np.array(a, np.int64), np.array(b, np.int64), more
 
 
-def pairs_across(rows: DataFrame, percent: int, most: int) -> DataFrame:
+def pairs_across(rows: DataFrame, percent: int, forests: int) -> DataFrame:
     """(a, b) to verify, a < b, of the groups (region, inner block, outer block) of ``rows``; a row of nulls says that a group has more."""
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +400,7 @@ def pairs_across(rows: DataFrame, percent: int, most: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, (cols["region"][1:] != cols["region"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])])
             a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
             for s, e in zip(starts, np.append(starts[1:], len(sketches))):
-                x, y, left = _across({c: v[s:e] for c, v in cols.items()}, sketches[s:e], percent, most)
+                x, y, left = _across({c: v[s:e] for c, v in cols.items()}, sketches[s:e], percent, forests)
                 a.append(np.minimum(x, y))
                 b.append(np.maximum(x, y))
                 more |= left
@@ -410,21 +425,27 @@ def pairs_across(rows: DataFrame, percent: int, most: int) -> DataFrame:
     return rows.mapInArrow(freeing(compared), "a long, b long")
 
 
-def _blocks(members: DataFrame, components: Components, sketches: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, components: Components, sketches: DataFrame, large: bool = False, diagonal: bool = False) -> DataFrame:
     """The groups to compare: the members of regions of several components, with sketches, by (region, i, j).
 
     All members are dealt into inner blocks i, those outside the region's largest component into outer blocks j too; each inner block
-    meets each outer block, so a group has at most about 2 x BLOCK rows.
+    meets each outer block, so a group has at most about 2 x BLOCK rows. ``large``: only regions of several groups. ``diagonal``: each block of
+    members meets itself only.
     """
     rows = written(components.of(members, "sig", "comp"))
     comps = rows.groupBy("region", "comp").agg(F.count("*").alias("size"))
     largest = comps.groupBy("region").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"))
-    largest = written(largest.where(F.col("top.size") < F.col("all")).select("region", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).alias("ni"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("nj")))
+    largest = largest.where(F.col("top.size") < F.col("all")).select("region", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).alias("ni"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("nj"))
+    largest = written(largest.where("ni * nj > 1") if large else largest)
     rows = small_join(rows, largest, "region").withColumn("is_outer", F.col("comp") != F.col("top"))
     i, j = F.pmod(F.xxhash64("sig"), F.col("ni")), F.pmod(F.xxhash64("sig", F.lit(1)), F.col("nj"))
-    inner = rows.withColumns({"i": i, "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)), "inner": F.lit(1), "outer": F.lit(0)})
-    outer = rows.where("is_outer").withColumns({"j": j, "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)), "inner": F.lit(0), "outer": F.lit(1)})
-    both = inner.unionByName(outer).groupBy("region", "i", "j", "sig", "comp").agg(F.max("inner").alias("inner"), F.max("outer").alias("outer"), F.min("at").alias("at"), F.max("home").alias("home"))
+    if diagonal:
+        both = rows.withColumns({"i": i, "j": i, "inner": F.lit(1), "outer": F.col("is_outer").cast("int")})
+    else:
+        inner = rows.withColumns({"i": i, "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)), "inner": F.lit(1), "outer": F.lit(0)})
+        outer = rows.where("is_outer").withColumns({"j": j, "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)), "inner": F.lit(0), "outer": F.lit(1)})
+        both = inner.unionByName(outer)
+    both = both.groupBy("region", "i", "j", "sig", "comp").agg(F.max("inner").alias("inner"), F.max("outer").alias("outer"), F.min("at").alias("at"), F.max("home").alias("home"))
     both = both.join(sketches.select("sig", "n", F.col("own").alias("sketch")), "sig")
     return both.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
@@ -582,16 +603,16 @@ def _nodes(df: DataFrame, *, percent: int, width: int, id_col: str, text_col: st
     checked = written(small_join(residue, centre, "region").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct())
     if checked.limit(1).count():
         components.merge(sets.verified(checked))
-    most = 4
-    while True:
-        found = written(pairs_across(_blocks(members, components, sets.sketches), percent, most).distinct())
+    blocks = members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    rounds = [(True, True, 0), (True, False, 0)] if blocks.limit(1).count() else []
+    for large, diagonal, forests in chain(rounds, ((False, False, 4**k) for k in count(1))):
+        found = written(pairs_across(_blocks(members, components, sets.sketches, large, diagonal), percent, forests).distinct())
         new = written(found.where("a is not null").join(checked, ["a", "b"], "left_anti"))
         if new.limit(1).count():
             components.merge(sets.verified(new))
-        if not found.where("a is null").limit(1).count():
+        if not large and not found.where("a is null").limit(1).count():
             break
         checked = written(checked.unionByName(new))
-        most *= 4
     return documents.join(components.labels, "sig", "left").select("doc_id", "key", "n", F.coalesce("comp", "sig").alias("comp"))
 
 

@@ -77,6 +77,24 @@ def test_jaccard_components(documents, seed, monkeypatch):
     assert kept == {c for _, c in want.values()}
 
 
+def test_pairs_of_a_group_are_forests():
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(1, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[np.delete(base, rnd.integers(0, 300, 8)), rnd.integers(1, 1 << 62, 8).astype(np.uint64)]) for _ in range(120)]
+    one = np.ones(120, np.int64)
+    pieces = {"sig": np.arange(120), "n": np.array(list(map(len, sets))), "comp": np.arange(120), "inner": one, "outer": one, "at": np.zeros(120), "home": one > 0}
+    sketches = [jaccard_join.sketch(x) for x in sets]
+    for comps, forests, bound in ((120, 0, 119), (120, 1, 119), (120, 4, 4 * 119), (3, 0, 2), (3, 1, 122)):
+        a, b, more = jaccard_join._across(pieces | {"comp": np.arange(120) % comps}, sketches, 80, forests)
+        assert len(a) <= bound and more and not (a % comps == b % comps).any()
+        tree = np.arange(120) % comps
+        for x, y in zip(a, b):
+            tree[tree == tree[x]] = tree[y]
+        assert len(set(tree)) == 1  # connected as by all pairs
+    a, b, more = jaccard_join._across(pieces, sketches, 80, 256)
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} == {(x, y) for y in range(120) for x in range(y)} and not more
+
+
 def test_signatures_that_clash_in_one_half():
     sets = [np.array([k, k + 1], np.uint64) for k in range(3)]
     whole = [jaccard_join.signature(x) for x in sets]
