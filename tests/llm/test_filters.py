@@ -378,3 +378,44 @@ def test_secret_features_against_brute_force(documents):
 def test_check_digit(spark):
     df = spark.createDataFrame([("4539578763621486",), ("4539578763621487",), ("79927398713",), ("0",)], "n string")
     assert [r[0] for r in df.select(check_digit(F.col("n"))).collect()] == [True, False, True, True]
+
+
+def plain_likelihoods(known):
+    """ln P_toxic - ln P_ordinary of any letter in its context, by Kneser-Ney's recursion over dictionaries."""
+    count = {0: {}, 1: {}}
+    for text, toxic in known:
+        for e in {(("\0" * 4 + word)[k : k + 4], x) for word in re.findall(r"[^\W\d_]+", text.lower()) for k, x in enumerate([*word, " "])}:
+            count[toxic][e] = count[toxic].get(e, 0) + 1
+    met, shorter = {*count[0], *count[1]}, {}
+    for k in (3, 2, 1, 0):
+        shorter[k] = collections.Counter((h[1:], x) for h, x in met)
+        met = set(shorter[k])
+
+    def mixed(own, x, h, rest):
+        total = sum(c for (g, _), c in own.items() if g == h)
+        kinds = sum(g == h for g, _ in own)
+        return (max(own.get((h, x), 0) - 0.75, 0) + 0.75 * kinds * rest) / total if total else rest
+
+    def shared(x, h):
+        return mixed(shorter[len(h)], x, h, shared(x, h[1:]) if h else 1 / 64)
+
+    return lambda x, h: math.log(mixed(count[1], x, h, shared(x, h[1:]))) - math.log(mixed(count[0], x, h, shared(x, h[1:])))
+
+
+def test_toxicity_takes_both_likelihoods_of_every_letter(documents, labels, monkeypatch):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice(("an", "ti", "lo", "re", "mu", "é")) for _ in range(rnd.randrange(1, 4)))
+    rows = [(k, " ".join([word() for _ in range(1 + rnd.randrange(9))] + ["zgrob" + word()] * (k % 5 == 0)) + f" w{k}") for k in range(120)]
+    rows += [(900, "Relonew ZGROBqé 7 an"), (901, "ж"), (902, None), (903, "..."), (904, "muan relo")]  # letters and contexts never met, nothing
+    df = documents(*rows)
+    model = toxicity.fit(df, labels(*[(k, 1, int(k % 5 == 0)) for k, _ in rows[:120]])).model
+    learnt = {r.doc_id for r in df.where(~held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) != 0)).collect()}
+    ratio = plain_likelihoods([(t, int(k % 5 == 0)) for k, t in rows[:120] if k in learnt])
+    want = {}
+    for k, t in rows:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        want[k] = sum(ratio(x, ("\0" * 4 + w)[j : j + 4]) for w in words for j, x in enumerate([*w, " "])) / len(words) if words else 0.0
+    for most in (toxicity.MOST_SENT_ROWS, 0):
+        monkeypatch.setattr(toxicity, "MOST_SENT_ROWS", most)
+        got = {r.doc_id: r.asDict()["__ratio"] for r in toxicity.with_ratio(df, model).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
