@@ -44,6 +44,8 @@ class ChunkIds(Memory):
 
     @staticmethod
     def _split(chunk: bytes) -> tuple[bytes, bytes]:
+        if chunk.isalpha():  # ASCII letters alone
+            return chunk.lower(), b""
         word = chunk.rstrip(_PUNCTUATION)
         if not word[-1:].isalpha() or b"<|" in chunk:  # a special token's string is one
             word = chunk
@@ -71,9 +73,10 @@ class ChunkIds(Memory):
         split = list(map(self._split, new))
         asked = {p for pair in split for p in pair if p}
         parts = self._learned(list(asked.difference(self.parts)))
-        part = lambda p: parts[p] if p in parts else self.parts[p]
-        found = {c: part(a) + part(b) if b else part(a) for c, (a, b) in zip(new, split)}
-        out = [b"".join([found[c] if c in found else self[c] for c in own]) for own in chunks]
+        part = {p: parts[p] if p in parts else self.parts[p] for p in asked}
+        found = {c: part[a] + part[b] if b else part[a] for c, (a, b) in zip(new, split)}
+        here = found | {c: self[c] for c in every.difference(found)}  # each different chunk is looked up once
+        out = [b"".join(map(here.__getitem__, own)) for own in chunks]
         self.parts.keep(parts, len(asked), 1)
         self.keep(found, len(every), 1)
         return out

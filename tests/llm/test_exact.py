@@ -13,7 +13,7 @@ from hypothesis import strategies as s
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestack.llm import decontaminate, jaccard_join
+from lodestack.llm import decontaminate, jaccard_join, packing
 from lodestack.llm.decontaminate import drop_leaks, find_leaks
 from lodestack.llm.jaccard_join import jaccard_components, keep_one_of_each
 from lodestack.llm.packing import Levels, pack_documents
@@ -179,6 +179,20 @@ def test_packing_round_trip(documents):
     assert pack_documents(documents().limit(0), WORD).count() == 0
 
 
+def test_each_different_chunk_is_looked_up_once():
+    class Counted(packing.ChunkIds):
+        asked = 0
+
+        def __getitem__(self, chunk):
+            self.asked += 1
+            return super().__getitem__(chunk)
+
+    chunks = Counted(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["One word, one WORD! <|x|> 12 \u00e9t\u00e9 " * 500, None, "one"]
+    first, second = chunks.ids(texts), chunks.ids(texts)
+    assert first == second and chunks.asked <= 7  # not once for each of 3,500 chunks
+
+
 @settings(max_examples=100, deadline=None)
 @given(s.lists(s.integers(1, 12), max_size=60))
 def test_levels_minimise_the_sum_of_squares(sizes):
