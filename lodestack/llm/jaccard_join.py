@@ -13,7 +13,7 @@ The Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two documents link w
    sets that link meet in the region of their first common shingle.
 4. Regions whose sets are all connected are finished. In the others only sets of different components are compared, those of the largest one with
    those outside it only: a lower bound of the distance (from parity sketches of the sets) excludes pairs, what is left is verified exactly, and
-   components that meet are merged before the region is joined again. Of the pairs of a group of near copies only spanning forests are verified. Large
+   components that meet are merged before the region is joined again, if it had more to name. Of the pairs of a group of near copies only spanning forests are verified. Large
    regions are compared in blocks of bounded size, each with itself first.
 
 Copies of a set are one node.
@@ -385,7 +385,7 @@ def _across(pieces: dict[str, np.ndarray], sketches: list[np.ndarray], percent:
 
 
 def pairs_across(rows: DataFrame, percent: int, forests: int) -> DataFrame:
-    """(a, b) to verify, a < b, of the groups (region, inner block, outer block) of ``rows``; a row of nulls says that a group has more."""
+    """(a, b) to verify, a < b, of the groups (region, inner block, outer block) of ``rows``; a row with a region instead says that it has more."""
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -398,17 +398,17 @@ def pairs_across(rows: DataFrame, percent: int, forests: int) -> DataFrame:
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             sketches = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
             starts = np.flatnonzero(np.r_[True, (cols["region"][1:] != cols["region"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])])
-            a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+            a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for s, e in zip(starts, np.append(starts[1:], len(sketches))):
                 x, y, left = _across({c: v[s:e] for c, v in cols.items()}, sketches[s:e], percent, forests)
                 a.append(np.minimum(x, y))
                 b.append(np.maximum(x, y))
-                more |= left
+                if left:
+                    more.append(int(cols["region"][s]))
             both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            x, y = pa.array(both[:, 0]), pa.array(both[:, 1])
-            if more:
-                x, y = (pa.concat_arrays([v, pa.nulls(1, pa.int64())]) for v in (x, y))
-            return pa.RecordBatch.from_arrays([x, y], ["a", "b"])
+            x, y = (pa.concat_arrays([pa.array(v), pa.nulls(len(more), pa.int64())]) for v in both.T)
+            regions = pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(more, pa.int64())])
+            return pa.RecordBatch.from_arrays([x, y, regions], ["a", "b", "region"])
 
         for batch in batches:  # sorted by group; the last group of a batch may go on
             rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
@@ -422,7 +422,7 @@ def pairs_across(rows: DataFrame, percent: int, forests: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield group_pairs(rest)
 
-    return rows.mapInArrow(freeing(compared), "a long, b long")
+    return rows.mapInArrow(freeing(compared), "a long, b long, region long")
 
 
 def _blocks(members: DataFrame, components: Components, sketches: DataFrame, large: bool = False, diagonal: bool = False) -> DataFrame:
@@ -432,21 +432,22 @@ def _blocks(members: DataFrame, components: Components, sketches: DataFrame, lar
     meets each outer block, so a group has at most about 2 x BLOCK rows. ``large``: only regions of several groups. ``diagonal``: each block of
     members meets itself only.
     """
-    rows = written(components.of(members, "sig", "comp"))
+    rows = written(components.of(members.drop("n"), "sig", "comp"))
     comps = rows.groupBy("region", "comp").agg(F.count("*").alias("size"))
     largest = comps.groupBy("region").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"))
     largest = largest.where(F.col("top.size") < F.col("all")).select("region", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).alias("ni"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("nj"))
     largest = written(largest.where("ni * nj > 1") if large else largest)
     rows = small_join(rows, largest, "region").withColumn("is_outer", F.col("comp") != F.col("top"))
+    rows = rows.join(sketches.select("sig", "n", F.col("own").alias("sketch")), "sig")  # before a member is dealt into several blocks
     i, j = F.pmod(F.xxhash64("sig"), F.col("ni")), F.pmod(F.xxhash64("sig", F.lit(1)), F.col("nj"))
     if diagonal:
         both = rows.withColumns({"i": i, "j": i, "inner": F.lit(1), "outer": F.col("is_outer").cast("int")})
     else:
-        inner = rows.withColumns({"i": i, "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)), "inner": F.lit(1), "outer": F.lit(0)})
+        inner = rows.withColumns({"i": i, "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)), "inner": F.lit(1)})
+        inner = inner.withColumn("outer", (F.col("is_outer") & (F.col("j") == j)).cast("int"))
         outer = rows.where("is_outer").withColumns({"j": j, "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)), "inner": F.lit(0), "outer": F.lit(1)})
-        both = inner.unionByName(outer)
-    both = both.groupBy("region", "i", "j", "sig", "comp").agg(F.max("inner").alias("inner"), F.max("outer").alias("outer"), F.min("at").alias("at"), F.max("home").alias("home"))
-    both = both.join(sketches.select("sig", "n", F.col("own").alias("sketch")), "sig")
+        both = inner.unionByName(outer.where(F.col("i") != i))
+    both = both.select("region", "i", "j", "sig", "comp", "inner", "outer", "at", "home", "n", "sketch")
     return both.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
 
@@ -596,22 +597,28 @@ def _nodes(df: DataFrame, *, percent: int, width: int, id_col: str, text_col: st
     spread = components.of(cells, "sig", "comp").groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
     cells = small_join(cells, written(spread), "cell", "left_semi")  # cells that are connected are finished
     members = residue.select("region", "sig", "n", F.lit(0.0).alias("at"), F.lit(True).alias("home"))
-    members = written(members.unionByName(cells.select(F.xxhash64("cell", F.lit("cell")).alias("region"), "sig", "n", "at", "home")))
+    members = members.unionByName(cells.select(F.xxhash64("cell", F.lit("cell")).alias("region"), "sig", "n", "at", "home"))
+    members = written(members.groupBy("region", "sig", "n").agg(F.min("at").alias("at"), F.max("home").alias("home")))
     sets.sketch_all(members.select("sig").distinct())
 
     centre = residue.groupBy("region").agg(F.min_by("sig", F.xxhash64("sig")).alias("a"))
     checked = written(small_join(residue, centre, "region").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct())
     if checked.limit(1).count():
         components.merge(sets.verified(checked))
-    blocks = members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    rounds = [(True, True, 0), (True, False, 0)] if blocks.limit(1).count() else []
-    for large, diagonal, forests in chain(rounds, ((False, False, 4**k) for k in count(1))):
-        found = written(pairs_across(_blocks(members, components, sets.sketches, large, diagonal), percent, forests).distinct())
-        new = written(found.where("a is not null").join(checked, ["a", "b"], "left_anti"))
+    blocks = written(members.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("region"))
+    first = [(True, True, 0), (True, False, 0)] if blocks.limit(1).count() else []
+    rest = written(small_join(members, blocks, "region", "left_semi")) if first else members
+    for large, diagonal, forests in chain(first, ((False, False, 4**k) for k in count(1))):
+        rest = rest if large or forests > 4 else members
+        found = written(pairs_across(_blocks(rest, components, sets.sketches, large, diagonal), percent, forests).distinct())
+        new = written(found.where("a is not null").select("a", "b").join(checked, ["a", "b"], "left_anti"))
         if new.limit(1).count():
             components.merge(sets.verified(new))
-        if not large and not found.where("a is null").limit(1).count():
+        more = found.where("a is null").select("region").distinct()
+        if not large and not more.limit(1).count():
             break
+        if not large:
+            rest = written(small_join(rest, more, "region", "left_semi"))  # a region without more has named all that could link
         checked = written(checked.unionByName(new))
     return documents.join(components.labels, "sig", "left").select("doc_id", "key", "n", F.coalesce("comp", "sig").alias("comp"))
 

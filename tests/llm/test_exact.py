@@ -95,6 +95,22 @@ def test_pairs_of_a_group_are_forests():
     assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} == {(x, y) for y in range(120) for x in range(y)} and not more
 
 
+def test_only_regions_with_more_are_joined_again(documents, monkeypatch):
+    met, dealt = [], jaccard_join._blocks
+
+    def counted(members, components, sketches, large=False, diagonal=False):
+        met.append((large, members.select("region").distinct().count()))
+        return dealt(members, components, sketches, large, diagonal)
+
+    for name, value in (("OVERFULL", 3), ("BLOCK", 2), ("MOST_PIVOTS", 0), ("_blocks", counted)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    docs = near_copies(random.Random(4))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(documents(*docs)).collect()}
+    assert got == components(docs)
+    rounds = [n for large, n in met if not large]
+    assert all(n < rounds[0] for large, n in met if large) and all(b < a for a, b in zip(rounds, rounds[1:])), met
+
+
 def test_signatures_that_clash_in_one_half():
     sets = [np.array([k, k + 1], np.uint64) for k in range(3)]
     whole = [jaccard_join.signature(x) for x in sets]
