@@ -4,6 +4,7 @@ import shutil
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestack.llm.common import BYTES_PER_BATCH, ROWS_PER_READ, table
 
 
 def test_pipeline_on_small_tables(spark, documents, labels, tmp_path):
@@ -46,3 +47,13 @@ def test_pipeline_on_small_tables(spark, documents, labels, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(d)).count() == 0
     shutil.rmtree(tmp_path / "data")
+
+
+def test_tables_are_read_in_bounded_batches(spark, labels, tmp_path):
+    labels((1, 1, 0)).write.parquet(str(tmp_path / "labels.parquet"))
+    session = spark.newSession()
+    read, sent = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert table(session, str(tmp_path), "labels").count() == 1
+    assert int(session.conf.get(read)) == ROWS_PER_READ and int(session.conf.get(sent)) == BYTES_PER_BATCH
+    session.conf.set(read, "100")  # what the session asks for already is less
+    assert table(session, str(tmp_path), "labels").count() == 1 and session.conf.get(read) == "100"
