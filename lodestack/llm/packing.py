@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from unicodedata import is_normalized
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,17 @@ from tokenizers import Tokenizer
 from lodestack.llm.common import Memory, as_documents, freeing, text_slices, worker_cache
 from lodestack.llm.token_count import byte_letters
 
-#: Bytes of chunks, and of parts of chunks, that a worker remembers.
-CHUNK_BYTES, PART_BYTES = 40 << 20, 16 << 20
+#: Bytes of chunks, with the parts of chunks, that a worker remembers.
+CHUNK_BYTES = 32 << 20
+
+#: Bits that tell which chunks were met before, one byte each: what comes once isn't remembered.
+MET_BITS = 21
 
 _PUNCTUATION = string.punctuation.encode()
 
+#: Latin letters that have one small letter each; all such words are in NFC.
+_LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -40,7 +47,14 @@ class ChunkIds(Memory):
         self.tokenizer.no_padding()
         self.merges = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
-        self.parts = Memory(PART_BYTES)
+        self.met = np.zeros(1 << MET_BITS, bool)
+
+    def _again(self, found: dict[bytes, bytes]) -> dict[bytes, bytes]:
+        """What was met before; two chunks that share a place only make it remember one too many."""
+        at = np.fromiter(map(hash, found), np.int64, len(found)) & ((1 << MET_BITS) - 1)
+        again = self.met[at]
+        self.met[at] = True
+        return dict(compress(found.items(), again))
 
     @staticmethod
     def _split(chunk: bytes) -> tuple[bytes, bytes]:
@@ -49,34 +63,45 @@ class ChunkIds(Memory):
             word = chunk
         return word.lower() if word.isascii() else word, chunk[len(word) :]
 
-    def _learned(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        out, rest = {}, []
+    def _learned(self, parts: Iterable[bytes]) -> dict[bytes, bytes]:
+        out, rest, cut = {}, [], self.merges.tokenize
         for p in parts:
-            word = p.decode()
-            if word.isalpha() and (p.isalpha() or (max(word) < "\u0250" and "\u0130" not in word and is_normalized("NFC", word))):
-                own = word if p.isalpha() else word.lower().encode().decode("latin-1").translate(self.letters)  # Latin letters, each with one small one
-                out[p] = array("I", [t.id for t in self.merges.tokenize(own)]).tobytes()
+            if not p.isalpha():
+                word = p.decode()
+                if not _LATIN(word):
+                    rest.append(p)
+                    continue
+                own = word.lower().encode().decode("latin-1").translate(self.letters)  # Latin letters, each with one small one
             else:
-                rest.append(p)
+                own = p.decode()
+            out[p] = array("I", [t.id for t in cut(own)]).tobytes()
         for at in range(0, len(rest), 10_000):
             some = rest[at : at + 10_000]
             got = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
             out.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, got))
         return out
 
+    def _found(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that aren't remembered, and of their parts that weren't."""
+        plain = [c for c in new if c.isalpha() and c.islower()]  # small ASCII letters alone are one part
+        found = self._learned(plain)
+        split = {c: self._split(c) for c in new.difference(plain)}
+        parts = {p for pair in split.values() for p in pair if p and p not in self and p not in found}
+        found.update(self._learned(parts))
+        part = lambda p: found[p] if p in found else self[p]
+        found.update([(c, part(a) + part(b) if b else part(a)) for c, (a, b) in split.items()])
+        return found
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         chunks = [t.encode().split() if t else [] for t in texts]
-        every = set().union(*chunks)
-        new = list(every.difference(self))
-        split = list(map(self._split, new))
-        asked = {p for pair in split for p in pair if p}
-        parts = self._learned(list(asked.difference(self.parts)))
-        part = lambda p: parts[p] if p in parts else self.parts[p]
-        found = {c: part(a) + part(b) if b else part(a) for c, (a, b) in zip(new, split)}
-        out = [b"".join([found[c] if c in found else self[c] for c in own]) for own in chunks]
-        self.parts.keep(parts, len(asked), 1)
-        self.keep(found, len(every), 1)
-        return out
+        out = [list(map(self.get, own)) for own in chunks]  # one look-up of each chunk, and a second one of what is not remembered
+        missed = [c for own, known in zip(chunks, out) for c, ids in zip(own, known) if ids is None]
+        if missed:
+            found = self._found(set(missed))
+            rest = map(found.__getitem__, missed)
+            out = [[next(rest) if ids is None else ids for ids in known] for known in out]
+            self.keep(self._again(found), sum(map(len, chunks)), 1, len(missed))
+        return list(map(b"".join, out))
 
 
 class Levels:

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from lodestack.llm import decontaminate, jaccard_join
 from lodestack.llm.decontaminate import drop_leaks, find_leaks
 from lodestack.llm.jaccard_join import jaccard_components, keep_one_of_each
-from lodestack.llm.packing import Levels, pack_documents
+from lodestack.llm.packing import ChunkIds, Levels, pack_documents
 from lodestack.llm.sharding import assign_shards, write_shards
 from lodestack.llm.token_count import RaggedMerges, count_tokens
 
@@ -356,3 +356,15 @@ def test_leaks_of_items_made_of_slots(spark, documents):
     items = spark.createDataFrame([(1, sums), (2, titles), (3, short)], "item_id long, text string")
     rows = [(10, f"before. {sums} after"), (11, f"Heading {sums}"), (12, f"see {titles} there"), (13, f"A Heading\n{short} and more"), (14, sums.replace("345", "346").replace("291", "299")), (15, "Compute 12 more things")]
     assert {(r.doc_id, r.item_id) for r in find_leaks(documents(*rows), items).collect()} == {(10, 1), (11, 1), (12, 2), (13, 3)}
+
+
+def test_chunks_that_come_once_are_not_remembered():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    chunks = ChunkIds(path)
+    once, again = ["Zquorvel, blümchenära (dreiß)", "İstanbul ﬁn ét <|x|> don't"], "tiloremu tiloremu, Tiloremu! ÉTÉRELO"
+    for texts in ([once[0], again, None, ""], [once[1], again], [again]):
+        for text, ids in zip(texts, chunks.ids(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert all(c.encode() in chunks for c in again.split())
+    assert not any(c.encode() in chunks for text in once for c in text.split())
